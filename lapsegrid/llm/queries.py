@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsegrid.llm import decontam, html, secrets, simhash, warc
+from lapsegrid.llm import avi, decontam, html, idstore, lm, packing, secrets, simhash, toxicity, warc
 from lapsegrid.llm.common import read
 
 
@@ -16,10 +16,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
+def op7_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.report(read(spark, sf_dir, "documents"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return idstore.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -28,5 +50,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tag_paths, op2_simhash, op4_warc, op9_secrets, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_tag_paths, op2_simhash, op3_toxicity, op4_warc, op5_packing, op6_lm, op7_avi, op8_token_ids, op9_secrets, op10_decontaminate)}
 ORACLES = {"op4_warc": warc.ORACLE, "op10_decontaminate": decontam.ORACLE}
