@@ -12,6 +12,7 @@ across it, so a text's ids are those of its white-space separated words in turn.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -34,40 +35,107 @@ LEVEL = 3
 DICTIONARY_BYTES, DICTIONARY_DOCS, SHORT_BYTES = 32 << 10, 2000, 16 << 10
 #: Bytes of a file (it ends with the document that reaches this).
 FILE_BYTES = 8 << 20
-#: Words that a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers, in each of two generations.
+CACHE_WORDS = 400_000
+#: Texts looked up at once, and unseen words encoded as one text.
+TEXTS, TOGETHER = 128, 64
 MAGIC = b"LGIDS01\n"
 _HEAD = struct.Struct("<8sQQ32sB")
 _FOOT = struct.Struct("<QI8s")
 # White space of the tokenizer's regular expressions.
 _SPACE = re.compile("[" + "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
+# Letters that normalisation leaves alone, then perhaps marks: one pre-token each.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#&$%|]*)")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
-class Encoder(dict):
-    """word -> its ids as little-endian bytes; encodes what it hasn't seen."""
+class Encoder:
+    """Ids of texts as little-endian bytes, by words that it remembers in two generations:
+    a word met again moves to the young one, the old one is dropped when that is full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self]
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, dtype=self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Encode unseen words. Plain ones are a stem and perhaps marks, both remembered in
+        lower case; unseen stems go many to a text, each ending with an id that closes a word,
+        which tells them apart again."""
+        plain, other, fresh = [], [], {}
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                stem, marks = m[1].lower(), m[2]
+                plain.append((w, stem, marks))
+                if stem not in self.young:
+                    got = self.old.get(stem)
+                    if got is None:
+                        fresh[stem] = None
+                    else:
+                        self.young[stem] = got
+                if marks not in self.marks:
+                    self.marks[marks] = self._one(marks)
+            else:
+                other.append(w)
+        stems = list(fresh)
+        groups = range(0, len(stems), TOGETHER)
+        texts = [" ".join(stems[k : k + TOGETHER]) for k in groups]
+        for k, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            own, ids = stems[k : k + TOGETHER], np.array(e.ids, dtype=self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(own) == len(ends):
+                raw, begin = ids.tobytes(), 0
+                for w, end in zip(own, (ends * self.kind.itemsize).tolist(), strict=True):
+                    self.young[w] = raw[begin:end]
+                    begin = end
+            else:  # not a vocabulary of closed words
+                self.young |= {w: self._one(w) for w in own}
+        for w, stem, marks in plain:
+            if marks or w is not stem:
+                self.young[w] = self.young[stem] + self.marks[marks]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.young[w] = np.array(e.ids, dtype=self.kind).tobytes()
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def encode_all(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
         """Ids of whole texts with the end id, as bytes. Null is empty."""
-        split = [t.split() if not _NOT_SPACE.search(t) else [w for w in _SPACE.split(t) if w] for t in ((t or "") for t in texts)]
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self.learn(set().union(*split))
+        collects = gc.isenabled()
+        gc.disable()  # many lists, no cycles
+        try:
+            return [ids for at in range(0, len(texts), TEXTS) for ids in self._encode_some(texts[at : at + TEXTS], end)]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_some(self, texts: list[str | None], end: int) -> list[bytes]:
         last = np.array([end], dtype=self.kind).tobytes()
-        return [b"".join([*map(self.__getitem__, words), last]) for words in split]
+        split = [t.split() if not _NOT_SPACE.search(t) else [w for w in _SPACE.split(t) if w] for t in ((t or "") for t in texts)]
+        found = [list(map(self.young.get, words)) for words in split]
+        missing = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
+        known = {w: g for w in missing if (g := self.old.get(w)) is not None}
+        self.young |= known
+        self.learn([w for w in missing if w not in known])
+        young = self.young
+        out = []
+        for words, got in zip(split, found, strict=True):
+            if None in got:
+                got = [young[w] if g is None else g for w, g in zip(words, got, strict=True)]
+            got.append(last)
+            out.append(b"".join(got))
+        if len(young) > CACHE_WORDS:
+            self.old, self.young = young, {}
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
