@@ -36,7 +36,7 @@ DICTIONARY_BYTES, DICTIONARY_DOCS, SHORT_BYTES = 32 << 10, 2000, 16 << 10
 #: Bytes of a file (it ends with the document that reaches this).
 FILE_BYTES = 8 << 20
 #: Words that a worker remembers, in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Texts looked up at once, and unseen words encoded as one text.
 TEXTS, TOGETHER = 128, 64
 MAGIC = b"LGIDS01\n"
@@ -46,24 +46,50 @@ _FOOT = struct.Struct("<QI8s")
 _SPACE = re.compile("[" + "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 # Letters that normalisation leaves alone, then perhaps marks: one pre-token each.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#&$%|]*)")
+_WIDE = re.compile("[^\x00-\xff]")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
+class _Young(dict):
+    """word -> ids; gives None for an unseen word and notes it."""
+
+    def __init__(self):
+        super().__init__()
+        self.unseen: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.unseen.append(word)
+
+
+def _words(text: str) -> list[str]:
+    """White-space separated words as the tokenizer sees them. Latin-1 texts are lower-cased
+    first, which its normaliser does to them in any case (not so inside a special token)."""
+    if _NOT_SPACE.search(text):
+        return [w for w in _SPACE.split(text) if w]
+    if "<|" not in text and not _WIDE.search(text):
+        text = text.lower()
+    return text.split()
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, by words that it remembers in two generations:
     a word met again moves to the young one, the old one is dropped when that is full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for stems, which are normal already and hold one pre-token each.
+        self.stems = Tokenizer.from_file(path)
+        self.stems.normalizer = normalizers.Sequence([])
+        self.stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks: dict[str, bytes] = {"": b""}
-        self.young: dict[str, bytes] = {}
+        self.young = _Young()
         self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -89,7 +115,7 @@ class Encoder:
         stems = list(fresh)
         groups = range(0, len(stems), TOGETHER)
         texts = [" ".join(stems[k : k + TOGETHER]) for k in groups]
-        for k, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for k, e in zip(groups, self.stems.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             own, ids = stems[k : k + TOGETHER], np.array(e.ids, dtype=self.kind)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(own) == len(ends):
@@ -98,7 +124,7 @@ class Encoder:
                     self.young[w] = raw[begin:end]
                     begin = end
             else:  # not a vocabulary of closed words
-                self.young |= {w: self._one(w) for w in own}
+                self.young.update({w: self._one(w) for w in own})
         for w, stem, marks in plain:
             if marks or w is not stem:
                 self.young[w] = self.young[stem] + self.marks[marks]
@@ -120,11 +146,12 @@ class Encoder:
 
     def _encode_some(self, texts: list[str | None], end: int) -> list[bytes]:
         last = np.array([end], dtype=self.kind).tobytes()
-        split = [t.split() if not _NOT_SPACE.search(t) else [w for w in _SPACE.split(t) if w] for t in ((t or "") for t in texts)]
-        found = [list(map(self.young.get, words)) for words in split]
-        missing = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
+        split = [_words(t or "") for t in texts]
+        self.young.unseen.clear()
+        found = [list(map(self.young.__getitem__, words)) for words in split]
+        missing = set(self.young.unseen)
         known = {w: g for w in missing if (g := self.old.get(w)) is not None}
-        self.young |= known
+        self.young.update(known)
         self.learn([w for w in missing if w not in known])
         young = self.young
         out = []
@@ -134,7 +161,7 @@ class Encoder:
             got.append(last)
             out.append(b"".join(got))
         if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
+            self.old, self.young = young, _Young()
         return out
 
 
