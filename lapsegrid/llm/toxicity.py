@@ -204,12 +204,14 @@ def _evidence(model: Model):
     return vote
 
 
-def fit_label_model(docs: DataFrame, model: Model, bits: np.ndarray, toxic: np.ndarray) -> None:
-    """Hit rates and correlations of the voters, by EM over the vote patterns of all documents."""
-    rate = lambda own: (own.sum(axis=0) + 0.5) / (len(own) + 1)
-    anchor = np.stack([rate(bits[toxic == y]) for y in (0, 1)])
+def fit_label_model(docs: DataFrame, model: Model, bits: np.ndarray, toxic: np.ndarray, many: np.ndarray) -> None:
+    """Hit rates and correlations of the voters, by EM over the vote patterns of all documents.
+
+    It starts from, and is pulled to, the rates in the sample: votes, labels and multiplicities."""
+    classes = [(bits[toxic == y], many[toxic == y]) for y in (0, 1)]
+    anchor = np.stack([(n @ b + 0.5) / (n.sum() + 1) for b, n in classes])
     model.hit = np.clip(anchor, 1e-4, 1 - 1e-4)
-    moment = np.stack([bits[toxic == y].T @ bits[toxic == y] / max(1, (toxic == y).sum()) for y in (0, 1)])
+    moment = np.stack([(b.T * n) @ b / n.sum() for b, n in classes])
     model.share = correlation_share(moment, anchor, np.array([1.0, 1.0]))
     votes = staged(docs.select("text").mapInArrow(_evidence(model), "mask long").groupBy("mask").agg(F.count("*").alias("n")), "votes")
     for _ in range(EM_ROUNDS):
@@ -231,14 +233,16 @@ def fit_label_model(docs: DataFrame, model: Model, bits: np.ndarray, toxic: np.n
 
 def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on soft targets by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge * weight.sum() / 100)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - target)) + penalty * w
-        hessian = (x.T * (weight * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(penalty)
+        root = np.sqrt(weight * np.maximum(p * (1 - p), 1e-6)).astype(x.dtype)
+        scaled = x * root[:, None]
+        hessian = (scaled.T @ scaled).astype(np.float64) + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
@@ -246,11 +250,22 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float
     return w[:-1], float(w[-1])
 
 
-def features(found: set[int], dense: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n + len(dense))
-    out[list(found)] = 1.0
-    out[n:] = dense
-    return out
+def _sample_evidence(model: Model):
+    """Sample rows -> distinct (hits, dense, mask, toxic) of a batch with their number."""
+
+    def read(batches):
+        reader = Reader(model)
+        for batch in batches:
+            made = Counter()
+            for text, toxic in columns(batch, "text", "toxic"):
+                found, dense = reader.read(text)
+                made[tuple(sorted(found)), tuple(np.round(dense, 3).tolist()), reader.votes(found, dense), toxic] += 1
+            hits, dense, mask, toxic = zip(*made, strict=True) if made else ((), (), (), ())
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.int64()]
+            rows = [list(hits), list(dense), mask, toxic, list(made.values())]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["hits", "dense", "mask", "toxic", "n"])
+
+    return read
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -267,18 +282,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     own = labels.where("toxic is not null").where(~held_out(F.col("doc_id")))
     model.prior = float(np.clip(own.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0], 1e-3, 1 - 1e-3))
     model.patterns, model.odds = induce(sample, counts[1], counts[0])
-    reader = Reader(model)
-    rows, masks, toxic = [], [], []
-    for text, label in sample.toLocalIterator():
-        found, dense = reader.read(text)
-        rows.append(features(found, dense, len(model.patterns)).astype(np.float32))
-        masks.append(reader.votes(found, dense))
-        toxic.append(label)
-    x, masks, toxic = np.stack(rows), np.array(masks, dtype=np.int64), np.array(toxic, dtype=np.float64)
-    fit_label_model(docs, model, _unpack(masks), toxic)
+    evidence = sample.mapInArrow(_sample_evidence(model), "hits array<int>, dense array<double>, mask long, toxic int, n long")
+    rows = evidence.groupBy("hits", "dense", "mask", "toxic").agg(F.sum("n").alias("n")).collect()
+    rows.sort(key=lambda r: (r.hits, r.dense, r.toxic))
+    width = len(model.patterns)
+    x = np.zeros((len(rows), width + len(rows[0].dense)), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k, r.hits] = 1
+        x[k, width:] = r.dense
+    masks, toxic, n = (np.array([r[c] for r in rows]) for c in ("mask", "toxic", "n"))
+    fit_label_model(docs, model, _unpack(masks), toxic, n.astype(np.float64))
     target = posterior(model, masks, toxic)
-    share = np.where(toxic > 0, model.prior / toxic.mean(), (1 - model.prior) / (1 - toxic.mean()))
-    model.weights, model.bias = logistic(x.astype(np.float64), target, share)
+    share = np.where(toxic > 0, model.prior / counts[1], (1 - model.prior) / counts[0]) * sum(counts.values())
+    model.weights, model.bias = logistic(x, target, share * n)
     return model
 
 
