@@ -36,9 +36,9 @@ DICTIONARY_BYTES, DICTIONARY_DOCS, SHORT_BYTES = 32 << 10, 2000, 16 << 10
 #: Bytes of a file (it ends with the document that reaches this).
 FILE_BYTES = 8 << 20
 #: Words that a worker remembers, in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: Texts looked up at once, and unseen words encoded as one text.
-TEXTS, TOGETHER = 128, 64
+TEXTS, TOGETHER = 16, 64
 MAGIC = b"LGIDS01\n"
 _HEAD = struct.Struct("<8sQQ32sB")
 _FOOT = struct.Struct("<QI8s")
@@ -197,7 +197,10 @@ def _dictionary(data: bytes):
 def _encode(tokenizer: str, dictionary: bytes):
     def encode(batches):
         own = encoder(tokenizer)
-        zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
+        shared = _dictionary(dictionary)
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # else each call digests it anew
+        zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         for batch in batches:
             ids = own.encode_all([t for (t,) in columns(batch, "text")])
             size = own.kind.itemsize
