@@ -1,4 +1,578 @@
-"""Registry of the engine's own queries and their DuckDB oracles."""
+"""Registry of the engine's own queries over the driver's tables, with DuckDB oracles.
+
+The driver's tables hold no images, so each query runs the engine's operator on an
+analogue view (``lapsegrid.sources.views``): embeddings as 8x8 frames with the label as
+well, events as tracks and as seeds.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lapsegrid.functions import kernels as K
+from lapsegrid.functions import pixels as P
+from lapsegrid.operators import features, histogram, segment, tables, tracking, wells
+from lapsegrid.sources import manifest
+from lapsegrid.sources.views import FRAME, PX, SD, TP, frame_index, frames, pixels, seeds, table, tracks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+MIX = (1.0, 0.0, 0.241, 0.970)
+TH = 1000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def on(c: str = "i"):
+    return P.above(F.col(c), TH)
+
+
+# -- sources and projections ----------------------------------------------
+@query("""SELECT event_id, cast(substr(name, strpos(name, '_s') + 2, 3) AS integer) AS block, cast(regexp_extract(name, 't([0-9]{2})c', 1) AS integer) AS frame, token AS role
+FROM (SELECT event_id, 'run_s' || lpad(cast(event_id % 500 + 1 AS varchar), 3, '0') || 't' || lpad(cast(hour(ts) AS varchar), 2, '0') || 'c' || cast(event_id % 3 + 1 AS varchar) || '_ORG.tif' AS name,
+ 'c' || cast(event_id % 3 + 1 AS varchar) || '_ORG' AS token FROM events)""")
+def q_manifest_parse(spark: SparkSession, sf: str) -> DataFrame:
+    two = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    name = F.concat(F.lit("run_s"), two(F.col("event_id") % 500 + 1, 3), F.lit("t"), two(F.hour("ts"), 2), F.lit("c"), (F.col("event_id") % 3 + 1).cast("string"), F.lit("_ORG.tif"))
+    names = table(spark, sf, "events").select("event_id", name.alias("name"))
+    channels = spark.createDataFrame([(f"c{k}_ORG", f"c{k}_ORG") for k in (1, 2, 3)], "role string, token string")
+    parsed = manifest.zeiss(names.withColumn("name", F.concat("name", F.lit("#"), F.col("event_id").cast("string"))), channels)
+    return parsed.select(F.substring_index("name", "#", -1).cast("long").alias("event_id"), "block", "frame", "role")
+
+
+@query(f"WITH {PX} SELECT label, vec_id, round(avg(i), 6) AS mean_i FROM px GROUP BY ALL")
+def q_pixel_mean(spark, sf):
+    # the frame stays an array: no explode, no shuffle
+    total = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v)
+    return frames(spark, sf).select("label", "vec_id", F.round(total / F.size("px"), 6).alias("mean_i"))
+
+
+@query(f"WITH {PX} SELECT label, round(avg(CASE WHEN i >= 1000 THEN 1.0 ELSE 0.0 END), 6) AS share FROM px GROUP BY label")
+def q_mask_fraction(spark, sf):
+    return pixels(spark, sf).groupBy("label").agg(F.round(F.avg(on().cast("double")), 6).alias("share"))
+
+
+_INV = P.inverse_mixing(*MIX)
+
+
+def channel_pairs(spark, sf):
+    """Even vec_id is channel 1, the next one channel 2: vec_id, pos, x, y, i1, i2."""
+    px = pixels(spark, sf)
+    second = px.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), "pos", F.col("i").alias("i2"))
+    return px.where("vec_id % 2 = 0").withColumnRenamed("i", "i1").join(second, ["vec_id", "pos"])
+
+
+PAIRS = f"{PX}, pr AS (SELECT a.vec_id, a.label, a.pos, a.x, a.y, a.i AS i1, b.i AS i2 FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos WHERE a.vec_id % 2 = 0)"
+
+
+@query(f"""WITH {PAIRS} SELECT vec_id, pos, cast(floor(greatest(0.0, i1 * {_INV[0]!r}::double + i2 * {_INV[1]!r}::double)) AS integer) AS o1,
+cast(floor(greatest(0.0, i1 * {_INV[2]!r}::double + i2 * {_INV[3]!r}::double)) AS integer) AS o2 FROM pr""")
+def q_unmix(spark, sf):
+    a, b = P.unmix(F.col("i1"), F.col("i2"), _INV)
+    return channel_pairs(spark, sf).select("vec_id", "pos", a.alias("o1"), b.alias("o2"))
+
+
+@query(f"""WITH {PX}, {FRAME}, z AS (SELECT vec_id, label, pos, x, y, CASE WHEN (x = 0 AND label % 2 = 0) THEN 0 ELSE i END AS i FROM px),
+f0 AS (SELECT z.* FROM z JOIN fr USING (vec_id, label) WHERE frame = 0),
+fl AS (SELECT label, sum(CASE WHEN x = 0 THEN i ELSE 0 END) = 0 AS l, sum(CASE WHEN x = 7 THEN i ELSE 0 END) = 0 AS r, sum(CASE WHEN y = 0 THEN i ELSE 0 END) = 0 AS t, sum(CASE WHEN y = 7 THEN i ELSE 0 END) = 0 AS b FROM f0 GROUP BY label),
+m AS (SELECT label, cast(floor(avg(i)) AS integer) AS m FROM z GROUP BY label)
+SELECT vec_id, pos, CASE WHEN (x = 0 AND l) OR (x = 7 AND r) OR (y = 0 AND t) OR (y = 7 AND b) THEN m ELSE i END AS i FROM z JOIN fl USING (label) JOIN m USING (label)""")
+def q_border_repair(spark, sf):
+    """Frames of even labels get an empty first column, as a camera defect would make; the
+    repair must find it in the first frame and fill it in all. Stack sums are one aggregate."""
+    px = pixels(spark, sf).withColumn("i", F.when((F.col("x") == 0) & (F.col("label") % 2 == 0), 0).otherwise(F.col("i")))
+    first = F.col("frame") == 0
+    rows = px.join(frame_index(spark, sf), ["vec_id", "label"])
+    sides = {"l": F.col("x") == 0, "r": F.col("x") == 7, "t": F.col("y") == 0, "b": F.col("y") == 7}
+    stack = rows.groupBy("label").agg(F.floor(F.avg("i")).cast("int").alias("m"), *((F.sum(F.when(first & s, F.col("i")).otherwise(0)) == 0).alias(k) for k, s in sides.items()))
+    bad = sum((F.when(s & F.col(k), 1).otherwise(0) for k, s in sides.items()), F.lit(0)) > 0
+    return px.join(stack, "label").select("vec_id", "pos", F.when(bad, F.col("m")).otherwise(F.col("i")).alias("i"))
+
+
+@query(f"WITH {PX} SELECT vec_id, cast(63 - pos AS integer) AS pos, i FROM px")
+def q_rotate180(spark, sf):
+    rows = frames(spark, sf).select("vec_id", F.posexplode(F.reverse("px")).alias("pos", "i"))
+    return rows
+
+
+@query(f"WITH {PX} SELECT vec_id, (x + 3) % 8 AS x, (y + 6) % 8 AS y, i FROM px")
+def q_circshift(spark, sf):
+    return pixels(spark, sf).select("vec_id", P.shifted(F.col("x"), 3, 8).alias("x"), P.shifted(F.col("y"), -2, 8).alias("y"), "i")
+
+
+@query("SELECT event_id, least(greatest(value, 50.0), 400.0) AS v FROM events")
+def q_clamp(spark, sf):
+    return table(spark, sf, "events").select("event_id", P.clamp(F.col("value"), 50.0, 400.0).alias("v"))
+
+
+@query(f"WITH {PX} SELECT vec_id, pos, i * i AS i2, CASE WHEN i BETWEEN 900 AND 1100 THEN 255 ELSE 0 END AS band FROM px")
+def q_square_and_band(spark, sf):
+    return pixels(spark, sf).select("vec_id", "pos", (F.col("i") * F.col("i")).alias("i2"), F.when(F.col("i").between(900, 1100), 255).otherwise(0).alias("band"))
+
+
+# -- histograms -----------------------------------------------------------
+@query(f"WITH {PX} SELECT label, i // 50 AS bin, count(*) AS n FROM px GROUP BY ALL")
+def q_histogram(spark, sf):
+    return histogram.histogram(pixels(spark, sf), ["label"], F.floor(F.col("i") / 50).cast("int"))
+
+
+@query("""SELECT cast(l_quantity AS integer) AS c1, cast(round(l_discount * 100) AS integer) AS c2, count(*) AS n FROM lineitem WHERE cast(l_quantity AS integer) < 45 AND round(l_discount * 100) < 45 GROUP BY ALL""")
+def q_joint_hist(spark, sf):
+    return histogram.joint_histogram(table(spark, sf, "lineitem"), F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"), 45)
+
+
+HIST = f"{PX}, h AS (SELECT label, i // 25 AS bin, count(*) AS n FROM px GROUP BY ALL)"
+CUM = """w AS (SELECT label, bin, sum(n) OVER o AS c, sum(n * bin) OVER o AS s, sum(n) OVER (PARTITION BY label) AS ca, sum(n * bin) OVER (PARTITION BY label) AS sa
+ FROM h WINDOW o AS (PARTITION BY label ORDER BY bin ROWS UNBOUNDED PRECEDING))"""
+
+
+def _hist25(spark, sf):
+    return histogram.histogram(pixels(spark, sf), ["label"], F.floor(F.col("i") / 25).cast("int"))
+
+
+@query(f"""WITH {HIST}, {CUM}, r AS (SELECT label, bin, c / ca AS p0, (ca - c) / ca AS p1, sa / ca AS mu, s / nullif(c, 0) AS m0, (sa - s) / nullif(ca - c, 0) AS m1 FROM w),
+q AS (SELECT label, bin, CASE WHEN p0 > 0 AND p1 > 0 AND m0 > 0 AND m1 > 0 THEN round(mu - p0 * (ln(p0) + m0 * ln(m0)) - p1 * (ln(p1) + m1 * ln(m1)), 6) END AS cost FROM r)
+SELECT label, bin AS th, cost FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cost NULLS LAST, CASE WHEN cost IS NULL THEN -bin ELSE bin END) AS k FROM q) WHERE k = 1""")
+def q_min_error_threshold(spark, sf):
+    return histogram.min_error_threshold(_hist25(spark, sf), ["label"])
+
+
+@query(f"""WITH {HIST}, {CUM}, q AS (SELECT label, bin, round(coalesce(c / ca * ((ca - c) / ca) * pow(s / nullif(c, 0) - (sa - s) / nullif(ca - c, 0), 2), 0.0), 6) AS spread FROM w)
+SELECT label, bin AS th, spread FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY spread DESC, bin) AS k FROM q) WHERE k = 1""")
+def q_otsu(spark, sf):
+    return histogram.otsu_threshold(_hist25(spark, sf), ["label"])
+
+
+GATE = f"{PX}, g AS (SELECT vec_id, sum(CASE WHEN i >= 1000 THEN 1 ELSE 0 END) AS n1, count(*) AS n FROM px GROUP BY vec_id)"
+
+
+@query(f"WITH {GATE} SELECT vec_id, round(greatest(n1, n - n1) / n, 6) AS share, greatest(n1, n - n1) / n < 0.6 OR greatest(n1, n - n1) = n AS bad FROM g")
+def q_background_gate(spark, sf):
+    return histogram.background_gate(pixels(spark, sf), ["vec_id"], on(), 0.6)
+
+
+@query(f"WITH {GATE} SELECT vec_id, cast(least(n1, n - n1) AS bigint) AS n_on, cast(CASE WHEN n1 > n - n1 THEN n ELSE n1 END AS bigint) AS n_on_exact FROM g")
+def q_foreground_choice(spark, sf):
+    return histogram.foreground_choice(pixels(spark, sf), ["vec_id"], on())
+
+
+# -- windows on pixels ----------------------------------------------------
+def separable(px: DataFrame, f, r: int, name: str) -> DataFrame:
+    row, col = Window.partitionBy("vec_id", "y").orderBy("x").rowsBetween(-r, r), Window.partitionBy("vec_id", "x").orderBy("y").rowsBetween(-r, r)
+    return px.withColumn("row_", f("i").over(row)).withColumn(name, f("row_").over(col)).drop("row_")
+
+
+def _sep_sql(f, r):
+    return f"""b1 AS (SELECT *, {f}(i) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS a FROM px),
+b2 AS (SELECT vec_id, pos, x, y, i, {f}(a) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS v FROM b1)"""
+
+
+@query(f"WITH {PX}, {_sep_sql('sum', 1)} SELECT vec_id, pos, cast(v AS bigint) AS s FROM b2")
+def q_box_sum(spark, sf):
+    return separable(pixels(spark, sf), F.sum, 1, "s").select("vec_id", "pos", "s")
+
+
+@query(f"WITH {PX}, {_sep_sql('max', 2)} SELECT vec_id, pos, v AS m FROM b2")
+def q_running_max(spark, sf):
+    return separable(pixels(spark, sf), F.max, 2, "m").select("vec_id", "pos", "m")
+
+
+@query(f"""WITH {PX} SELECT a.vec_id, a.x, a.y FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.pos <> b.pos
+WHERE a.x BETWEEN 2 AND 5 AND a.y BETWEEN 2 AND 5 AND a.i > 0 GROUP BY a.vec_id, a.x, a.y, a.i HAVING max(b.i) < a.i""")
+def q_local_max(spark, sf):
+    return segment.each_frame(frames(spark, sf), ["vec_id"], lambda key, im: [(*key, x, y) for x, y in K.local_maxima(im, 1)], "vec_id long, x int, y int", 8)
+
+
+# -- components (frames stay rows: no shuffle) -----------------------------
+def _comp(near: str) -> str:
+    return f"""{PX}, m AS (SELECT vec_id, label, pos, x, y FROM px WHERE i >= 1000),
+e AS (SELECT a.vec_id, a.pos AS p, b.pos AS q FROM m a JOIN m b ON a.vec_id = b.vec_id AND {near}),
+t AS (SELECT vec_id, p, q FROM e UNION SELECT t.vec_id, t.p, e.q FROM t JOIN e ON t.vec_id = e.vec_id AND t.q = e.p),
+c AS (SELECT vec_id, p, min(q) AS comp FROM t GROUP BY vec_id, p), cs AS (SELECT vec_id, comp, count(*) AS size FROM c GROUP BY vec_id, comp)"""
+
+
+EIGHT = _comp("abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
+FOUR = _comp("abs(a.x - b.x) + abs(a.y - b.y) <= 1")
+
+
+@query(f"WITH RECURSIVE {EIGHT} SELECT vec_id, comp, cast(size AS integer) AS size FROM cs")
+def q_components(spark, sf):
+    return segment.component_rows(frames(spark, sf), ["vec_id"], "vec_id long", TH, 8)
+
+
+@query(f"WITH RECURSIVE {EIGHT} SELECT f.vec_id, cast(coalesce(sum(size) FILTER (size >= 5), 0) AS integer) AS n_px FROM (SELECT DISTINCT vec_id FROM px) f LEFT JOIN cs USING (vec_id) GROUP BY f.vec_id")
+def q_remove_small(spark, sf):
+    return segment.filtered_mask(frames(spark, sf), ["vec_id"], "vec_id long", TH, 8, least=5)
+
+
+@query(f"WITH RECURSIVE {EIGHT} SELECT f.vec_id, cast(coalesce(sum(size) FILTER (size < 20), 0) AS integer) AS n_px FROM (SELECT DISTINCT vec_id FROM px) f LEFT JOIN cs USING (vec_id) GROUP BY f.vec_id")
+def q_remove_large(spark, sf):
+    return segment.filtered_mask(frames(spark, sf), ["vec_id"], "vec_id long", TH, 8, most=20)
+
+
+@query(f"WITH RECURSIVE {FOUR} SELECT vec_id, comp, cast(size AS integer) AS size FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY size DESC, comp) AS k FROM cs) WHERE k = 1")
+def q_largest_component(spark, sf):
+    own = Window.partitionBy("vec_id").orderBy(F.col("size").desc(), "comp")
+    rows = segment.component_rows(frames(spark, sf), ["vec_id"], "vec_id long", TH, 8, 4)
+    return rows.withColumn("k", F.row_number().over(own)).where("k = 1").drop("k")
+
+
+@query(f"WITH RECURSIVE {EIGHT} SELECT vec_id, comp, cast(size AS integer) AS size, cast(row_number() OVER (PARTITION BY vec_id ORDER BY size DESC, comp) AS integer) AS rank FROM cs")
+def q_size_rank(spark, sf):
+    own = Window.partitionBy("vec_id").orderBy(F.col("size").desc(), "comp")
+    return segment.component_rows(frames(spark, sf), ["vec_id"], "vec_id long", TH, 8).withColumn("rank", F.row_number().over(own))
+
+
+# -- projections over frames ----------------------------------------------
+@query(f"WITH {PX} SELECT label, x, y, max(i) AS m FROM px GROUP BY label, x, y")
+def q_max_projection(spark, sf):
+    return pixels(spark, sf).groupBy("label", "x", "y").agg(F.max("i").alias("m"))
+
+
+@query(f"""WITH {PX} SELECT vec_id // 4 AS grp, pos, max(i) AS m, cast(min(CASE WHEN i = mx THEN vec_id % 4 END) AS integer) AS channel
+FROM (SELECT *, max(i) OVER (PARTITION BY vec_id // 4, pos) AS mx FROM px) GROUP BY ALL""")
+def q_argmax_channel(spark, sf):
+    group = F.floor(F.col("vec_id") / 4).alias("grp")
+    best = F.max(F.struct(F.col("i"), (-(F.col("vec_id") % 4)).alias("k")))
+    return pixels(spark, sf).groupBy(group, "pos").agg(best.alias("b")).select("grp", "pos", F.col("b.i").alias("m"), (-F.col("b.k")).cast("int").alias("channel"))
+
+
+BOX = f"{PX}, bx AS (SELECT vec_id, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px WHERE i >= 1100 GROUP BY vec_id, label)"
+
+
+def _boxes(spark, sf):
+    return features.bounding_boxes(pixels(spark, sf).where("i >= 1100"), ["vec_id", "label"])
+
+
+@query(f"WITH {BOX} SELECT * FROM bx")
+def q_bbox(spark, sf):
+    return _boxes(spark, sf)
+
+
+@query(f"""WITH {BOX} SELECT a.vec_id AS v1, b.vec_id AS v2, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) AS n
+FROM bx a JOIN bx b ON a.vec_id + 1 = b.vec_id""")
+def q_box_overlap(spark, sf):
+    a, b = _boxes(spark, sf).alias("a"), _boxes(spark, sf)
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    side = lambda c: F.greatest(F.lit(0), F.least(f"{c}1", f"b_{c}1") - F.greatest(f"{c}0", f"b_{c}0") + 1)
+    return a.join(b, F.col("vec_id") + 1 == F.col("b_vec_id")).select(F.col("vec_id").alias("v1"), F.col("b_vec_id").alias("v2"), (side("x") * side("y")).alias("n"))
+
+
+# -- features -------------------------------------------------------------
+@query(f"""WITH {PX}, m AS (SELECT vec_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy, var_pop(x) + 1.0/12 AS a, var_pop(y) + 1.0/12 AS b, covar_pop(x, y) AS c FROM px WHERE i >= 1000 GROUP BY vec_id)
+SELECT vec_id, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(greatest(0.0, a + b - sqrt((a - b) * (a - b) + 4 * c * c)) / (a + b + sqrt((a - b) * (a - b) + 4 * c * c))), 6) AS ratio FROM m""")
+def q_region_props(spark, sf):
+    return features.region_props(pixels(spark, sf).where(f"i >= {TH}"), ["vec_id"])
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, round(avg(i2), 6) AS mean, count(*) AS n FROM pr WHERE i1 >= 1000 GROUP BY vec_id")
+def q_zonal_mean(spark, sf):
+    px = pixels(spark, sf)
+    mask = px.where(f"vec_id % 2 = 0 AND i >= {TH}").select("vec_id", "pos")
+    signal = px.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), "pos", "i")
+    return features.zonal_mean(mask, signal, ["vec_id", "pos"], ["vec_id"])
+
+
+@query(f"""WITH {PAIRS}, ms AS (SELECT * FROM pr WHERE i1 >= 1150),
+d AS (SELECT e.vec_id, e.pos, e.i2, min((e.x - m.x) * (e.x - m.x) + (e.y - m.y) * (e.y - m.y)) AS d2 FROM pr e JOIN ms m USING (vec_id) GROUP BY e.vec_id, e.pos, e.i2),
+w AS (SELECT vec_id, pos, i2, CASE WHEN d2 = 0 THEN 0.0 ELSE (SELECT coalesce(sum(1.0 / (r * r)), 0.0) FROM range(1, 11) AS t(r) WHERE r * r >= d2) END AS w FROM d)
+SELECT vec_id, round(sum(w * i2) / sum(i2), 6) AS assoc FROM w GROUP BY vec_id""")
+def q_association(spark, sf):
+    pr = channel_pairs(spark, sf)
+    mask = pr.where("i1 >= 1150")
+    held = mask.select("vec_id").distinct()
+    signal = pr.join(held, "vec_id", "left_semi").select("vec_id", "x", "y", F.col("i2").alias("i"))
+    return features.association(mask, signal, ["vec_id"], 8)
+
+
+@query(f"WITH {PX} SELECT vec_id, pos, round((i - avg(i) OVER w) / nullif(stddev_samp(i) OVER w, 0), 6) AS z FROM px WINDOW w AS (PARTITION BY vec_id)")
+def q_zscore(spark, sf):
+    own = Window.partitionBy("vec_id")
+    return pixels(spark, sf).select("vec_id", "pos", F.round(F.try_divide(F.col("i") - F.avg("i").over(own), F.stddev_samp("i").over(own)), 6).alias("z"))
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, pos, greatest(i1, i2) AS m FROM pr")
+def q_pixel_max(spark, sf):
+    return channel_pairs(spark, sf).select("vec_id", "pos", F.greatest("i1", "i2").alias("m"))
+
+
+@query("SELECT user_id, round(min(value), 6) AS least, CASE WHEN min(value) < 4 THEN 'near' ELSE 'far' END AS cls FROM events GROUP BY user_id")
+def q_distance_class(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.min("value"), 6).alias("least")).withColumn("cls", F.when(F.col("least") < 4, "near").otherwise("far"))
+
+
+@query("SELECT vec_id, cast((label * 7 + 3) % 10 AS integer) AS label2 FROM embeddings")
+def q_relabel(spark, sf):
+    lookup = spark.createDataFrame([(k, (k * 7 + 3) % 10) for k in range(10)], "label int, label2 int")
+    return table(spark, sf, "embeddings").select("vec_id", "label").join(F.broadcast(lookup), "label").select("vec_id", "label2")
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, cast(count(*) AS bigint) AS n_shared FROM pr WHERE i1 >= 1000 AND i2 >= 1000 GROUP BY vec_id")
+def q_shared_pixels(spark, sf):
+    """Pixel-set intersection of two masks as arrays."""
+    masks = frames(spark, sf).select("vec_id", F.expr(f"filter(sequence(0, 63), p -> px[p] >= {TH})").alias("on"))
+    later = masks.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("on").alias("on2"))
+    both = masks.where("vec_id % 2 = 0").join(later, "vec_id").select("vec_id", F.size(F.array_intersect("on", "on2")).cast("long").alias("n_shared"))
+    return both.where("n_shared > 0")
+
+
+# -- wells ----------------------------------------------------------------
+@query(f"""WITH {TP}, s AS (SELECT user_id, f, CASE WHEN f = 1 THEN 0 ELSE cast(floor(x) AS integer) % 5 - 2 END AS dx, CASE WHEN f = 1 THEN 0 ELSE y % 5 - 2 END AS dy FROM tp)
+SELECT user_id, f, cast(200 - sum(dx) OVER w AS bigint) AS cx, cast(200 - sum(dy) OVER w AS bigint) AS cy FROM s WINDOW w AS (PARTITION BY user_id ORDER BY f ROWS UNBOUNDED PRECEDING)""")
+def q_drift_path(spark, sf):
+    first = F.col("f") == 1
+    s = tracks(spark, sf).select("user_id", "f", F.when(first, 0).otherwise(F.floor("x").cast("int") % 5 - 2).alias("dx"), F.when(first, 0).otherwise(F.col("y") % 5 - 2).alias("dy"))
+    return wells.drift_path(s, ["user_id"], "f").select("user_id", "f", (200 - F.col("px")).alias("cx"), (200 - F.col("py")).alias("cy"))
+
+
+@query("""WITH p AS (SELECT event_id AS id, value AS x, cast(regexp_extract(props, '[0-9]+') AS double) AS y, value * 0.37 - floor(value * 0.37) AS score FROM events),
+g AS (SELECT *, cast(floor(y / 12.5) AS integer) AS row, cast(floor(x / 62.5) AS integer) AS col FROM p)
+SELECT row, col, id FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY round(score, 9) DESC, y, x, id) AS k FROM g) WHERE k = 1""")
+def q_grid_label(spark, sf):
+    share = F.col("value") * 0.37
+    p = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("value").alias("x"), F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("y"), (share - F.floor(share)).alias("score")
+    )
+    row, col = P.grid_cell(F.col("x"), F.col("y"), 500, 100, 8)
+    return wells.best_per_cell(p.withColumns({"row": row, "col": col}), F.round("score", 9)).select("row", "col", "id")
+
+
+WELLS = [(k, 60 + 120 * (k % 4), 25 + 50 * (k // 4)) for k in range(8)]
+WINDOWS = "wl AS (SELECT k AS well, 60 + 120 * (k % 4) AS x0, 25 + 50 * (k // 4) AS y0 FROM range(8) AS t(k)), wf AS (SELECT cast(well AS integer) AS well, frame, cast(x0 + frame % 3 - 1 AS integer) AS cx, cast(y0 - frame % 2 AS integer) AS cy FROM wl, (SELECT DISTINCT frame FROM sd))"
+
+
+def _windows(spark, sf):
+    """Windows of eight wells that drift with the frame: well, frame, cx, cy."""
+    spots = F.array(*(F.struct(F.lit(k).alias("well"), F.lit(x).alias("x0"), F.lit(y).alias("y0")) for k, x, y in WELLS))
+    own = seeds(spark, sf).select("frame").distinct().select("frame", F.explode(spots).alias("w"))
+    return own.select("w.well", "frame", (F.col("w.x0") + F.col("frame") % 3 - 1).alias("cx"), (F.col("w.y0") - F.col("frame") % 2).alias("cy"))
+
+
+SEEDS = f"{SD}, {WINDOWS}, sc AS (SELECT wf.well, wf.frame, count(sd.event_id) AS n FROM wf LEFT JOIN sd ON sd.frame = wf.frame AND abs(sd.x - wf.cx) < 20 AND abs(sd.y - wf.cy) < 20 GROUP BY wf.well, wf.frame)"
+
+
+def _seed_counts(spark, sf):
+    windows = _windows(spark, sf)
+    pairs = wells.seeds_in_windows(seeds(spark, sf), windows, ["frame"], 20, 32)
+    return wells.seed_counts(pairs, windows, ["well", "frame"])
+
+
+@query(f"WITH {SEEDS} SELECT well, frame, n FROM sc")
+def q_seed_count(spark, sf):
+    return _seed_counts(spark, sf)
+
+
+def _mode_sql(source, key):
+    return f"SELECT {key}, n AS k FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY times DESC, n) AS p FROM (SELECT {key}, n, count(*) AS times FROM {source} WHERE frame < 7 GROUP BY {key}, n)) WHERE p = 1 AND n > 0"
+
+
+@query(f"WITH {SEEDS} {_mode_sql('sc', 'well')}")
+def q_cell_mode(spark, sf):
+    return wells.cell_number(_seed_counts(spark, sf), ["well"])
+
+
+def _channel_counts(spark, sf, odd):
+    """Seeds of one channel per user and day of the first week, with zeros."""
+    own = seeds(spark, sf).where("frame < 7")
+    spine = own.select("user_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return wells.seed_counts(own.where(F.col("event_id") % 4 == 0 if not odd else F.col("event_id") % 4 > 1), spine, ["user_id", "frame"])
+
+
+def _channel_sql(name, test):
+    return f"{name} AS (SELECT u.user_id, u.frame, count(s.event_id) AS n FROM sp u LEFT JOIN (SELECT * FROM sd WHERE {test}) s ON s.user_id = u.user_id AND s.frame = u.frame GROUP BY u.user_id, u.frame)"
+
+
+COMPOSITION = f"""{SD}, sp AS (SELECT user_id, cast(f AS integer) AS frame FROM (SELECT DISTINCT user_id FROM sd WHERE frame < 7), unnest(range(7)) AS t(f)),
+{_channel_sql('ce', 'event_id % 4 = 0')}, {_channel_sql('ct', 'event_id % 4 > 1')}, ke AS ({_mode_sql('ce', 'user_id')}), kt AS ({_mode_sql('ct', 'user_id')}),
+cp AS (SELECT user_id, effectors, targets, 'E' || effectors || 'T' || targets AS composition FROM (SELECT coalesce(ke.user_id, kt.user_id) AS user_id, coalesce(ke.k, 0) AS effectors, coalesce(kt.k, 0) AS targets FROM ke FULL JOIN kt ON ke.user_id = kt.user_id)
+ WHERE effectors <= 1 AND targets <= 5)"""
+
+
+def _compositions(spark, sf):
+    e, t = (wells.cell_number(_channel_counts(spark, sf, odd), ["user_id"]) for odd in (False, True))
+    return wells.composition(e, t, "user_id")
+
+
+@query(f"WITH {COMPOSITION} SELECT user_id, effectors, targets, composition, CASE WHEN composition IN ('E1T1', 'E1T2', 'E1T3') THEN composition ELSE 'Exp' END AS routed FROM cp")
+def q_composition(spark, sf):
+    return _compositions(spark, sf)
+
+
+# -- tracks ---------------------------------------------------------------
+@query(f"""WITH {TP} SELECT user_id, f, CASE WHEN lead(x) OVER w IS NULL THEN 0.0 ELSE round(sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)), 6) END AS displacement FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY f)""")
+def q_displacement(spark, sf):
+    return tracking.displacement(tracks(spark, sf), ["user_id"], "f").select("user_id", "f", "displacement")
+
+
+CELLS = f"{SD}, cl AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id, frame ORDER BY event_id) AS cell, x, y, 20 + event_id % 30 AS area FROM sd WHERE user_id % 5 = 0), nf AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) AS next_frame FROM (SELECT DISTINCT user_id, frame FROM cl))"
+LINKS = f"""{CELLS}, lc AS (SELECT a.user_id, a.frame, nf.next_frame, a.cell, b.cell AS cell2, 10 * sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) + 100 * (greatest(a.area, b.area) - least(a.area, b.area)) / greatest(a.area, b.area) AS cost
+ FROM cl a JOIN nf ON nf.user_id = a.user_id AND nf.frame = a.frame JOIN cl b ON b.user_id = a.user_id AND b.frame = nf.next_frame),
+lw AS (SELECT *, exp(-6 * pow(cost / (max(cost) OVER (PARTITION BY user_id, frame) + 1e-15), 2)) AS weight FROM lc)"""
+
+
+def _cells(spark, sf):
+    """Every fifth user is a well; a seed is a cell with an invented area."""
+    own = Window.partitionBy("user_id", "frame").orderBy("event_id")
+    return seeds(spark, sf).where("user_id % 5 = 0").select("user_id", "frame", F.row_number().over(own).alias("cell"), "x", "y", (20 + F.col("event_id") % 30).alias("area"))
+
+
+def _links(spark, sf):
+    return tracking.with_weight(tracking.with_cost(tracking.link_candidates(_cells(spark, sf), ["user_id"])), ["user_id"])
+
+
+@query(f"WITH {CELLS} SELECT * FROM nf")
+def q_next_frame(spark, sf):
+    return tracking.next_frames(_cells(spark, sf), ["user_id"])
+
+
+@query(f"WITH {LINKS} SELECT user_id, frame, next_frame, cell, cell2 FROM lc")
+def q_link_candidates(spark, sf):
+    return tracking.link_candidates(_cells(spark, sf), ["user_id"]).select("user_id", "frame", "next_frame", "cell", "cell2")
+
+
+@query(f"WITH {LINKS} SELECT user_id, frame, cell, cell2, round(cost, 6) AS cost FROM lc")
+def q_link_cost(spark, sf):
+    return tracking.with_cost(tracking.link_candidates(_cells(spark, sf), ["user_id"])).select("user_id", "frame", "cell", "cell2", F.round("cost", 6).alias("cost"))
+
+
+@query(f"WITH {LINKS} SELECT user_id, frame, cell, cell2, round(weight, 6) AS weight FROM lw")
+def q_link_weight(spark, sf):
+    return _links(spark, sf).select("user_id", "frame", "cell", "cell2", F.round("weight", 6).alias("weight"))
+
+
+MATCHED = f"""{LINKS}, sm AS (SELECT user_id, frame FROM lw GROUP BY user_id, frame HAVING max(cell) <= 3 AND max(cell2) <= 3),
+l3 AS (SELECT lw.* FROM lw JOIN sm USING (user_id, frame)),
+mt AS (SELECT user_id, frame, [cell] AS a, [cell2] AS b, weight AS w, cell AS top FROM l3 UNION ALL
+ SELECT m.user_id, m.frame, list_append(m.a, l.cell), list_append(m.b, l.cell2), m.w + l.weight, l.cell FROM mt m JOIN l3 l ON l.user_id = m.user_id AND l.frame = m.frame AND l.cell > m.top AND NOT list_contains(m.b, l.cell2))"""
+
+
+def _small_pairs(spark, sf):
+    """Link weights of the frame pairs with at most three cells on either side."""
+    own = Window.partitionBy("user_id", "frame")
+    rows = _links(spark, sf).withColumn("most", F.greatest(F.max("cell").over(own), F.max("cell2").over(own)))
+    return rows.where("most <= 3")
+
+
+@query(f"WITH RECURSIVE {MATCHED} SELECT user_id, frame, cast(least(max(ca), max(cb)) AS bigint) AS n_links, round(max(w), 6) AS total FROM (SELECT m.*, c.ca, c.cb FROM mt m JOIN (SELECT user_id, frame, max(cell) AS ca, max(cell2) AS cb FROM l3 GROUP BY ALL) c USING (user_id, frame)) GROUP BY user_id, frame")
+def q_assignment(spark, sf):
+    found = tracking.assignments(_small_pairs(spark, sf), ["user_id"])
+    return found.groupBy("user_id", "frame").agg(F.count("*").alias("n_links"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+CHAIN = f"""{SD}, cl AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id, frame ORDER BY event_id) AS cell FROM sd),
+nf AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) AS next_frame FROM (SELECT DISTINCT user_id, frame FROM cl)),
+lk AS (SELECT a.user_id, a.frame, a.cell, nf.next_frame, b.cell AS cell2 FROM cl a JOIN nf USING (user_id, frame) JOIN cl b ON b.user_id = a.user_id AND b.frame = nf.next_frame AND b.cell = a.cell)"""
+
+
+def _rank_links(spark, sf):
+    """Cells linked to the cell of the same rank in the next non-empty day."""
+    own = Window.partitionBy("user_id", "frame").orderBy("event_id")
+    cells = seeds(spark, sf).select("user_id", "frame", F.row_number().over(own).alias("cell"))
+    later = cells.select("user_id", F.col("frame").alias("next_frame"), F.col("cell").alias("cell2"))
+    step = tracking.next_frames(cells, ["user_id"]).where("next_frame is not null")
+    links = cells.join(step, ["user_id", "frame"]).join(later, ["user_id", "next_frame"]).where("cell = cell2")
+    return cells, links
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, ro AS (SELECT c.user_id, c.frame, c.cell FROM cl c WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = c.user_id AND lk.next_frame = c.frame AND lk.cell2 = c.cell)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame, cell) AS track FROM ro),
+tr AS (SELECT user_id, frame, cell, track FROM rn UNION ALL SELECT lk.user_id, lk.next_frame, lk.cell2, tr.track FROM tr JOIN lk ON lk.user_id = tr.user_id AND lk.frame = tr.frame AND lk.cell = tr.cell)
+SELECT * FROM tr""")
+def q_tracks(spark, sf):
+    cells, links = _rank_links(spark, sf)
+    return tracking.chains(cells, links, ["user_id"])
+
+
+@query(f"WITH {CHAIN} SELECT c.user_id, c.frame, c.cell FROM cl c WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = c.user_id AND lk.frame = c.frame AND lk.cell = c.cell)")
+def q_unlinked(spark, sf):
+    cells, links = _rank_links(spark, sf)
+    return tracking.unlinked(cells, links, ["user_id"])
+
+
+@query(f"""WITH {TP}, s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step, f - lag(f) OVER w AS dt FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY f))
+SELECT user_id, count(*) AS n, round(sum(step / dt) / (count(*) - 1), 6) AS avg_speed, round(sum(step), 6) AS path, round(sqrt(pow(arg_max(x, f) - arg_min(x, f), 2) + pow(arg_max(y, f) - arg_min(y, f), 2)), 6) AS net,
+round(round(sum(step), 12) / nullif(sqrt(pow(arg_max(x, f) - arg_min(x, f), 2) + pow(arg_max(y, f) - arg_min(y, f), 2)), 0), 6) AS confinement FROM s GROUP BY user_id HAVING count(*) > 1""")
+def q_motion_summary(spark, sf):
+    return tracking.motion_summary(tracks(spark, sf), ["user_id"], "f")
+
+
+# -- tables ---------------------------------------------------------------
+@query("SELECT 'lineitem' AS block, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem UNION ALL SELECT 'orders', count(*), round(sum(o_totalprice), 2) FROM orders UNION ALL SELECT 'events', count(*), round(sum(value), 2) FROM events")
+def q_experiment_union(spark, sf):
+    part = lambda name, c: table(spark, sf, name).agg(F.lit(name).alias("block"), F.count("*").alias("n"), F.round(F.sum(F.col(c).cast("decimal(18,2)")), 2).cast("double").alias("total"))
+    return tables.union_all([part("lineitem", "l_quantity"), part("orders", "o_totalprice"), part("events", "value")])
+
+
+WIDE = ", ".join(f"coalesce(round(max(CASE WHEN frame = {k} THEN m END), 6), -1000.0) AS f{k + 1}" for k in range(9))
+
+
+@query(f"WITH {PX}, {FRAME}, lm AS (SELECT label, frame, avg(i) AS m FROM px JOIN fr USING (vec_id, label) GROUP BY label, frame), lf AS (SELECT * FROM lm WHERE frame < 9) SELECT label, {WIDE} FROM lf GROUP BY label")
+def q_well_block_wide(spark, sf):
+    means = q_pixel_mean(spark, sf).join(frame_index(spark, sf).where("frame < 9"), ["vec_id", "label"])
+    return tables.wide(means, ["label"], list(range(9)), "mean_i")
+
+
+# -- kernels without SQL form (tested on fixtures) ------------------------
+def _image_rows(spark, sf, kernel, schema):
+    return segment.each_frame(frames(spark, sf), ["vec_id"], kernel, schema, 8)
+
+
+@query()
+def k_gaussian_bg(spark, sf):
+    return _image_rows(spark, sf, lambda k, im: [(*k, int(K.subtract_background(im, 2.0).sum()))], "vec_id long, total long")
+
+
+@query()
+def k_log_seed(spark, sf):
+    def run(k, im):
+        return [(*k, float(K.seed_response(im, im >= TH, 2, 3).max()), len(K.local_maxima(K.seed_response(im, im >= TH, 2, 3), 1)))]
+
+    return _image_rows(spark, sf, run, "vec_id long, peak double, n_seeds int")
+
+
+@query()
+def k_segment(spark, sf):
+    s = segment.Settings(least=2, most=40, window=1, least_radius=2, most_radius=3)
+    return segment.segment_frames(frames(spark, sf).withColumn("width", F.lit(8)), ["vec_id"], "vec_id long", s)
+
+
+@query()
+def k_ncc(spark, sf):
+    pattern = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]], dtype=float)
+    return _image_rows(spark, sf, lambda k, im: [(*k, x, y, t, s) for x, y, t, s in segment.find_wells(im, [pattern, -pattern], 3, 1)], "vec_id long, x int, y int, type int, score double")
+
+
+@query()
+def k_drift(spark, sf):
+    """Shift of each frame against the one before it in its well."""
+    own = Window.partitionBy("label").orderBy("vec_id")
+    pairs = frames(spark, sf).select("vec_id", F.lag("px").over(own).alias("before"), "px").where("before is not null").select("vec_id", F.concat("before", "px").alias("px"))
+    return segment.each_frame(pairs, ["vec_id"], lambda k, im: [(*k, *K.drift(im[:8], im[8:]))], "vec_id long, dx int, dy int", 8)
+
+
+@query()
+def k_crop(spark, sf):
+    def run(k, im):
+        own = K.crop(im, 3 + k[0] % 3, 4, 5)
+        return [(*k, int(own.sum()), int((own > 0).sum()))] if own.any() else []
+
+    return _image_rows(spark, sf, run, "vec_id long, total long, n_px int")
+
+
+@query()
+def k_spectral(spark, sf):
+    def run(k, im):
+        label = K.clean_labels(K.spectral_split(im >= TH, 2, 10))
+        return [(*k, c, n) for c, n in K.sizes(label).items()]
+
+    return _image_rows(spark, sf, run, "vec_id long, cell int, size int")
