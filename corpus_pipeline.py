@@ -7,6 +7,8 @@ of their docs. The last returns the placement of every token.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,18 @@ from lapsegrid.llm import decontam, packing, secrets, simhash, toxicity
 from lapsegrid.llm.common import read, staged
 
 
+def sheltered(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns called like what an operator makes renamed, and the way back."""
+    away = {c: f"own_{c}_of_docs" for c in docs.columns if c in made}
+    back = {b: a for a, b in away.items()}
+    return docs.withColumnsRenamed(away), lambda rows: rows.select(*(F.col(away.get(c, c)) for c in docs.columns)).withColumnsRenamed(back)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier doesn't predict to be toxic."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, back = sheltered(docs, ("score", "predicted"))
+    return back(toxicity.score(rows, model).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which no window of a benchmark item occurs."""
-    found = decontam.find_contamination(docs, read(spark, sf_dir, "benchmark"))
-    return found.where("not contaminated").select(*docs.columns)
+    rows, back = sheltered(docs, decontam.MADE)
+    return back(decontam.find_contamination(rows, read(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ from lapsegrid.llm.common import bounded_batches, columns
 WINDOW = 10
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 8 << 20
+#: Columns that find_contamination adds.
+MADE = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans_", "items_")
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 0x20 for c in range(256))
 
@@ -120,8 +122,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, bl
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans_", "items_"]
-    rows = docs.drop(*made)
+    rows = docs.drop(*MADE)
     own = rows.columns
     rows = rows.withColumn("spans_", F.expr("cast(array() as array<struct<start:int,n:int>>)")).withColumn("items_", F.expr("cast(array() as array<string>)"))
     for block in blocks_of(items, block_bytes):

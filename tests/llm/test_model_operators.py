@@ -282,6 +282,13 @@ def test_pipeline_stages_by_brute_force(spark):
 def test_pipeline_keeps_odd_rows(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "x", "y", 0), (3, "password=abcdefgh12 é", None, None, 5), (3, "password=abcdefgh12 é", None, None, 5), (None, "null id row here", None, None, 1)]
     for name, table, schema in (("documents", rows, DOCS), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
-        spark.createDataFrame(table, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        frame = spark.createDataFrame(table, schema)
+        if name == "documents":  # names that operators use themselves
+            frame = frame.selectExpr("*", "doc_id + 7 as score", "'x' as contaminated", "1 as toxic", "2 as fp")
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns and all(r.contaminated == "x" and r.score == (r.doc_id and r.doc_id + 7) for r in out.collect())
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 1), ("3", 3), ("None", 5)]
