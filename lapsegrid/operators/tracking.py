@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +58,34 @@ def with_weight(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assignments(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """The one-to-one links of greatest total weight of each frame pair. A group holds the
-    cells of one well in two frames. pairs: keys, frame, cell, cell2, weight."""
-    schema = pairs.select(*keys, "frame", "cell", "cell2", "weight").schema
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot_table(index="cell", columns="cell2", values="weight", aggfunc="max").sort_index().sort_index(axis=1)
-        weight = table.fillna(0).to_numpy()
-        chosen = assign(weight)
-        out = pd.DataFrame({"cell": [table.index[a] for a, _ in chosen], "cell2": [table.columns[b] for _, b in chosen], "weight": [weight[p] for p in chosen]})
-        for c in [*keys, "frame"]:
-            out[c] = rows[c].iloc[0]
-        return out[[f.name for f in schema]]
-
-    return pairs.select(*schema.names).groupBy(*keys, "frame").applyInPandas(solve, schema)
+    """The one-to-one links of greatest total weight of each frame pair. pairs: keys, frame,
+    cell, cell2, weight.
+
+    The pairs of one well in two frames become one row, and rows of many wells share an
+    Arrow batch: small groups cost no call of their own.
+    """
+    kinds = dict(pairs.dtypes)
+    edge = F.struct(*(F.col(c).cast(k).alias(c) for c, k in (("cell", "long"), ("cell2", "long"), ("weight", "double"))))
+    packed = pairs.groupBy(*keys, "frame").agg(F.collect_list(edge).alias("edges"))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "frame"]) + ", links array<struct<cell:bigint,cell2:bigint,weight:double>>"
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = [_matched(edges) for edges in batch.column("edges").to_pylist()]
+            out = {k: batch.column(k) for k in [*keys, "frame"]}
+            yield pa.record_batch({**out, "links": pa.array(links, pa.list_(pa.struct([("cell", pa.int64()), ("cell2", pa.int64()), ("weight", pa.float64())])))})
+
+    found = packed.mapInArrow(solve, schema).select(*keys, "frame", F.explode("links").alias("l"))
+    return found.select(*keys, "frame", *(F.col(f"l.{c}").cast(kinds[c]).alias(c) for c in ("cell", "cell2", "weight")))
+
+
+def _matched(edges: list[dict]) -> list[dict]:
+    left, right = sorted({e["cell"] for e in edges}), sorted({e["cell2"] for e in edges})
+    row, col = {c: k for k, c in enumerate(left)}, {c: k for k, c in enumerate(right)}
+    weight = np.zeros((len(left), len(right)))
+    for e in edges:
+        weight[row[e["cell"]], col[e["cell2"]]] = e["weight"]
+    return [{"cell": left[a], "cell2": right[b], "weight": float(weight[a, b])} for a, b in assign(weight)]
 
 
 def chains(cells: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
