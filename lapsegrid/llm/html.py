@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +27,8 @@ from lapsegrid.llm.common import bounded_batches, columns
 SMOOTHING = (0.25, 0.5, 0.25)
 #: Content paths have at least this share of the mean fused ratio, weighted by text.
 THRESHOLD = 0.35
+#: Levels of a path that are told apart; deeper elements share their ancestor's path.
+DEPTH = 64
 #: The article is the deepest path prefix with this share of the content text.
 COVERAGE = 0.9
 
@@ -44,6 +47,8 @@ FURNITURE_NAMES = frozenset(
     "footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login comment "
     "comments disqus respond replies share sharing social related recommended widget widgets toolbar pagination pager copyright skip".split()
 )
+#: Longer words count too, as in "commentlist" or "advertbox".
+FURNITURE_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar", "newsletter", "sidebar", "sponsor")
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
 ROOTS = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -77,14 +82,19 @@ class Block:
 
 @dataclass
 class _Open:
+    """An open element; all but the tag hold for its ancestors too."""
+
     tag: str
-    label: str
+    path: tuple[str, ...]
     furniture: bool
+    inside: bool
+    """Within an article."""
 
 
 @dataclass
 class _Page:
     stack: list[_Open] = field(default_factory=list)
+    open: Counter = field(default_factory=Counter)
     pieces: list[str] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     links: int = 0
@@ -94,29 +104,43 @@ class _Page:
         text = " ".join("".join(self.pieces).split())
         if text:
             inside = len(" ".join("".join(self.link_text).split()))
-            self.blocks.append(Block(tuple(x.label for x in self.stack), text, min(inside, len(text)), any(x.furniture for x in self.stack)))
+            top = self.stack[-1] if self.stack else _Open("", (), False, False)
+            self.blocks.append(Block(top.path, text, min(inside, len(text)), top.furniture))
         self.pieces, self.link_text = [], []
 
+    def push(self, tag: str, rest: str) -> None:
+        above = self.stack[-1] if self.stack else _Open("", (), False, False)
+        label, furniture = _label(tag, rest, above.inside)
+        path = (*above.path, label) if len(above.path) < DEPTH else above.path
+        self.stack.append(_Open(tag, path, above.furniture or furniture, above.inside or tag in ("article", "main")))
+        self.open[tag] += 1
+
+    def pop(self, at: int) -> None:
+        """Close the elements from ``at`` on."""
+        while len(self.stack) > at:
+            self.open[self.stack.pop().tag] -= 1
+
     def close(self, tags: set[str], scope: set[str]) -> None:
+        """Close the innermost open element of ``tags``, and what is in it, within the scope."""
+        if not any(self.open[t] for t in tags):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].tag in tags:
-                del self.stack[at:]
-                return
-            if self.stack[at].tag in scope or (tags == {"p"} and self.stack[at].tag != "p"):
+                return self.pop(at)
+            if self.stack[at].tag in scope:
                 return
 
 
-def _label(tag: str, rest: str, stack: list[_Open]) -> tuple[str, bool]:
+def _label(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
     """Path label of an element and whether it is page furniture."""
     attrs = {m[1].lower(): entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTR.finditer(rest)} if "=" in rest or "hidden" in rest else {}
     names = attrs.get("class", "").split()
     label = f"{tag}.{names[0]}" if names else tag
-    inside = any(x.tag in ("article", "main") for x in stack)
     furniture = tag in FURNITURE or (tag == "header" and not inside) or "hidden" in attrs or attrs.get("aria-hidden", "") == "true"
     furniture |= "display:none" in attrs.get("style", "").replace(" ", "").lower()
     if tag not in ROOTS or tag in ("article",):
         parts = {p.lower() for p in _SPLIT.split(" ".join([*names, attrs.get("id", "")])) if p}
-        furniture |= bool(parts & FURNITURE_NAMES) or attrs.get("role", "").lower() in FURNITURE_ROLES
+        furniture |= bool(parts & FURNITURE_NAMES) or any(p.startswith(FURNITURE_STEMS) for p in parts) or attrs.get("role", "").lower() in FURNITURE_ROLES
         furniture |= "header" in parts and not inside and tag not in HEADINGS
     return label, furniture
 
@@ -147,20 +171,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         state.flush()
         if end:
-            for k in range(len(state.stack) - 1, -1, -1):
-                if state.stack[k].tag == tag:
-                    del state.stack[k:]
-                    break
-                if state.stack[k].tag in ROOTS and tag not in ROOTS:
-                    break
+            state.close({tag}, ROOTS - {tag} if tag not in ROOTS else set())
             continue
         if tag not in VOID:
             if state.stack and state.stack[-1].tag == "head" and tag not in ("title", "noscript", "template"):
-                state.stack.pop()
-            state.close({"p"}, set())
+                state.pop(len(state.stack) - 1)
+            if state.stack and state.stack[-1].tag == "p":
+                state.pop(len(state.stack) - 1)
             if tag in CLOSES and tag != "p":
                 state.close(CLOSES[tag], SCOPES.get(tag, set()))
-            state.stack.append(_Open(tag, *_label(tag, rest, state.stack)))
+            state.push(tag, rest)
     text(page[at:])
     state.flush()
     return state.blocks

@@ -44,6 +44,20 @@ def test_html_furniture():
     assert html.main_text(FURNISHED) == "A & B\nFirst paragraph, with some words.\nSecond one is here; it has a link, too.\nItem one.\nItem two\nOk"
 
 
+WITHOUT_ARTICLE = """<body><div class=top><ul class=menu><li><a href=/>Start</a><li><a href=/x>More of it</a></ul></div>
+<table><tr><td><p>A story, told in a table cell, with commas. And with full stops.</p><h2>Part</h2><p>Short.</p></td></tr></table>
+<ol class="commentlist"><li>First! I was here, before you all, and I say so at length, as ever.</ol><div id="newsletter-box"><p>Sign up, please, for news.</p></div></body>"""
+
+
+def test_html_without_article_element():
+    assert html.main_text(WITHOUT_ARTICLE) == "A story, told in a table cell, with commas. And with full stops.\nPart\nShort."
+
+
+def test_html_deep_and_unbalanced_pages_take_linear_time():
+    assert html.main_text("<div>" * 60_000 + "<p>Deep text, here.</p>" + "</span></section>" * 60_000) == "Deep text, here."
+    assert html.main_text("<ul>" + "<li>x, y.</section>" * 30_000).count("x, y.") == 30_000
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p", "<!-- x", "<script>", "</p></div>", "<nav>a</nav>", "<a href='x"])
 def test_html_without_content(page):
     assert html.main_text(page) == ""
@@ -173,6 +187,8 @@ def test_secrets_lexing():
     found = [text[a:b] for a, k, b in secrets.spans_of(text)[1] if k == 3]
     assert found == ["Zx8Qw7Er6Ty5Ui4O", "aB3dE5fG7hI9kL1m"]
     assert secrets.redact(text).count("[REDACTED:literal]") == 2
+    chain = "a0 = 'Zx8Qw7Er6Ty5Ui4O'\n" + "".join(f"a{k} = a{k - 1}\n" for k in range(1, 20_000)) + "api_secret = a19999"
+    assert [s for s in secrets.spans_of(chain)[1]] == [(6, 3, 22)]
     assert secrets.redact("") == "" and secrets.lexed_spans("a" * 300_000 + "=") == []
 
 
