@@ -48,3 +48,17 @@ def on_border(x: Column, y: Column, width: int, height: int) -> Column:
 def grid_cell(x: Column, y: Column, width: float, height: float, n: int) -> tuple[Column, Column]:
     """(row, col) of a point in an n x n grid over the frame."""
     return F.floor(y / F.lit(height / n)).cast("int"), F.floor(x / F.lit(width / n)).cast("int")
+
+
+def channel_name(path: Column) -> Column:
+    """The three characters before the last dot, with bin or bg after masks' and backgrounds' files."""
+    base = F.regexp_extract(path, r"(.{3})\.[^.]*$", 1)
+    return F.concat(base, F.when(path.contains("/bin_"), "bin").when(path.contains("/bg_"), "bg").otherwise(""))
+
+
+def padded(px: Column, width: int, height: int, before: int, after: int) -> Column:
+    """A raster array with zeros around it: ``before`` rows and columns first, ``after`` last."""
+    row = lambda y: F.concat(F.array_repeat(F.lit(0), before), F.slice(px, y * width + 1, width), F.array_repeat(F.lit(0), after))
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), row))
+    wide = width + before + after
+    return F.concat(F.array_repeat(F.lit(0), before * wide), rows, F.array_repeat(F.lit(0), after * wide))

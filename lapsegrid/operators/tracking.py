@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsegrid.functions.kernels import assign
@@ -51,6 +51,19 @@ def with_overlap_cost(pairs: DataFrame, overlap: str = "overlap", away: str = "a
     return pairs.withColumn("cost", F.col("cost") + 1000 * part)
 
 
+def gated_cost(distance: Column, mean_gap: Column, volume_gap: Column, overlap: Column, gate: float = 12.0) -> Column:
+    """Gaussian cost of linking two regions, 1e10 beyond the gate."""
+    # variances of distance, intensity and volume: fixed values
+    spread = distance * distance / 200.0 + mean_gap * mean_gap / 200.0 + volume_gap * volume_gap / 200000.0
+    return F.when(distance > gate, F.lit(1e10)).otherwise((1 - overlap) * (1 - F.exp(-spread)))
+
+
+def distance_change(points: DataFrame, keys: list[str], order: str, distance: str) -> DataFrame:
+    """Adds change: the distance less the one before it on the track; the first keeps its own."""
+    own = Window.partitionBy(*keys).orderBy(order)
+    return points.withColumn("change", F.col(distance) - F.coalesce(F.lag(distance).over(own), F.lit(0.0)))
+
+
 def with_weight(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Adds weight: exp(-6 (cost / largest cost of the frame pair)^2)."""
     most = F.max("cost").over(Window.partitionBy(*keys, "frame"))

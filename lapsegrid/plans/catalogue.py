@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapsegrid.functions import kernels as K
 from lapsegrid.functions import pixels as P
-from lapsegrid.operators import features, histogram, segment, tables, tracking, wells
+from lapsegrid.operators import features, histogram, segment, stack, tables, tracking, wells
 from lapsegrid.sources import manifest
 from lapsegrid.sources.views import FRAME, PX, SD, TP, frame_index, frames, pixels, seeds, table, tracks
 
@@ -522,6 +522,96 @@ def q_well_block_wide(spark, sf):
     return tables.wide(means, ["label"], list(range(9)), "mean_i")
 
 
+# -- more projections, costs and tables ------------------------------------
+@query("""SELECT event_id, substr(p, length(p) - 6, 3) || CASE WHEN p LIKE '%/bin_%' THEN 'bin' WHEN p LIKE '%/bg_%' THEN 'bg' ELSE '' END AS channel
+FROM (SELECT event_id, '/run/' || CASE event_id % 3 WHEN 0 THEN 'bin_' WHEN 1 THEN 'bg_' ELSE '' END || 'B001CH' || cast(event_id % 6 AS varchar) || '.tif' AS p FROM events)""")
+def q_channel_name(spark, sf):
+    kind = F.when(F.col("event_id") % 3 == 0, "bin_").when(F.col("event_id") % 3 == 1, "bg_").otherwise("")
+    path = F.concat(F.lit("/run/"), kind, F.lit("B001CH"), (F.col("event_id") % 6).cast("string"), F.lit(".tif"))
+    return table(spark, sf, "events").select("event_id", P.channel_name(path).alias("channel"))
+
+
+@query("""SELECT name, cast(substr(name, 2) AS integer) AS block, cast(row_number() OVER (ORDER BY name) AS integer) AS ordinal
+FROM (SELECT DISTINCT CASE WHEN user_id % 4 = 0 THEN 'notes' ELSE 'B' || lpad(cast(user_id AS varchar), 3, '0') END AS name FROM events) WHERE name <> 'notes'""")
+def q_block_folders(spark, sf):
+    name = F.when(F.col("user_id") % 4 == 0, "notes").otherwise(F.concat(F.lit("B"), F.lpad(F.col("user_id").cast("string"), 3, "0")))
+    return manifest.block_folders(table(spark, sf, "events").select(name.alias("name")).distinct())
+
+
+@query(f"WITH {PX} SELECT vec_id, cast((y + 1) * 11 + x + 1 AS integer) AS pos, i FROM px WHERE i > 0")
+def q_pad(spark, sf):
+    rows = frames(spark, sf).select("vec_id", F.posexplode(P.padded(F.col("px"), 8, 8, 1, 2)).alias("pos", "i"))
+    return rows.where("i > 0")
+
+
+@query(f"WITH {PX} SELECT vec_id, max(i) AS top, round(var_samp(i), 6) AS variance, cast(count(DISTINCT i) AS bigint) AS levels FROM px GROUP BY vec_id")
+def q_frame_statistics(spark, sf):
+    rows = pixels(spark, sf).groupBy("vec_id")
+    return rows.agg(F.max("i").alias("top"), F.round(F.var_samp("i"), 6).alias("variance"), F.countDistinct("i").alias("levels"))
+
+
+@query(f"WITH {PX}, {FRAME} SELECT vec_id, frame, round(avg(i), 6) AS mean_i FROM px JOIN fr USING (vec_id, label) WHERE frame < 3 GROUP BY ALL")
+def q_first_frames(spark, sf):
+    """The first pages of each stack: the filter stands before pixels are read into a sum."""
+    return q_pixel_mean(spark, sf).join(frame_index(spark, sf).where("frame < 3"), ["vec_id", "label"]).select("vec_id", "frame", "mean_i")
+
+
+@query(f"""WITH {BOX}, c AS (SELECT vec_id, avg(x) AS cx, avg(y) AS cy, avg(i) AS m, cast(count(*) AS double) AS n FROM px WHERE i >= 1100 GROUP BY vec_id),
+j AS (SELECT a.vec_id AS v1, b.vec_id AS v2, 4 * sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS d, a.m - b.m AS gm, a.n - b.n AS gn,
+ greatest(0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) / 98.0 AS o
+ FROM c a JOIN c b ON a.vec_id + 1 = b.vec_id JOIN bx p ON p.vec_id = a.vec_id JOIN bx q ON q.vec_id = b.vec_id)
+SELECT v1, v2, round(CASE WHEN d > 12 THEN 1e10 ELSE (1 - o) * (1 - exp(-(d * d / 200.0 + gm * gm / 200.0 + gn * gn / 200000.0))) END, 6) AS cost FROM j""")
+def q_gated_cost(spark, sf):
+    px = pixels(spark, sf).where("i >= 1100")
+    own = px.groupBy("vec_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("i").alias("m"), F.count("*").cast("double").alias("n"), *(f(c).alias(c + k) for c in "xy" for f, k in ((F.min, "0"), (F.max, "1"))))
+    later = own.select((F.col("vec_id") - 1).alias("vec_id"), *(F.col(c).alias(f"b_{c}") for c in own.columns[1:]))
+    side = lambda c: F.greatest(F.lit(0), F.least(f"{c}1", f"b_{c}1") - F.greatest(f"{c}0", f"b_{c}0"))
+    away = 4 * F.sqrt((F.col("cx") - F.col("b_cx")) ** 2 + (F.col("cy") - F.col("b_cy")) ** 2)
+    cost = tracking.gated_cost(away, F.col("m") - F.col("b_m"), F.col("n") - F.col("b_n"), side("x") * side("y") / 98.0)
+    return own.join(later, "vec_id").select(F.col("vec_id").alias("v1"), (F.col("vec_id") + 1).alias("v2"), F.round(cost, 6).alias("cost"))
+
+
+@query(f"WITH {TP} SELECT user_id, f, round(x - coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY f), 0.0), 6) AS change FROM tp")
+def q_distance_change(spark, sf):
+    return tracking.distance_change(tracks(spark, sf), ["user_id"], "f", "x").select("user_id", "f", F.round("change", 6).alias("change"))
+
+
+@query(f"""WITH {PX}, a AS (SELECT vec_id, pos, x, y FROM px WHERE i >= 1200), n AS (SELECT vec_id, count(*) AS n FROM a GROUP BY vec_id),
+o AS (SELECT p.vec_id, count(*) AS o FROM a p JOIN a q ON q.vec_id = p.vec_id + 1 AND q.pos = p.pos GROUP BY p.vec_id),
+d AS (SELECT p.vec_id, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) AS d FROM a p JOIN a q ON q.vec_id = p.vec_id + 1 GROUP BY p.vec_id)
+SELECT d.vec_id, coalesce(o, 0) AS overlap, round(CASE WHEN o > 0 THEN 1 - o / least(n1.n, n2.n) ELSE d END, 6) AS term FROM d LEFT JOIN o USING (vec_id) JOIN n n1 ON n1.vec_id = d.vec_id JOIN n n2 ON n2.vec_id = d.vec_id + 1""")
+def q_overlap_term(spark, sf):
+    """Pixel sets as arrays: the distance of two sets is taken inside a row, not by a pixel join."""
+    points = F.expr("transform(filter(sequence(0, 63), p -> px[p] >= 1200), p -> struct(p % 8 AS x, p div 8 AS y))")
+    own = frames(spark, sf).select("vec_id", points.alias("pts")).where("size(pts) > 0")
+    later = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pts").alias("pts2"))
+    pairs = stack.overlap_terms(own.join(later, "vec_id"))
+    part = F.when(F.col("overlap") > 0, 1 - F.col("overlap") / F.least(F.size("pts"), F.size("pts2"))).otherwise(F.col("away"))
+    return pairs.select("vec_id", F.col("overlap").cast("long").alias("overlap"), F.round(part, 6).alias("term"))
+
+
+@query(f"WITH {COMPOSITION} SELECT composition AS route, count(*) AS n FROM cp WHERE composition IN ('E1T1', 'E1T2', 'E1T3') GROUP BY ALL UNION ALL SELECT 'Exp', count(*) FROM cp")
+def q_routes(spark, sf):
+    """Rows of the subset tables and of the experiment table, which holds all kept wells."""
+    kept = _compositions(spark, sf)
+    routes = F.explode(F.array_distinct(F.array(F.col("routed"), F.lit("Exp"))))
+    return kept.select(routes.alias("route")).groupBy("route").agg(F.count("*").alias("n"))
+
+
+PIXEL = ", ".join(f"coalesce(round(max(CASE WHEN frame = {k} THEN m END), 6), -1000.0) AS f{k + 1}" for k in range(5))
+
+
+@query(f"""WITH {PX}, {FRAME}, lm AS (SELECT label, frame, avg(i) AS raw, avg(CASE WHEN i >= 1000 THEN 1.0 ELSE 0.0 END) AS mask FROM px JOIN fr USING (vec_id, label) WHERE frame < 5 GROUP BY label, frame),
+l2 AS (SELECT label, 'raw' AS kind, frame, raw AS m FROM lm UNION ALL SELECT label, 'mask', frame, mask FROM lm) SELECT label, kind, {PIXEL} FROM l2 GROUP BY label, kind""")
+def q_pixel_table(spark, sf):
+    """Two rows per well, raw and mask means, wide by frame."""
+    mask = F.aggregate(F.transform("px", lambda v: F.when(v >= TH, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / F.size("px")
+    raw = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v) / F.size("px")
+    kinds = F.explode(F.map_from_arrays(F.array(F.lit("raw"), F.lit("mask")), F.array(F.round(raw, 6), F.round(mask, 6)))).alias("kind", "m")
+    means = frames(spark, sf).select("vec_id", "label", kinds).join(frame_index(spark, sf).where("frame < 5"), ["vec_id", "label"])
+    return tables.wide(means, ["label", "kind"], list(range(5)), "m")
+
+
 # -- kernels without SQL form (tested on fixtures) ------------------------
 def _image_rows(spark, sf, kernel, schema):
     return segment.each_frame(frames(spark, sf), ["vec_id"], kernel, schema, 8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,7 +27,7 @@ def zeiss(names: DataFrame, channels: DataFrame, digits: int = 3, time_digits: i
     """(block, role, frame, name) of names like <exp>_s003t07c3_ORG.tif. channels: role, token."""
     block = F.regexp_extract("name", f"_s([0-9]{{{digits}}})", 1)
     own = names.where(F.col("name").contains(".tif")).withColumn("block", F.nullif(block, F.lit("")).cast("int")).where("block is not null")
-    found = own.join(F.broadcast(channels.where("token <> ''").limit(64)), F.col("name").contains(F.col("token")))
+    found = own.join(channels.where("token <> ''"), F.col("name").contains(F.col("token")))
     return found.select("block", "role", time_before(F.col("name"), "c", time_digits, 0).alias("frame"), "name")
 
 
@@ -35,7 +35,7 @@ def leica(names: DataFrame, channels: DataFrame, digits: int = 3, time_digits: i
     """As ``zeiss`` for names like <exp>012_w2CH_t003.TIF; names without a time are dropped."""
     block = F.regexp_extract("name", f"_t([0-9]{{{digits}}})\\.TIF", 1)
     own = names.withColumn("block", F.nullif(block, F.lit("")).cast("int")).where("block is not null")
-    found = own.join(F.broadcast(channels.where("token <> ''").limit(64)), F.col("name").contains(F.col("token")))
+    found = own.join(channels.where("token <> ''"), F.col("name").contains(F.col("token")))
     return found.select("block", "role", time_before(F.col("name"), "_w", time_digits, -1).alias("frame"), "name").where("frame >= 0")
 
 
@@ -54,3 +54,15 @@ def read_mixing_matrix(spark: SparkSession, path: str) -> tuple[float, float, fl
 def read_tab(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Headerless tab-delimited numbers."""
     return spark.read.csv(path, sep="\t", schema=schema)
+
+
+def block_folders(names: DataFrame) -> DataFrame:
+    """(name, block, ordinal) of block folders. The block is parsed from the name; the place
+    in name order, which some tables use instead, is the ordinal (one row per folder)."""
+    found = names.where(F.col("name").rlike("^B[0-9]+$"))
+    return found.select("name", F.substring("name", 2, 20).cast("int").alias("block"), F.row_number().over(Window.orderBy("name")).alias("ordinal"))
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One folder of file names per block and channel, replacing what was there."""
+    manifest.select("block", "role", "frame", "name").write.mode("overwrite").partitionBy("block", "role").csv(path, sep="\t")

@@ -78,6 +78,12 @@ def test_tiff_round_trip(spark, tmp_path):
     assert manifest.list_frames(spark, str(tmp_path)).count() == 2
 
 
+def test_manifest_sink(spark, tmp_path):
+    rows_ = spark.createDataFrame([(1, "a", 0, "x.tif"), (1, "a", 1, "y.tif"), (2, "b", 0, "z.tif")], "block int, role string, frame int, name string")
+    manifest.write_manifest(rows_, str(tmp_path / "m"))
+    assert rows(manifest.read_tab(spark, str(tmp_path / "m" / "block=1" / "role=a"), "frame int, name string"), "frame") == [(0, "x.tif"), (1, "y.tif")]
+
+
 # -- pixels and histograms ------------------------------------------------
 def test_unmixing(spark):
     inverse = P.inverse_mixing(1, 0, 0.241, 0.970)
