@@ -25,7 +25,7 @@ from lapsegrid.llm.common import bounded_batches, columns
 
 WINDOW = 10
 #: Bytes of item text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Columns that find_contamination adds.
 MADE = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans_", "items_")
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -112,7 +113,7 @@ def pack(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD, shard
     shards = max(1, -(-counted.count() // shard))
     dealt = counted.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
 
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "n_tokens"], kind="stable", na_position="first")
         out = cut(rows["doc_id"].astype("Int64"), rows["n_tokens"].to_numpy(), capacities[-1])
         bins, offsets, final = best_fit(out["n_tokens"].to_numpy(), capacities, overhead)
