@@ -430,9 +430,10 @@ def _links(spark, sf):
     return tracking.with_weight(tracking.with_cost(tracking.link_candidates(_cells(spark, sf), ["user_id"])), ["user_id"])
 
 
-@query(f"WITH {CELLS} SELECT * FROM nf")
+@query(f"WITH {CELLS} SELECT user_id, frame, coalesce(next_frame, -1) AS next_frame FROM nf")
 def q_next_frame(spark, sf):
-    return tracking.next_frames(_cells(spark, sf), ["user_id"])
+    found = tracking.next_frames(_cells(spark, sf), ["user_id"])
+    return found.select("user_id", "frame", F.coalesce("next_frame", F.lit(-1)).alias("next_frame"))
 
 
 @query(f"WITH {LINKS} SELECT user_id, frame, next_frame, cell, cell2 FROM lc")
