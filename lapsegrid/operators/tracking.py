@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,23 +102,38 @@ def _matched(edges: list[dict]) -> list[dict]:
 
 def chains(cells: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, frame, cell, track): cells linked through frames share a track; track ids are
-    1, 2, ... within keys by first frame and cell. Unlinked cells are tracks of their own."""
-    schema = cells.select(*keys, "frame", "cell").schema.add("track", "long")
-
-    def follow(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["frame", "cell"]).reset_index(drop=True)
-        before = {(r.next_frame, r.cell2): (r.frame1, r.cell1) for r in found.itertuples()}
-        track: dict[tuple, int] = {}
-        for f, c in zip(own["frame"], own["cell"], strict=True):
-            earlier = before.get((f, c))
-            track[f, c] = track[earlier] if earlier in track else 1 + max(track.values(), default=0)
-        own["track"] = [track[f, c] for f, c in zip(own["frame"], own["cell"], strict=True)]
-        return own[[f.name for f in schema]]
-
-    left = cells.select(*keys, "frame", "cell").groupBy(*keys)
-    names = {**{k: f"{k}_" for k in keys}, "frame": "frame1", "cell": "cell1"}
-    right = links.select(*keys, "frame", "cell", "next_frame", "cell2").withColumnsRenamed(names).groupBy(*(f"{k}_" for k in keys))
-    return left.cogroup(right).applyInPandas(follow, schema)
+    1, 2, ... within keys by first frame and cell. Unlinked cells are tracks of their own.
+
+    The cells and links of one well become one row; many wells share an Arrow batch.
+    """
+    kinds = dict(cells.dtypes)
+    own = cells.groupBy(*keys).agg(F.collect_list(F.struct(F.col("frame").cast("long").alias("f"), F.col("cell").cast("long").alias("c"))).alias("cells"))
+    step = F.struct(*(F.col(a).cast("long").alias(b) for a, b in (("frame", "f"), ("cell", "c"), ("next_frame", "f2"), ("cell2", "c2"))))
+    found = links.groupBy(*keys).agg(F.collect_list(step).alias("links"))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", tracks array<struct<f:bigint,c:bigint,track:bigint>>"
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_numbered(c, n or []) for c, n in zip(batch.column("cells").to_pylist(), batch.column("links").to_pylist(), strict=True)]
+            kind = pa.list_(pa.struct([("f", pa.int64()), ("c", pa.int64()), ("track", pa.int64())]))
+            yield pa.record_batch({**{k: batch.column(k) for k in keys}, "tracks": pa.array(made, kind)})
+
+    rows = own.join(found, keys, "left").mapInArrow(follow, schema).select(*keys, F.explode("tracks").alias("t"))
+    return rows.select(*keys, F.col("t.f").cast(kinds["frame"]).alias("frame"), F.col("t.c").cast(kinds["cell"]).alias("cell"), "t.track")
+
+
+def _numbered(cells: list[dict], links: list[dict]) -> list[dict]:
+    before = {(n["f2"], n["c2"]): (n["f"], n["c"]) for n in links}
+    track: dict[tuple, int] = {}
+    fresh = 0
+    for at in sorted((c["f"], c["c"]) for c in cells):
+        earlier = before.get(at)
+        if earlier in track:
+            track[at] = track[earlier]
+        else:
+            fresh += 1
+            track[at] = fresh
+    return [{"f": f, "c": c, "track": n} for (f, c), n in track.items()]
 
 
 def unlinked(cells: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
