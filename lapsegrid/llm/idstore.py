@@ -6,8 +6,8 @@ counts and offsets, so that one short document is read without the others. Files
 written by Spark's text writer, one file image per row, through its commit protocol to
 any file system; the newline it adds is the last byte of the format.
 
-Words are encoded once per worker: the tokenizer drops white space and never joins
-across it, so a text's ids are those of its white-space separated words in turn.
+Words are encoded apart: the tokenizer drops white space and never joins across it, so
+a text's ids are those of its white-space separated words in turn.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,45 +36,42 @@ LEVEL = 3
 DICTIONARY_BYTES, DICTIONARY_DOCS, SHORT_BYTES = 32 << 10, 2000, 16 << 10
 #: Bytes of a file (it ends with the document that reaches this).
 FILE_BYTES = 8 << 20
-#: Words that a worker remembers, in each of two generations.
-CACHE_WORDS = 300_000
-#: Texts looked up at once, and unseen words encoded as one text.
-TEXTS, TOGETHER = 16, 64
+#: Stems that a worker remembers, in each of two generations, and the bytes of the longest.
+CACHE_WORDS, CACHE_MARKS, LONG = 300_000, 1000, 100
+#: Words of a text joined at once, and unseen stems encoded as one text.
+RUN, TOGETHER = 1 << 18, 64
 MAGIC = b"LGIDS01\n"
 _HEAD = struct.Struct("<8sQQ32sB")
 _FOOT = struct.Struct("<QI8s")
-# White space of the tokenizer's regular expressions.
+# White space of the tokenizer's regular expressions; Arrow splits there, and at U+001C to U+001F.
 _SPACE = re.compile("[" + "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
-# Letters that normalisation leaves alone, then perhaps marks: one pre-token each.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#&$%|]*)")
-_WIDE = re.compile("[^\x00-\xff]")
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_SPACE = "[\x1c-\x1f]"
+# A word of letters that normalisation only lower-cases, then perhaps marks: one pre-token each.
+_LETTERS = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
+_MARKS = ".,;:!?*#&$%|"
+_STEM = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
-class _Young(dict):
-    """word -> ids; gives None for an unseen word and notes it."""
+def _strings(found: pa.Array) -> list[str]:
+    return found.to_numpy(zero_copy_only=False).tolist()
 
-    def __init__(self):
-        super().__init__()
-        self.unseen: list[str] = []
 
-    def __missing__(self, word: str) -> None:
-        self.unseen.append(word)
-
-
-def _words(text: str) -> list[str]:
-    """White-space separated words as the tokenizer sees them. Latin-1 texts are lower-cased
-    first, which its normaliser does to them in any case (not so inside a special token)."""
-    if _NOT_SPACE.search(text):
-        return [w for w in _SPACE.split(text) if w]
-    if "<|" not in text and not _WIDE.search(text):
-        text = text.lower()
-    return text.split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """White-space separated words as the tokenizer sees them, and where each text's begin
+    (one more for the end). Empty words may occur. Null is empty."""
+    texts = texts.fill_null("")
+    if pc.any(pc.match_substring_regex(texts, _NOT_SPACE)).as_py():
+        lists = pa.array([_SPACE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    sizes = pc.list_value_length(lists).to_numpy()
+    return lists.flatten(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, by words that it remembers in two generations:
-    a word met again moves to the young one, the old one is dropped when that is full."""
+    """Ids of texts as little-endian bytes. A batch's distinct words are cut into stems and
+    marks by Arrow; only distinct stems are looked up one by one. They are remembered in two
+    generations: a stem met again moves to the young one, the old one is dropped when that is full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,31 +86,13 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks: dict[str, bytes] = {"": b""}
-        self.young = _Young()
+        self.marks: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Encode unseen words. Plain ones are a stem and perhaps marks, both remembered in
-        lower case; unseen stems go many to a text, each ending with an id that closes a word,
-        which tells them apart again."""
-        plain, other, fresh = [], [], {}
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                stem, marks = m[1].lower(), m[2]
-                plain.append((w, stem, marks))
-                if stem not in self.young:
-                    got = self.old.get(stem)
-                    if got is None:
-                        fresh[stem] = None
-                    else:
-                        self.young[stem] = got
-                if marks not in self.marks:
-                    self.marks[marks] = self._one(marks)
-            else:
-                other.append(w)
-        stems = list(fresh)
+    def learn(self, stems: list[str], others: list[str]) -> None:
+        """Encode unseen lower-case stems and other words. Stems go many to a text, each ending
+        with an id that closes a word, which tells them apart again."""
         groups = range(0, len(stems), TOGETHER)
         texts = [" ".join(stems[k : k + TOGETHER]) for k in groups]
         for k, e in zip(groups, self.stems.encode_batch_fast(texts, add_special_tokens=False), strict=True):
@@ -125,45 +105,67 @@ class Encoder:
                     begin = end
             else:  # not a vocabulary of closed words
                 self.young.update({w: self._one(w) for w in own})
-        for w, stem, marks in plain:
-            if marks or w is not stem:
-                self.young[w] = self.young[stem] + self.marks[marks]
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.young[w] = np.array(e.ids, dtype=self.kind).tobytes()
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def encode_all(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
+    def _look_up(self, keys: pa.Array) -> list[bytes]:
+        """Ids of distinct stems and other words."""
+        names, young, old = _strings(keys), self.young, self.old
+        found = list(map(young.get, names))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        known = {names[k]: ids for k in missing if (ids := old.get(names[k])) is not None}
+        young.update(known)
+        unseen = keys.take(pa.array([k for k in missing if names[k] not in known], pa.int64()))
+        stem = pc.match_substring_regex(unseen, _STEM)
+        self.learn(_strings(unseen.filter(stem)), _strings(unseen.filter(pc.invert(stem))))
+        for k in missing:
+            found[k] = young[names[k]]
+        for w in _strings(unseen.filter(pc.greater(pc.binary_length(unseen), LONG))):
+            del young[w]
+        if len(young) > CACHE_WORDS:
+            self.old, self.young = young, {}
+        return found
+
+    def words(self, distinct: pa.Array) -> list[bytes]:
+        """Ids of distinct words: those of the lower-cased stem, then those of its marks."""
+        stems = pc.utf8_rtrim(distinct, _MARKS)
+        plain = pc.match_substring_regex(stems, _STEM)
+        keys = pc.if_else(plain, pc.utf8_lower(stems), distinct).dictionary_encode()
+        out = list(map(self._look_up(keys.dictionary).__getitem__, keys.indices.to_numpy().tolist()))
+        marked = pc.and_(plain, pc.greater(pc.binary_length(distinct), pc.binary_length(stems)))
+        marks = pc.utf8_ltrim(distinct.filter(marked), _LETTERS).dictionary_encode()
+        ids = []
+        for m in _strings(marks.dictionary):
+            if m not in self.marks:
+                if len(self.marks) >= CACHE_MARKS:
+                    self.marks.clear()
+                self.marks[m] = self._one(m)
+            ids.append(self.marks[m])
+        for k, m in zip(np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist(), marks.indices.to_numpy().tolist(), strict=True):
+            out[k] += ids[m]
+        return out
+
+    def encode_all(self, texts: pa.Array, end: int = END_ID) -> list[bytes]:
         """Ids of whole texts with the end id, as bytes. Null is empty."""
         collects = gc.isenabled()
         gc.disable()  # many lists, no cycles
         try:
-            return [ids for at in range(0, len(texts), TEXTS) for ids in self._encode_some(texts[at : at + TEXTS], end)]
+            words, starts = split_words(texts)
+            coded = words.dictionary_encode()
+            ids, place = self.words(coded.dictionary), coded.indices.to_numpy()
+            last = np.array([end], dtype=self.kind).tobytes()
+            out = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                runs = [b"".join(map(ids.__getitem__, place[k : min(k + RUN, b)].tolist())) for k in range(a, b, RUN)]
+                out.append(b"".join([*runs, last]))
+            return out
         finally:
             if collects:
                 gc.enable()
 
-    def _encode_some(self, texts: list[str | None], end: int) -> list[bytes]:
-        last = np.array([end], dtype=self.kind).tobytes()
-        split = [_words(t or "") for t in texts]
-        self.young.unseen.clear()
-        found = [list(map(self.young.__getitem__, words)) for words in split]
-        missing = set(self.young.unseen)
-        known = {w: g for w in missing if (g := self.old.get(w)) is not None}
-        self.young.update(known)
-        self.learn([w for w in missing if w not in known])
-        young = self.young
-        out = []
-        for words, got in zip(split, found, strict=True):
-            if None in got:
-                got = [young[w] if g is None else g for w, g in zip(words, got, strict=True)]
-            got.append(last)
-            out.append(b"".join(got))
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, _Young()
-        return out
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -182,7 +184,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     many = max(1, docs.count() // DICTIONARY_DOCS)
     short = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(many)) == 0) & (F.octet_length("text") <= SHORT_BYTES))
     rows = short.select(F.xxhash64("doc_id", "text").alias("h"), "text").limit(2 * DICTIONARY_DOCS).collect()
-    samples = encoder(tokenizer).encode_all([t for _, t in sorted(rows)])
+    samples = encoder(tokenizer).encode_all(pa.array([t for _, t in sorted(rows)], pa.string()))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -202,7 +204,7 @@ def _encode(tokenizer: str, dictionary: bytes):
             shared.precompute_compress(level=LEVEL)  # else each call digests it anew
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         for batch in batches:
-            ids = own.encode_all([t for (t,) in columns(batch, "text")])
+            ids = own.encode_all(batch.column("text"))
             size = own.kind.itemsize
             yield pa.record_batch(
                 {

@@ -229,6 +229,22 @@ def test_token_files(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.start) for r in idstore.round_trip(twice, TOKENIZER).collect()) == [("1", 2), ("2", 4), ("2", 6), ("None", 0)]
 
 
+def test_encoder_agrees_with_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(idstore, "CACHE_WORDS", 40)
+    monkeypatch.setattr(idstore, "CACHE_MARKS", 3)
+    monkeypatch.setattr(idstore, "RUN", 5)
+    plain, own, rnd = Tokenizer.from_file(TOKENIZER), idstore.Encoder(TOKENIZER), random.Random(3)
+    odd = "abXYÄéßÿµÞ×ıſẞΣς中0123.,;:!?*#&$%|<>_-'\"\x1c\x85\xa0\u200b\u3000\u0301\xad\t\n ☃"
+    texts = ["".join(rnd.choice(odd) if rnd.random() < 0.5 else rnd.choice("the Quick brown fóx, Élan. ") for _ in range(rnd.randint(0, 60))) for _ in range(600)]
+    texts += [*ODD, "!" * 500, "a" * 200 + ".", "foo<|endoftext|>bar", "<|EndOfText|> x"]
+    rows = pa.array(texts, pa.string())
+    got = own.encode_all(rows.slice(0, 0)) + [ids for at in range(0, len(rows), 50) for ids in own.encode_all(rows.slice(at, 50))]
+    assert got == [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], own.kind).tobytes() for t in texts]
+
+
 def test_token_file_access():
     dictionary = b"\1\0\2\0" * 20
     import zstandard
