@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapsegrid.functions import kernels as K
 from lapsegrid.functions import pixels as P
-from lapsegrid.operators import features, histogram, segment, stack, tables, tracking, wells
+from lapsegrid.operators import features, histogram, segment, stack, tables, tracking, volume, wells
 from lapsegrid.sources import manifest
 from lapsegrid.sources.views import FRAME, PX, SD, TP, frame_index, frames, pixels, seeds, table, tracks
 
@@ -613,11 +613,123 @@ def q_pixel_table(spark, sf):
     return tables.wide(means, ["label", "kind"], list(range(5)), "m")
 
 
-# -- kernels without SQL form (tested on fixtures) ------------------------
 def _image_rows(spark, sf, kernel, schema):
     return segment.each_frame(frames(spark, sf), ["vec_id"], kernel, schema, 8)
 
 
+# -- stacks as volumes ----------------------------------------------------
+def _stack(spark, sf):
+    return frames(spark, sf).join(frame_index(spark, sf), ["vec_id", "label"])
+
+
+def _flat(rows, name, *keys):
+    return rows.select(*keys, F.posexplode("px").alias("pos", "v")).select(*keys, "pos", F.col("v").cast("int").alias(name))
+
+
+@query(f"""WITH {PX}, {FRAME}, v AS (SELECT px.*, frame FROM px JOIN fr USING (vec_id, label)), top AS (SELECT label, max(frame) AS top FROM fr GROUP BY label),
+o AS (SELECT a.unnest - 1 AS dz, b.unnest - 1 AS dy, c.unnest - 1 AS dx FROM unnest(range(3)) a, unnest(range(3)) b, unnest(range(3)) c),
+n AS (SELECT v.vec_id, v.pos, v.label, least(greatest(frame + dz, 0), top) AS f, least(greatest(x + dx, 0), 7) + 8 * least(greatest(y + dy, 0), 7) AS p FROM v JOIN top USING (label), o)
+SELECT n.vec_id, n.pos, cast(median(w.i) AS integer) AS m FROM n JOIN v w ON w.label = n.label AND w.frame = n.f AND w.pos = n.p GROUP BY n.vec_id, n.pos""")
+def q_median_filter(spark, sf):
+    return _flat(volume.stack_filter(_stack(spark, sf), ["vec_id"], "vec_id long", ["label"], "frame", 8, 8, 1, volume.median_filter), "m", "vec_id")
+
+
+def _ball_sql(f, r):
+    near = f"abs(b.x - a.x) <= {r} AND abs(b.y - a.y) <= {r} AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= {r * r}"
+    return f"SELECT a.vec_id, a.pos, a.x, a.y, {f}(b.i) AS m FROM {{0}} a JOIN {{0}} b ON a.vec_id = b.vec_id AND {near} GROUP BY a.vec_id, a.pos, a.x, a.y"
+
+
+@query(f"WITH {PX} SELECT vec_id, pos, m FROM ({_ball_sql('max', 2).format('px')})")
+def q_dilated(spark, sf):
+    return _flat(_image_rows(spark, sf, lambda k, im: [(*k, volume.dilated(im[None], 2).ravel())], "vec_id long, px array<double>"), "m", "vec_id")
+
+
+@query(f"WITH {PX} SELECT vec_id, pos, m FROM ({_ball_sql('min', 2).format('px')})")
+def q_eroded(spark, sf):
+    return _flat(_image_rows(spark, sf, lambda k, im: [(*k, volume.eroded(im[None], 2).ravel())], "vec_id long, px array<double>"), "m", "vec_id")
+
+
+@query(f"""WITH {PX}, z AS (SELECT vec_id, pos, x, y, CASE WHEN i < 950 THEN 0 ELSE i END AS i FROM px), d AS (SELECT vec_id, pos, x, y, m AS i FROM ({_ball_sql('max', 1).format('z')})),
+c AS ({_ball_sql('min', 1).format('d')}) SELECT vec_id, pos, CASE WHEN z.i = 0 THEN c.m ELSE z.i END AS m FROM z JOIN c USING (vec_id, pos)""")
+def q_fill_holes(spark, sf):
+    fill = lambda k, im: [(*k, volume.holes_filled(np.where(im < 950, 0, im), 1).ravel())]
+    return _flat(_image_rows(spark, sf, fill, "vec_id long, px array<double>"), "m", "vec_id")
+
+
+@query(f"""WITH {PX}, m AS (SELECT * FROM px WHERE i >= 1000) SELECT DISTINCT a.vec_id, a.pos FROM m a JOIN px b ON a.vec_id = b.vec_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE b.i < 1000""")
+def q_outline(spark, sf):
+    return _image_rows(spark, sf, lambda k, im: [(*k, p) for p in np.flatnonzero(volume.outline(im >= TH)).tolist()], "vec_id long, pos int")
+
+
+@query(f"WITH {PX}, {FRAME} SELECT label, x, y, arg_min(i, frame) AS i FROM px JOIN fr USING (vec_id, label) WHERE i >= 1000 GROUP BY label, x, y")
+def q_first_along(spark, sf):
+    px = pixels(spark, sf).join(frame_index(spark, sf), ["vec_id", "label"]).withColumn("i", F.when(F.col("i") >= TH, F.col("i")).otherwise(0))
+    return volume.first_along(px, ["label", "x", "y"], "frame", "i", "i")
+
+
+@query(f"WITH {PX} SELECT vec_id // 4 AS grp, cast(x + vec_id % 2 * 8 AS integer) AS x, cast(y + vec_id % 4 // 2 * 8 AS integer) AS y, i FROM px")
+def q_collage(spark, sf):
+    x, y = volume.collage(F.col("x"), F.col("y"), F.col("vec_id") % 4, 8, 8)
+    return pixels(spark, sf).select(F.floor(F.col("vec_id") / 4).alias("grp"), x.cast("int").alias("x"), y.cast("int").alias("y"), "i")
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, pos, CASE WHEN i1 >= 1000 THEN 'red' WHEN i2 >= 1000 THEN 'green' END AS colour, CASE WHEN i1 >= i2 THEN i1 ELSE 0 END AS w1, CASE WHEN i2 > i1 THEN i2 ELSE 0 END AS w2 FROM pr")
+def q_composite(spark, sf):
+    shown = [F.when(F.col(c) >= TH, F.col(c)).otherwise(0) for c in ("i1", "i2")]
+    w1, w2 = volume.winner([F.col("i1"), F.col("i2")])
+    return channel_pairs(spark, sf).select("vec_id", "pos", volume.composite(shown, ["red", "green"]).alias("colour"), w1.alias("w1"), w2.alias("w2"))
+
+
+@query(f"WITH {PX} SELECT vec_id, x - 2 AS x, y - 3 AS y, i FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 3 AND 6 AND label = 1")
+def q_box_crop(spark, sf):
+    return volume.boxed(pixels(spark, sf), {"x": 2, "y": 3}, {"x": 5, "y": 6}, 1).select("vec_id", "x", "y", "i")
+
+
+@query(f"""WITH {PX}, c AS (SELECT vec_id, x, y, i, cast(CASE WHEN pos // 16 = 3 THEN 1 ELSE pos // 16 END AS integer) AS label FROM px)
+SELECT vec_id, label, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(i), 6) AS mean FROM c GROUP BY vec_id, label""")
+def q_merged_cells(spark, sf):
+    """Each quarter of a frame is a cell; the last is merged into the second."""
+    px = pixels(spark, sf).withColumn("label", F.floor(F.col("pos") / 16).cast("int"))
+    pairs = px.select("vec_id").distinct().select("vec_id", F.lit(3).alias("label"), F.lit(1).alias("into"))
+    rows = volume.merged(px, ["vec_id"], pairs)
+    return rows.select("vec_id", "label", "area", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "mean")))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT vec_id, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM pr WHERE i1 >= 1150 GROUP BY vec_id),
+d AS (SELECT vec_id, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d, area FROM pr JOIN c USING (vec_id) WHERE i2 >= 1000),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k, count(*) OVER (PARTITION BY vec_id) AS n FROM d)
+SELECT vec_id, round(avg(d), 6) AS near, avg(d) / sqrt(any_value(area) / pi()) <= 1.7 AS touches FROM r WHERE k <= greatest(1, cast(floor(n * 0.05) AS integer)) GROUP BY vec_id""")
+def q_contact(spark, sf):
+    """Both masks of a pair travel in one row; the distances never leave it."""
+    later = frames(spark, sf).where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("px").alias("px2"))
+    both = frames(spark, sf).where("vec_id % 2 = 0").join(later, "vec_id").select("vec_id", F.concat("px", "px2").alias("px"))
+
+    def run(k, im):
+        cell = np.argwhere(im[:8] >= 1150)
+        near = volume.nearest_share(im[8:] >= TH, tuple(cell.mean(axis=0))) if len(cell) else None
+        return [] if near is None else [(*k, near, len(cell))]
+
+    found = segment.each_frame(both, ["vec_id"], run, "vec_id long, near double, area int", 8)
+    return found.select("vec_id", F.round("near", 6).alias("near"), volume.contact(F.col("near"), F.col("area")).alias("touches"))
+
+
+@query(f"WITH {PX}, c AS (SELECT vec_id, cast(floor(avg(x)) + 8 * floor(avg(y)) AS integer) AS pos FROM px WHERE i >= 1150 GROUP BY vec_id) SELECT vec_id, i AS at_centre FROM c JOIN px USING (vec_id, pos)")
+def q_sampled(spark, sf):
+    spots = F.expr("filter(sequence(0, 63), p -> px[p] >= 1150)")
+    mean = lambda part: F.aggregate("spots", F.lit(0.0), lambda a, p: a + part(p)) / F.size("spots")
+    rows = frames(spark, sf).select("vec_id", "px", spots.alias("spots")).where("size(spots) > 0")
+    x, y = mean(lambda p: p % 8), mean(lambda p: F.floor(p / 8))
+    return rows.select("vec_id", volume.sampled(F.col("px"), x, y, 8).alias("at_centre"))
+
+
+@query(f"""WITH RECURSIVE {PX}, m AS (SELECT vec_id, pos, x, y FROM px WHERE i >= 1000),
+w AS (SELECT vec_id, pos, x, y, 0 AS step FROM m WHERE pos = 27 UNION SELECT m.vec_id, m.pos, m.x, m.y, w.step + 1 FROM w JOIN m ON m.vec_id = w.vec_id AND abs(m.x - w.x) <= 1 AND abs(m.y - w.y) <= 1 WHERE w.step < 3)
+SELECT DISTINCT vec_id, pos FROM w""")
+def q_within_steps(spark, sf):
+    return _image_rows(spark, sf, lambda k, im: [(*k, p) for p in np.flatnonzero(volume.within_steps(im >= TH, (3, 3), 3)).tolist()], "vec_id long, pos int")
+
+
+# -- kernels without SQL form (tested on fixtures) ------------------------
 @query()
 def k_gaussian_bg(spark, sf):
     return _image_rows(spark, sf, lambda k, im: [(*k, int(K.subtract_background(im, 2.0).sum()))], "vec_id long, total long")
@@ -660,6 +772,11 @@ def k_crop(spark, sf):
     return _image_rows(spark, sf, run, "vec_id long, total long, n_px int")
 
 
+@query()
+def k_split_in_two(spark, sf):
+    return _image_rows(spark, sf, lambda k, im: [(*k, c, n) for c, n in K.sizes(volume.split_in_two(im >= TH)).items()], "vec_id long, cell int, size int")
+
+
 @query()
 def k_spectral(spark, sf):
     def run(k, im):
