@@ -6,8 +6,11 @@ aggregated and divided by the number of blocks; both ratios are smoothed over th
 paths in page order, fused with the share of text outside links, and paths at or above
 a threshold become content paths. The element that holds nearly all text of the
 content paths is the article; its blocks are returned whole. Paths that pass through
-an element whose tag, role or class names page furniture (menus, footers, notices,
-adverts, comments, forms, ...) have ratio zero and never contribute.
+an element whose tag or role, or a class or id as a whole, names page furniture (menus,
+footers, notices, adverts, comments, forms, ...) have ratio zero and never contribute,
+unless the page has no other text. A class or id that only contains such a name lowers the
+fused ratio of what is inside, which is then kept only where it still has a content path.
+Articles, main elements and headings are never judged by their names.
 """
 
 from __future__ import annotations
@@ -47,8 +50,12 @@ FURNITURE_NAMES = frozenset(
     "footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login comment "
     "comments disqus respond replies share sharing social related recommended widget widgets toolbar pagination pager copyright skip".split()
 )
-#: Longer words count too, as in "commentlist" or "advertbox".
+#: Longer words of these and a part count too, as in "commentlist" or "advertbox".
 FURNITURE_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar", "newsletter", "sidebar", "sponsor")
+FURNITURE_PARTS = frozenset(" area bar block bottom box container group holder inner item items left link links list outer panel right s section text top wrap wrapper".split(" "))
+#: Weight in the fused ratio of an element with a name of furniture among others, and of those words that articles have too.
+HINT, WEAK_HINT = 0.2, 0.8
+WEAK_NAMES = frozenset("alert banner copyright header login masthead notice notices promotion related recommended replies respond search share sharing signup skip social subscription".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
 ROOTS = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -68,7 +75,7 @@ _TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 
 
@@ -78,6 +85,11 @@ class Block:
     text: str
     link_chars: int
     furniture: bool
+    named: bool = False
+    """Within an element that is furniture by its name alone."""
+    weight: float = 1.0
+    hint: int = 0
+    """Number of the outermost element that lowers the weight; 0: none."""
 
 
 @dataclass
@@ -89,6 +101,9 @@ class _Open:
     furniture: bool
     inside: bool
     """Within an article."""
+    named: bool = False
+    weight: float = 1.0
+    hint: int = 0
 
 
 @dataclass
@@ -99,20 +114,25 @@ class _Page:
     blocks: list[Block] = field(default_factory=list)
     links: int = 0
     link_text: list[str] = field(default_factory=list)
+    hints: int = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
             inside = len(" ".join("".join(self.link_text).split()))
             top = self.stack[-1] if self.stack else _Open("", (), False, False)
-            self.blocks.append(Block(top.path, text, min(inside, len(text)), top.furniture))
+            self.blocks.append(Block(top.path, text, min(inside, len(text)), top.furniture, top.named, top.weight, top.hint))
         self.pieces, self.link_text = [], []
 
     def push(self, tag: str, rest: str) -> None:
         above = self.stack[-1] if self.stack else _Open("", (), False, False)
-        label, furniture = _label(tag, rest, above.inside)
+        label, furniture, named, weight = _label(tag, rest, above.inside)
         path = (*above.path, label) if len(above.path) < DEPTH else above.path
-        self.stack.append(_Open(tag, path, above.furniture or furniture, above.inside or tag in ("article", "main")))
+        hint = above.hint
+        if weight < 1 and not hint:
+            self.hints = hint = self.hints + 1
+        inside = above.inside or tag in ("article", "main")
+        self.stack.append(_Open(tag, path, above.furniture or furniture, inside, above.named or named, min(above.weight, weight), hint))
         self.open[tag] += 1
 
     def pop(self, at: int) -> None:
@@ -131,18 +151,39 @@ class _Page:
                 return
 
 
-def _label(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
-    """Path label of an element and whether it is page furniture."""
+def _furniture_word(word: str) -> bool:
+    """A name of furniture, or one with a part of a page put to it."""
+    return word in FURNITURE_NAMES or any(word.startswith(x) and word[len(x) :].removeprefix("s") in FURNITURE_PARTS for x in FURNITURE_STEMS)
+
+
+def _judged(names: list[str], inside: bool) -> tuple[bool, float]:
+    """Whether one of an element's class names and id is a name of furniture, and the
+    weight that those give it that have other words besides."""
+    named, weight = False, 1.0
+    for name in names:
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        own = [w for w in words if _furniture_word(w) or (w == "header" and not inside)]
+        named |= bool(words) and len(own) == len(words)
+        if own:
+            weight = min(weight, WEAK_HINT if WEAK_NAMES.issuperset(own) else HINT)
+    return named, weight
+
+
+def _label(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool, float]:
+    """Path label of an element, whether it is page furniture, whether it is so by its name, and its weight."""
     attrs = {m[1].lower(): entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTR.finditer(rest)} if "=" in rest or "hidden" in rest else {}
     names = attrs.get("class", "").split()
     label = f"{tag}.{names[0]}" if names else tag
     furniture = tag in FURNITURE or (tag == "header" and not inside) or "hidden" in attrs or attrs.get("aria-hidden", "") == "true"
     furniture |= "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    named, weight = False, 1.0
     if tag not in ROOTS or tag in ("article",):
-        parts = {p.lower() for p in _SPLIT.split(" ".join([*names, attrs.get("id", "")])) if p}
-        furniture |= bool(parts & FURNITURE_NAMES) or any(p.startswith(FURNITURE_STEMS) for p in parts) or attrs.get("role", "").lower() in FURNITURE_ROLES
-        furniture |= "header" in parts and not inside and tag not in HEADINGS
-    return label, furniture
+        furniture |= attrs.get("role", "").lower() in FURNITURE_ROLES
+    if tag not in ROOTS and tag not in HEADINGS:
+        named, weight = _judged([*names, attrs.get("id", "")], inside)
+    if weight < 1:
+        label = f"{label if names else tag + '.'} {weight}"  # apart from elements that are not judged so
+    return label, furniture, named, weight
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -201,7 +242,7 @@ def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
     order: dict[tuple, list[float]] = {}
     for b in blocks:
         if not b.furniture:
-            held = order.setdefault(b.path, [0, 0, 0, 0])
+            held = order.setdefault(b.path, [0, 0, 0, 0, b.weight])
             held[0] += len(b.text)
             held[1] += len(_PUNCTUATION.findall(b.text))
             held[2] += b.link_chars
@@ -210,7 +251,7 @@ def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
         return set()
     length = _smooth([v[0] / v[3] for v in order.values()])
     marks = _smooth([v[1] / v[3] for v in order.values()])
-    fused = [a * (1 + p) * (1 - v[2] / v[0]) for a, p, v in zip(length, marks, order.values(), strict=True)]
+    fused = [v[4] * a * (1 + p) * (1 - v[2] / v[0]) for a, p, v in zip(length, marks, order.values(), strict=True)]
     total = sum(v[0] for v in order.values())
     mean = sum(f * v[0] for f, v in zip(fused, order.values(), strict=True)) / total
     return {path for path, f in zip(order, fused, strict=True) if f >= THRESHOLD * mean and f > 0}
@@ -219,11 +260,13 @@ def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by a newline.
 
-    Null and empty pages, and pages without text outside furniture, give "".
+    Null and empty pages, and pages without text outside furniture by tag or role, give "".
     """
-    blocks = [b for b in blocks_of(page or "")]
-    kept = [b for b in blocks if not b.furniture]
-    paths = content_paths(blocks)
+    kept = [b for b in blocks_of(page or "") if not b.furniture]
+    kept = [b for b in kept if not b.named] or kept
+    paths = content_paths(kept)
+    texts = {b.hint for b in kept if b.path in paths}
+    kept = [b for b in kept if not b.hint or b.hint in texts]
     weight: dict[tuple, int] = {}
     for b in kept:
         if b.path in paths:
