@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsegrid.llm.common import bounded_batches, columns, lower_bytes, staged
@@ -61,13 +61,17 @@ def _fingerprints(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [fingerprint(t) for (t,) in columns(batch, "text")]
         signed = np.array(made, dtype=np.uint64).view(np.int64)
-        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "fp": pa.array(signed)})
+        more = {n: batch.column(n) for n in batch.schema.names if n not in ("doc_id", "text")}
+        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "fp": pa.array(signed)} | more)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *digests: Column) -> DataFrame:
+    """(doc_id, fp, digest0, ...): one row per document, fp the fingerprint as a signed
+    64-bit integer, digests further long columns of the document."""
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    more = [d.alias(f"digest{k}") for k, d in enumerate(digests)]
+    schema = ", ".join(["doc_id long", "fp long", *(f"digest{k} long" for k in range(len(more)))])
+    return docs.select("doc_id", "text", *more).mapInArrow(_fingerprints, schema)
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -174,12 +178,12 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -
     return dealt.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_bucket_links, "a long, b long")
 
 
-def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): for every distinct fingerprint the smallest doc_id of its class.
+def classes(fps: DataFrame, radius: int = RADIUS, name: Column | str = "doc_id") -> DataFrame:
+    """(fp, component_id): for every distinct fingerprint the smallest name, a doc_id, of its class.
 
     Documents with a null doc_id count as links but never name a class unless all are null.
     """
-    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    distinct = staged(fps.groupBy("fp").agg(F.min(name).alias("low")), "distinct")
     n = distinct.count()
     roots = staged(components(links(distinct.select("fp"), n, radius)), "roots")
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -199,19 +203,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _text_digests(docs: DataFrame) -> list[Column]:
+    """Two differently seeded hashes: 128 bits that tell texts apart."""
+    return [F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])]
+
+
+def _of_key(docs: DataFrame, keys: DataFrame) -> Column:
+    """Whether a document has the doc_id, null included, and text of a row of keys."""
+    same = docs["doc_id"].eqNullSafe(keys["doc_id"])
+    for k, digest in enumerate(_text_digests(docs)):
+        same = same & (digest == keys[f"digest{k}"])
+    return same
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each class the row with the smallest doc_id.
 
-    All columns of ``docs`` are kept. Rows that repeat a doc_id count as one document.
+    All columns of ``docs`` are kept. A null doc_id comes after all others; rows of a class
+    with the same doc_id are ordered by their text's digests, then by the digest of their other columns.
+    Rows of different classes never drop each other, whatever their doc_ids.
     """
-    fps = staged(fingerprints(docs), "fingerprints")
-    found = fps.join(classes(fps), "fp")
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    again = staged(fps.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    fps = staged(fingerprints(docs, *_text_digests(docs)), "fingerprints")
+    key = ["doc_id", "digest0", "digest1"]
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), *key)
+    # The same text has the same fingerprint, so a key is in one class only.
+    found = fps.join(classes(fps, name=rank), "fp").select(*key, rank.eqNullSafe(F.col("component_id")).alias("first"))
+    lost = found.where("not first").select(*key).distinct()
+    kept = docs.join(lost, _of_key(docs, lost), "left_anti").select(*docs.columns)
+    again = staged(found.where("first").groupBy(*key).count().where("count > 1").select(*key), "again")
     if again.isEmpty():
         return kept
-    mark = again.withColumn("repeated_", F.lit(True))
-    rows = kept.join(mark, kept["doc_id"].eqNullSafe(mark["doc_id"]), "left").select(*(kept[c] for c in docs.columns), "repeated_")
-    single = rows.where("repeated_ is null").drop("repeated_")
-    return single.unionByName(rows.where("repeated_").drop("repeated_").dropDuplicates(["doc_id"]))
+    single = kept.join(again, _of_key(kept, again), "left_anti").select(*docs.columns)
+    others = F.xxhash64(F.to_json(F.struct(*(kept[c] for c in docs.columns if c != "text"))))
+    row = F.struct(*(kept[c] for c in docs.columns))
+    repeated = kept.join(again, _of_key(kept, again)).groupBy(*(again[c] for c in key)).agg(F.min_by(row, others).alias("row_"))
+    return single.unionByName(repeated.select("row_.*"))

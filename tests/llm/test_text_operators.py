@@ -135,6 +135,25 @@ def test_simhash_edges(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(twice).collect()) == [4, 9]
 
 
+def test_keep_one_decides_by_row(spark):
+    rnd = random.Random(8)
+    clean = [" ".join(rnd.choice("abcdefghijklmnop") * rnd.randint(1, 4) for _ in range(60)) for _ in range(9)]
+    rows = [(None, clean[0], "a"), (None, clean[1], "a"), (None, clean[1], "b"), (None, clean[1], "b")]  # null ids, repeated
+    rows += [(1, clean[2], "a"), (None, clean[2], "a")]  # a null id after all others
+    rows += [(2, clean[3], "a"), (7, clean[3], "a"), (7, clean[4], "a")]  # one text of an id is a copy, the other is not
+    rows += [(8, clean[5], "a"), (8, clean[6], "a")]  # one id, two texts
+    rows += [(9, clean[7], "b"), (9, clean[7], "a"), (9, clean[7], "b"), (3, clean[8], "a")]
+    want = sorted([("None", clean[0]), ("None", clean[1]), ("1", clean[2]), ("2", clean[3]), ("7", clean[4]), ("8", clean[5]), ("8", clean[6]), ("9", clean[7]), ("3", clean[8])])
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, first string")
+        got = simhash.keep_one(frame)
+        assert got.columns == frame.columns
+        assert sorted((str(r.doc_id), r.text) for r in got.collect()) == want
+    assert len({tuple(sorted(map(str, simhash.keep_one(spark.createDataFrame(o, "doc_id long, text string, kind string")).collect()))) for o in (rows, rows[::-1])}) == 1
+    whole = spark.createDataFrame([(None, t, None) for t in clean], "doc_id long, text string, kind string")
+    assert sorted(r.text for r in simhash.keep_one(whole).collect()) == sorted(clean)
+
+
 # -- WARC -----------------------------------------------------------------
 def test_warc_round_trip(spark):
     long, other = "ä" * 600, "x\r\n\r\nWARC/1.1\r\n" * 100
