@@ -420,14 +420,19 @@ LINKS = f"""{CELLS}, lc AS (SELECT a.user_id, a.frame, nf.next_frame, a.cell, b.
 lw AS (SELECT *, exp(-6 * pow(cost / (max(cost) OVER (PARTITION BY user_id, frame) + 1e-15), 2)) AS weight FROM lc)"""
 
 
-def _cells(spark, sf):
-    """Every fifth user is a well; a seed is a cell with an invented area."""
+def _all_cells(spark, sf):
+    """A user is a well; a seed is a cell with an invented area."""
     own = Window.partitionBy("user_id", "frame").orderBy("event_id")
-    return seeds(spark, sf).where("user_id % 5 = 0").select("user_id", "frame", F.row_number().over(own).alias("cell"), "x", "y", (20 + F.col("event_id") % 30).alias("area"))
+    return seeds(spark, sf).select("user_id", "frame", F.row_number().over(own).alias("cell"), "x", "y", (20 + F.col("event_id") % 30).alias("area"))
+
 
+def _cells(spark, sf):
+    """The cells of every fifth user, as in the oracles; the queries called _all take all users."""
+    return _all_cells(spark, sf).where("user_id % 5 = 0")
 
-def _links(spark, sf):
-    return tracking.with_weight(tracking.with_cost(tracking.link_candidates(_cells(spark, sf), ["user_id"])), ["user_id"])
+
+def _links(spark, sf, cells=_cells):
+    return tracking.with_weight(tracking.with_cost(tracking.link_candidates(cells(spark, sf), ["user_id"])), ["user_id"])
 
 
 @query(f"WITH {CELLS} SELECT user_id, frame, coalesce(next_frame, -1) AS next_frame FROM nf")
@@ -470,6 +475,28 @@ def q_assignment(spark, sf):
     return found.groupBy("user_id", "frame").agg(F.count("*").alias("n_links"), F.round(F.sum("weight"), 6).alias("total"))
 
 
+# All users and frame pairs of any size. Enumerating them is beyond SQL; tests compare with brute force.
+@query()
+def q_next_frame_all(spark, sf):
+    found = tracking.next_frames(_all_cells(spark, sf), ["user_id"])
+    return found.select("user_id", "frame", F.coalesce("next_frame", F.lit(-1)).alias("next_frame"))
+
+
+@query()
+def q_link_candidates_all(spark, sf):
+    return tracking.link_candidates(_all_cells(spark, sf), ["user_id"]).select("user_id", "frame", "next_frame", "cell", "cell2")
+
+
+@query()
+def q_link_cost_all(spark, sf):
+    return tracking.with_cost(tracking.link_candidates(_all_cells(spark, sf), ["user_id"])).select("user_id", "frame", "cell", "cell2", F.round("cost", 6).alias("cost"))
+
+
+@query()
+def q_link_weight_all(spark, sf):
+    return _links(spark, sf, _all_cells).select("user_id", "frame", "cell", "cell2", F.round("weight", 6).alias("weight"))
+
+
 CHAIN = f"""{SD}, cl AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id, frame ORDER BY event_id) AS cell FROM sd),
 nf AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) AS next_frame FROM (SELECT DISTINCT user_id, frame FROM cl)),
 lk AS (SELECT a.user_id, a.frame, a.cell, nf.next_frame, b.cell AS cell2 FROM cl a JOIN nf USING (user_id, frame) JOIN cl b ON b.user_id = a.user_id AND b.frame = nf.next_frame AND b.cell = a.cell)"""
