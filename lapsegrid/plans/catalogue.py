@@ -497,6 +497,13 @@ def q_link_weight_all(spark, sf):
     return _links(spark, sf, _all_cells).select("user_id", "frame", "cell", "cell2", F.round("weight", 6).alias("weight"))
 
 
+@query()
+def q_assignment_all(spark, sf):
+    """Frame pairs of any size: too many matchings for an enumerating oracle."""
+    found = tracking.assignments(_links(spark, sf, _all_cells), ["user_id"])
+    return found.groupBy("user_id", "frame").agg(F.count("*").alias("n_links"), F.round(F.sum("weight"), 6).alias("total"))
+
+
 CHAIN = f"""{SD}, cl AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id, frame ORDER BY event_id) AS cell FROM sd),
 nf AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) AS next_frame FROM (SELECT DISTINCT user_id, frame FROM cl)),
 lk AS (SELECT a.user_id, a.frame, a.cell, nf.next_frame, b.cell AS cell2 FROM cl a JOIN nf USING (user_id, frame) JOIN cl b ON b.user_id = a.user_id AND b.frame = nf.next_frame AND b.cell = a.cell)"""

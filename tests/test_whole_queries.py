@@ -49,3 +49,30 @@ def test_links_of_all_users(spark, events):
     for name, k in (("q_link_cost_all", 2), ("q_link_weight_all", 1)):
         got = {(r[0], r[1], r[2], r[3]): r[4] for r in ask(name)}
         assert got == pytest.approx({(u, d, a, b): x for (u, d), v in want.items() for (a, b), x in v[k].items()}, abs=2e-6)
+
+
+def best_total(w):
+    """The greatest total weight of a one-to-one matching, by trying all columns so far used."""
+    left, right = max(a for a, _ in w), max(b for _, b in w)
+    if left > right:
+        w, left, right = {(b, a): x for (a, b), x in w.items()}, right, left
+    if right <= 6:
+        return max(sum(w[a, b] for a, b in enumerate(p, 1)) for p in permutations(range(1, right + 1), left))
+    totals = {0: 0.0}
+    for a in range(1, left + 1):
+        step = {}
+        for used, total in totals.items():
+            for b in range(1, right + 1):
+                if not used >> b & 1:
+                    step[used | 1 << b] = max(step.get(used | 1 << b, 0.0), total + w[a, b])
+        totals = step
+    return max(totals.values())
+
+
+def test_assignment_of_all_frame_pairs(spark, events):
+    folder, cells = events
+    want = {(u, d): (min(len(cells[u][d]), len(cells[u][n])), best_total(w)) for (u, d), (n, w, _) in weights(cells).items()}
+    assert sum(n > 3 for n, _ in want.values()) >= 5
+    got = {(r.user_id, r.frame): r for r in catalogue.QUERIES["q_assignment_all"](spark, folder).collect()}
+    assert {k: r.n_links for k, r in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert {k: r.total for k, r in got.items()} == pytest.approx({k: t for k, (_, t) in want.items()}, abs=2e-6)
