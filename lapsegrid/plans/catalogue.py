@@ -557,6 +557,12 @@ def q_well_block_wide(spark, sf):
     return tables.wide(means, ["label"], list(range(9)), "mean_i")
 
 
+@query()
+def q_well_block_all(spark, sf):
+    """Every frame of the data, one per row: their number grows with the tables."""
+    return tables.every_frame(q_pixel_mean(spark, sf).join(frame_index(spark, sf), ["vec_id", "label"]), ["label"], "mean_i")
+
+
 # -- more projections, costs and tables ------------------------------------
 @query("""SELECT event_id, substr(p, length(p) - 6, 3) || CASE WHEN p LIKE '%/bin_%' THEN 'bin' WHEN p LIKE '%/bg_%' THEN 'bg' ELSE '' END AS channel
 FROM (SELECT event_id, '/run/' || CASE event_id % 3 WHEN 0 THEN 'bin_' WHEN 1 THEN 'bg_' ELSE '' END || 'B001CH' || cast(event_id % 6 AS varchar) || '.tif' AS p FROM events)""")
@@ -640,11 +646,21 @@ PIXEL = ", ".join(f"coalesce(round(max(CASE WHEN frame = {k} THEN m END), 6), -1
 l2 AS (SELECT label, 'raw' AS kind, frame, raw AS m FROM lm UNION ALL SELECT label, 'mask', frame, mask FROM lm) SELECT label, kind, {PIXEL} FROM l2 GROUP BY label, kind""")
 def q_pixel_table(spark, sf):
     """Two rows per well, raw and mask means, wide by frame."""
+    means = _pixel_means(spark, sf).where("frame < 5")
+    return tables.wide(means, ["label", "kind"], list(range(5)), "m")
+
+
+@query()
+def q_pixel_table_all(spark, sf):
+    """Raw and mask means of every well and frame of the data, one per row."""
+    return tables.every_frame(_pixel_means(spark, sf), ["label", "kind"], "m")
+
+
+def _pixel_means(spark, sf):
     mask = F.aggregate(F.transform("px", lambda v: F.when(v >= TH, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / F.size("px")
     raw = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v) / F.size("px")
     kinds = F.explode(F.map_from_arrays(F.array(F.lit("raw"), F.lit("mask")), F.array(F.round(raw, 6), F.round(mask, 6)))).alias("kind", "m")
-    means = frames(spark, sf).select("vec_id", "label", kinds).join(frame_index(spark, sf).where("frame < 5"), ["vec_id", "label"])
-    return tables.wide(means, ["label", "kind"], list(range(5)), "m")
+    return frames(spark, sf).select("vec_id", "label", kinds).join(frame_index(spark, sf), ["vec_id", "label"])
 
 
 def _image_rows(spark, sf, kernel, schema):

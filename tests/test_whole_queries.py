@@ -76,3 +76,23 @@ def test_assignment_of_all_frame_pairs(spark, events):
     got = {(r.user_id, r.frame): r for r in catalogue.QUERIES["q_assignment_all"](spark, folder).collect()}
     assert {k: r.n_links for k, r in got.items()} == {k: n for k, (n, _) in want.items()}
     assert {k: r.total for k, r in got.items()} == pytest.approx({k: t for k, (_, t) in want.items()}, abs=2e-6)
+
+
+def test_tables_hold_every_frame(spark, tmp_path):
+    rnd, rows = random.Random(7), []
+    for i in range(60):
+        rows.append((i, "a" if i % 3 else "b", [rnd.uniform(-1, 1) for _ in range(64)]))
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    stored = {r.vec_id: r.embedding for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()}
+    raw, mask = {}, {}
+    for label in "ab":
+        own = [[int((x + 1.0) * 1000.0 // 1) for x in stored[i]] for i, name, _ in rows if name == label]
+        for f in range(40):
+            raw[label, f] = sum(own[f]) / 64 if f < len(own) else -1000.0
+            mask[label, f] = sum(v >= 1000 for v in own[f]) / 64 if f < len(own) else -1000.0
+    got = {(r.label, r.frame): r.mean_i for r in catalogue.QUERIES["q_well_block_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(raw, abs=1e-6)
+    table = catalogue.QUERIES["q_pixel_table_all"](spark, str(tmp_path)).collect()
+    assert len(table) == 160
+    for kind, want in (("raw", raw), ("mask", mask)):
+        assert {(r.label, r.frame): r.m for r in table if r.kind == kind} == pytest.approx(want, abs=1e-6)
