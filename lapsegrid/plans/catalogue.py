@@ -381,11 +381,11 @@ def q_cell_mode(spark, sf):
     return wells.cell_number(_seed_counts(spark, sf), ["well"])
 
 
-def _channel_counts(spark, sf, odd):
+def _channel_counts(spark, sf, odd, targets="event_id % 4 > 1"):
     """Seeds of one channel per user and day of the first week, with zeros."""
     own = seeds(spark, sf).where("frame < 7")
     spine = own.select("user_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    return wells.seed_counts(own.where(F.col("event_id") % 4 == 0 if not odd else F.col("event_id") % 4 > 1), spine, ["user_id", "frame"])
+    return wells.seed_counts(own.where(targets if odd else "event_id % 4 = 0"), spine, ["user_id", "frame"])
 
 
 def _channel_sql(name, test):
@@ -398,8 +398,8 @@ cp AS (SELECT user_id, effectors, targets, 'E' || effectors || 'T' || targets AS
  WHERE effectors <= 1 AND targets <= 5)"""
 
 
-def _compositions(spark, sf):
-    e, t = (wells.cell_number(_channel_counts(spark, sf, odd), ["user_id"]) for odd in (False, True))
+def _compositions(spark, sf, targets="event_id % 4 > 1"):
+    e, t = (wells.cell_number(_channel_counts(spark, sf, odd, targets), ["user_id"]) for odd in (False, True))
     return wells.composition(e, t, "user_id")
 
 
@@ -408,6 +408,12 @@ def q_composition(spark, sf):
     return _compositions(spark, sf)
 
 
+@query()
+def q_composition_all(spark, sf):
+    """Every seed is in one of the channels, where the oracle of q_composition leaves a quarter out."""
+    return _compositions(spark, sf, "event_id % 4 <> 0")
+
+
 # -- tracks ---------------------------------------------------------------
 @query(f"""WITH {TP} SELECT user_id, f, CASE WHEN lead(x) OVER w IS NULL THEN 0.0 ELSE round(sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)), 6) END AS displacement FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY f)""")
 def q_displacement(spark, sf):
@@ -634,7 +640,16 @@ def q_overlap_term(spark, sf):
 @query(f"WITH {COMPOSITION} SELECT composition AS route, count(*) AS n FROM cp WHERE composition IN ('E1T1', 'E1T2', 'E1T3') GROUP BY ALL UNION ALL SELECT 'Exp', count(*) FROM cp")
 def q_routes(spark, sf):
     """Rows of the subset tables and of the experiment table, which holds all kept wells."""
-    kept = _compositions(spark, sf)
+    return _route_counts(_compositions(spark, sf))
+
+
+@query()
+def q_routes_all(spark, sf):
+    """As q_routes, with every seed in a channel."""
+    return _route_counts(q_composition_all(spark, sf))
+
+
+def _route_counts(kept):
     routes = F.explode(F.array_distinct(F.array(F.col("routed"), F.lit("Exp"))))
     return kept.select(routes.alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 

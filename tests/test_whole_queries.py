@@ -96,3 +96,23 @@ def test_tables_hold_every_frame(spark, tmp_path):
     assert len(table) == 160
     for kind, want in (("raw", raw), ("mask", mask)):
         assert {(r.label, r.frame): r.m for r in table if r.kind == kind} == pytest.approx(want, abs=1e-6)
+
+
+def test_every_seed_is_in_a_channel(spark, events):
+    folder, cells = events
+    want = {}
+    for user, days in cells.items():
+        if not any(d < 7 for d in days):
+            continue
+        kept = []
+        for effector in (True, False):
+            n = [sum((i % 4 == 0) == effector for i, *_ in days.get(d, ())) for d in range(7)]
+            kept.append(min(set(n), key=lambda k: (-n.count(k), k)))  # noqa: B023
+        if any(kept) and kept[0] <= 1 and kept[1] <= 5:
+            want[user] = tuple(kept)
+    got = {r.user_id: (r.effectors, r.targets) for r in catalogue.QUERIES["q_composition_all"](spark, folder).collect()}
+    assert got == want
+    routes = {r.route: r.n for r in catalogue.QUERIES["q_routes_all"](spark, folder).collect()}
+    assert routes["Exp"] == len(want)
+    seeds = sum(r.n for odd in (False, True) for r in catalogue._channel_counts(spark, folder, odd, "event_id % 4 <> 0").collect())
+    assert seeds == sum(len(v) for days in cells.values() for d, v in days.items() if d < 7)
