@@ -6,11 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
+#: 64-bit words of a Bloom filter at most: 16 MB, whatever the input.
+BLOOM_WORDS = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,3 +81,74 @@ def lower_bytes(text: str | None) -> bytes:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# -- sets of keys ---------------------------------------------------------
+class Bloom:
+    """A set of 64-bit hash keys of at most BLOOM_WORDS words: it may hold more than was put in,
+    never less. What it lets through is always decided by an exact join afterwards; beyond some
+    ten million keys it lets more through, no key is lost."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def of(keys: DataFrame, n: int, most: int = BLOOM_WORDS) -> Bloom:
+        """The filter of the ``n`` values of the column ``key`` (long): each sets four bits of one word."""
+        size = min(most, 1 << max(6, (max(1, n) * 16 // 64 - 1).bit_length()))
+        bit = lambda shift: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {shift}) & 63 as int))")
+        mask = bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))
+        word = F.expr(f"shiftrightunsigned(key, 24) & {size - 1}")
+        rows = keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words = np.zeros(size, dtype=np.uint64)
+        words[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+        return Bloom(words)
+
+    def might(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys (unsigned 64-bit) may be in the set."""
+        one, low = np.uint64(1), np.uint64(63)
+        mask = np.zeros(len(keys), dtype=np.uint64)
+        for shift in (0, 6, 12, 18):
+            mask |= one << ((keys >> np.uint64(shift)) & low)
+        return (self.words[(keys >> np.uint64(24)) & np.uint64(len(self.words) - 1)] & mask) == mask
+
+
+def text_digests(text: Column) -> list[Column]:
+    """Two differently seeded hashes: 128 bits that tell texts apart."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def fresh_names(frame: DataFrame, *names: str) -> list[str]:
+    """Names, lengthened until no column of the frame is called so in any case."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_texts(docs: DataFrame, lost: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` whose text isn't among ``lost`` (d0, d1: text digests, distinct, staged).
+
+    A few lost texts are joined as they are (16 bytes each, counted before). With more, rows that
+    a Bloom filter rules out pass by unshuffled and only the others meet the exact anti-join.
+    """
+    names = fresh_names(docs, "d0", "d1")
+    keyed = docs.select("*", *(d.alias(n) for d, n in zip(text_digests(docs["text"]), names, strict=True)))
+    right = lost.select(F.col("d0").alias("lost_d0"), F.col("d1").alias("lost_d1"))
+    n = right.count()
+    same = lambda rows: (rows[names[0]] == F.col("lost_d0")) & (rows[names[1]] == F.col("lost_d1"))
+    if n <= broadcast_rows:
+        return keyed.join(F.broadcast(right), same(keyed), "left_anti").select(*docs.columns)
+    words = docs.sparkSession.sparkContext.broadcast(Bloom.of(lost.select(F.col("d0").alias("key")), n).words)
+
+    @F.arrow_udf("boolean")
+    def might(keys: pa.Array) -> pa.Array:
+        return pa.array(Bloom(words.value).might(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    maybe = fresh_names(docs, "d0", "d1", "maybe")[2]
+    marked = keyed.withColumn(maybe, might(F.col(names[0])))
+    rest = marked.where(F.col(maybe))
+    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(rest.join(right, same(rest), "left_anti").select(*docs.columns))

@@ -5,11 +5,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
 
-from lapsegrid.llm import decontam, html, secrets, simhash, warc
+from lapsegrid.llm import common, decontam, html, secrets, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -234,16 +235,47 @@ def plain_report(texts, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [8 << 20, 40])
-def test_decontamination(spark, limit):
-    rnd = random.Random(2)
+def bench_case(spark, many, seed=2):
+    rnd = random.Random(seed)
     pool = "a b c d e F g é 1 2".split()
-    items = [(i, " ".join(rnd.choice(pool) for _ in range(rnd.choice([0, 1, 3, 9, 10, 11, 15])))) for i in range(12)] + [(12, None), (3, "a b"), (13, "a a a a")]
+    items = [(i, " ".join(rnd.choice(pool) for _ in range(rnd.choice([0, 1, 3, 9, 10, 11, 15])))) for i in range(many)] + [(many, None), (3, "a b"), (many + 1, "a a a a")]
     texts = [" ".join(rnd.choice(pool) for _ in range(rnd.randint(0, 60))) + "." + (rnd.choice(items)[1] or "") for _ in range(40)] + [None, "", "..", "a a a a a a", "A! b?"]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    frame = docs(spark, texts).selectExpr("*", "1 as n_hit", "2 as items_")
-    found = decontam.find_contamination(frame, bench, block_bytes=limit).collect()
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found}
-    assert got == plain_report(texts, items)
-    assert decontam.report(docs(spark, []), bench).count() == 0
+    return spark.createDataFrame(items, "item_id long, text string"), items, texts
+
+
+@pytest.mark.parametrize("many", [12, 600])
+def test_decontamination(spark, many):
+    bench, items, texts = bench_case(spark, many)
+    texts = texts + texts[:5]
+    frame = docs(spark, texts).selectExpr("*", "1 as n_hit", "2 as items_", "3 as D0")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(frame, bench).collect()}
+    want = plain_report(texts, items)
+    assert got == want
+    left = decontam.clean(frame, bench)
+    assert left.columns == frame.columns and {r.doc_id for r in left.collect()} == {d for d, w in want.items() if not w[4]}
+
+
+def test_decontamination_proposes_by_rare_shingles(spark):
+    common, rare = [f"w{k}" for k in range(9)], "q r s t u v w x y z".split()
+    texts = [" ".join(common + ["o"])] * 30 + [" ".join(["k", *rare[:5], *common[:5], "l"]), " ".join(common[:8])]
+    bench = spark.createDataFrame([("x", " ".join(rare[:5] + common[:5])), ("y", " ".join(common + ["never"]))], "item_id string, text string")
+    found = decontam.Search(docs(spark, texts), bench)
+    assert found.rows.where("size(found) > 0").count() == 1  # the 30 others hold common shingles only
+    assert [(r.doc_id, r.start, r.n, r.item_id) for r in decontam.occurrences(docs(spark, texts), bench).collect()] == [(30, 1, 10, "x")]
+
+
+def test_decontamination_edges(spark):
+    bench = bench_case(spark, 12)[0]
+    assert decontam.report(docs(spark, []), bench).count() == 0 and decontam.clean(docs(spark, []), bench).count() == 0
     assert decontam.report(docs(spark, ["a"]), bench.limit(0)).collect() == [Row(doc_id=0, n_words=1, n_hit=0, n_items=0, items_sha256=hashlib.sha256(b"").hexdigest(), contaminated=False)]
+    assert decontam.clean(docs(spark, ["a", None], [None, None]), bench.limit(0)).count() == 2
+
+
+def test_texts_are_left_out_exactly_behind_the_filter(spark):
+    frame = docs(spark, [f"text {k}" for k in range(2000)] + [None, ""]).selectExpr("*", "doc_id as D0", "'m' as maybe")
+    lost = frame.where("doc_id % 3 = 0").select(*(d.alias(f"d{k}") for k, d in enumerate(common.text_digests(frame["text"])))).distinct()
+    for rows in (0, 10_000):
+        left = common.without_texts(frame, lost, rows)
+        assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [k for k in range(2002) if k % 3]
+    small = common.Bloom.of(lost.selectExpr("d0 as key"), 667, 64)
+    assert small.words.size == 64 and small.might(np.array([r.d0 for r in lost.collect()]).view(np.uint64)).all()
