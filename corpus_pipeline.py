@@ -37,8 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which no window of a benchmark item occurs."""
-    rows, back = sheltered(docs, decontam.MADE)
-    return back(decontam.find_contamination(rows, read(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
