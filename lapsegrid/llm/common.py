@@ -93,9 +93,9 @@ class Bloom:
         self.words = words
 
     @staticmethod
-    def of(keys: DataFrame, n: int, most: int = BLOOM_WORDS) -> Bloom:
+    def of(keys: DataFrame, n: int, most: int | None = None) -> Bloom:
         """The filter of the ``n`` values of the column ``key`` (long): each sets four bits of one word."""
-        size = min(most, 1 << max(6, (max(1, n) * 16 // 64 - 1).bit_length()))
+        size = min(most or BLOOM_WORDS, 1 << max(6, (max(1, n) * 16 // 64 - 1).bit_length()))
         bit = lambda shift: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {shift}) & 63 as int))")
         mask = bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))
         word = F.expr(f"shiftrightunsigned(key, 24) & {size - 1}")
@@ -129,26 +129,35 @@ def fresh_names(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without_texts(docs: DataFrame, lost: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """The rows of ``docs`` whose text isn't among ``lost`` (d0, d1: text digests, distinct, staged).
+def without(rows: DataFrame, keys: list[Column], lost: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows whose two hash keys aren't a row of ``lost`` (d0, d1: long, distinct, staged).
 
-    A few lost texts are joined as they are (16 bytes each, counted before). With more, rows that
-    a Bloom filter rules out pass by unshuffled and only the others meet the exact anti-join.
+    Few lost keys are joined as they are (16 bytes each, counted before). With more, a Bloom filter
+    lets pass what it rules out. Of the others only the keys are compared with ``lost``; those that
+    were let in wrongly fill a second filter, and only rows behind both meet the exact anti-join: what
+    is kept or lost is never shuffled whole, but for that small share.
     """
-    names = fresh_names(docs, "d0", "d1")
-    keyed = docs.select("*", *(d.alias(n) for d, n in zip(text_digests(docs["text"]), names, strict=True)))
-    right = lost.select(F.col("d0").alias("lost_d0"), F.col("d1").alias("lost_d1"))
+    names = fresh_names(rows, "d0", "d1", "maybe", "again")
+    keyed = rows.select("*", *(d.alias(n) for d, n in zip(keys, names, strict=False)))
+    right = lost.select(F.col("d0").alias(names[0]), F.col("d1").alias(names[1]))
     n = right.count()
-    same = lambda rows: (rows[names[0]] == F.col("lost_d0")) & (rows[names[1]] == F.col("lost_d1"))
     if n <= broadcast_rows:
-        return keyed.join(F.broadcast(right), same(keyed), "left_anti").select(*docs.columns)
-    words = docs.sparkSession.sparkContext.broadcast(Bloom.of(lost.select(F.col("d0").alias("key")), n).words)
+        return keyed.join(F.broadcast(right), names[:2], "left_anti").select(*rows.columns)
+    marked = keyed.withColumn(names[2], _tester(rows.sparkSession, Bloom.of(lost.select(F.col("d0").alias("key")), n))(F.col(names[0])))
+    doubtful = staged(marked.where(F.col(names[2])).select(*names[:2]).join(right, names[:2], "left_anti").select(F.col(names[0]).alias("key")).distinct(), "doubtful")
+    sure = marked.where(~F.col(names[2])).select(*rows.columns)
+    wrong = doubtful.count()
+    if not wrong:
+        return sure
+    rest = marked.where(F.col(names[2])).withColumn(names[3], _tester(rows.sparkSession, Bloom.of(doubtful, wrong))(F.col(names[0]))).where(F.col(names[3]))
+    return sure.unionByName(rest.join(right, names[:2], "left_anti").select(*rows.columns))
+
+
+def _tester(spark: SparkSession, bloom: Bloom):
+    words = spark.sparkContext.broadcast(bloom.words)
 
     @F.arrow_udf("boolean")
     def might(keys: pa.Array) -> pa.Array:
         return pa.array(Bloom(words.value).might(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    maybe = fresh_names(docs, "d0", "d1", "maybe")[2]
-    marked = keyed.withColumn(maybe, might(F.col(names[0])))
-    rest = marked.where(F.col(maybe))
-    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(rest.join(right, same(rest), "left_anti").select(*docs.columns))
+    return might

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lapsegrid.llm.common import Bloom, bounded_batches, columns, staged, text_digests, without_texts
+from lapsegrid.llm.common import Bloom, bounded_batches, columns, staged, text_digests, without
 
 WINDOW = 10
 #: Words of a shingle; a shorter window is one shingle.
@@ -260,7 +260,7 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFr
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, in whose text no item's window occurs.
     Null and empty texts stay; the rules of ``report`` hold."""
-    return without_texts(docs, staged(Search(docs, items, size).texts(), "bench-texts"))
+    return without(docs, text_digests(docs["text"]), staged(Search(docs, items, size).texts(), "bench-texts"))
 
 
 ORACLE = """

@@ -156,25 +156,60 @@ def test_keep_one_decides_by_row(spark):
 
 
 # -- WARC -----------------------------------------------------------------
-def test_warc_round_trip(spark):
-    long, other = "ä" * 600, "x\r\n\r\nWARC/1.1\r\n" * 100
-    rows = [(1, "u", long), (2, "u\r\nX: y", long), (3, None, long), (4, "v", None), (5, "v", ""), (6, "v", "small"), (7, "v", "small"), (8, "w", other), (9, "w", other), (9, "w", other), (None, "n", long)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest")
+LONG, OTHER = "ä" * 600, "x\r\n\r\nWARC/1.1\r\n" * 100
+PAGES = [(1, "u", LONG), (2, "u\r\nX: y", LONG), (3, None, LONG), (4, "v", None), (5, "v", ""), (6, "v", "small"), (7, "v", "small"), (8, "w", OTHER), (9, "w", OTHER), (9, "w", OTHER), (None, "n", LONG)]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_warc_round_trip(spark, rows, monkeypatch):
+    monkeypatch.setattr(warc, "without", lambda a, b, c: common.without(a, b, c, rows))
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as D0")
     got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
-    top = {long: 3, other: 9}
+    top = {LONG: 3, OTHER: 9}
     want = sorted(
-        (str(i), len((t or "").encode()), sha(t), *(("revisit", top[t]) if t in top and i is not None and i < top[t] else ("response", None))) for i, _, t in rows
+        (str(i), len((t or "").encode()), sha(t), *(("revisit", top[t]) if t in top and i is not None and i < top[t] else ("response", None))) for i, _, t in PAGES
     )
     assert got == want
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_warc_parser_takes_any_split():
+def test_warc_records_are_valid_and_reached_by_offset(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 600)
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w", date="2024-02-03T04:05:06Z")
+    rows = warc.read_archives(spark, f"{tmp_path}/w").collect()
+    assert len(rows) == len(PAGES) == len({r.record_id for r in rows})
+    ids = {r.record_id: r for r in rows}
+    for r in rows:
+        whole = open(r.file.removeprefix("file:"), "rb").read()
+        assert whole.endswith(warc.EMPTY)
+        data = gzip.decompress(whole[r.offset : r.offset + r.length])  # one record, whole and alone
+        ((named, block),) = warc.parse(data)
+        assert re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", named["warc-record-id"]) and named["warc-record-id"] == r.record_id
+        assert named["warc-date"] == "2024-02-03T04:05:06Z" and named["content-type"].startswith("application/http") and named["warc-target-uri"]
+        assert warc.payload_of(named, block) == bytes(r.payload) and data.startswith(b"WARC/1.1\r\n")
+        if r.record_type == "revisit":
+            to = ids[named["warc-refers-to"]]
+            assert named["warc-profile"] == warc.PROFILE and to.digest == named["warc-payload-digest"].removeprefix("sha1:") and not r.payload
+            assert named["warc-refers-to-date"] == to.date and named["warc-refers-to-target-uri"] == (to.url or warc.NO_URL)
+        else:
+            assert hashlib.sha1(bytes(r.payload)).hexdigest() == named["warc-payload-digest"].removeprefix("sha1:")
+    assert len({r.file for r in rows if r.record_type == "response"}) > 1
+
+
+def test_warc_parser():
     data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n" * 3
-    for step in (1, 7, 1000):
-        assert [b for _, b in warc.parse(data[i : i + step] for i in range(0, len(data), step))] == [b"ab\r\nc"] * 3
-    assert b"".join(warc.gunzip(gzip.compress(data) + gzip.compress(b"more"))) == data + b"more"
+    assert [b for _, b in warc.parse(data)] == [b"ab\r\nc"] * 3
+    noise = random.Random(1).randbytes(300_000)
+    packed = gzip.compress(data) + gzip.compress(noise) + warc.EMPTY
+    parts = list(warc.gzip_members(packed))
+    assert [d for _, _, d in parts] == [data, noise, b""] and sum(n for _, n, _ in parts) == len(packed)
+    for broken in (data[:-3], data[:20], b"x" + data):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+    with pytest.raises(ValueError):
+        list(warc.gzip_members(packed[:-4]))
 
 
 # -- secrets --------------------------------------------------------------
@@ -274,8 +309,14 @@ def test_decontamination_edges(spark):
 def test_texts_are_left_out_exactly_behind_the_filter(spark):
     frame = docs(spark, [f"text {k}" for k in range(2000)] + [None, ""]).selectExpr("*", "doc_id as D0", "'m' as maybe")
     lost = frame.where("doc_id % 3 = 0").select(*(d.alias(f"d{k}") for k, d in enumerate(common.text_digests(frame["text"])))).distinct()
-    for rows in (0, 10_000):
-        left = common.without_texts(frame, lost, rows)
+    for rows in (10_000, 0):
+        left = common.without(frame, common.text_digests(frame["text"]), lost, rows)
         assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [k for k in range(2002) if k % 3]
+    least = common.BLOOM_WORDS
+    common.BLOOM_WORDS = 64  # nearly all rows look lost
+    try:
+        assert sorted(r.doc_id for r in common.without(frame, common.text_digests(frame["text"]), lost, 0).collect()) == [k for k in range(2002) if k % 3]
+    finally:
+        common.BLOOM_WORDS = least
     small = common.Bloom.of(lost.selectExpr("d0 as key"), 667, 64)
     assert small.words.size == 64 and small.might(np.array([r.d0 for r in lost.collect()]).view(np.uint64)).all()
