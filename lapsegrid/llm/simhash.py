@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsegrid.llm.common import bounded_batches, columns, lower_bytes, staged
+from lapsegrid.llm.common import bounded_batches, columns, lower_bytes, staged, without
 from lapsegrid.llm.graph import components
 
 SEED = 42
@@ -62,7 +62,7 @@ def _fingerprints(batches) -> Iterator[pa.RecordBatch]:
         made = [fingerprint(t) for (t,) in columns(batch, "text")]
         signed = np.array(made, dtype=np.uint64).view(np.int64)
         more = {n: batch.column(n) for n in batch.schema.names if n not in ("doc_id", "text")}
-        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "fp": pa.array(signed)} | more)
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(signed)} | more)
 
 
 def fingerprints(docs: DataFrame, *digests: Column) -> DataFrame:
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, *digests: Column) -> DataFrame:
     64-bit integer, digests further long columns of the document."""
     bounded_batches(docs.sparkSession)
     more = [d.alias(f"digest{k}") for k, d in enumerate(digests)]
-    schema = ", ".join(["doc_id long", "fp long", *(f"digest{k} long" for k in range(len(more)))])
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", "fp long", *(f"digest{k} long" for k in range(len(more)))])
     return docs.select("doc_id", "text", *more).mapInArrow(_fingerprints, schema)
 
 
@@ -85,6 +85,43 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - radius)]
 
 
+def cross_links(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two tiles of distinct fingerprints that connect what all their links connect, as
+    index pairs: a spanning forest, grown an inner tile pair at a time. Pairs within a tile are not compared."""
+    orders = [np.argsort(np.bitwise_count(x), kind="stable") for x in (left, right)]
+    a, b = left[orders[0]], right[orders[1]]
+    wa, wb = (np.bitwise_count(x).astype(np.int64) for x in (a, b))
+    parent = list(range(len(a) + len(b)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out: list[tuple[int, int]] = []
+    for i in range(0, len(a), INNER):
+        last = min(i + INNER, len(a))
+        for j in range(0, len(b), INNER):
+            end = min(j + INNER, len(b))
+            if wb[j] - wa[last - 1] > radius:
+                break
+            if wa[i] - wb[end - 1] > radius:
+                continue
+            near = np.bitwise_count(a[i:last, None] ^ b[None, j:end]) <= radius
+            while near.any():  # each round joins every row that still has a link to another part
+                rows, cols = (np.array([root(k) for k in range(x, y)]) for x, y in ((i, last), (len(a) + j, len(a) + end)))
+                near &= rows[:, None] != cols[None, :]
+                at = np.flatnonzero(near.any(axis=1))
+                for x, y in zip(at.tolist(), near[at].argmax(axis=1).tolist(), strict=True):
+                    p, q = root(i + x), root(len(a) + j + y)
+                    if p != q:
+                        parent[p] = q
+                        out.append((i + x, j + y))
+    at = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return orders[0][at[:, 0]], orders[1][at[:, 1]]
+
+
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints, as index pairs."""
     none = np.empty(0, dtype=np.int64)
@@ -123,34 +160,40 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, n
 
 
 def _bucket_links(batches) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by bucket; the open bucket is carried from batch to batch."""
+    """Rows arrive sorted by bucket and tile pair; what is open is carried from batch to batch. A pair of
+    one tile with itself compares the tile, one of two tiles only across."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[np.ndarray] = []
     held_key = None
 
     def close():
-        fps = np.unique(np.concatenate(held))
-        i, j = spanning_links(fps.view(np.uint64))
-        return fps[i], fps[j]
+        rows = np.concatenate(held, axis=1)
+        if held_key[3] == held_key[4]:
+            fps = np.unique(rows[0])
+            i, j = spanning_links(fps.view(np.uint64))
+            return fps[i], fps[j]
+        left, right = (np.unique(rows[0][rows[1] == t]) for t in held_key[3:])
+        i, j = cross_links(left.view(np.uint64), right.view(np.uint64))
+        return left[i], right[j]
 
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("choice", "key", "cell", "i", "j")])
-        fps = batch.column("fp").to_numpy(zero_copy_only=False)
-        if not len(fps):
+        rows = np.stack([batch.column("fp").to_numpy(zero_copy_only=False), batch.column("mine").to_numpy(zero_copy_only=False).astype(np.int64)])
+        if not batch.num_rows:
             continue
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        bounds = [0, *cuts.tolist(), len(fps)]
+        bounds = [0, *cuts.tolist(), batch.num_rows]
         out = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             key = tuple(keys[:, a])
             if key != held_key:
-                if held and sum(map(len, held)) > 1:
+                if sum(h.shape[1] for h in held) > 1:
                     out.append(close())
                 held, held_key = [], key
-            held.append(fps[a:b])
+            held.append(rows[:, a:b])
         if out:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
-    if held and sum(map(len, held)) > 1:
+    if sum(h.shape[1] for h in held) > 1:
         a, b = close()
         yield pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
 
@@ -171,7 +214,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least(u, mine).alias("i"), F.greatest(u, mine).alias("j")))
     dealt = (
         rows.join(large, at, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        .select("fp", *at, F.explode(others).alias("p")).select("fp", *at, "p.i", "p.j")
+        .select("fp", *at, mine.alias("mine"), F.explode(others).alias("p")).select("fp", *at, "mine", "p.i", "p.j")
     )
     group = [*at, "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -194,8 +237,8 @@ def classes(fps: DataFrame, radius: int = RADIUS, name: Column | str = "doc_id")
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated
-    rows stay repeated. Columns other than doc_id and text are ignored. An empty table
+    Null and empty texts have fingerprint zero and are linked like any other; texts of any
+    length are read whole, their shingles hashed CHUNK at a time. Repeated rows stay repeated. Columns other than doc_id and text are ignored. An empty table
     gives an empty result.
     """
     fps = staged(fingerprints(docs), "fingerprints")
@@ -203,38 +246,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _text_digests(docs: DataFrame) -> list[Column]:
-    """Two differently seeded hashes: 128 bits that tell texts apart."""
-    return [F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])]
-
-
-def _of_key(docs: DataFrame, keys: DataFrame) -> Column:
-    """Whether a document has the doc_id, null included, and text of a row of keys."""
-    same = docs["doc_id"].eqNullSafe(keys["doc_id"])
-    for k, digest in enumerate(_text_digests(docs)):
-        same = same & (digest == keys[f"digest{k}"])
-    return same
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each class the row with the smallest doc_id.
 
     All columns of ``docs`` are kept. A null doc_id comes after all others; rows of a class
     with the same doc_id are ordered by their text's digests, then by the digest of their other columns.
-    Rows of different classes never drop each other, whatever their doc_ids.
+    Rows of different classes never drop each other, whatever their doc_ids. Null and empty texts
+    are one class; very long texts are read whole; an empty table gives an empty result.
     """
-    fps = staged(fingerprints(docs, *_text_digests(docs)), "fingerprints")
-    key = ["doc_id", "digest0", "digest1"]
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), *key)
+    keys = lambda rows: [F.xxhash64(rows["doc_id"], rows["text"]), F.xxhash64(F.lit(1), rows["doc_id"], rows["text"])]
+    names = ["digest0", "digest1"]
+    fps = staged(fingerprints(docs, *keys(docs)), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *names)
     # The same text has the same fingerprint, so a key is in one class only.
-    found = fps.join(classes(fps, name=rank), "fp").select(*key, rank.eqNullSafe(F.col("component_id")).alias("first"))
-    lost = found.where("not first").select(*key).distinct()
-    kept = docs.join(lost, _of_key(docs, lost), "left_anti").select(*docs.columns)
-    again = staged(found.where("first").groupBy(*key).count().where("count > 1").select(*key), "again")
+    found = fps.join(classes(fps, name=rank), "fp").select(*names, rank.eqNullSafe(F.col("component_id")).alias("first"))
+    short = [F.col(n).alias(f"d{k}") for k, n in enumerate(names)]
+    found = staged(found.groupBy(*short, "first").count(), "survivors")
+    kept = without(docs, keys(docs), found.where("not first").select("d0", "d1"))
+    again = staged(found.where("first and count > 1").select("d0", "d1"), "again")
     if again.isEmpty():
         return kept
-    single = kept.join(again, _of_key(kept, again), "left_anti").select(*docs.columns)
+    single = without(kept, keys(kept), again)
     others = F.xxhash64(F.to_json(F.struct(*(kept[c] for c in docs.columns if c != "text"))))
     row = F.struct(*(kept[c] for c in docs.columns))
-    repeated = kept.join(again, _of_key(kept, again)).groupBy(*(again[c] for c in key)).agg(F.min_by(row, others).alias("row_"))
+    same = [k == again[n] for k, n in zip(keys(kept), ("d0", "d1"), strict=True)]
+    repeated = kept.join(again, same[0] & same[1]).groupBy(again["d0"], again["d1"]).agg(F.min_by(row, others).alias("row_"))
     return single.unionByName(repeated.select("row_.*"))

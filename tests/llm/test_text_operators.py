@@ -129,6 +129,34 @@ def test_simhash_schemes_are_exact():
             assert any(not (a ^ b) & m for m in masks)
 
 
+def test_simhash_tile_pairs_connect_what_all_links_connect():
+    rnd = np.random.default_rng(4)
+
+    def parts(n, links):
+        label = list(range(n))
+        for a, b in links:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    for size in (3, 40, 1300):
+        seeds = rnd.integers(0, 1 << 63, 3, dtype=np.uint64)
+        made = [np.unique(rnd.choice(seeds, size) ^ np.uint64(1) * (np.uint64(1) << rnd.integers(0, 30, size, dtype=np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 40, size, dtype=np.uint64))) for _ in range(2)]
+        left, right = made[0], np.setdiff1d(made[1], made[0])
+        i, j = simhash.cross_links(left, right)
+        every = np.argwhere(np.bitwise_count(left[:, None] ^ right[None, :]) <= 4)
+        n = len(left) + len(right)
+        if size < 1000:
+            assert parts(n, [(a, len(left) + b) for a, b in every.tolist()]) == parts(n, [(a, len(left) + b) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+        assert len(i) < n and (np.bitwise_count(left[i] ^ right[j]) <= 4).all()
+        assert {*i.tolist()} == {*every[:, 0].tolist()} or size >= 1000
+
+
+def test_simhash_takes_text_ids(spark):
+    frame = spark.createDataFrame([("b", "x y"), ("a", "x y"), (None, "z")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(frame).collect()) == [("None", "None"), ("a", "a"), ("b", "a")]
+
+
 def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     twice = docs(spark, ["x y", "x y", "z"], [4, 4, 9])
