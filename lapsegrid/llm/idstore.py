@@ -6,14 +6,16 @@ counts and offsets, so that one short document is read without the others. Files
 written by Spark's text writer, one file image per row, through its commit protocol to
 any file system; the newline it adds is the last byte of the format.
 
-Words are encoded apart: the tokenizer drops white space and never joins across it, so
-a text's ids are those of its white-space separated words in turn.
+With the word tokenizer that SHAPE describes, words are encoded apart: it drops white space and
+never joins across it, so a text's ids are those of its white-space separated words in turn. Whether
+a file is of that shape is read from the file; any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 import struct
@@ -28,14 +30,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapsegrid.llm.common import bounded_batches, columns, new_path, staged
+from lapsegrid.llm.common import bounded_batches, columns, new_path, remove, staged
 
 END_ID = 1
 LEVEL = 3
 #: The dictionary: its bytes, and about how many short documents it is trained on.
 DICTIONARY_BYTES, DICTIONARY_DOCS, SHORT_BYTES = 32 << 10, 2000, 16 << 10
-#: Bytes of a file (it ends with the document that reaches this).
-FILE_BYTES = 8 << 20
+#: Bytes of a file (it ends with the document that reaches this), and of a partition, which writes many.
+FILE_BYTES, PART_BYTES = 8 << 20, 2 << 30
+#: What a tokenizer file says if its words can be encoded apart.
+SHAPE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None, "padding": None,
+}
 #: Stems that a worker remembers, in each of two generations, and the bytes of the longest.
 CACHE_WORDS, CACHE_MARKS, LONG = 300_000, 1000, 100
 #: Words of a text joined at once, and unseen stems encoded as one text.
@@ -68,6 +78,17 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
+def apart(path: str) -> bool:
+    """Whether the tokenizer in the file encodes white-space separated words apart: SHAPE, a BPE
+    model whose words end in a mark of their own, and added tokens without white space in them."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model = said["model"]
+    plain = (model.get("type", "BPE"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("byte_fallback", False)) == ("BPE", "</w>", None, False)
+    added = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in said["added_tokens"])
+    return plain and added and all(said[k] == v for k, v in SHAPE.items())
+
+
 class Encoder:
     """Ids of texts as little-endian bytes. A batch's distinct words are cut into stems and
     marks by Arrow; only distinct stems are looked up one by one. They are remembered in two
@@ -78,6 +99,7 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = apart(path)
         #: The same model for stems, which are normal already and hold one pre-token each.
         self.stems = Tokenizer.from_file(path)
         self.stems.normalizer = normalizers.Sequence([])
@@ -150,6 +172,9 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array, end: int = END_ID) -> list[bytes]:
         """Ids of whole texts with the end id, as bytes. Null is empty."""
+        if not self.apart:
+            found = self.tokenizer.encode_batch_fast(_strings(texts.fill_null("")), add_special_tokens=False)
+            return [np.array([*e.ids, end], dtype=self.kind).tobytes() for e in found]
         collects = gc.isenabled()
         gc.disable()  # many lists, no cycles
         try:
@@ -180,11 +205,11 @@ def encoder(path: str) -> Encoder:
 # -- dictionary -----------------------------------------------------------
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Train the shared dictionary on a bounded sample: about DICTIONARY_DOCS documents of
-    up to SHORT_BYTES, picked by a hash of their id. Few samples give their plain bytes."""
+    up to SHORT_BYTES, picked and ordered by a hash. Few samples give their plain bytes."""
     many = max(1, docs.count() // DICTIONARY_DOCS)
     short = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(many)) == 0) & (F.octet_length("text") <= SHORT_BYTES))
-    rows = short.select(F.xxhash64("doc_id", "text").alias("h"), "text").limit(2 * DICTIONARY_DOCS).collect()
-    samples = encoder(tokenizer).encode_all(pa.array([t for _, t in sorted(rows)], pa.string()))
+    rows = short.select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h", "text").limit(2 * DICTIONARY_DOCS).collect()
+    samples = encoder(tokenizer).encode_all(pa.array([r.text for r in rows], pa.string()))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -245,8 +270,9 @@ def _files(digest: bytes, width: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Write the id files of ``docs`` under ``path``, documents in ascending doc_id order
-    across files; ties by length and content, null ids first."""
+    """Write the id files of ``docs`` (integer doc_ids) under ``path``, documents in ascending doc_id
+    order across files; ties by length and content, null ids first. A partition of the sort is as large
+    as PART_BYTES on large inputs and writes file after file, so their number follows the cluster's work, not the files'."""
     spark = docs.sparkSession
     bounded_batches(spark)
     dictionary = train_dictionary(docs, tokenizer)
@@ -257,9 +283,11 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     rows = staged(docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, dictionary), "doc_id long, n_tokens long, crc long, frame binary"), "id-frames", "none")
     total = rows.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
     order = ["doc_id", "n_tokens", "crc"]
-    dealt = rows.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order)
+    parts = min(-(-total // FILE_BYTES), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES)))
+    dealt = rows.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order)
     images = dealt.select("doc_id", "n_tokens", "frame").mapInArrow(_files(digest, width), "image binary")
     images.select(as_text).write.option("maxRecordsPerFile", 1).text(f"{path}/files")
+    remove(rows)
 
 
 # -- reading --------------------------------------------------------------
@@ -323,12 +351,17 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the id files of ``docs`` and read them back: doc_id, start, n_tokens, ids_crc32.
 
     Null and empty texts hold the end id alone. Repeated rows and null ids are documents
-    like any other. Other columns are ignored; an empty table gives an empty result.
+    like any other; texts of any length are one document. Other columns are ignored; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     path = new_path(spark, "ids")
     write(docs, path, tokenizer)
-    rows = staged(read(spark, path), "id-rows")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    rows = staged(read(spark, path), "id-rows").withColumn("part", F.shiftrightunsigned("file", 24))
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per partition written
+    sums = np.cumsum([0, *(r.n for r in parts)]).tolist()
+    offsets = spark.createDataFrame([(r.part, n) for r, n in zip(parts, sums, strict=False)], "part long, ahead long")
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = rows.groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).select("part", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    begins = files.join(F.broadcast(offsets), "part").select("file", (F.col("before") + F.col("ahead")).alias("begin"))
+    return rows.join(begins, "file").select("doc_id", (F.col("begin") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
