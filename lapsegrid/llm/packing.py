@@ -1,11 +1,11 @@
 """Variable-capacity best-fit packing of token sequences.
 
-Lengths are counted in one pass. Documents are dealt at random to shards of bounded
-size and each shard is packed by itself, longest first: a piece goes to the open bin it
-fits most tightly; if none fits, the bin size is opened whose cost per token is least,
-given what is still to come. At the end each bin shrinks to the smallest permitted
-length that holds its contents. No token is dropped: documents longer than the largest
-length are cut into pieces of that length and a rest.
+Texts are encoded once. Documents are dealt at random to shards of bounded size and each
+shard is packed by itself, longest first: a piece goes to the open bin it fits most tightly;
+if none fits, the bin size is opened whose cost per token is least, given what is still to
+come. At the end each bin shrinks to the smallest permitted length that holds its contents
+and is written out as a training sequence. No token is dropped: documents longer than the
+largest length are cut into pieces of that length and a rest.
 """
 
 from __future__ import annotations
@@ -15,31 +15,38 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsegrid.llm.common import bounded_batches, columns, staged
+from lapsegrid.llm.common import bounded_batches, staged
+from lapsegrid.llm.idstore import encoder
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a bin besides its tokens.
 OVERHEAD = 32
-#: Documents in a shard, on average.
-SHARD = 4096
-SCHEMA = "doc_id long, piece int, start long, n_tokens int, bin_id long, capacity int, offset int"
+#: Documents and tokens in a shard, on average.
+SHARD, SHARD_TOKENS = 4096, 16 << 20
+SCHEMA = "bin_id long, capacity int, n_tokens int, pieces array<struct<doc_id:{kind},piece:int,start:long,n_tokens:int,offset:int>>, ids array<int>"
 
 
-def _count(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [len((t or "").encode("utf-8", "surrogatepass").split()) + 1 for (t,) in columns(batch, "text")]
-        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(n, pa.int64())})
+def _encode(tokenizer: str):
+    def encode(batches) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer)
+        for batch in batches:
+            ids = own.encode_all(batch.column("text"))
+            n = [len(x) // own.kind.itemsize for x in ids]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
+    return encode
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): white-space words and one end token per document."""
+
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): the token ids of each text and an end id, as little-endian bytes."""
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_count, "doc_id long, n_tokens long")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(_encode(tokenizer), f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def cheapest(length: int, capacities, overhead: int, sizes: list[int], sums: list[int], to_come: int) -> int:
@@ -92,35 +99,64 @@ def best_fit(lengths: np.ndarray, capacities=CAPACITIES, overhead: int = OVERHEA
     return bins, offsets, [min(c for c in capacities if c >= u) for u in used]
 
 
-def cut(doc_ids, tokens, largest: int) -> pd.DataFrame:
-    """Pieces of documents: of the largest length, then the rest."""
+def cut(tokens: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, number, start, length) of the pieces: of the largest length, then the rest."""
     pieces = np.maximum(1, -(-tokens // largest))
     row = np.repeat(np.arange(len(tokens)), pieces)
     piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = piece * largest
-    return pd.DataFrame({"doc_id": doc_ids.iloc[row].array, "piece": piece.astype(np.int32), "start": start, "n_tokens": np.minimum(largest, tokens[row] - start)})
+    return row, piece, start, np.minimum(largest, tokens[row] - start)
+
+
+def _sequences(shard: int, rows: pa.Table, width: int, capacities, overhead: int) -> pa.Table:
+    """The packed sequences of a shard's documents."""
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("n_tokens", "ascending"), ("row", "ascending")]))
+    tokens = rows["n_tokens"].to_numpy()
+    flat = np.frombuffer(b"".join(rows["ids"].to_pylist()), dtype=f"<u{width}")
+    begins = np.cumsum(tokens) - tokens
+    doc, piece, start, n = cut(tokens, capacities[-1])
+    bins, offsets, final = best_fit(n, capacities, overhead)
+    order = np.lexsort((offsets, bins))
+    doc, piece, start, n, bins, offsets = (x[order] for x in (doc, piece, start, n, bins, offsets))
+    at = (begins[doc] + start).tolist()
+    ids = np.concatenate([flat[a : a + m] for a, m in zip(at, n.tolist(), strict=True)]).astype(np.int32)
+    many = len(final)
+    used = np.bincount(bins, n, many).astype(np.int64)
+    kinds = [rows.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    parts = [rows["doc_id"].combine_chunks().take(pa.array(doc)), *(pa.array(x, t) for x, t in zip((piece, start, n, offsets), kinds[1:], strict=True))]
+    struct = pa.StructArray.from_arrays(parts, fields=[pa.field(c, t) for c, t in zip(("doc_id", "piece", "start", "n_tokens", "offset"), kinds, strict=True)])
+    lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+    return pa.table(
+        {
+            "bin_id": pa.array((shard << 24) + np.arange(many), pa.int64()), "capacity": pa.array(final, pa.int32()), "n_tokens": pa.array(used, pa.int32()),
+            "pieces": lists(np.bincount(bins, minlength=many), struct), "ids": lists(used, pa.array(ids)),
+        }
+    )
+
+
+def pack(docs: DataFrame, tokenizer: str, capacities=CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
+    """Training sequences that hold every token once: one row per bin with bin_id, capacity (its final,
+    permitted length), n_tokens, pieces (doc_id, piece, start in the document's ids, n_tokens, offset in
+    the sequence) and the ids themselves, without padding.
+
+    Null and empty texts are one end token. Null ids and repeated rows are placed like any other;
+    very long texts are cut into pieces, none is left out; equal lengths go by doc_id. Other columns
+    are ignored. An empty table gives an empty result.
+    """
+    capacities = tuple(sorted(capacities))
+    width = encoder(tokenizer).kind.itemsize
+    rows = staged(encoded(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "packing-ids", "none")
+    many, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    shards = max(1, -(-many // shard), -(-tokens // SHARD_TOKENS))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
 
+    def place(key: tuple[Any, ...], found: pa.Table) -> pa.Table:
+        return _sequences(key[0].as_py(), found, width, capacities, overhead)
 
-def pack(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
-    """Placement of every token: one row per piece with doc_id, piece, start (token of the
-    document), n_tokens, bin_id, capacity (final length of the bin) and offset in the bin.
+    return dealt.groupBy("shard").applyInArrow(place, SCHEMA.format(kind=dict(docs.dtypes)["doc_id"]))
 
-    Null and empty texts are one end token. Null ids and repeated rows are placed like any
-    other; other columns are ignored. An empty table gives an empty result.
-    """
-    capacities = tuple(sorted(capacities))
-    counted = staged(lengths(docs), "lengths")
-    shards = max(1, -(-counted.count() // shard))
-    dealt = counted.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
-
-    def place(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "n_tokens"], kind="stable", na_position="first")
-        out = cut(rows["doc_id"].astype("Int64"), rows["n_tokens"].to_numpy(), capacities[-1])
-        bins, offsets, final = best_fit(out["n_tokens"].to_numpy(), capacities, overhead)
-        out["bin_id"] = (int(key[0]) << 24) + bins
-        out["capacity"] = np.array(final, dtype=np.int32)[bins]
-        out["offset"] = offsets.astype(np.int32)
-        out["n_tokens"] = out["n_tokens"].astype(np.int32)
-        return out
-
-    return dealt.groupBy("shard").applyInPandas(place, SCHEMA)
+
+def placements(packed: DataFrame) -> DataFrame:
+    """Placement of every piece: doc_id, piece, start, n_tokens, bin_id, capacity, offset."""
+    each = packed.select("bin_id", "capacity", F.explode("pieces").alias("p"))
+    return each.select("p.doc_id", "p.piece", "p.start", "p.n_tokens", "bin_id", "capacity", "p.offset")
