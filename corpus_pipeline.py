@@ -2,13 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
-of their docs. The last returns the placement of every token.
+of their docs. The last returns the packed training sequences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +14,10 @@ from lapsegrid.llm import decontam, packing, secrets, simhash, toxicity
 from lapsegrid.llm.common import read, staged
 
 
-def sheltered(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs with columns called like what an operator makes renamed, and the way back."""
-    away = {c: f"own_{c}_of_docs" for c in docs.columns if c in made}
-    back = {b: a for a, b in away.items()}
-    return docs.withColumnsRenamed(away), lambda rows: rows.select(*(F.col(away.get(c, c)) for c in docs.columns)).withColumnsRenamed(back)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier doesn't predict to be toxic."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    rows, back = sheltered(docs, ("score", "predicted"))
-    return back(toxicity.score(rows, model).where("predicted = 0"))
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +39,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every token in training sequences of the permitted lengths."""
-    return packing.pack(docs)
+    """Training sequences of the permitted lengths that hold every token once."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
