@@ -1,14 +1,16 @@
 """Deleted interpolation language model (Jelinek-Mercer), bigram order.
 
-Texts are read once into chunks of token numbers. Each chunk offers its distinct word
-and bigram keys with their training counts, cut by key range; a range adds up what all
-chunks offer and answers each chunk with the totals. A very common word or pair is thus
-one entry per chunk, never a hot row. With the totals in place two map-only passes
-follow: one gathers a bounded histogram of leave-one-out (deleted) relative frequencies
-of all training tokens, from which expectation-maximisation learns the mixture weights
-of each context-frequency bucket; the other scores the documents.
-
-Keys are 64-bit hashes of words and of word pairs.
+Texts are read once into chunks of token numbers. Every chunk tells its distinct word and pair
+keys with their training counts as plain rows, which one map-side combined aggregate sums: their
+number is linear in the tokens. Keys that most chunks share are answered by a broadcast of bounded
+size, so no row of the later joins is hot; keys that one chunk alone has need no answer; the others
+are asked for, joined by key and brought back to their chunk. With the totals in place two map-only
+passes follow: one gathers a bounded histogram of leave-one-out (deleted) relative frequencies
+of all training tokens, from which expectation-maximisation learns the mixture weights of each
+context-frequency bucket; the other scores the documents.
+
+Keys are 63-bit hashes of words and of word pairs and a bit that tells which. Among 10^10 distinct keys
+about five pairs are expected to share a hash, whose counts then add up.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +26,21 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lapsegrid.llm.common import bounded_batches, columns, lower_bytes, remove, staged
+from lapsegrid.llm.common import Bloom, bounded_batches, columns, lower_bytes, remove, staged
 
-#: Tokens of a chunk (it ends with the document that reaches this), and keys of a range.
+#: Tokens of a chunk (it ends with the document that reaches this).
 CHUNK_TOKENS = 1_000_000
-RANGE_TOKENS = 2_000_000
+#: Keys that are broadcast (16 bytes each), at most: those that the most chunks share.
+HOT = 1 << 20
 BUCKETS = 40
 STEPS = 4  # cells of the histogram per factor of two
 FLOOR2, FLOOR1 = 24, 48  # factors of two
 EM_ROUNDS = 200
 LEAST_WEIGHT = 1e-6
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CHUNK = "chunk long, doc_ids array<long>, lengths array<int>, held_out array<boolean>, words binary, ids binary"
-
-
-def is_held_out(doc_id) -> bool:
-    return crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+_CHUNK = "chunk long, doc_ids array<{kind}>, lengths array<int>, held_out array<boolean>, words binary, ids binary"
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -65,36 +64,40 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def _chunks(batches) -> Iterator[pa.RecordBatch]:
-    part, number = TaskContext.get().partitionId(), count()
-    fresh = lambda: (defaultdict(count(1).__next__), [], [], [], [])
-    vocabulary, ids, doc_ids, lengths, held = fresh()
-    tokens = 0
+def _chunks(kind: pa.DataType):
+    """Documents (doc_id, text, held_out) -> chunks."""
 
-    def close():
-        hashes = np.array([END, *(xxhash.xxh64_intdigest(w) for w in vocabulary)], dtype=np.uint64)
-        flat = np.concatenate(ids)
-        row = [(part << 24) + next(number), doc_ids, lengths, held, squeeze(hashes), squeeze(flat)]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-        names = ["chunk", "doc_ids", "lengths", "held_out", "words", "ids"]
-        return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), count()
+        fresh = lambda: (defaultdict(count(1).__next__), [], [], [], [])
+        vocabulary, ids, doc_ids, lengths, held = fresh()
+        tokens = 0
 
-    for batch in batches:
-        for doc, text in columns(batch, "doc_id", "text"):
-            words = lower_bytes(text).split()
-            own = np.zeros(len(words) + 1, dtype=np.uint32)
-            own[:-1] = list(map(vocabulary.__getitem__, words))
-            ids.append(own)
-            doc_ids.append(doc)
-            lengths.append(len(own))
-            held.append(is_held_out(doc))
-            tokens += len(own)
-            if tokens >= CHUNK_TOKENS:
-                yield close()
-                vocabulary, ids, doc_ids, lengths, held = fresh()
-                tokens = 0
-    if ids:
-        yield close()
+        def close():
+            hashes = np.array([END, *(xxhash.xxh64_intdigest(w) for w in vocabulary)], dtype=np.uint64)
+            row = [(part << 24) + next(number), doc_ids, lengths, held, squeeze(hashes), squeeze(np.concatenate(ids))]
+            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+            names = ["chunk", "doc_ids", "lengths", "held_out", "words", "ids"]
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for doc, text, out in columns(batch, "doc_id", "text", "held_out"):
+                words = lower_bytes(text).split()
+                own = np.zeros(len(words) + 1, dtype=np.uint32)
+                own[:-1] = list(map(vocabulary.__getitem__, words))
+                ids.append(own)
+                doc_ids.append(doc)
+                lengths.append(len(own))
+                held.append(out)
+                tokens += len(own)
+                if tokens >= CHUNK_TOKENS:
+                    yield close()
+                    vocabulary, ids, doc_ids, lengths, held = fresh()
+                    tokens = 0
+        if ids:
+            yield close()
+
+    return cut
 
 
 class Chunk:
@@ -113,85 +116,115 @@ class Chunk:
         before[self.starts] = START
         return pair_keys(before, own)
 
-    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys of words (1) or pairs (2), their training counts, and the
-        place of each word or token among the keys."""
-        if kind == 1:
-            n = np.bincount(self.ids[self.train], minlength=len(self.words))
-            keys, place = np.unique(self.words, return_inverse=True)
-            return keys, np.bincount(place, weights=n, minlength=len(keys)).astype(np.uint32), place
-        keys, place = np.unique(self.pairs(), return_inverse=True)
-        return keys, np.bincount(place[self.train], minlength=len(keys)).astype(np.uint32), place
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys - of words (even) first, then of pairs (odd), each sorted -, their training counts
+        in the chunk, the place of each word among the keys, and that of each token's pair."""
+        one = np.uint64(1)
+        words, word_place = np.unique(self.words & ~one, return_inverse=True)
+        n = np.bincount(self.ids[self.train], minlength=len(self.words))
+        word_counts = np.bincount(word_place, weights=n, minlength=len(words)).astype(np.int64)
+        pairs, pair_place = np.unique(self.pairs() | one, return_inverse=True)
+        pair_counts = np.bincount(pair_place[self.train], minlength=len(pairs))
+        return np.concatenate([words, pairs]), np.concatenate([word_counts, pair_counts]), word_place, pair_place + len(words)
+
+
+def _rows(array_kinds, arrays, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Equally long arrays as record batches of bounded size."""
+    for at in range(0, len(arrays[0]), step):
+        yield pa.record_batch([pa.array(x[at : at + step]) for x in arrays], names=array_kinds)
+
+
+def _counts(batches) -> Iterator[pa.RecordBatch]:
+    """Chunks -> (key, n): their distinct keys and training counts, also where these are zero."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, n, _, _ = Chunk(row).keys()
+            yield from _rows(["key", "n"], [keys.view(np.int64), n])
+
+
+def counts(chunks: DataFrame) -> DataFrame:
+    """(key, n, chunks): training count of every key, and how many chunks have it."""
+    return chunks.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("chunks"))
+
 
+class Known:
+    """Totals of the hot keys, sorted by key."""
 
-def _edges(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], n[order]
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are hot, and their totals."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.n[at]
 
-def _offers(ranges: int):
-    """Chunk rows -> (range, kind, chunk, keys, counts)."""
 
-    def offer(batches):
-        edges = _edges(ranges)
+def hot_keys(totals: DataFrame, most: int) -> tuple[Known, int]:
+    """The keys of the most chunks, at most ``most``, and the number of chunks from which a key is hot."""
+    level = F.floor(F.log2("chunks")).cast("int")
+    many = {r.level: r.n for r in totals.where("chunks > 1").groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # a row per power of two
+    least, held = 64, 0
+    for k in sorted(many, reverse=True):
+        if held + many[k] > most:
+            break
+        least, held = k, held + many[k]
+    rows = totals.where(F.col("chunks") >= F.lit(1 << min(least, 62))).where("chunks > 1").select("key", "n").toArrow()
+    return Known(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()), 1 << min(least, 62)
+
+
+def _asks(known, words):
+    """Chunks -> (key, chunk, place): the keys that other chunks may have too and that aren't hot."""
+
+    def ask(batches) -> Iterator[pa.RecordBatch]:
+        hot, bloom = known.value, Bloom(words.value)
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row)
-                out = []
-                for kind in (1, 2):
-                    keys, counts, _ = chunk.keys(kind)
-                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if b > a:
-                            out.append((k, kind, row["chunk"], squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(counts[a:b])))
-                    if len(out) >= 64:
-                        yield _offer_batch(out)
-                        out = []
-                if out:
-                    yield _offer_batch(out)
-
-    return offer
-
-
-def _offer_batch(rows):
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "kind", "chunk", "keys", "counts"])
-
-
-_ANSWER = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("totals", pa.binary()), ("known", pa.int64())])
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Totals of one range, as each chunk asked; known: distinct keys with training counts (told once)."""
-    parts = [(expand(k, np.uint64).cumsum(dtype=np.uint64), expand(c, np.uint32)) for k, c in columns(table, "keys", "counts")]
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.uint64)
-    out, at = [], 0
-    for k, _ in parts:
-        out.append(squeeze(total[place[at : at + len(k)]]))
-        at += len(k)
-    known = [int((total > 0).sum())] + [0] * (len(parts) - 1)
-    return pa.table([table["chunk"], table["kind"], table["range"], pa.array(out, pa.binary()), pa.array(known, pa.int64())], schema=_ANSWER)
-
-
-_COUNTED = "doc_ids array<long>, lengths array<int>, held_out array<boolean>, ids binary, word_totals binary, pair_totals binary"
-
-
-def _align(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk with the totals of its words, and of its pairs in token order."""
-    rows = left.to_pylist()
-    if not rows:
-        return pa.table({n: pa.array([], t) for n, t in zip(("doc_ids", "lengths", "held_out", "ids", "word_totals", "pair_totals"), (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()), strict=True)})
-    (row,) = rows
-    chunk = Chunk(row)
-    answers = sorted(columns(right, "kind", "range", "totals"))
-    found = {}
-    for kind in (1, 2):
-        totals = np.concatenate([expand(t, np.uint64) for k, _, t in answers if k == kind])
-        found[kind] = squeeze(totals[chunk.keys(kind)[2]])
-    return pa.table({
-        "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())), "lengths": pa.array([row["lengths"]], pa.list_(pa.int32())), "held_out": pa.array([row["held_out"]], pa.list_(pa.bool_())),
-        "ids": pa.array([row["ids"]], pa.binary()), "word_totals": pa.array([found[1]], pa.binary()), "pair_totals": pa.array([found[2]], pa.binary()),
-    })
+                keys = Chunk(row).keys()[0]
+                at = np.flatnonzero(bloom.might(keys) & ~hot.find(keys)[0])
+                yield from _rows(["key", "chunk", "place"], [keys[at].view(np.int64), np.full(len(at), row["chunk"]), at.astype(np.int32)])
+
+    return ask
+
+
+_COUNTED = "doc_ids array<{kind}>, lengths array<int>, held_out array<boolean>, ids binary, word_totals binary, pair_totals binary"
+
+
+def _align(known, kind: pa.DataType):
+    """A chunk and the answers for it -> the chunk with the totals of its words, and of its pairs in token order."""
+    schema = pa.schema([("doc_ids", pa.list_(kind)), ("lengths", pa.list_(pa.int32())), ("held_out", pa.list_(pa.bool_())), ("ids", pa.binary()), ("word_totals", pa.binary()), ("pair_totals", pa.binary())])
+
+    def align(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        for row in left.to_pylist():  # one, or none
+            keys, total, word_place, pair_place = Chunk(row).keys()
+            is_hot, n = known.value.find(keys)
+            total = np.where(is_hot, n, total)
+            total[right["place"].to_numpy()] = right["n"].to_numpy()
+            total = total.astype(np.uint64)
+            made.append((row["doc_ids"], row["lengths"], row["held_out"], row["ids"], squeeze(total[word_place]), squeeze(total[pair_place])))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema) if made else schema.empty_table()
+
+    return align
+
+
+def counted_chunks(chunks: DataFrame, kind: str, arrow: pa.DataType, most_hot: int = HOT) -> tuple[DataFrame, int]:
+    """Chunks with the corpus totals of their words and pairs, and the number of distinct training words."""
+    spark = chunks.sparkSession
+    totals = staged(counts(chunks), "lm-totals", "none")
+    v = totals.where("key % 2 = 0 and n > 0").count()
+    known, least = hot_keys(totals, most_hot)
+    shared = totals.where((F.col("chunks") > 1) & (F.col("chunks") < least))
+    hot = spark.sparkContext.broadcast(known)
+    words = spark.sparkContext.broadcast(Bloom.of(shared.select("key"), shared.count()).words)
+    asks = chunks.mapInArrow(_asks(hot, words), "key long, chunk long, place int")
+    answers = asks.join(shared.select("key", "n"), "key").select("chunk", "place", "n")
+    counted = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_align(hot, arrow), _COUNTED.format(kind=kind))
+    counted = staged(counted, "lm-counted", "none")
+    remove(totals)
+    return counted, v
 
 
 class Counted:
@@ -268,7 +301,7 @@ def learn_weights(bucket: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndar
     return out / out.sum(axis=1, keepdims=True)
 
 
-def _score(n: int, v: int, weights: np.ndarray):
+def _score(n: int, v: int, weights: np.ndarray, kind: pa.DataType):
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -280,42 +313,39 @@ def _score(n: int, v: int, weights: np.ndarray):
                 sums = [np.add.reduceat(y, x.starts) for y in (base, np.log10(p))]
                 known = np.add.reduceat((x.c > 0).astype(np.int64), x.starts)
                 yield pa.record_batch(
-                    [pa.array(x.doc_ids, pa.int64()), pa.array(x.held_out), pa.array(x.lengths), pa.array(known), pa.array(np.full(len(known), n)), *map(pa.array, sums)],
+                    [pa.array(x.doc_ids, kind), pa.array(x.held_out), pa.array(x.lengths), pa.array(known), pa.array(np.full(len(known), n)), *map(pa.array, sums)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     return score
 
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCHEMA = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty: their one token is the end. A null doc_id has the remainder of
-    the empty string. Repeated rows are repeated documents, in the counts too. Other columns
-    are ignored; an empty table gives an empty result. A text's score is the log10 of its
-    probability under weights that sum to one over the known words and one unknown word.
+    the empty string. Repeated rows are repeated documents, in the counts too. Texts of any length
+    are counted and scored whole. Other columns are ignored; an empty table gives an empty result.
+    A text's score is the log10 of its probability under weights that sum to one over the known
+    words and one unknown word.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    chunks = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNK), "lm-chunks", "none")
+    kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    chunks = staged(docs.select("doc_id", "text", out.alias("held_out")).mapInArrow(_chunks(arrow), _CHUNK.format(kind=kind)), "lm-chunks", "none")
     per_doc = F.arrays_zip("lengths", "held_out")
     train = F.aggregate(per_doc, F.lit(0).cast("long"), lambda a, x: a + F.when(x["held_out"], 0).otherwise(x["lengths"]))
-    size, n = chunks.select(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"), train.alias("train")).agg(F.sum("all"), F.sum("train")).first()
-    if size is None:
-        return spark.createDataFrame([], SCHEMA)
-    ranges = max(1, -(-size // RANGE_TOKENS))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    offers = chunks.mapInArrow(_offers(ranges), "range int, kind int, chunk long, keys binary, counts binary")
-    answers = staged(offers.groupBy("range", "kind").applyInArrow(_answer, "chunk long, kind int, range int, totals binary, known long"), "lm-answers", "none")
-    v = answers.where("kind = 1").agg(F.sum("known")).first()[0] or 0
-    counted = staged(chunks.groupBy("chunk").cogroup(answers.select("chunk", "kind", "range", "totals").groupBy("chunk")).applyInArrow(_align, _COUNTED), "lm-counted", "none")
+    n = chunks.select(train.alias("train")).agg(F.sum("train")).first()[0]
+    if n is None:
+        return spark.createDataFrame([], SCHEMA.format(kind=kind))
+    counted, v = counted_chunks(chunks, kind, arrow)
     remove(chunks)
-    remove(answers)
     cells = counted.mapInArrow(_histogram(n), "cell long, n double, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
     rows = np.array([tuple(r) for r in cells.collect()], dtype=np.float64).reshape(-1, 4)  # at most BUCKETS * cells, whatever the input
     bucket = rows[:, 0].astype(np.int64) // ((FLOOR2 * STEPS + 1) * (FLOOR1 * STEPS + 1))
     weights = learn_weights(bucket, rows[:, 1], rows[:, 2] / np.maximum(rows[:, 1], 1), rows[:, 3] / np.maximum(rows[:, 1], 1), 1 / (v + 1))
-    return counted.mapInArrow(_score(n, v, weights), SCHEMA)
+    return counted.mapInArrow(_score(n, v, weights, arrow), SCHEMA.format(kind=kind))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lapsegrid.llm import avi, decontam, idstore, lm, packing, simhash, toxicity
+from lapsegrid.llm import avi, common, decontam, idstore, lm, packing, simhash, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -272,11 +272,34 @@ def plain_lm(texts):
     return train, tokens, c, pair, n, v
 
 
-def test_lm_against_brute_force(spark, monkeypatch):
+def plain_weights(train, tokens, c, pair, n, v):
+    """EM on the deleted frequencies of every training token, one bucket after another."""
+    seen = {}
+    for ok, own in zip(train, tokens, strict=True):
+        for before, w in zip(["start", *own], own, strict=False) if ok else ():
+            context = (c[None] if before == "start" else c[before]) - 1
+            p = ((pair[before, w] - 1) / context if context > 0 else 0.0, (c[w] - 1) / (n - 1), 1 / (v + 1))
+            seen.setdefault(min(lm.BUCKETS - 1, 1 + int(math.log2(context))) if context > 0 else 0, []).append(p)
+    out = {}
+    for b, rows in seen.items():
+        w = [0.0, 0.5, 0.5] if b == 0 else [1 / 3] * 3
+        for _ in range(lm.EM_ROUNDS):
+            total = [0.0] * 3
+            for p in rows:
+                mixed = [x * y for x, y in zip(w, p, strict=True)]
+                for k in range(3):
+                    total[k] += mixed[k] / sum(mixed)
+            w = [t / len(rows) for t in total]
+        out[b] = w
+    return out
+
+
+@pytest.mark.parametrize("hot, parts", [(1 << 20, 4), (0, 12), (4, 12)])
+def test_lm_against_brute_force(spark, monkeypatch, hot, parts):
     rnd = random.Random(8)
     words = ["a", "B", "b", "c", "d", "é", "rare"]
     texts = [" ".join(rnd.choices(words, [9, 5, 4, 3, 2, 1, 0.1], k=rnd.randint(0, 30))) for _ in range(120)] + ODD
-    monkeypatch.setattr(lm, "RANGE_TOKENS", 20_000)
+    monkeypatch.setattr(lm.counted_chunks, "__defaults__", (hot,))
     train, tokens, c, pair, n, v = plain_lm(texts)
     held = {}
 
@@ -286,8 +309,11 @@ def test_lm_against_brute_force(spark, monkeypatch):
         return held["w"]
 
     monkeypatch.setattr(lm, "learn_weights", keep)
-    rows = {r.doc_id: r for r in lm.score(docs(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in lm.score(docs(spark, texts).repartition(parts)).collect()}
     weights = held["w"]
+    if hot > 4:
+        for b, w in plain_weights(train, tokens, c, pair, n, v).items():
+            assert np.allclose(weights[b], w, atol=0.02), (b, weights[b], w)
     assert held["n"] == n and np.allclose(weights.sum(axis=1), 1)
     for i, own in enumerate(tokens):
         r = rows[i]
@@ -301,6 +327,26 @@ def test_lm_against_brute_force(spark, monkeypatch):
         assert math.isclose(r.score, want, rel_tol=1e-9)
 
 
+def test_lm_rows_are_linear_in_tokens(spark):
+    rnd = random.Random(3)
+    rows = {}
+    for parts in (10, 40):
+        frame = docs(spark, [" ".join(rnd.choices("abcdefghij", k=30)) for _ in range(10 * parts)]).repartition(parts)
+        chunks = common.staged(frame.selectExpr("doc_id", "text", "false as held_out").mapInArrow(lm._chunks(pa.int64()), lm._CHUNK.format(kind="long")), "test")
+        assert chunks.count() == parts
+        told = chunks.mapInArrow(lm._counts, "key long, n long").count()
+        known, least = lm.hot_keys(common.staged(lm.counts(chunks), "test"), 300)
+        assert 0 < len(known.keys) <= 300 and least <= parts
+        rows[parts] = told
+        assert told <= 2 * 31 * 10 * parts
+    assert rows[40] <= 4.2 * rows[10]
+
+
+def test_lm_takes_text_ids(spark):
+    frame = spark.createDataFrame([("b", "x y"), ("a", "x"), (None, None)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_tokens, r.held_out) for r in lm.score(frame).collect()) == sorted((str(i), n, zlib.crc32((i or "").encode()) % 7 == 2) for i, n in (("b", 3), ("a", 2), (None, 1)))
+
+
 def test_lm_predicts_held_out_texts(spark):
     rows = [r for r in lm.score(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
