@@ -1,15 +1,15 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-A page is cut into text blocks, each filed under its root-to-leaf path of block
-elements (tag and first class). Per path the text length and the punctuation are
-aggregated and divided by the number of blocks; both ratios are smoothed over the
-paths in page order, fused with the share of text outside links, and paths at or above
-a threshold become content paths. The element that holds nearly all text of the
-content paths is the article; its blocks are returned whole. Paths that pass through
-an element whose tag or role, or a class or id as a whole, names page furniture (menus,
-footers, notices, adverts, comments, forms, ...) have ratio zero and never contribute,
-unless the page has no other text. A class or id that only contains such a name lowers the
-fused ratio of what is inside, which is then kept only where it still has a content path.
+A page is cut into text blocks, each filed under its root-to-leaf path of block elements (tag
+and first class). Per path the text length and the punctuation are aggregated and divided by the
+number of blocks. Both ratios are smoothed over sibling paths in page order, fused with each
+other, with the share of text outside links and with a weight of the names on the path, and
+lifted where the path lies in a container of content (lists of links only in an article element). Paths at or above a threshold are content
+paths; the blocks on them, within the container that holds nearly all of their text, are the article.
+
+Elements that are page furniture by tag or role (menus, footers, scripts, ...) are left out. Names - classes
+and ids - and tags that may hold an article as well (forms, asides, headers) only weigh, and weigh
+nothing where an element holds the bulk of the page's text, whatever it is called.
 Articles, main elements and headings are never judged by their names.
 """
 
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 
 from lapsegrid.llm.common import bounded_batches, columns
 
-#: Weights of a path and its neighbours in page order.
+#: Weights of a path and its sibling paths next to it in page order.
 SMOOTHING = (0.25, 0.5, 0.25)
-#: Content paths have at least this share of the mean fused ratio, weighted by text.
-THRESHOLD = 0.35
-#: Levels of a path that are told apart; deeper elements share their ancestor's path.
-DEPTH = 64
-#: The article is the deepest path prefix with this share of the content text.
+#: Content paths have at least this share of the mean fused ratio, weighted by text and ratio.
+THRESHOLD = 0.12
+#: Share of a container's own ratio that its paths have at least, and what is left of it a level further down.
+LIFT, FADE = 0.5, 0.5
+#: The article is the deepest container with this share of the content paths' text.
 COVERAGE = 0.9
 
 BLOCKS = frozenset(
@@ -41,10 +41,13 @@ BLOCKS = frozenset(
     "select summary svg table tbody td template textarea tfoot th thead title tr ul video audio".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without article text.
 FURNITURE = frozenset(
-    "aside audio button canvas dialog fieldset footer form frameset head iframe map menu nav noscript object optgroup option search select svg template textarea "
-    "title video".split()
+    "audio button canvas dialog footer frameset head iframe map menu nav noscript object optgroup option search select svg template textarea title video".split()
 )
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar".split())
+#: Elements and roles that seldom hold the article; they weigh like a name.
+SELDOM = frozenset("aside fieldset form alert dialog".split())
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus sidebar "
     "footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login comment "
@@ -53,10 +56,18 @@ FURNITURE_NAMES = frozenset(
 #: Longer words of these and a part count too, as in "commentlist" or "advertbox".
 FURNITURE_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar", "newsletter", "sidebar", "sponsor")
 FURNITURE_PARTS = frozenset(" area bar block bottom box container group holder inner item items left link links list outer panel right s section text top wrap wrapper".split(" "))
-#: Weight in the fused ratio of an element with a name of furniture among others, and of those words that articles have too.
-HINT, WEAK_HINT = 0.2, 0.8
+#: Words that articles have in their names too, and words that speak for an article.
 WEAK_NAMES = frozenset("alert banner copyright header login masthead notice notices promotion related recommended replies respond search share sharing signup skip social subscription".split())
-FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
+CONTENT_NAMES = frozenset("article blog body content document entry essay main news page post story text".split())
+#: Weight of an element all of whose names are furniture, of one with such a name or word among others, and
+#: of one that has a name of content too or such words only as articles have.
+NAMED, HINT, WEAK = 0.003, 0.05, 0.8
+#: With this share of the page's text an element's names count for nothing.
+BULK = 0.8
+#: Weight of paths in an article or main element.
+ARTICLE = 5.0
+#: Elements that are parts of a text, not containers of one.
+INNER = frozenset("p li ul ol dl dt dd table tbody tr td th blockquote pre figure h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the same kind.
@@ -81,58 +92,61 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int
+    """Number of the path in the page."""
     text: str
     link_chars: int
-    furniture: bool
-    named: bool = False
-    """Within an element that is furniture by its name alone."""
-    weight: float = 1.0
-    hint: int = 0
-    """Number of the outermost element that lowers the weight; 0: none."""
 
 
 @dataclass
 class _Open:
-    """An open element; all but the tag hold for its ancestors too."""
+    """An open element."""
 
     tag: str
-    path: tuple[str, ...]
+    path: int
     furniture: bool
     inside: bool
-    """Within an article."""
-    named: bool = False
-    weight: float = 1.0
-    hint: int = 0
+    """Within an article or main element."""
 
 
 @dataclass
-class _Page:
+class Page:
+    """Blocks and paths of a page. Paths are numbered, parents before children; number 0 is the page itself."""
+
+    blocks: list[Block] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [-1])
+    tags: list[str] = field(default_factory=lambda: [""])
+    names: list[float] = field(default_factory=lambda: [1.0])
+    """The least weight of the names on each path."""
+    inside: list[bool] = field(default_factory=lambda: [False])
+    """Whether the path leads through an article or main element."""
+    numbers: dict[tuple[int, str, float], int] = field(default_factory=dict)
     stack: list[_Open] = field(default_factory=list)
     open: Counter = field(default_factory=Counter)
     pieces: list[str] = field(default_factory=list)
-    blocks: list[Block] = field(default_factory=list)
     links: int = 0
     link_text: list[str] = field(default_factory=list)
-    hints: int = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
-        if text:
+        if text and not (self.stack and self.stack[-1].furniture):
             inside = len(" ".join("".join(self.link_text).split()))
-            top = self.stack[-1] if self.stack else _Open("", (), False, False)
-            self.blocks.append(Block(top.path, text, min(inside, len(text)), top.furniture, top.named, top.weight, top.hint))
+            self.blocks.append(Block(self.stack[-1].path if self.stack else 0, text, min(inside, len(text))))
         self.pieces, self.link_text = [], []
 
     def push(self, tag: str, rest: str) -> None:
-        above = self.stack[-1] if self.stack else _Open("", (), False, False)
-        label, furniture, named, weight = _label(tag, rest, above.inside)
-        path = (*above.path, label) if len(above.path) < DEPTH else above.path
-        hint = above.hint
-        if weight < 1 and not hint:
-            self.hints = hint = self.hints + 1
+        above = self.stack[-1] if self.stack else _Open("", 0, False, False)
+        label, furniture, weight = judged(tag, rest, above.inside)
         inside = above.inside or tag in ("article", "main")
-        self.stack.append(_Open(tag, path, above.furniture or furniture, inside, above.named or named, min(above.weight, weight), hint))
+        weight = min(weight, self.names[above.path])
+        key = (above.path, label, weight)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.parents)
+            self.parents.append(above.path)
+            self.tags.append(tag)
+            self.names.append(weight)
+            self.inside.append(inside)
+        self.stack.append(_Open(tag, self.numbers[key], above.furniture or furniture, inside))
         self.open[tag] += 1
 
     def pop(self, at: int) -> None:
@@ -156,40 +170,52 @@ def _furniture_word(word: str) -> bool:
     return word in FURNITURE_NAMES or any(word.startswith(x) and word[len(x) :].removeprefix("s") in FURNITURE_PARTS for x in FURNITURE_STEMS)
 
 
-def _judged(names: list[str], inside: bool) -> tuple[bool, float]:
-    """Whether one of an element's class names and id is a name of furniture, and the
-    weight that those give it that have other words besides."""
-    named, weight = False, 1.0
-    for name in names:
-        words = [w.lower() for w in _SPLIT.split(name) if w]
-        own = [w for w in words if _furniture_word(w) or (w == "header" and not inside)]
-        named |= bool(words) and len(own) == len(words)
-        if own:
-            weight = min(weight, WEAK_HINT if WEAK_NAMES.issuperset(own) else HINT)
-    return named, weight
-
-
-def _label(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool, float]:
-    """Path label of an element, whether it is page furniture, whether it is so by its name, and its weight."""
+def _kind(name: str, inside: bool) -> tuple[str, bool]:
+    """What one class name or id is - "furniture", "hint", "content" or "" - and whether its words of furniture are weak."""
+    words = [w.lower() for w in _SPLIT.split(name) if w]
+    own = [w for w in words if _furniture_word(w) or (w == "header" and not inside)]
+    weak = WEAK_NAMES.issuperset(own)
+    if not own:
+        return "" if CONTENT_NAMES.isdisjoint(words) else "content", False
+    if words[-1] in own or all(w in own or w in FURNITURE_PARTS or w in CONTENT_NAMES for w in words):
+        return "furniture", weak  # the last word says what it is, unless it is a part of a page or text
+    return "hint", weak
+
+
+def name_weight(names: list[str], inside: bool) -> float:
+    """The weight that an element's class names and id give it: 1 without a word of furniture."""
+    kinds = [_kind(n, inside) for n in names if n]
+    found = {k for k, _ in kinds}
+    if not found & {"furniture", "hint"}:
+        return 1.0
+    if "content" in found:
+        return WEAK
+    if found == {"furniture"}:
+        return NAMED
+    return WEAK if all(weak for k, weak in kinds if k in ("furniture", "hint")) else HINT
+
+
+def judged(tag: str, rest: str, inside: bool) -> tuple[str, bool, float]:
+    """Path label of an element, whether it is page furniture, and its weight."""
     attrs = {m[1].lower(): entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTR.finditer(rest)} if "=" in rest or "hidden" in rest else {}
     names = attrs.get("class", "").split()
     label = f"{tag}.{names[0]}" if names else tag
-    furniture = tag in FURNITURE or (tag == "header" and not inside) or "hidden" in attrs or attrs.get("aria-hidden", "") == "true"
+    furniture = tag in FURNITURE or "hidden" in attrs or attrs.get("aria-hidden", "") == "true"
     furniture |= "display:none" in attrs.get("style", "").replace(" ", "").lower()
-    named, weight = False, 1.0
-    if tag not in ROOTS or tag in ("article",):
-        furniture |= attrs.get("role", "").lower() in FURNITURE_ROLES
+    role, weight = attrs.get("role", "").lower(), 1.0
+    if tag not in ROOTS or tag == "article":
+        furniture |= role in FURNITURE_ROLES
     if tag not in ROOTS and tag not in HEADINGS:
-        named, weight = _judged([*names, attrs.get("id", "")], inside)
-    if weight < 1:
-        label = f"{label if names else tag + '.'} {weight}"  # apart from elements that are not judged so
-    return label, furniture, named, weight
+        weight = name_weight([*names, attrs.get("id", "")], inside)
+        if tag in SELDOM or role in SELDOM or (tag == "header" and not inside):
+            weight = NAMED
+    return label, furniture, weight
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page in order. White space in a block is one space; character
-    references are decoded; comments, scripts, styles and markup are gone."""
-    state, at = _Page(), 0
+def read_page(page: str) -> Page:
+    """Text blocks of a page in order, and its paths. White space in a block is one space; character
+    references are decoded; comments, scripts, styles, markup and furniture are gone."""
+    state, at = Page(), 0
 
     def text(piece: str) -> None:
         if piece:
@@ -224,7 +250,7 @@ def blocks_of(page: str) -> list[Block]:
             state.push(tag, rest)
     text(page[at:])
     state.flush()
-    return state.blocks
+    return state
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -237,56 +263,97 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
-    """Paths whose smoothed and fused text and punctuation ratios reach the threshold."""
-    order: dict[tuple, list[float]] = {}
-    for b in blocks:
-        if not b.furniture:
-            held = order.setdefault(b.path, [0, 0, 0, 0, b.weight])
-            held[0] += len(b.text)
-            held[1] += len(_PUNCTUATION.findall(b.text))
-            held[2] += b.link_chars
-            held[3] += 1
-    if not order:
-        return set()
-    length = _smooth([v[0] / v[3] for v in order.values()])
-    marks = _smooth([v[1] / v[3] for v in order.values()])
-    fused = [v[4] * a * (1 + p) * (1 - v[2] / v[0]) for a, p, v in zip(length, marks, order.values(), strict=True)]
-    total = sum(v[0] for v in order.values())
-    mean = sum(f * v[0] for f, v in zip(fused, order.values(), strict=True)) / total
-    return {path for path, f in zip(order, fused, strict=True) if f >= THRESHOLD * mean and f > 0}
-
-
-def main_text(page: str | None) -> str:
-    """The article of a page: its blocks in page order, joined by a newline.
-
-    Null and empty pages, and pages without text outside furniture by tag or role, give "".
-    """
-    kept = [b for b in blocks_of(page or "") if not b.furniture]
-    kept = [b for b in kept if not b.named] or kept
-    paths = content_paths(kept)
-    texts = {b.hint for b in kept if b.path in paths}
-    kept = [b for b in kept if not b.hint or b.hint in texts]
-    weight: dict[tuple, int] = {}
-    for b in kept:
+def path_weights(page: Page) -> list[float]:
+    """Weight of each path: that of its names, but for those of an element with the bulk of the text, and of an article element."""
+    text = [0] * len(page.parents)
+    for b in page.blocks:
+        text[b.path] += len(b.text)
+    for p in range(len(text) - 1, 0, -1):
+        text[page.parents[p]] += text[p]
+    out = [1.0]
+    for p in range(1, len(text)):
+        above = page.parents[p]
+        out.append(out[above] * (1.0 if text[p] >= BULK * text[0] else page.names[p] / page.names[above]))
+    return [w * (ARTICLE if inside else 1.0) for w, inside in zip(out, page.inside, strict=True)]
+
+
+def fused_ratios(page: Page) -> tuple[dict[int, float], dict[int, int]]:
+    """Per path with text its smoothed, fused and lifted ratio, and its text length."""
+    held: dict[int, list[int]] = {}
+    for b in page.blocks:
+        own = held.setdefault(b.path, [0, 0, 0, 0])
+        own[0] += len(b.text)
+        own[1] += len(_PUNCTUATION.findall(b.text))
+        own[2] += b.link_chars
+        own[3] += 1
+    weights = path_weights(page)
+    siblings: dict[int, list[int]] = {}
+    for path in held:  # in page order
+        siblings.setdefault(page.parents[path], []).append(path)
+    length, marks = {}, {}
+    for group in siblings.values():
+        length.update(zip(group, _smooth([held[p][0] / held[p][3] for p in group]), strict=True))
+        marks.update(zip(group, _smooth([held[p][1] / held[p][3] for p in group]), strict=True))
+    plain = {p: v[0] and weights[p] * length[p] * (1 + marks[p]) * (1 - v[2] / v[0]) for p, v in held.items()}
+    # a container's own ratio: the mean of its text and of the paths right in it
+    sums, texts = [0.0] * len(page.parents), [0] * len(page.parents)
+    for p, v in held.items():
+        for at in (p, page.parents[p]):
+            if at >= 0:
+                sums[at] += plain[p] * v[0]
+                texts[at] += v[0]
+    around = [0.0] * len(page.parents)
+    for p in range(len(around)):  # parents come first
+        above = around[page.parents[p]] * weights[p] / weights[page.parents[p]] if p else 0.0
+        around[p] = max(sums[p] / texts[p] if texts[p] else 0.0, FADE * above)
+    out = {}
+    for p, v in held.items():
+        lift = LIFT * around[max(0, page.parents[p])] * weights[p] / weights[max(0, page.parents[p])] * (1 - v[2] / v[0] * (0.5 if page.inside[p] else 1.0))
+        out[p] = max(plain[p], lift)
+    return out, {p: v[0] for p, v in held.items()}
+
+
+def content_paths(page: Page) -> set[int]:
+    """Paths whose fused ratio reaches the threshold."""
+    ratio, text = fused_ratios(page)
+    total = sum(ratio[p] * n for p, n in text.items())
+    mean = sum(ratio[p] ** 2 * n for p, n in text.items()) / total if total else 0.0
+    return {p for p, f in ratio.items() if f >= THRESHOLD * mean and f > 0}
+
+
+def container(page: Page, paths: set[int]) -> int:
+    """The deepest path of containers that holds COVERAGE of the text on these paths."""
+    text = [0] * len(page.parents)
+    for b in page.blocks:
         if b.path in paths:
-            for n in range(len(b.path) + 1):
-                weight[b.path[:n]] = weight.get(b.path[:n], 0) + len(b.text)
-    if not weight:
-        return ""
-    leaves = {b.path for b in kept if b.path in paths}
-    holders = [p for p, w in weight.items() if w >= COVERAGE * weight[()] and (p not in leaves or not p or p[-1].partition(".")[0] not in ("p", "li", "td", *HEADINGS))]
-    root = max(holders, key=len)
-    while root and root[-1].partition(".")[0] in ("p", "li", "ul", "ol", "table", "tbody", "tr", "td", "blockquote"):
-        root = root[:-1]
-    inside = [b for b in kept if b.path[: len(root)] == root]
-    if not root or root[-1] in ("html", "body"):  # no element holds the article alone
-        first = next(k for k, b in enumerate(inside) if b.path in paths)
-        last = max(k for k, b in enumerate(inside) if b.path in paths)
-        while first and inside[first - 1].path[-1:] and inside[first - 1].path[-1].partition(".")[0] in HEADINGS:
-            first -= 1
-        inside = [b for b in inside[first : last + 1] if 2 * b.link_chars < len(b.text)]
-    return "\n".join(b.text for b in inside)
+            text[b.path] += len(b.text)
+    for p in range(len(text) - 1, 0, -1):
+        text[page.parents[p]] += text[p]
+    root, least = 0, COVERAGE * text[0]
+    for p in range(1, len(text)):  # a child comes after its parent
+        if page.parents[p] == root and text[p] >= least and page.tags[p] not in INNER:
+            root = p
+    return root
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page: its content nodes in page order, joined by a newline. Headings right before
+    the article's container belong to it.
+
+    Null and empty pages, and pages without text outside furniture, give "".
+    """
+    page = read_page(html or "")
+    paths = content_paths(page)
+    root = container(page, paths)
+    within = [root == 0] * len(page.parents)
+    for p in range(1, len(within)):
+        within[p] = p == root or within[page.parents[p]]
+    nodes = [b for b in page.blocks if b.path in paths]
+    first = next((k for k, b in enumerate(nodes) if within[b.path]), 0)
+    while first and page.tags[nodes[first - 1].path] in HEADINGS:
+        first -= 1
+        within[nodes[first].path] = True
+    return "\n".join(b.text for b in nodes[first:] if within[b.path])
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
@@ -300,8 +367,9 @@ def _extract(batches) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points). Map only.
 
-    Null html counts as empty; null ids and urls pass through; repeated rows stay
-    repeated; other columns are ignored.
+    Null html counts as empty; null ids and urls pass through; repeated rows stay repeated and
+    have equal texts; pages of any length and depth are read whole; equal ratios pass the threshold
+    together. Other columns are ignored. An empty table gives an empty result.
     """
     bounded_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
