@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: 64-bit words of a Bloom filter at most: 16 MB, whatever the input.
 BLOOM_WORDS = 1 << 21
 
@@ -63,10 +63,13 @@ def remove(frame: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small for text columns. Both settings are read when a query
-    starts, so they are set on the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep Arrow batches small for text columns: an upper bound, a smaller setting of the session stays.
+    Both settings are read when a query starts, and results are lazy, so they are set on the session."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key, None))
+        if not (now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def columns(batch, *names) -> Iterator[tuple]:

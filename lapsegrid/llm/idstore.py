@@ -188,6 +188,7 @@ class Encoder:
                 out.append(b"".join([*runs, last]))
             return out
         finally:
+            pa.default_memory_pool().release_unused()
             if collects:
                 gc.enable()
 
