@@ -365,7 +365,8 @@ def _features(batches) -> Iterator[pa.RecordBatch]:
         for raw, (movie, samples) in zip(media, decode_many(media), strict=True):
             payload = movie.restored(samples)
             cuts = clips(samples)
-            feature = f"frames={len(samples)};clips=" + ",".join(f"{a}-{b}" for a, b in cuts)
+            timed = (f"{a}-{b}@{a * movie.seconds:.6f}-{(b + 1) * movie.seconds:.6f}" for a, b in cuts)
+            feature = f"frames={len(samples)};seconds={len(samples) * movie.seconds:.6f};clips=" + ",".join(timed)
             rows.append((movie.payload, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
@@ -381,6 +382,7 @@ def features(media: DataFrame) -> DataFrame:
 
 def clip_rows(media: DataFrame) -> DataFrame:
     """Timed clips of stored media: doc_id, clip, start_s, end_s, first_frame, n_frames, level (mean sample)."""
+    kind = dict(media.dtypes)["doc_id"]
 
     def cut(batches):
         for batch in batches:
@@ -389,14 +391,17 @@ def clip_rows(media: DataFrame) -> DataFrame:
                 for k, (a, b) in enumerate(clips(samples)):
                     rows.append((doc, k, a * movie.seconds, (b + 1) * movie.seconds, a, b - a + 1, float(samples[a : b + 1].mean())))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
+                kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "clip", "start_s", "end_s", "first_frame", "n_frames", "level"])
 
-    return media.mapInArrow(cut, "doc_id long, clip int, start_s double, end_s double, first_frame int, n_frames int, level double")
+    return media.mapInArrow(cut, f"doc_id {kind}, clip int, start_s double, end_s double, first_frame int, n_frames int, level double")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature. Map only; null texts are empty, repeated rows stay,
-    other columns are ignored."""
+    media_bytes, media_sha256, feature: number of frames, seconds, and the clips as frames and, after
+    the at sign, seconds, all from the stored header and frames.
+
+    Map only. Null texts are empty, null ids pass through, repeated rows stay and have equal values, texts
+    of any length are one medium; other columns are ignored; an empty table gives an empty result."""
     return features(to_media(docs))
