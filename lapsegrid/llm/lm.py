@@ -1,16 +1,17 @@
 """Deleted interpolation language model (Jelinek-Mercer), bigram order.
 
-Texts are read once into chunks of token numbers. Every chunk tells its distinct word and pair
-keys with their training counts as plain rows, which one map-side combined aggregate sums: their
-number is linear in the tokens. Keys that most chunks share are answered by a broadcast of bounded
-size, so no row of the later joins is hot; keys that one chunk alone has need no answer; the others
-are asked for, joined by key and brought back to their chunk. With the totals in place two map-only
-passes follow: one gathers a bounded histogram of leave-one-out (deleted) relative frequencies
-of all training tokens, from which expectation-maximisation learns the mixture weights of each
-context-frequency bucket; the other scores the documents.
-
-Keys are 63-bit hashes of words and of word pairs and a bit that tells which. Among 10^10 distinct keys
-about five pairs are expected to share a hash, whose counts then add up.
+Texts are read once into chunks of token numbers. Each chunk offers its distinct word and
+bigram keys with their training counts, cut by key range; a range adds up what the chunks
+offer and answers each of them with the totals. Neither ranges nor chunks of one sum grow
+with the input: beyond RANGES ranges, chunks are summed by groups of FAN per range, the sums are cut into
+finer ranges and summed in turn, and totals come down the same tree. So offers are linear in the tokens, every
+group is of bounded size, and a very common word or pair is one entry per chunk or sum, never a hot row. With the
+totals in place two map-only passes follow: one gathers a bounded histogram of leave-one-out (deleted) relative
+frequencies of all training tokens, from which expectation-maximisation learns the mixture weights
+of each context-frequency bucket; the other scores the documents.
+
+Keys are 64-bit hashes of words and of word pairs. Among 10^10 distinct keys about three pairs are
+expected to share a hash, whose counts then add up.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lapsegrid.llm.common import Bloom, bounded_batches, columns, lower_bytes, remove, staged
+from lapsegrid.llm.common import bounded_batches, columns, lower_bytes, remove, staged
 
-#: Tokens of a chunk (it ends with the document that reaches this).
+#: Tokens of a chunk (it ends with the document that reaches this), and tokens whose keys make a range.
 CHUNK_TOKENS = 1_000_000
-#: Keys that are broadcast (16 bytes each), at most: those that the most chunks share.
-HOT = 1 << 20
+RANGE_TOKENS = 2_000_000
+#: Ranges that a chunk is cut into, and chunks or sums added up at once, at most: 32 GB of text in one
+#: level, 250 TB in two.
+RANGES, FAN = 8192, 16384
 BUCKETS = 40
 STEPS = 4  # cells of the histogram per factor of two
 FLOOR2, FLOOR1 = 24, 48  # factors of two
@@ -116,117 +119,156 @@ class Chunk:
         before[self.starts] = START
         return pair_keys(before, own)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys - of words (even) first, then of pairs (odd), each sorted -, their training counts
-        in the chunk, the place of each word among the keys, and that of each token's pair."""
-        one = np.uint64(1)
-        words, word_place = np.unique(self.words & ~one, return_inverse=True)
-        n = np.bincount(self.ids[self.train], minlength=len(self.words))
-        word_counts = np.bincount(word_place, weights=n, minlength=len(words)).astype(np.int64)
-        pairs, pair_place = np.unique(self.pairs() | one, return_inverse=True)
-        pair_counts = np.bincount(pair_place[self.train], minlength=len(pairs))
-        return np.concatenate([words, pairs]), np.concatenate([word_counts, pair_counts]), word_place, pair_place + len(words)
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys of words (1) or pairs (2), their training counts, and the
+        place of each word or token among the keys."""
+        if kind == 1:
+            n = np.bincount(self.ids[self.train], minlength=len(self.words))
+            keys, place = np.unique(self.words, return_inverse=True)
+            return keys, np.bincount(place, weights=n, minlength=len(keys)).astype(np.uint64), place
+        keys, place = np.unique(self.pairs(), return_inverse=True)
+        return keys, np.bincount(place[self.train], minlength=len(keys)).astype(np.uint64), place
 
 
-def _rows(array_kinds, arrays, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Equally long arrays as record batches of bounded size."""
-    for at in range(0, len(arrays[0]), step):
-        yield pa.record_batch([pa.array(x[at : at + step]) for x in arrays], names=array_kinds)
+_OFFER = "range long, kind int, node long, keys binary, counts binary"
+_ANSWER = "range long, kind int, node long, totals binary, known long"
 
 
-def _counts(batches) -> Iterator[pa.RecordBatch]:
-    """Chunks -> (key, n): their distinct keys and training counts, also where these are zero."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys, n, _, _ = Chunk(row).keys()
-            yield from _rows(["key", "n"], [keys.view(np.int64), n])
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, told by the first byte."""
+    width = 4 if not len(counts) or counts.max() < 1 << 32 else 8
+    return bytes([width]) + squeeze(counts.astype(f"<u{width}"))
 
 
-def counts(chunks: DataFrame) -> DataFrame:
-    """(key, n, chunks): training count of every key, and how many chunks have it."""
-    return chunks.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("chunks"))
+def widen(data: bytes) -> np.ndarray:
+    return expand(data[1:], f"<u{data[0]}").astype(np.uint64)
 
 
-class Known:
-    """Totals of the hot keys, sorted by key."""
+def _edges(first: int, many: int, ranges: int) -> np.ndarray:
+    """Lower bounds of the ranges first + 1, ..., first + many - 1 of ``ranges`` equal ones."""
+    return np.array([(k << 64) // ranges for k in range(first + 1, first + many)], dtype=np.uint64)
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.n = keys[order], n[order]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are hot, and their totals."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.n[at]
+def _cut(first: int, many: int, ranges: int, kind: int, node: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Offers of sorted keys, by range; ranges without keys have none."""
+    cuts = [0, *np.searchsorted(keys, _edges(first, many, ranges)).tolist(), len(keys)]
+    return [
+        (first + k, kind, node, squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), narrow(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a
+    ]
 
 
-def hot_keys(totals: DataFrame, most: int) -> tuple[Known, int]:
-    """The keys of the most chunks, at most ``most``, and the number of chunks from which a key is hot."""
-    level = F.floor(F.log2("chunks")).cast("int")
-    many = {r.level: r.n for r in totals.where("chunks > 1").groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # a row per power of two
-    least, held = 64, 0
-    for k in sorted(many, reverse=True):
-        if held + many[k] > most:
-            break
-        least, held = k, held + many[k]
-    rows = totals.where(F.col("chunks") >= F.lit(1 << min(least, 62))).where("chunks > 1").select("key", "n").toArrow()
-    return Known(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()), 1 << min(least, 62)
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns_ = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return pa.table({name: pa.array(x, kinds[kind]) for x, (name, kind) in zip(columns_, fields, strict=True)})
 
 
-def _asks(known, words):
-    """Chunks -> (key, chunk, place): the keys that other chunks may have too and that aren't hot."""
+def numbered(chunks: DataFrame) -> DataFrame:
+    """Chunks with numbers from 0 without gaps: those of a task follow each other."""
+    parts = chunks.groupBy(F.shiftrightunsigned("chunk", 24).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row per task
+    sums = np.cumsum([0, *(r.n for r in parts)]).tolist()
+    ahead = chunks.sparkSession.createDataFrame([(r.part, n) for r, n in zip(parts, sums, strict=False)], "part long, ahead long")
+    own = chunks.withColumn("part", F.shiftrightunsigned("chunk", 24)).join(F.broadcast(ahead), "part")
+    return own.withColumn("chunk", F.col("chunk").bitwiseAND((1 << 24) - 1) + F.col("ahead")).select(*chunks.columns)
 
-    def ask(batches) -> Iterator[pa.RecordBatch]:
-        hot, bloom = known.value, Bloom(words.value)
+
+def _offers(ranges: int):
+    """Chunk rows -> offers."""
+
+    def offer(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = Chunk(row).keys()[0]
-                at = np.flatnonzero(bloom.might(keys) & ~hot.find(keys)[0])
-                yield from _rows(["key", "chunk", "place"], [keys[at].view(np.int64), np.full(len(at), row["chunk"]), at.astype(np.int32)])
-
-    return ask
+                chunk = Chunk(row)
+                for kind in (1, 2):
+                    keys, counts, _ = chunk.keys(kind)
+                    made = _cut(0, ranges, ranges, kind, row["chunk"], keys, counts)
+                    for at in range(0, len(made), 1024):
+                        yield from _table(made[at : at + 1024], _OFFER).to_batches()
+
+    return offer
+
+
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct keys of a group of offers, their sums, each offered key's place and each offer's length."""
+    parts = [(expand(k, np.uint64).cumsum(dtype=np.uint64), widen(c)) for k, c in columns(table, "keys", "counts")]
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    total = np.zeros(len(keys), dtype=np.uint64)
+    np.add.at(total, place, np.concatenate([c for _, c in parts]))
+    return keys, total, place, [len(k) for k, _ in parts]
+
+
+def _told(table: pa.Table, total: np.ndarray, place: np.ndarray, lengths: list[int], known: int) -> pa.Table:
+    """The answer to each offer; known: distinct keys with training counts, told once."""
+    out, at = [], 0
+    for n in lengths:
+        out.append(narrow(total[place[at : at + n]]))
+        at += n
+    rows = zip(table["range"].to_pylist(), table["kind"].to_pylist(), table["node"].to_pylist(), out, [known] + [0] * (len(out) - 1), strict=True)
+    return _table(list(rows), _ANSWER)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Totals of one range, as each node asked."""
+    _, total, place, lengths = _summed(table)
+    return _told(table, total, place, lengths, int((total > 0).sum()))
+
+
+def _sum_up(fan: int, split: int, ranges: int):
+    """A group of offers of one range -> the offers of their sum, by finer ranges."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, total, _, _ = _summed(table)
+        first, kind, node = (table[c][0].as_py() for c in ("range", "kind", "node"))
+        return _table(_cut(first * split, split, ranges * split, kind, node // fan, keys, total), _OFFER)
+
+    return merge
+
+
+def _hand_down(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A group of offers and the totals of its sum, by finer range -> the answers to the offers."""
+    if not left.num_rows:
+        return _table([], _ANSWER)
+    _, _, place, lengths = _summed(left)
+    total = np.concatenate([widen(t) for _, t in sorted(columns(right, "range", "totals"))])
+    return _told(left, total, place, lengths, 0)
+
+
+def answers(offers: DataFrame, ranges: int, nodes: int, fan: int = FAN, split: int = RANGES) -> tuple[DataFrame, int]:
+    """Answers to all offers of nodes 0 to ``nodes`` - 1, and the number of distinct words with training counts."""
+    if nodes <= fan:
+        found = staged(offers.groupBy("range", "kind").applyInArrow(_answer, _ANSWER), "lm-answers", "none")
+        return found, found.where("kind = 1").agg(F.sum("known")).first()[0] or 0
+    offers = staged(offers, "lm-offers", "none")
+    group = F.floor(F.col("node") / fan).cast("long")
+    merged = offers.groupBy("range", "kind", group.alias("sum")).applyInArrow(_sum_up(fan, split, ranges), _OFFER)
+    above, known = answers(merged, ranges * split, -(-nodes // fan), fan, split)
+    down = above.groupBy(F.floor(F.col("range") / split).cast("long").alias("range_"), "kind", F.col("node").alias("sum"))
+    found = offers.groupBy(F.col("range").alias("range_"), "kind", group.alias("sum")).cogroup(down).applyInArrow(_hand_down, _ANSWER)
+    found = staged(found, "lm-answers", "none")
+    remove(offers)
+    remove(above)
+    return found, known
 
 
 _COUNTED = "doc_ids array<{kind}>, lengths array<int>, held_out array<boolean>, ids binary, word_totals binary, pair_totals binary"
 
 
-def _align(known, kind: pa.DataType):
-    """A chunk and the answers for it -> the chunk with the totals of its words, and of its pairs in token order."""
+def _align(kind: pa.DataType):
+    """A chunk and the answers to it -> the chunk with the totals of its words, and of its pairs in token order."""
     schema = pa.schema([("doc_ids", pa.list_(kind)), ("lengths", pa.list_(pa.int32())), ("held_out", pa.list_(pa.bool_())), ("ids", pa.binary()), ("word_totals", pa.binary()), ("pair_totals", pa.binary())])
 
     def align(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         for row in left.to_pylist():  # one, or none
-            keys, total, word_place, pair_place = Chunk(row).keys()
-            is_hot, n = known.value.find(keys)
-            total = np.where(is_hot, n, total)
-            total[right["place"].to_numpy()] = right["n"].to_numpy()
-            total = total.astype(np.uint64)
-            made.append((row["doc_ids"], row["lengths"], row["held_out"], row["ids"], squeeze(total[word_place]), squeeze(total[pair_place])))
+            chunk, told = Chunk(row), sorted(columns(right, "kind", "range", "totals"))
+            found = [squeeze(np.concatenate([widen(t) for k, _, t in told if k == kind])[chunk.keys(kind)[2]]) for kind in (1, 2)]
+            made.append((row["doc_ids"], row["lengths"], row["held_out"], row["ids"], *found))
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema) if made else schema.empty_table()
 
     return align
 
 
-def counted_chunks(chunks: DataFrame, kind: str, arrow: pa.DataType, most_hot: int = HOT) -> tuple[DataFrame, int]:
-    """Chunks with the corpus totals of their words and pairs, and the number of distinct training words."""
-    spark = chunks.sparkSession
-    totals = staged(counts(chunks), "lm-totals", "none")
-    v = totals.where("key % 2 = 0 and n > 0").count()
-    known, least = hot_keys(totals, most_hot)
-    shared = totals.where((F.col("chunks") > 1) & (F.col("chunks") < least))
-    hot = spark.sparkContext.broadcast(known)
-    words = spark.sparkContext.broadcast(Bloom.of(shared.select("key"), shared.count()).words)
-    asks = chunks.mapInArrow(_asks(hot, words), "key long, chunk long, place int")
-    answers = asks.join(shared.select("key", "n"), "key").select("chunk", "place", "n")
-    counted = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_align(hot, arrow), _COUNTED.format(kind=kind))
-    counted = staged(counted, "lm-counted", "none")
-    remove(totals)
-    return counted, v
-
-
 class Counted:
     """Token-level totals of a chunk: c (word), before (its context), pair. The end token has
     number 0 in every chunk; its total, the number of training documents, is also that of the
@@ -339,11 +381,16 @@ def score(docs: DataFrame) -> DataFrame:
     chunks = staged(docs.select("doc_id", "text", out.alias("held_out")).mapInArrow(_chunks(arrow), _CHUNK.format(kind=kind)), "lm-chunks", "none")
     per_doc = F.arrays_zip("lengths", "held_out")
     train = F.aggregate(per_doc, F.lit(0).cast("long"), lambda a, x: a + F.when(x["held_out"], 0).otherwise(x["lengths"]))
-    n = chunks.select(train.alias("train")).agg(F.sum("train")).first()[0]
-    if n is None:
+    size, n, many = chunks.select(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"), train.alias("train")).agg(F.sum("all"), F.sum("train"), F.count("*")).first()
+    if not many:
         return spark.createDataFrame([], SCHEMA.format(kind=kind))
-    counted, v = counted_chunks(chunks, kind, arrow)
+    chunks = numbered(chunks)
+    ranges = min(RANGES, max(1, -(-size // RANGE_TOKENS)))
+    told, v = answers(chunks.mapInArrow(_offers(ranges), _OFFER), ranges, many)
+    aligned = chunks.groupBy("chunk").cogroup(told.groupBy(F.col("node").alias("chunk"))).applyInArrow(_align(arrow), _COUNTED.format(kind=kind))
+    counted = staged(aligned, "lm-counted", "none")
     remove(chunks)
+    remove(told)
     cells = counted.mapInArrow(_histogram(n), "cell long, n double, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
     rows = np.array([tuple(r) for r in cells.collect()], dtype=np.float64).reshape(-1, 4)  # at most BUCKETS * cells, whatever the input
     bucket = rows[:, 0].astype(np.int64) // ((FLOOR2 * STEPS + 1) * (FLOOR1 * STEPS + 1))
