@@ -38,9 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Folders made in the shared folder by this process, in order.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def staged(frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -52,14 +58,29 @@ def staged(frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(frame: DataFrame) -> None:
     """Delete the files of a staged frame that nothing needs any more."""
-    spark = frame.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(frame.sparkSession, folder)
+
+
+def mark() -> int:
+    """A place in the list of folders made, for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the working folders made since a mark, but for those that ``keep`` is read from. Results that
+    have not been written yet are read from such folders: sweep when they have been."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    for folder in [f for f in _made[since:] if f.rpartition("/")[2] not in kept]:
+        _made.remove(folder)
+        _delete(spark, folder)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -294,12 +295,13 @@ def plain_weights(train, tokens, c, pair, n, v):
     return out
 
 
-@pytest.mark.parametrize("hot, parts", [(1 << 20, 4), (0, 12), (4, 12)])
-def test_lm_against_brute_force(spark, monkeypatch, hot, parts):
+@pytest.mark.parametrize("fan, split, parts", [(16384, 8192, 4), (4, 3, 12), (2, 5, 12)])
+def test_lm_against_brute_force(spark, monkeypatch, fan, split, parts):
     rnd = random.Random(8)
     words = ["a", "B", "b", "c", "d", "é", "rare"]
     texts = [" ".join(rnd.choices(words, [9, 5, 4, 3, 2, 1, 0.1], k=rnd.randint(0, 30))) for _ in range(120)] + ODD
-    monkeypatch.setattr(lm.counted_chunks, "__defaults__", (hot,))
+    monkeypatch.setattr(lm.answers, "__defaults__", (fan, split))
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 20_000)
     train, tokens, c, pair, n, v = plain_lm(texts)
     held = {}
 
@@ -311,7 +313,7 @@ def test_lm_against_brute_force(spark, monkeypatch, hot, parts):
     monkeypatch.setattr(lm, "learn_weights", keep)
     rows = {r.doc_id: r for r in lm.score(docs(spark, texts).repartition(parts)).collect()}
     weights = held["w"]
-    if hot > 4:
+    if fan != 2:
         for b, w in plain_weights(train, tokens, c, pair, n, v).items():
             assert np.allclose(weights[b], w, atol=0.02), (b, weights[b], w)
     assert held["n"] == n and np.allclose(weights.sum(axis=1), 1)
@@ -327,19 +329,16 @@ def test_lm_against_brute_force(spark, monkeypatch, hot, parts):
         assert math.isclose(r.score, want, rel_tol=1e-9)
 
 
-def test_lm_rows_are_linear_in_tokens(spark):
+def test_lm_offers_are_linear_in_tokens(spark):
     rnd = random.Random(3)
     rows = {}
     for parts in (10, 40):
         frame = docs(spark, [" ".join(rnd.choices("abcdefghij", k=30)) for _ in range(10 * parts)]).repartition(parts)
         chunks = common.staged(frame.selectExpr("doc_id", "text", "false as held_out").mapInArrow(lm._chunks(pa.int64()), lm._CHUNK.format(kind="long")), "test")
-        assert chunks.count() == parts
-        told = chunks.mapInArrow(lm._counts, "key long, n long").count()
-        known, least = lm.hot_keys(common.staged(lm.counts(chunks), "test"), 300)
-        assert 0 < len(known.keys) <= 300 and least <= parts
-        rows[parts] = told
-        assert told <= 2 * 31 * 10 * parts
-    assert rows[40] <= 4.2 * rows[10]
+        assert sorted(r.chunk for r in lm.numbered(chunks).collect()) == list(range(parts))
+        offers = common.staged(chunks.mapInArrow(lm._offers(16), lm._OFFER), "test")
+        rows[parts] = offers.count()
+    assert rows[40] <= 4.2 * rows[10] and rows[40] <= 40 * 16 * 2
 
 
 def test_lm_takes_text_ids(spark):
@@ -385,6 +384,23 @@ def test_avi_rows(spark):
     assert avi.report(docs(spark, [])).count() == 0
 
 
+def test_avi_feature_tells_times(spark):
+    media = avi.to_media(docs(spark, ["a" * 40_000 + "Z" * 40_000, None, ""]))
+    rows = {r.doc_id: r for r in avi.features(media).collect()}
+    clips = {}
+    for r in avi.clip_rows(media).orderBy("doc_id", "clip").collect():
+        clips.setdefault(r.doc_id, []).append(f"{r.first_frame}-{r.first_frame + r.n_frames - 1}@{r.start_s:.6f}-{r.end_s:.6f}")
+    assert len(clips[0]) > 1
+    for i, r in rows.items():
+        head, _, told = r.feature.partition(";clips=")
+        assert told.split(",") == clips[i]
+        frames, seconds = (x.partition("=")[2] for x in head.split(";"))
+        assert float(seconds) == pytest.approx(int(frames) / avi.FPS, abs=1e-4) and told.endswith(f"-{float(seconds):.6f}")
+    named = avi.clip_rows(media.selectExpr("cast(doc_id as string) as doc_id", "n_bytes", "media"))
+    assert named.schema["doc_id"].dataType.simpleString() == "string" and named.count() == sum(map(len, clips.values()))
+    assert avi.report(docs(spark, [])).count() == 0
+
+
 def test_avi_clips(spark):
     still = np.zeros((12, 16, 64), dtype=np.uint8)
     still[5:9] = 200
@@ -478,6 +494,15 @@ def test_pipeline_stages_by_brute_force(spark):
     assert corpus_pipeline.run(spark, SF).count() == out["packing"].count()
 
 
+def test_sweep_deletes_working_tables_only(spark):
+    since = common.mark()
+    gone, kept = (common.staged(docs(spark, ["a", "b"]), n) for n in ("gone", "kept"))
+    before = {f.rpartition("/")[0] for f in gone.inputFiles()}
+    common.sweep(spark, since, keep=kept)
+    assert kept.count() == 2 and not any(pathlib.Path(f.removeprefix("file:").replace("///", "/")).exists() for f in before)
+    assert common.mark() == since + 1
+
+
 def test_pipeline_keeps_odd_rows(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "x", "y", 0), (3, "password=abcdefgh12 é", None, None, 5), (3, "password=abcdefgh12 é", None, None, 5), (None, "null id row here", None, None, 1)]
     for name, table, schema in (("documents", rows, DOCS), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
