@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsegrid.llm import decontam, packing, secrets, simhash, toxicity
-from lapsegrid.llm.common import read, staged
+from lapsegrid.llm.common import mark, read, remove, staged, sweep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages in order. When a stage's rows are written, what it worked with is deleted."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
+        sweep(spark, since, keep=docs)
+        if last is not None:
+            remove(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
