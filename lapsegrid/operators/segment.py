@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lapsegrid.functions import kernels as K
+from lapsegrid.operators.histogram import minimum_error
 
 
 @dataclass(frozen=True)
@@ -36,20 +39,55 @@ class Settings:
         return Settings(get("sigmaGfilter", 2.0), get("minVolume", 200), get("maxVolume", 0), get("clusterXY", 5), get("min_rad", 15), get("max_rad", 25), get("num_time_seeds", 7), get("numLevel", 10))
 
 
-def each_frame(frames: DataFrame, keys: list[str], kernel: Callable, schema: str, width: int | None = None) -> DataFrame:
-    """Apply kernel(key values, image) -> rows of tuples to each frame."""
-    picked = [*keys, "px"] + ([] if width else ["width"])
-    names = [c.split()[0] for c in schema.split(", ")]
+#: Bytes of frames that a worker takes in at once (about two of 2048 x 2048 pixels, and one more), and of rows it gives back.
+IN_BYTES, OUT_BYTES, OUT_ROWS = 32 << 20, 32 << 20, 4096
+
+
+def bounded_frames(spark: SparkSession) -> None:
+    """Bound the Arrow batches by IN_BYTES, whatever a frame's size; a smaller setting stays. It is read
+    when a query starts, and results are lazy, so it is set on the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, None))
+    if not (now.isdecimal() and 0 < int(now) <= IN_BYTES):
+        spark.conf.set(key, str(IN_BYTES))
+
+
+def images_of(batch: pa.RecordBatch, width: int | None = None) -> Iterator[np.ndarray]:
+    """The frames of a batch (px, and width unless given), as views of its buffers; missing pixels are NaN."""
+    px = batch.column("px")
+    values, at = px.values.to_numpy(zero_copy_only=False), px.offsets.to_numpy()
+    widths = [width] * batch.num_rows if width else batch.column("width").to_pylist()
+    for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), widths, strict=True):
+        yield values[a:b].reshape(-1, w)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for row in rows[picked].itertuples(index=False):
-                image = np.asarray(row.px).reshape(-1, width or row.width)
-                out.extend(kernel(tuple(getattr(row, k) for k in keys), image))
-            yield pd.DataFrame(out, columns=names)
 
-    return frames.select(*picked).mapInPandas(run, schema)
+def _size(value) -> int:
+    return getattr(value, "nbytes", 16 * len(value) if isinstance(value, (list, tuple)) else 8)
+
+
+def each_frame(frames: DataFrame, keys: list[str], kernel: Callable, schema: str, width: int | None = None) -> DataFrame:
+    """Apply kernel(key values, image) -> rows of tuples to each frame. Rows are handed on when they reach
+    OUT_BYTES, so a worker holds a batch of frames and that much, however many frames a task has."""
+    bounded_frames(frames.sparkSession)
+    picked = [*keys, "px"] + ([] if width else ["width"])
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.record_batch([pa.array(x, f.type, from_pandas=True) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        for batch in batches:
+            out, held = [], 0
+            own = zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else iter(() for _ in range(batch.num_rows))
+            for key, image in zip(own, images_of(batch, width), strict=True):
+                for row in kernel(key, image):
+                    out.append(row)
+                    held += sum(map(_size, row))
+                if held >= OUT_BYTES or len(out) >= OUT_ROWS:
+                    yield made(out)
+                    out, held = [], 0
+            if out:
+                yield made(out)
+
+    return frames.select(*picked).mapInArrow(run, schema)
 
 
 def component_rows(frames: DataFrame, keys: list[str], kinds: str, th: int, width: int, connectivity: int = 8) -> DataFrame:
@@ -66,21 +104,8 @@ def filtered_mask(frames: DataFrame, keys: list[str], kinds: str, th: int, width
     return each_frame(frames, keys, lambda key, im: [(*key, int(K.keep_components(im >= th, least, most, exact).sum()))], f"{kinds}, n_px int", width)
 
 
-def minimum_error(image: np.ndarray) -> int:
-    """Poisson minimum-error threshold of one frame; the maximum where no cost is defined."""
-    n = np.bincount(image.ravel())
-    i = np.arange(len(n))
-    c, s = np.cumsum(n), np.cumsum(n * i)
-    with np.errstate(all="ignore"):
-        p0, p1 = c / c[-1], (c[-1] - c) / c[-1]
-        m0, m1 = s / c, (s[-1] - s) / (c[-1] - c)
-        cost = s[-1] / c[-1] - p0 * (np.log(p0) + m0 * np.log(m0)) - p1 * (np.log(p1) + m1 * np.log(m1))
-    cost = np.where(np.isfinite(cost), cost, np.inf)
-    return int(np.argmin(cost)) if np.isfinite(cost).any() else int(image.max())
-
-
-def segment(image: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Mask and seeds of a frame: smoothing, threshold, background gate, foreground choice,
+def segment(image: np.ndarray, s: Settings = Settings(), seeded: bool = True) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Mask and, if ``seeded``, seeds of a frame: smoothing, threshold, background gate, foreground choice,
     component filters, seed response, local maxima. A frame that fails the gate is empty."""
     smooth = np.floor(K.gaussian(image, np.sqrt(s.sigma2)) + 1e-9).astype(np.int64)
     mask = smooth >= minimum_error(smooth)
@@ -90,15 +115,17 @@ def segment(image: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, li
     if mask.mean() > 0.5:
         mask = np.ones_like(mask) if s.exact else ~mask
     mask = K.keep_components(mask, s.least, s.most, s.exact)
-    return mask, K.local_maxima(K.seed_response(image, mask, s.least_radius, s.most_radius), s.window)
+    return mask, K.local_maxima(K.seed_response(image, mask, s.least_radius, s.most_radius), s.window) if seeded else []
 
 
 def segment_frames(frames: DataFrame, keys: list[str], kinds: str, settings: Settings = Settings()) -> DataFrame:
-    """(keys, mask array<byte>, seeds array<struct<x,y>>): one row per frame."""
+    """(keys, mask array<byte>, seeds array<struct<x,y>>): one row per frame. Where ``frame`` is one of the
+    keys, only the first ``seed_frames`` frames have seeds: later ones are not counted (LM2)."""
+    at = keys.index("frame") if "frame" in keys else None
 
     def run(key, image):
-        mask, seeds = segment(image, settings)
-        return [(*key, mask.astype(np.int8).ravel().tolist(), [{"x": x, "y": y} for x, y in seeds])]
+        mask, seeds = segment(image, settings, at is None or key[at] < settings.seed_frames)
+        return [(*key, mask.astype(np.int8).ravel(), [{"x": x, "y": y} for x, y in seeds])]
 
     return each_frame(frames, keys, run, f"{kinds}, mask array<tinyint>, seeds array<struct<x:int,y:int>>")
 

@@ -27,9 +27,9 @@ def border_flags(width: str = "width") -> dict[str, Column]:
 
 def repair_borders(frames: DataFrame) -> DataFrame:
     """Borders that are empty in a stack's first frame become the stack's mean in all frames."""
-    first = F.col("frame") == F.min("frame").over(Window.partitionBy(*STACK))
-    marks = frames.select(*STACK, px_sum().alias("total"), F.size("px").alias("n"), first.alias("first"), *(v.alias(k) for k, v in border_flags().items()))
-    stack = marks.groupBy(*STACK).agg(F.floor(F.sum("total") / F.sum("n")).cast("int").alias("mean"), *(F.max(F.col("first") & F.col(k)).alias(k) for k in ("top", "bottom", "left", "right")))
+    # a frame is reduced to a sum and four flags before anything is shuffled
+    marks = frames.select(*STACK, "frame", px_sum().alias("total"), F.size("px").cast("long").alias("n"), F.struct(*(v.alias(k) for k, v in border_flags().items())).alias("flags"))
+    stack = marks.groupBy(*STACK).agg(F.floor(F.sum("total") / F.sum("n")).cast("int").alias("mean"), F.min_by("flags", "frame").alias("flags")).select(*STACK, "mean", "flags.*")
     held = frames.join(stack, STACK)
     fixed = F.expr(
         "CASE WHEN top OR bottom OR left OR right THEN transform(px, (v, i) -> CASE WHEN (top AND i < width) OR (bottom AND i >= size(px) - width)"
@@ -52,17 +52,19 @@ def unmix_frames(frames: DataFrame, first: str, second: str, inverse) -> DataFra
 
 def subtract_background(frames: DataFrame, sigma: float = 40.0) -> DataFrame:
     def run(key, image):
-        return [(*key, image.shape[1], image.shape[0], K.subtract_background(image, sigma).ravel().tolist())]
+        return [(*key, image.shape[1], image.shape[0], K.subtract_background(image, sigma).ravel())]
 
     return segment.each_frame(frames, [*STACK, "frame"], run, f"{KINDS}, width int, height int, px array<int>")
 
 
-def register_wells(bright: DataFrame, patterns: list[np.ndarray], n: int, size: int, margin: int, exact: bool = False) -> DataFrame:
-    """(block, row, col, x, y, type, score): wells of the first bright-field frame, the best one of each grid cell."""
+def register_wells(bright: DataFrame, patterns: list[np.ndarray], n: int, size: int, margin: int, exact: bool = False, sigma: float = 30.0) -> DataFrame:
+    """(block, row, col, x, y, type, score): wells of the first bright-field frame, the best one of each
+    grid cell. The frame is compared after its background is subtracted, untruncated (sigma 0: as it is)."""
     own = bright.where(F.col("frame") == 0)
 
     def find(key, image):
         h, w = image.shape
+        image = K.subtract_background(image, sigma, truncate=False) if sigma > 0 else image
         return [(*key, int(y * n // h), int(x * n // w), x, y, t, s) for x, y, t, s in segment.find_wells(image, patterns, size, margin, exact)]
 
     found = segment.each_frame(own, ["block"], find, "block int, row int, col int, x int, y int, type int, score double")
@@ -71,10 +73,17 @@ def register_wells(bright: DataFrame, patterns: list[np.ndarray], n: int, size:
 
 
 def shifts(bright: DataFrame) -> DataFrame:
-    """(block, frame, dx, dy, px, py): drift against the frame before, and its running sum."""
+    """(block, frame, dx, dy, px, py): drift against the frame before, and its running sum.
+
+    Frame numbers alone go through the window; the pixels of a frame meet those of the one before by an
+    equi-join, so no task holds a stack. Each comparison gives the stored shift directly, whichever of two
+    frames a correlator would turn round.
+    """
     own = Window.partitionBy("block").orderBy("frame")
-    pairs = bright.select("block", "frame", "width", F.coalesce(F.lag("px").over(own), "px").alias("before"), F.col("px").alias("after"))
-    pairs = pairs.select("block", "frame", "width", F.concat("before", "after").alias("px"))
+    order = bright.select("block", "frame").withColumn("last", F.coalesce(F.lag("frame").over(own), "frame"))
+    after = bright.select("block", "frame", "width", F.col("px").alias("after")).join(order, ["block", "frame"])
+    before = bright.select("block", F.col("frame").alias("last"), F.col("px").alias("before"))
+    pairs = after.join(before, ["block", "last"]).select("block", "frame", "width", F.concat("before", "after").alias("px"))
 
     def run(key, image):
         h = image.shape[0] // 2
@@ -98,7 +107,7 @@ def crop_wells(frames: DataFrame, found: DataFrame, path: DataFrame, size: int)
         for w in here:
             own_crop = K.crop(image, int(w["x"] - sx), int(w["y"] - sy), size)
             if own_crop.any():
-                out.append((own[0], int(w["row"]), int(w["col"]), own[1], own[2], size, own_crop.ravel().tolist()))
+                out.append((own[0], int(w["row"]), int(w["col"]), own[1], own[2], size, own_crop.ravel()))
         return out
 
     return segment.each_frame(rows, [*STACK, "frame", "sx", "sy", "wells"], run, "block int, row int, col int, channel string, frame int, width int, px array<int>")

@@ -1,7 +1,7 @@
 """Stacks as volumes: stencils over neighbouring frames, projections, composites, labels and point lists.
 
-A stencil's row holds a frame with the frames around it, gathered by one window per
-stack, so a volume is never assembled whole. Pixel tables have x, y, z, i columns.
+A stencil's row holds a frame with the frames around it, sent to it by place, so a volume is
+never assembled whole. Pixel tables have x, y, z, i columns.
 """
 
 from __future__ import annotations
@@ -19,15 +19,27 @@ from lapsegrid.operators.segment import each_frame
 def slabs(frames: DataFrame, keys: list[str], order: str, reach: int, replicate: bool = True) -> DataFrame:
     """``frames`` with px replaced by the px of frames -reach..reach around, end to end.
 
-    Beyond the stack's ends its first or last frame is repeated, or, without
-    ``replicate``, pixels are NULL and count for nothing.
+    Beyond the stack's ends its first or last frame is repeated, or, without ``replicate``, pixels are
+    NULL and count for nothing. Frame numbers alone go through a window; each frame's pixels are sent to
+    the at most 2 reach + 1 places that need them, so a group is a slab and never a stack.
     """
-    own = Window.partitionBy(*keys).orderBy(order)
-    edge = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    places = frames.select(*keys, order).withColumns({"place_": F.row_number().over(own), "last_": F.count("*").over(whole)})
+    rows = frames.join(places, [*keys, order])
+    sent = []
+    for k in range(-reach, reach + 1):  # the frame at ``place_`` stands k frames from the one at ``to``
+        to = [F.col("place_") - k]
+        if replicate and k:
+            # the end frame also stands for those that a place near the end would look for beyond it
+            end = (F.col("place_") == F.col("last_")) if k > 0 else (F.col("place_") == 1)
+            to += [F.when(end, F.col("place_") - k + (m if k > 0 else -m)) for m in range(1, abs(k) + 1)]
+        sent += [F.struct(t.cast("int").alias("to"), F.lit(k).alias("k")) for t in to]
+    each = rows.select(*keys, "last_", F.explode(F.array(*sent)).alias("sent_"), F.col("px").alias("part_")).where(F.col("sent_.to").between(1, F.col("last_")))
+    gathered = each.groupBy(*keys, F.col("sent_.to").alias("place_")).agg(F.map_from_entries(F.collect_list(F.struct("sent_.k", "part_"))).alias("parts_"))
+    both = rows.join(gathered, [*keys, "place_"])
     nothing = F.transform("px", lambda v: F.when(F.lit(False), v))
-    first, last = (F.first("px").over(edge), F.last("px").over(edge)) if replicate else (nothing, nothing)
-    around = [F.coalesce(F.lag("px", -k).over(own), first if k < 0 else last) for k in range(-reach, reach + 1)]
-    return frames.withColumn("px", F.concat(*around))
+    around = [F.coalesce(F.try_element_at("parts_", F.lit(k)), nothing) for k in range(-reach, reach + 1)]
+    return both.withColumn("px", F.concat(*around)).select(*frames.columns)
 
 
 def ball(r: int, rz: int) -> list[tuple[int, int, int]]:

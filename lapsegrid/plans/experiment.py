@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,6 +30,7 @@ class Config:
     death: str = "death"
     mixing: tuple[float, float, float, float] | None = None
     sigma: float = 40.0
+    well_sigma: float = 30.0
     settings: segment.Settings = field(default_factory=segment.Settings)
     count_frames: int = 7
     least_split: int = 50
@@ -50,10 +52,13 @@ class Experiment:
     that several others read can be given a table (``persist_to``) at a cut."""
 
     def __init__(self, spark: SparkSession, folder: str, config: Config, persist_to: str | None = None):
-        self.spark, self.folder, self.c, self.to = spark, folder, config, persist_to
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        self.spark, self.folder, self.c = spark, folder, config
+        self.to = persist_to or (f"{shared.rstrip('/')}/experiment-{uuid.uuid4().hex}" if shared else None)
 
     def kept(self, frame: DataFrame, name: str) -> DataFrame:
-        """Cut the lineage at a shared table, if there is a place for one."""
+        """Cut the lineage at a shared table, if there is a place for one: ``persist_to``, or else a
+        folder of this run where spark.checkpoint.dir says."""
         if not self.to:
             return frame
         path = f"{self.to}/{name}"
@@ -61,12 +66,12 @@ class Experiment:
         return self.spark.read.parquet(path)
 
     def frames(self) -> DataFrame:
-        """Manifest and pixels: (block, channel, frame, width, height, px), borders repaired."""
+        """Manifest and pixels: (block, channel, frame, width, height, px), borders repaired. Names are parsed
+        before contents are read, and the parsed keys travel with their own file: files are never joined by name."""
         channels = self.spark.createDataFrame(list(self.c.tokens.items()), "role string, token string")
-        read = tiff.read_frames(self.spark, self.folder, first=1).withColumn("name", F.element_at(F.split("path", "/"), -1))
-        found = manifest.zeiss(read.select("name"), channels)
-        rows = read.drop("frame").join(found, "name").select("block", F.col("role").alias("channel"), "frame", "width", "height", "px")
-        return stack.repair_borders(rows)
+        found = manifest.zeiss(tiff.files_of(self.spark, self.folder), channels).withColumnRenamed("role", "channel")
+        rows = tiff.decode_frames(found, ["block", "channel", "frame"], first=1).drop("page")
+        return stack.repair_borders(self.kept(rows, "decoded"))
 
     def clean_frames(self, frames: DataFrame) -> DataFrame:
         """Unmixed, then background-subtracted fluorescence channels; bright field as it is."""
@@ -80,7 +85,7 @@ class Experiment:
         c = self.c
         clean = self.kept(self.clean_frames(self.frames()), "frames")
         bright = clean.where(F.col("channel") == c.bright)
-        found = self.kept(stack.register_wells(bright, c.patterns, c.wells_per_row, c.well_size, c.margin, c.exact), "wells")
+        found = self.kept(stack.register_wells(bright, c.patterns, c.wells_per_row, c.well_size, c.margin, c.exact, c.well_sigma), "wells")
         path = self.kept(stack.shifts(bright), "shifts")
         cells_in = clean.where(F.col("channel").isin(c.effector, c.target))
         marked = self.kept(segment.segment_frames(cells_in, [*stack.STACK, "frame"], stack.KINDS, c.settings), "masks")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Lines of a parameter file and channel tokens of an experiment, at most; more raise an error.
+MOST_LINES, MOST_CHANNELS = 10_000, 100
+
+
 def list_frames(spark: SparkSession, folder: str, glob: str = "*.[tT][iI][fF]") -> DataFrame:
     """(path, name) of image files; contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path")
@@ -23,31 +27,51 @@ def time_before(name: Column, mark: str, digits: int, missing: int) -> Column:
     return F.when(F.instr(name, mark) <= 1, F.lit(missing)).otherwise(F.coalesce(F.nullif(found, F.lit("")).cast("int"), F.lit(missing)))
 
 
+def _matched(own: DataFrame, channels: DataFrame) -> DataFrame:
+    """Names with the roles whose token they contain. Channels are a handful of tokens, which is checked."""
+    tokens = channels.where("token <> ''")
+    if tokens.count() > MOST_CHANNELS:
+        raise ValueError(f"more than {MOST_CHANNELS} channel tokens")
+    return own.join(F.broadcast(tokens), F.col("name").contains(F.col("token")))
+
+
 def zeiss(names: DataFrame, channels: DataFrame, digits: int = 3, time_digits: int = 2) -> DataFrame:
-    """(block, role, frame, name) of names like <exp>_s003t07c3_ORG.tif. channels: role, token."""
+    """(block, role, frame) and the columns of ``names`` (name and any others) of names like
+    <exp>_s003t07c3_ORG.tif. channels: role, token."""
     block = F.regexp_extract("name", f"_s([0-9]{{{digits}}})", 1)
     own = names.where(F.col("name").contains(".tif")).withColumn("block", F.nullif(block, F.lit("")).cast("int")).where("block is not null")
-    found = own.join(channels.where("token <> ''"), F.col("name").contains(F.col("token")))
-    return found.select("block", "role", time_before(F.col("name"), "c", time_digits, 0).alias("frame"), "name")
+    return _matched(own, channels).select("block", "role", time_before(F.col("name"), "c", time_digits, 0).alias("frame"), *names.columns)
 
 
 def leica(names: DataFrame, channels: DataFrame, digits: int = 3, time_digits: int = 3) -> DataFrame:
     """As ``zeiss`` for names like <exp>012_w2CH_t003.TIF; names without a time are dropped."""
     block = F.regexp_extract("name", f"_t([0-9]{{{digits}}})\\.TIF", 1)
     own = names.withColumn("block", F.nullif(block, F.lit("")).cast("int")).where("block is not null")
-    found = own.join(channels.where("token <> ''"), F.col("name").contains(F.col("token")))
-    return found.select("block", "role", time_before(F.col("name"), "_w", time_digits, -1).alias("frame"), "name").where("frame >= 0")
+    found = _matched(own, channels)
+    return found.select("block", "role", time_before(F.col("name"), "_w", time_digits, -1).alias("frame"), *names.columns).where("frame >= 0")
+
+
+def in_order(manifest: DataFrame) -> DataFrame:
+    """Adds place: files of a block and channel by frame, then name."""
+    own = Window.partitionBy("block", "role").orderBy("frame", "name")
+    return manifest.withColumn("place", F.row_number().over(own))
 
 
 def read_options(spark: SparkSession, path: str) -> dict[str, str]:
-    """A key-value parameter file (a few lines)."""
-    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("kv")).where("size(kv) >= 2").limit(1000).collect()
-    return {r.kv[0]: r.kv[1] for r in rows}
+    """A key-value parameter file; the last of several lines with one key counts."""
+    return {r.kv[0]: r.kv[1] for r in _few_lines(spark, path).select(F.split(F.trim("value"), r"\s+").alias("kv")).where("size(kv) >= 2").collect()}
+
+
+def _few_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a parameter file. A file of more than MOST_LINES is none, and an error."""
+    lines = spark.read.text(path)
+    if (n := lines.limit(MOST_LINES + 1).count()) > MOST_LINES:
+        raise ValueError(f"{path} has {n} lines or more, which is no parameter file")
+    return lines
 
 
 def read_mixing_matrix(spark: SparkSession, path: str) -> tuple[float, float, float, float]:
-    rows = spark.read.text(path).limit(100).collect()
-    a11, a12, a21, a22 = (float(v) for r in rows for v in r.value.split())
+    a11, a12, a21, a22 = (float(v) for r in _few_lines(spark, path).collect() for v in r.value.split())
     return a11, a12, a21, a22
 
 

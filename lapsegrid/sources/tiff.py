@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 
@@ -57,19 +59,34 @@ def stack(images: list[np.ndarray], bits: int = 16) -> bytes:
     return b"".join(out)
 
 
-def read_frames(spark: SparkSession, folder: str, first: int | None = None, glob: str = "*.[tT][iI][fF]") -> DataFrame:
-    """(path, frame, width, height, px): one row per page; ``first`` stops after that many."""
+def decode_frames(files: DataFrame, keys: list[str], first: int | None = None) -> DataFrame:
+    """(keys, page, width, height, px) of ``files`` (keys, content): one row per page, handed on one by one;
+    ``first`` stops after that many. Pixels go to the JVM from the decoded buffer."""
+    kinds = dict(files.dtypes)
+    kind = pa.list_(pa.int32())
 
     def decode(batches):
-        for rows in batches:
-            for path, content in zip(rows["path"], rows["content"], strict=True):
-                for k, image in enumerate(pages(content)):
-                    if first is not None and k >= first:
+        for batch in batches:
+            for k, content in enumerate(batch.column("content")):
+                for page, image in enumerate(pages(content.as_py())):
+                    if first is not None and page >= first:
                         break
-                    yield pd.DataFrame({"path": [path], "frame": [k], "width": [image.shape[1]], "height": [image.shape[0]], "px": [image.ravel().tolist()]})
+                    px = pa.ListArray.from_arrays(pa.array([0, image.size], pa.int32()), pa.array(image.ravel().astype(np.int32)))
+                    own = {c: batch.column(c).slice(k, 1) for c in keys}
+                    yield pa.record_batch({**own, "page": pa.array([page], pa.int32()), "width": pa.array([image.shape[1]], pa.int32()), "height": pa.array([image.shape[0]], pa.int32()), "px": px.cast(kind)})
+
+    return files.select(*keys, "content").mapInArrow(decode, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", page int, width int, height int, px array<int>")
+
 
+def files_of(spark: SparkSession, folder: str, glob: str = "*.[tT][iI][fF]") -> DataFrame:
+    """(path, name, content) of image files. Contents are read only where they are used."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInPandas(decode, "path string, frame int, width int, height int, px array<int>")
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def read_frames(spark: SparkSession, folder: str, first: int | None = None, glob: str = "*.[tT][iI][fF]") -> DataFrame:
+    """(path, frame, width, height, px): one row per page; ``first`` stops after that many."""
+    return decode_frames(files_of(spark, folder, glob), ["path"], first).withColumnRenamed("page", "frame")
 
 
 def stacks(frames: DataFrame, keys: list[str], bits: int = 16) -> DataFrame:

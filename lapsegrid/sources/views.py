@@ -30,7 +30,7 @@ def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, ts, f, x, y: one track per user."""
-    own = Window.partitionBy("user_id").orderBy("ts")
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
     y = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     return table(spark, sf_dir, "events").select("user_id", "ts", F.row_number().over(own).alias("f"), F.col("value").alias("x"), y.alias("y"))
 
@@ -45,7 +45,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 PX = """px AS (SELECT vec_id, label, cast(p AS integer) AS pos, cast(p % 8 AS integer) AS x, cast(p // 8 AS integer) AS y,
   cast(floor((cast(embedding[p + 1] AS double) + 1.0) * 1000.0) AS integer) AS i FROM embeddings, unnest(range(64)) AS t(p))"""
 FRAME = "fr AS (SELECT vec_id, label, cast(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS integer) AS frame FROM embeddings)"
-TP = """tp AS (SELECT user_id, ts, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS integer) AS f, value AS x,
+TP = """tp AS (SELECT user_id, ts, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS integer) AS f, value AS x,
   cast(regexp_extract(props, '[0-9]+') AS integer) AS y FROM events)"""
 SD = """sd AS (SELECT event_id, user_id, cast(date_diff('day', DATE '2024-01-01', cast(ts AS date)) AS integer) AS frame,
   cast(floor(value) AS integer) AS x, cast(regexp_extract(props, '[0-9]+') AS integer) AS y FROM events)"""
