@@ -41,10 +41,6 @@ def clamp(c: Column, low, high) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def on_border(x: Column, y: Column, width: int, height: int) -> Column:
-    return (x == 0) | (x == width - 1) | (y == 0) | (y == height - 1)
-
-
 def grid_cell(x: Column, y: Column, width: float, height: float, n: int) -> tuple[Column, Column]:
     """(row, col) of a point in an n x n grid over the frame."""
     return F.floor(y / F.lit(height / n)).cast("int"), F.floor(x / F.lit(width / n)).cast("int")

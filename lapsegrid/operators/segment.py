@@ -31,6 +31,10 @@ class Settings:
     most_radius: int = 25
     seed_frames: int = 7  # [num_time_seeds]
     levels: int = 10  # [numLevel]
+    by_levels: bool = False
+    """Seeds from the inside distances of level sets (KR6) in place of the Laplacian response."""
+    classes: int = 2
+    """More than 2: the foreground is the brightest of so many intensity classes (KR5), not what exceeds the threshold."""
     exact: bool = False
 
     @staticmethod
@@ -108,14 +112,17 @@ def segment(image: np.ndarray, s: Settings = Settings(), seeded: bool = True) ->
     """Mask and, if ``seeded``, seeds of a frame: smoothing, threshold, background gate, foreground choice,
     component filters, seed response, local maxima. A frame that fails the gate is empty."""
     smooth = np.floor(K.gaussian(image, np.sqrt(s.sigma2)) + 1e-9).astype(np.int64)
-    mask = smooth >= minimum_error(smooth)
+    mask = K.intensity_kmeans(smooth.astype(np.float64), s.classes) == s.classes - 1 if s.classes > 2 else smooth >= minimum_error(smooth)
     share = max(mask.mean(), 1 - mask.mean())
     if share < 0.9 or share == 1.0:
         return np.zeros(image.shape, dtype=bool), []
     if mask.mean() > 0.5:
         mask = np.ones_like(mask) if s.exact else ~mask
     mask = K.keep_components(mask, s.least, s.most, s.exact)
-    return mask, K.local_maxima(K.seed_response(image, mask, s.least_radius, s.most_radius), s.window) if seeded else []
+    if not seeded:
+        return mask, []
+    response = K.level_response(image, mask, s.levels) if s.by_levels else K.seed_response(image, mask, s.least_radius, s.most_radius)
+    return mask, K.local_maxima(response, s.window)
 
 
 def segment_frames(frames: DataFrame, keys: list[str], kinds: str, settings: Settings = Settings()) -> DataFrame:
@@ -137,10 +144,6 @@ def find_wells(image: np.ndarray, patterns: list[np.ndarray], size: int, margin:
     best = np.maximum(*scores) if len(scores) == 2 else scores[0]
     held = np.full(best.shape, -1000.0)
     held[margin : best.shape[0] - margin, margin : best.shape[1] - margin] = best[margin : best.shape[0] - margin, margin : best.shape[1] - margin]
-    r = (size - 1) // 2
-    peak = held
-    for axis in (0, 1):
-        wide = np.pad(peak, [(r, r) if a == axis else (0, 0) for a in (0, 1)], constant_values=-1000.0)
-        peak = np.lib.stride_tricks.sliding_window_view(wide, 2 * r + 1, axis).max(-1)
+    peak = K.sliding_max(held, (size - 1) // 2)
     ys, xs = np.nonzero((held >= peak) & (held > -1000))
     return [(int(x), int(y), 1 if len(scores) == 1 or scores[0][y, x] > scores[1][y, x] else 2, float(held[y, x])) for y, x in zip(ys, xs, strict=True)]

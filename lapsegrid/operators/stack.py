@@ -19,6 +19,16 @@ def px_sum(px: str = "px") -> Column:
     return F.aggregate(px, F.lit(0).cast("long"), lambda a, v: a + v)
 
 
+def standardised(px: str) -> Column:
+    """Pixels less the frame's mean over its spread; NULL in a frame of one value."""
+    n, zero = F.size(px), F.lit(0.0)
+    mean = F.aggregate(px, zero, lambda a, v: a + v) / n
+    square = F.aggregate(px, zero, lambda a, v: a + v * v.cast("double"))
+    spread = F.sqrt(F.greatest(zero, (square - n * mean * mean) / (n - 1)))
+    parts = F.array(F.struct(mean.alias("m"), spread.alias("s")))
+    return F.flatten(F.transform(parts, lambda t: F.transform(px, lambda v: F.try_divide(v - t["m"], t["s"]))))
+
+
 def border_flags(width: str = "width") -> dict[str, Column]:
     """Whether the first and last row and column of ``px`` sum to zero."""
     part = lambda test: F.expr(f"aggregate(filter(px, (v, i) -> {test}), 0L, (a, v) -> a + v) = 0")
@@ -113,6 +123,13 @@ def crop_wells(frames: DataFrame, found: DataFrame, path: DataFrame, size: int)
     return segment.each_frame(rows, [*STACK, "frame", "sx", "sy", "wells"], run, "block int, row int, col int, channel string, frame int, width int, px array<int>")
 
 
+def seed_maps(seeds: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """(keys, width, height, px): frames that are 255 at seeds (keys, x, y) and 0 elsewhere."""
+    places = seeds.groupBy(*keys).agg(F.collect_set((F.col("y") * width + F.col("x")).cast("int")).alias("at_"))
+    px = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda p: F.when(F.array_contains("at_", p), 255).otherwise(0))
+    return places.select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), px.alias("px"))
+
+
 def split_cells(masks: DataFrame, numbers: DataFrame, least: int = 50) -> DataFrame:
     """(block, row, col, channel, frame, cell, area, x, y, pts): the cells of mask crops, split
     into each well's number of cells and cleaned. pts are the cell's pixels."""

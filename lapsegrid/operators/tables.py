@@ -49,6 +49,18 @@ def well_block(features: DataFrame, keys: list[str], frames: list[int]) -> DataF
     return rows.select(*keys, "line", *(F.when(F.col("line") == 48, F.lit(float(k))).otherwise(F.coalesce("fixed", f"f{k}", F.lit(MISSING))).alias(f"f{k}") for k in range(1, len(frames) + 1)))
 
 
+def write_seeds(seeds: DataFrame, path: str) -> None:
+    """Seeds (frame, x, y) as tab text in the order of frame, row and column, whatever the tasks did."""
+    write_tab(seeds.select("frame", "x", "y").orderBy("frame", "y", "x"), path)
+
+
+def write_centres(wells: DataFrame, shifts: DataFrame, path: str) -> None:
+    """Centres (block, frame, x, y) of wells (block, x, y, ...) along the summed shifts (block, frame, px, py), as
+    tab text in the order of block, frame, row and column."""
+    rows = wells.join(shifts, "block").select("block", "frame", (F.col("x") - F.col("px")).alias("x"), (F.col("y") - F.col("py")).alias("y"))
+    write_tab(rows.orderBy("block", "frame", "y", "x"), path)
+
+
 def write_tab(table: DataFrame, path: str) -> None:
     """Headerless tab-delimited text, replacing what was there."""
     table.write.mode("overwrite").csv(path, sep="\t", header=False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,24 @@ def with_overlap_cost(pairs: DataFrame, overlap: str = "overlap", away: str = "a
     return pairs.withColumn("cost", F.col("cost") + 1000 * part)
 
 
-def gated_cost(distance: Column, mean_gap: Column, volume_gap: Column, overlap: Column, gate: float = 12.0) -> Column:
-    """Gaussian cost of linking two regions, 1e10 beyond the gate."""
+#: Micrometres per pixel, and gate: fixed values.
+SPACING, GATE = {"x": 0.357, "y": 0.357, "z": 2.0}, 12.0
+
+
+def gated_cost(axes: str = "xyz", overlap: bool = True, spacing: dict[str, float] = SPACING, gate: float = GATE) -> Column:
+    """Gaussian cost of linking two regions, 1e10 where their centres are further apart than the gate.
+
+    Of each region: centre (cx, ...), mean, n (volume) and box (x0, x1, ...); of the second with _2 after the
+    name. Where the boxes overlap, the cost is less by the share of the overlap in half the sum of the box volumes.
+    """
+    away = F.sqrt(sum(((F.col(f"c{a}") - F.col(f"c{a}_2")) * spacing[a]) ** 2 for a in axes))
+    side = lambda a: F.greatest(F.lit(0), F.least(f"{a}1", f"{a}1_2") - F.greatest(f"{a}0", f"{a}0_2"))
+    volume = lambda k: reduce(Column.__mul__, (F.col(f"{a}1{k}") - F.col(f"{a}0{k}") + 1 for a in axes))
+    shared = reduce(Column.__mul__, map(side, axes)) / (0.5 * (volume("") + volume("_2"))) if overlap else F.lit(0.0)
     # variances of distance, intensity and volume: fixed values
-    spread = distance * distance / 200.0 + mean_gap * mean_gap / 200.0 + volume_gap * volume_gap / 200000.0
-    return F.when(distance > gate, F.lit(1e10)).otherwise((1 - overlap) * (1 - F.exp(-spread)))
+    gaps = [(away, 100.0), (F.col("mean") - F.col("mean_2"), 100.0), (F.col("n") - F.col("n_2"), 100_000.0)]
+    spread = sum(g * g / (2 * v) for g, v in gaps)
+    return F.when(away > gate, F.lit(1e10)).otherwise((1 - shared) * (1 - F.exp(-spread)))
 
 
 def distance_change(points: DataFrame, keys: list[str], order: str, distance: str) -> DataFrame:

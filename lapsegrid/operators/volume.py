@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lapsegrid.functions import kernels as K
 from lapsegrid.operators.segment import each_frame
 
 
@@ -157,6 +158,51 @@ def split_in_two(mask: np.ndarray, tolerance: float = 0.02, rounds: int = 100) -
     return label
 
 
+def labelled(mask: np.ndarray, closing: int = 0, least: int = 0) -> np.ndarray:
+    """Labels 1, 2, ... of the components of a mask, or of its closing, with at least so many pixels, by
+    size, then raster order (LG20-22)."""
+    if closing:
+        mask = eroded(dilated(mask[None].astype(float), closing)[None], closing) > 0
+    label = K.components(mask)
+    kept = sorted(((k, n) for k, n in K.sizes(label).items() if n >= least), key=lambda kn: (-kn[1], kn[0]))
+    out = np.zeros(mask.shape, dtype=np.int64)
+    for place, (k, _) in enumerate(kept, 1):
+        out[label == k] = place
+    return out
+
+
+def walk_ends(mask: np.ndarray, start: tuple[int, int], steps: int) -> list[tuple[int, int]]:
+    """Where a breadth-first walk through touching mask pixels ends: pixels after ``steps`` steps and pixels
+    from which no new one is reached, in the walk's order. A pixel is taken by the first that reaches it;
+    neighbours come by column, then row (LG37)."""
+    if not mask[start]:
+        return []
+    h, w = mask.shape
+    taken, queue, out = {start}, [(start, steps)], []
+    for (y, x), left in queue:
+        near = [(y + dy, x + dx) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dy or dx) and 0 <= y + dy < h and 0 <= x + dx < w]
+        new = [p for p in near if mask[p] and p not in taken] if left else []
+        taken.update(new)
+        queue.extend((p, left - 1) for p in new)
+        if not new:
+            out.append((y, x))
+    return out
+
+
+def nearest(mask: np.ndarray, centre: tuple[float, float], axis: tuple[float, float]) -> tuple[tuple[int, int], float, float] | None:
+    """(pixel, distance, angle) of the structure's pixel nearest to a point, the first in raster order of
+    equally near ones. The angle is that of the way to the pixel with an axis, 0 to 90 degrees (LG38, LG40)."""
+    at = np.argwhere(mask)
+    if not len(at):
+        return None
+    way = at - np.array(centre)
+    away = np.sqrt((way**2).sum(axis=1))
+    k = int(np.argmin(np.round(away, 9)))
+    length = away[k] * np.hypot(*axis)
+    angle = float(np.degrees(np.arccos(min(1.0, abs(way[k] @ np.array(axis)) / length)))) if length else 0.0
+    return (int(at[k][0]), int(at[k][1])), float(away[k]), angle
+
+
 def within_steps(mask: np.ndarray, start: tuple[int, ...], steps: int) -> np.ndarray:
     """Mask pixels that a walk of at most ``steps`` through touching mask pixels reaches (LG37)."""
     reached = np.zeros_like(mask, dtype=bool)

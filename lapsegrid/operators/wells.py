@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 WELL_SIZES = {8: (233, 115), 7: (269, 125), 6: (281, 140)}
 
 
+def well_size(per_row: Column) -> tuple[Column, Column]:
+    """(well size, half window) of a grid; NULL for a grid that isn't known."""
+    known = lambda k: F.create_map(*(F.lit(v) for n, s in WELL_SIZES.items() for v in (n, s[k])))
+    return F.try_element_at(known(0), per_row), F.try_element_at(known(1), per_row)
+
+
 def drift_path(shifts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adds px, py: the running sums of the stored shifts. A centre is its first place minus these."""
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

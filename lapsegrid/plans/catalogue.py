@@ -59,17 +59,24 @@ def q_pixel_mean(spark, sf):
 
 @query(f"WITH {PX} SELECT label, round(avg(CASE WHEN i >= 1000 THEN 1.0 ELSE 0.0 END), 6) AS share FROM px GROUP BY label")
 def q_mask_fraction(spark, sf):
-    return pixels(spark, sf).groupBy("label").agg(F.round(F.avg(on().cast("double")), 6).alias("share"))
+    bright = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + P.above(v, TH))
+    rows = frames(spark, sf).select("label", bright.alias("n"), F.size("px").cast("long").alias("m"))
+    return rows.groupBy("label").agg(F.round(F.sum("n") / F.sum("m"), 6).alias("share"))
 
 
 _INV = P.inverse_mixing(*MIX)
 
 
+def pair_frames(spark, sf):
+    """Even vec_id is channel 1, the next one channel 2: vec_id, px, px2. Frames meet as arrays."""
+    later = frames(spark, sf).where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("px").alias("px2"))
+    return frames(spark, sf).where("vec_id % 2 = 0").select("vec_id", "px").join(later, "vec_id")
+
+
 def channel_pairs(spark, sf):
-    """Even vec_id is channel 1, the next one channel 2: vec_id, pos, x, y, i1, i2."""
-    px = pixels(spark, sf)
-    second = px.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), "pos", F.col("i").alias("i2"))
-    return px.where("vec_id % 2 = 0").withColumnRenamed("i", "i1").join(second, ["vec_id", "pos"])
+    """The pixels of ``pair_frames``: vec_id, pos, x, y, i1, i2. Rows are made after the join."""
+    rows = pair_frames(spark, sf).select("vec_id", F.posexplode(F.arrays_zip("px", "px2")).alias("pos", "i"))
+    return rows.select("vec_id", "pos", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"), F.col("i.px").alias("i1"), F.col("i.px2").alias("i2"))
 
 
 PAIRS = f"{PX}, pr AS (SELECT a.vec_id, a.label, a.pos, a.x, a.y, a.i AS i1, b.i AS i2 FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos WHERE a.vec_id % 2 = 0)"
@@ -78,8 +85,15 @@ PAIRS = f"{PX}, pr AS (SELECT a.vec_id, a.label, a.pos, a.x, a.y, a.i AS i1, b.i
 @query(f"""WITH {PAIRS} SELECT vec_id, pos, cast(floor(greatest(0.0, i1 * {_INV[0]!r}::double + i2 * {_INV[1]!r}::double)) AS integer) AS o1,
 cast(floor(greatest(0.0, i1 * {_INV[2]!r}::double + i2 * {_INV[3]!r}::double)) AS integer) AS o2 FROM pr""")
 def q_unmix(spark, sf):
-    a, b = P.unmix(F.col("i1"), F.col("i2"), _INV)
-    return channel_pairs(spark, sf).select("vec_id", "pos", a.alias("o1"), b.alias("o2"))
+    """``stack.unmix_frames`` on pairs of frames as the two channels of a block."""
+    rows = frames(spark, sf).select(
+        F.floor(F.col("vec_id") / 2).cast("int").alias("block"), F.concat(F.lit("c"), (F.col("vec_id") % 2).cast("string")).alias("channel"), F.lit(0).alias("frame"),
+        F.lit(8).alias("width"), F.lit(8).alias("height"), "px",
+    )
+    made = stack.unmix_frames(rows, "c0", "c1", _INV)
+    one, two = (made.where(F.col("channel") == c).select("block", F.col("px").alias(n)) for c, n in (("c0", "o1"), ("c1", "o2")))
+    both = one.join(two, "block").select((F.col("block") * 2).cast("long").alias("vec_id"), F.posexplode(F.arrays_zip("o1", "o2")).alias("pos", "o"))
+    return both.select("vec_id", "pos", "o.o1", "o.o2")
 
 
 @query(f"""WITH {PX}, {FRAME}, z AS (SELECT vec_id, label, pos, x, y, CASE WHEN (x = 0 AND label % 2 = 0) THEN 0 ELSE i END AS i FROM px),
@@ -88,21 +102,18 @@ fl AS (SELECT label, sum(CASE WHEN x = 0 THEN i ELSE 0 END) = 0 AS l, sum(CASE W
 m AS (SELECT label, cast(floor(avg(i)) AS integer) AS m FROM z GROUP BY label)
 SELECT vec_id, pos, CASE WHEN (x = 0 AND l) OR (x = 7 AND r) OR (y = 0 AND t) OR (y = 7 AND b) THEN m ELSE i END AS i FROM z JOIN fl USING (label) JOIN m USING (label)""")
 def q_border_repair(spark, sf):
-    """Frames of even labels get an empty first column, as a camera defect would make; the
-    repair must find it in the first frame and fill it in all. Stack sums are one aggregate."""
-    px = pixels(spark, sf).withColumn("i", F.when((F.col("x") == 0) & (F.col("label") % 2 == 0), 0).otherwise(F.col("i")))
-    first = F.col("frame") == 0
-    rows = px.join(frame_index(spark, sf), ["vec_id", "label"])
-    sides = {"l": F.col("x") == 0, "r": F.col("x") == 7, "t": F.col("y") == 0, "b": F.col("y") == 7}
-    stack = rows.groupBy("label").agg(F.floor(F.avg("i")).cast("int").alias("m"), *((F.sum(F.when(first & s, F.col("i")).otherwise(0)) == 0).alias(k) for k, s in sides.items()))
-    bad = sum((F.when(s & F.col(k), 1).otherwise(0) for k, s in sides.items()), F.lit(0)) > 0
-    return px.join(stack, "label").select("vec_id", "pos", F.when(bad, F.col("m")).otherwise(F.col("i")).alias("i"))
+    """Frames of even labels get an empty first column, as a camera defect would make; the repair
+    must find it in the first frame and fill it in all."""
+    rows = frames(spark, sf).join(frame_index(spark, sf), ["vec_id", "label"])
+    hurt = F.when(F.col("label") % 2 == 0, F.transform("px", lambda v, i: F.when(i % 8 == 0, F.lit(0)).otherwise(v))).otherwise(F.col("px"))
+    named = rows.select(F.col("label").alias("block"), F.lit("c").alias("channel"), "frame", F.lit(8).alias("width"), F.lit(8).alias("height"), hurt.alias("px"))
+    fixed = stack.repair_borders(named).select(F.col("block").alias("label"), "frame", "px")
+    return fixed.join(frame_index(spark, sf), ["label", "frame"]).select("vec_id", F.posexplode("px").alias("pos", "i"))
 
 
 @query(f"WITH {PX} SELECT vec_id, cast(63 - pos AS integer) AS pos, i FROM px")
 def q_rotate180(spark, sf):
-    rows = frames(spark, sf).select("vec_id", F.posexplode(F.reverse("px")).alias("pos", "i"))
-    return rows
+    return frames(spark, sf).select("vec_id", F.posexplode("px").alias("pos", "i")).select("vec_id", P.rotated_position(F.col("pos"), 64).alias("pos"), "i")
 
 
 @query(f"WITH {PX} SELECT vec_id, (x + 3) % 8 AS x, (y + 6) % 8 AS y, i FROM px")
@@ -167,11 +178,6 @@ def q_foreground_choice(spark, sf):
 
 
 # -- windows on pixels ----------------------------------------------------
-def separable(px: DataFrame, f, r: int, name: str) -> DataFrame:
-    row, col = Window.partitionBy("vec_id", "y").orderBy("x").rowsBetween(-r, r), Window.partitionBy("vec_id", "x").orderBy("y").rowsBetween(-r, r)
-    return px.withColumn("row_", f("i").over(row)).withColumn(name, f("row_").over(col)).drop("row_")
-
-
 def _sep_sql(f, r):
     return f"""b1 AS (SELECT *, {f}(i) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS a FROM px),
 b2 AS (SELECT vec_id, pos, x, y, i, {f}(a) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS v FROM b1)"""
@@ -179,12 +185,13 @@ b2 AS (SELECT vec_id, pos, x, y, i, {f}(a) OVER (PARTITION BY vec_id, x ORDER BY
 
 @query(f"WITH {PX}, {_sep_sql('sum', 1)} SELECT vec_id, pos, cast(v AS bigint) AS s FROM b2")
 def q_box_sum(spark, sf):
-    return separable(pixels(spark, sf), F.sum, 1, "s").select("vec_id", "pos", "s")
+    rows = _image_rows(spark, sf, lambda k, im: [(*k, K.box_sum(im, 3, 3)[1:-1, 1:-1].ravel())], "vec_id long, px array<double>")
+    return rows.select("vec_id", F.posexplode("px").alias("pos", "v")).select("vec_id", "pos", F.col("v").cast("long").alias("s"))
 
 
 @query(f"WITH {PX}, {_sep_sql('max', 2)} SELECT vec_id, pos, v AS m FROM b2")
 def q_running_max(spark, sf):
-    return separable(pixels(spark, sf), F.max, 2, "m").select("vec_id", "pos", "m")
+    return _flat(_image_rows(spark, sf, lambda k, im: [(*k, K.sliding_max(im, 2).ravel())], "vec_id long, px array<double>"), "m", "vec_id")
 
 
 @query(f"""WITH {PX} SELECT a.vec_id, a.x, a.y FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.pos <> b.pos
@@ -262,10 +269,9 @@ def q_bbox(spark, sf):
 @query(f"""WITH {BOX} SELECT a.vec_id AS v1, b.vec_id AS v2, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) AS n
 FROM bx a JOIN bx b ON a.vec_id + 1 = b.vec_id""")
 def q_box_overlap(spark, sf):
-    a, b = _boxes(spark, sf).alias("a"), _boxes(spark, sf)
-    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    side = lambda c: F.greatest(F.lit(0), F.least(f"{c}1", f"b_{c}1") - F.greatest(f"{c}0", f"b_{c}0") + 1)
-    return a.join(b, F.col("vec_id") + 1 == F.col("b_vec_id")).select(F.col("vec_id").alias("v1"), F.col("b_vec_id").alias("v2"), (side("x") * side("y")).alias("n"))
+    a, b = _boxes(spark, sf).drop("label"), _boxes(spark, sf).drop("label")
+    b = b.withColumn("vec_id", F.col("vec_id") - 1)
+    return a.join(b, a["vec_id"] == b["vec_id"]).select(a["vec_id"].alias("v1"), (a["vec_id"] + 1).alias("v2"), features.box_overlap(a, b).alias("n"))
 
 
 # -- features -------------------------------------------------------------
@@ -297,8 +303,8 @@ def q_association(spark, sf):
 
 @query(f"WITH {PX} SELECT vec_id, pos, round((i - avg(i) OVER w) / nullif(stddev_samp(i) OVER w, 0), 6) AS z FROM px WINDOW w AS (PARTITION BY vec_id)")
 def q_zscore(spark, sf):
-    own = Window.partitionBy("vec_id")
-    return pixels(spark, sf).select("vec_id", "pos", F.round(F.try_divide(F.col("i") - F.avg("i").over(own), F.stddev_samp("i").over(own)), 6).alias("z"))
+    rows = frames(spark, sf).select("vec_id", F.posexplode(stack.standardised("px")).alias("pos", "z"))
+    return rows.withColumn("z", F.round("z", 6))
 
 
 @query(f"WITH {PAIRS} SELECT vec_id, pos, greatest(i1, i2) AS m FROM pr")
@@ -381,11 +387,11 @@ def q_cell_mode(spark, sf):
     return wells.cell_number(_seed_counts(spark, sf), ["well"])
 
 
-def _channel_counts(spark, sf, odd, targets="event_id % 4 > 1"):
+def _channel_counts(spark, sf, odd):
     """Seeds of one channel per user and day of the first week, with zeros."""
     own = seeds(spark, sf).where("frame < 7")
     spine = own.select("user_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    return wells.seed_counts(own.where(targets if odd else "event_id % 4 = 0"), spine, ["user_id", "frame"])
+    return wells.seed_counts(own.where("event_id % 4 <> 0" if odd else "event_id % 4 = 0"), spine, ["user_id", "frame"])
 
 
 def _channel_sql(name, test):
@@ -393,13 +399,13 @@ def _channel_sql(name, test):
 
 
 COMPOSITION = f"""{SD}, sp AS (SELECT user_id, cast(f AS integer) AS frame FROM (SELECT DISTINCT user_id FROM sd WHERE frame < 7), unnest(range(7)) AS t(f)),
-{_channel_sql('ce', 'event_id % 4 = 0')}, {_channel_sql('ct', 'event_id % 4 > 1')}, ke AS ({_mode_sql('ce', 'user_id')}), kt AS ({_mode_sql('ct', 'user_id')}),
+{_channel_sql('ce', 'event_id % 4 = 0')}, {_channel_sql('ct', 'event_id % 4 <> 0')}, ke AS ({_mode_sql('ce', 'user_id')}), kt AS ({_mode_sql('ct', 'user_id')}),
 cp AS (SELECT user_id, effectors, targets, 'E' || effectors || 'T' || targets AS composition FROM (SELECT coalesce(ke.user_id, kt.user_id) AS user_id, coalesce(ke.k, 0) AS effectors, coalesce(kt.k, 0) AS targets FROM ke FULL JOIN kt ON ke.user_id = kt.user_id)
  WHERE effectors <= 1 AND targets <= 5)"""
 
 
-def _compositions(spark, sf, targets="event_id % 4 > 1"):
-    e, t = (wells.cell_number(_channel_counts(spark, sf, odd, targets), ["user_id"]) for odd in (False, True))
+def _compositions(spark, sf):
+    e, t = (wells.cell_number(_channel_counts(spark, sf, odd), ["user_id"]) for odd in (False, True))
     return wells.composition(e, t, "user_id")
 
 
@@ -408,37 +414,26 @@ def q_composition(spark, sf):
     return _compositions(spark, sf)
 
 
-@query()
-def q_composition_all(spark, sf):
-    """Every seed is in one of the channels, where the oracle of q_composition leaves a quarter out."""
-    return _compositions(spark, sf, "event_id % 4 <> 0")
-
-
 # -- tracks ---------------------------------------------------------------
 @query(f"""WITH {TP} SELECT user_id, f, CASE WHEN lead(x) OVER w IS NULL THEN 0.0 ELSE round(sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)), 6) END AS displacement FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY f)""")
 def q_displacement(spark, sf):
     return tracking.displacement(tracks(spark, sf), ["user_id"], "f").select("user_id", "f", "displacement")
 
 
-CELLS = f"{SD}, cl AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id, frame ORDER BY event_id) AS cell, x, y, 20 + event_id % 30 AS area FROM sd WHERE user_id % 5 = 0), nf AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) AS next_frame FROM (SELECT DISTINCT user_id, frame FROM cl))"
+CELLS = f"{SD}, cl AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id, frame ORDER BY event_id) AS cell, x, y, 20 + event_id % 30 AS area FROM sd), nf AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) AS next_frame FROM (SELECT DISTINCT user_id, frame FROM cl))"
 LINKS = f"""{CELLS}, lc AS (SELECT a.user_id, a.frame, nf.next_frame, a.cell, b.cell AS cell2, 10 * sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) + 100 * (greatest(a.area, b.area) - least(a.area, b.area)) / greatest(a.area, b.area) AS cost
  FROM cl a JOIN nf ON nf.user_id = a.user_id AND nf.frame = a.frame JOIN cl b ON b.user_id = a.user_id AND b.frame = nf.next_frame),
 lw AS (SELECT *, exp(-6 * pow(cost / (max(cost) OVER (PARTITION BY user_id, frame) + 1e-15), 2)) AS weight FROM lc)"""
 
 
-def _all_cells(spark, sf):
+def _cells(spark, sf):
     """A user is a well; a seed is a cell with an invented area."""
     own = Window.partitionBy("user_id", "frame").orderBy("event_id")
     return seeds(spark, sf).select("user_id", "frame", F.row_number().over(own).alias("cell"), "x", "y", (20 + F.col("event_id") % 30).alias("area"))
 
 
-def _cells(spark, sf):
-    """The cells of every fifth user, as in the oracles; the queries called _all take all users."""
-    return _all_cells(spark, sf).where("user_id % 5 = 0")
-
-
-def _links(spark, sf, cells=_cells):
-    return tracking.with_weight(tracking.with_cost(tracking.link_candidates(cells(spark, sf), ["user_id"])), ["user_id"])
+def _links(spark, sf):
+    return tracking.with_weight(tracking.with_cost(tracking.link_candidates(_cells(spark, sf), ["user_id"])), ["user_id"])
 
 
 @query(f"WITH {CELLS} SELECT user_id, frame, coalesce(next_frame, -1) AS next_frame FROM nf")
@@ -462,51 +457,18 @@ def q_link_weight(spark, sf):
     return _links(spark, sf).select("user_id", "frame", "cell", "cell2", F.round("weight", 6).alias("weight"))
 
 
-MATCHED = f"""{LINKS}, sm AS (SELECT user_id, frame FROM lw GROUP BY user_id, frame HAVING max(cell) <= 3 AND max(cell2) <= 3),
-l3 AS (SELECT lw.* FROM lw JOIN sm USING (user_id, frame)),
-mt AS (SELECT user_id, frame, [cell] AS a, [cell2] AS b, weight AS w, cell AS top FROM l3 UNION ALL
- SELECT m.user_id, m.frame, list_append(m.a, l.cell), list_append(m.b, l.cell2), m.w + l.weight, l.cell FROM mt m JOIN l3 l ON l.user_id = m.user_id AND l.frame = m.frame AND l.cell > m.top AND NOT list_contains(m.b, l.cell2))"""
-
-
-def _small_pairs(spark, sf):
-    """Link weights of the frame pairs with at most three cells on either side."""
-    own = Window.partitionBy("user_id", "frame")
-    rows = _links(spark, sf).withColumn("most", F.greatest(F.max("cell").over(own), F.max("cell2").over(own)))
-    return rows.where("most <= 3")
+# The best matching of a frame pair, whatever its size: the cells of the smaller side are placed in turn, and of the
+# ways to have used the same cells of the other side only the best is kept.
+MATCHED = f"""{LINKS}, pr AS (SELECT user_id, frame, max(cell) AS ca, max(cell2) AS cb FROM lw GROUP BY ALL),
+ln AS (SELECT user_id, frame, least(ca, cb) AS n, CASE WHEN ca <= cb THEN cell ELSE cell2 END AS a, CASE WHEN ca <= cb THEN cell2 ELSE cell END AS b, weight FROM lw JOIN pr USING (user_id, frame)),
+mt AS (SELECT user_id, frame, n, cast(0 AS bigint) AS k, cast(0 AS bigint) AS used, cast(0 AS double) AS w FROM (SELECT DISTINCT user_id, frame, n FROM ln) UNION ALL
+ SELECT m.user_id, m.frame, m.n, m.k + 1, m.used | (cast(1 AS bigint) << cast(l.b AS integer)), max(m.w + l.weight)
+ FROM mt m JOIN ln l ON l.user_id = m.user_id AND l.frame = m.frame AND l.a = m.k + 1 AND m.used & (cast(1 AS bigint) << cast(l.b AS integer)) = 0 GROUP BY ALL)"""
 
 
-@query(f"WITH RECURSIVE {MATCHED} SELECT user_id, frame, cast(least(max(ca), max(cb)) AS bigint) AS n_links, round(max(w), 6) AS total FROM (SELECT m.*, c.ca, c.cb FROM mt m JOIN (SELECT user_id, frame, max(cell) AS ca, max(cell2) AS cb FROM l3 GROUP BY ALL) c USING (user_id, frame)) GROUP BY user_id, frame")
+@query(f"WITH RECURSIVE {MATCHED} SELECT user_id, frame, cast(n AS bigint) AS n_links, round(max(w), 6) AS total FROM mt WHERE k = n GROUP BY user_id, frame, n")
 def q_assignment(spark, sf):
-    found = tracking.assignments(_small_pairs(spark, sf), ["user_id"])
-    return found.groupBy("user_id", "frame").agg(F.count("*").alias("n_links"), F.round(F.sum("weight"), 6).alias("total"))
-
-
-# All users and frame pairs of any size. Enumerating them is beyond SQL; tests compare with brute force.
-@query()
-def q_next_frame_all(spark, sf):
-    found = tracking.next_frames(_all_cells(spark, sf), ["user_id"])
-    return found.select("user_id", "frame", F.coalesce("next_frame", F.lit(-1)).alias("next_frame"))
-
-
-@query()
-def q_link_candidates_all(spark, sf):
-    return tracking.link_candidates(_all_cells(spark, sf), ["user_id"]).select("user_id", "frame", "next_frame", "cell", "cell2")
-
-
-@query()
-def q_link_cost_all(spark, sf):
-    return tracking.with_cost(tracking.link_candidates(_all_cells(spark, sf), ["user_id"])).select("user_id", "frame", "cell", "cell2", F.round("cost", 6).alias("cost"))
-
-
-@query()
-def q_link_weight_all(spark, sf):
-    return _links(spark, sf, _all_cells).select("user_id", "frame", "cell", "cell2", F.round("weight", 6).alias("weight"))
-
-
-@query()
-def q_assignment_all(spark, sf):
-    """Frame pairs of any size: too many matchings for an enumerating oracle."""
-    found = tracking.assignments(_links(spark, sf, _all_cells), ["user_id"])
+    found = tracking.assignments(_links(spark, sf), ["user_id"])
     return found.groupBy("user_id", "frame").agg(F.count("*").alias("n_links"), F.round(F.sum("weight"), 6).alias("total"))
 
 
@@ -554,19 +516,44 @@ def q_experiment_union(spark, sf):
     return tables.union_all([part("lineitem", "l_quantity"), part("orders", "o_totalprice"), part("events", "value")])
 
 
-WIDE = ", ".join(f"coalesce(round(max(CASE WHEN frame = {k} THEN m END), 6), -1000.0) AS f{k + 1}" for k in range(9))
+def _every_sql(source, keys):
+    """The value of each frame up to the largest, MISSING where there is none."""
+    on_ = " AND ".join(f"t.{k} = a.{k}" for k in [*keys, "frame"])
+    names = ", ".join(f"a.{k}" for k in keys)
+    return f"""SELECT {names}, a.frame, coalesce(t.m, -1000.0) AS m FROM (SELECT DISTINCT {", ".join(keys)}, cast(f AS integer) AS frame FROM {source}, unnest(range((SELECT max(frame) + 1 FROM {source}))) AS r(f)) a
+LEFT JOIN {source} t ON {on_}"""
 
 
-@query(f"WITH {PX}, {FRAME}, lm AS (SELECT label, frame, avg(i) AS m FROM px JOIN fr USING (vec_id, label) GROUP BY label, frame), lf AS (SELECT * FROM lm WHERE frame < 9) SELECT label, {WIDE} FROM lf GROUP BY label")
-def q_well_block_wide(spark, sf):
-    means = q_pixel_mean(spark, sf).join(frame_index(spark, sf).where("frame < 9"), ["vec_id", "label"])
-    return tables.wide(means, ["label"], list(range(9)), "mean_i")
+@query(f"WITH {PX}, {FRAME}, lm AS (SELECT label, frame, round(avg(i), 6) AS m FROM px JOIN fr USING (vec_id, label) GROUP BY label, frame) {_every_sql('lm', ['label'])}")
+def q_frame_table(spark, sf):
+    """What the wide table f1..fN holds, one frame per row: their number grows with the data."""
+    means = q_pixel_mean(spark, sf).join(frame_index(spark, sf), ["vec_id", "label"]).withColumnRenamed("mean_i", "m")
+    return tables.every_frame(means, ["label"], "m")
 
 
-@query()
-def q_well_block_all(spark, sf):
-    """Every frame of the data, one per row: their number grows with the tables."""
-    return tables.every_frame(q_pixel_mean(spark, sf).join(frame_index(spark, sf), ["vec_id", "label"]), ["label"], "mean_i")
+NAMES = ["x", "y", "ratio", "displacement", "death", "assoc"]
+BLOCK = """ft AS (SELECT user_id, event_id % 3 AS part, CASE event_id % 3 WHEN 1 THEN event_id // 3 % 5 WHEN 2 THEN event_id // 3 % 2 ELSE 0 END AS target, event_id // 15 % 6 AS name, hour(ts) AS f, value FROM events),
+lv AS (SELECT user_id, CASE part WHEN 0 THEN CASE WHEN name = 5 THEN 0 ELSE name END WHEN 1 THEN 6 + 8 * target + CASE WHEN name = 5 THEN 6 ELSE name END ELSE 46 + target END AS line, f, round(avg(value), 6) AS v
+ FROM ft GROUP BY ALL)"""
+HOURS = ", ".join(
+    f"CASE WHEN s.line = 48 THEN {k + 1}.0 WHEN s.line = 5 THEN -1.0 WHEN s.line BETWEEN 6 AND 45 AND (s.line - 6) % 8 = 5 THEN -1.0 WHEN s.line BETWEEN 6 AND 45 AND (s.line - 6) % 8 = 7 THEN -2.0"
+    f" ELSE coalesce(max(CASE WHEN f = {k} THEN v END), -1000.0) END AS f{k + 1}" for k in range(24)
+)
+
+
+@query(f"WITH {BLOCK} SELECT s.user_id, cast(s.line AS integer) AS line, {HOURS} FROM (SELECT DISTINCT user_id, line FROM events, unnest(range(49)) AS t(line)) s LEFT JOIN lv ON lv.user_id = s.user_id AND lv.line = s.line GROUP BY s.user_id, s.line")
+def q_well_block(spark, sf):
+    """The 49-row block of every well: a user is a well, the hours of the day are its 24 frames."""
+    third, part = F.floor(F.col("event_id") / 3), F.col("event_id") % 3
+    name = F.floor(F.col("event_id") / 15) % 6
+    rows = table(spark, sf, "events").select(
+        "user_id", F.element_at(F.array(*map(F.lit, ("effector", "target", "bead"))), (part + 1).cast("int")).alias("part"),
+        F.when(part == 1, third % 5).when(part == 2, third % 2).otherwise(0).cast("int").alias("target"),
+        F.element_at(F.array(*map(F.lit, NAMES)), (F.when((part == 0) & (name == 5), 0).otherwise(name) + 1).cast("int")).alias("name"), F.hour("ts").alias("frame"), "value",
+    )
+    rows = rows.withColumn("name", F.when(F.col("part") == "bead", "x").otherwise(F.col("name")))
+    means = rows.groupBy("user_id", "part", "target", "name", "frame").agg(F.round(F.avg("value"), 6).alias("value"))
+    return tables.well_block(means, ["user_id"], list(range(24)))
 
 
 # -- more projections, costs and tables ------------------------------------
@@ -593,8 +580,10 @@ def q_pad(spark, sf):
 
 @query(f"WITH {PX} SELECT vec_id, max(i) AS top, round(var_samp(i), 6) AS variance, cast(count(DISTINCT i) AS bigint) AS levels FROM px GROUP BY vec_id")
 def q_frame_statistics(spark, sf):
-    rows = pixels(spark, sf).groupBy("vec_id")
-    return rows.agg(F.max("i").alias("top"), F.round(F.var_samp("i"), 6).alias("variance"), F.countDistinct("i").alias("levels"))
+    mean = F.aggregate("px", F.lit(0.0), lambda a, v: a + v) / F.size("px")
+    spread = F.aggregate("px", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))) / (F.size("px") - 1)
+    rows = frames(spark, sf).withColumn("mean", mean)
+    return rows.select("vec_id", F.array_max("px").alias("top"), F.round(spread, 6).alias("variance"), F.size(F.array_distinct("px")).cast("long").alias("levels"))
 
 
 @query(f"WITH {PX}, {FRAME} SELECT vec_id, frame, round(avg(i), 6) AS mean_i FROM px JOIN fr USING (vec_id, label) WHERE frame < 3 GROUP BY ALL")
@@ -604,18 +593,15 @@ def q_first_frames(spark, sf):
 
 
 @query(f"""WITH {BOX}, c AS (SELECT vec_id, avg(x) AS cx, avg(y) AS cy, avg(i) AS m, cast(count(*) AS double) AS n FROM px WHERE i >= 1100 GROUP BY vec_id),
-j AS (SELECT a.vec_id AS v1, b.vec_id AS v2, 4 * sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS d, a.m - b.m AS gm, a.n - b.n AS gn,
- greatest(0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) / 98.0 AS o
+j AS (SELECT a.vec_id AS v1, b.vec_id AS v2, sqrt(pow(0.357 * (a.cx - b.cx), 2) + pow(0.357 * (a.cy - b.cy), 2)) AS d, a.m - b.m AS gm, a.n - b.n AS gn,
+ greatest(0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) / (0.5 * ((p.x1 - p.x0 + 1) * (p.y1 - p.y0 + 1) + (q.x1 - q.x0 + 1) * (q.y1 - q.y0 + 1))) AS o
  FROM c a JOIN c b ON a.vec_id + 1 = b.vec_id JOIN bx p ON p.vec_id = a.vec_id JOIN bx q ON q.vec_id = b.vec_id)
 SELECT v1, v2, round(CASE WHEN d > 12 THEN 1e10 ELSE (1 - o) * (1 - exp(-(d * d / 200.0 + gm * gm / 200.0 + gn * gn / 200000.0))) END, 6) AS cost FROM j""")
 def q_gated_cost(spark, sf):
     px = pixels(spark, sf).where("i >= 1100")
-    own = px.groupBy("vec_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("i").alias("m"), F.count("*").cast("double").alias("n"), *(f(c).alias(c + k) for c in "xy" for f, k in ((F.min, "0"), (F.max, "1"))))
-    later = own.select((F.col("vec_id") - 1).alias("vec_id"), *(F.col(c).alias(f"b_{c}") for c in own.columns[1:]))
-    side = lambda c: F.greatest(F.lit(0), F.least(f"{c}1", f"b_{c}1") - F.greatest(f"{c}0", f"b_{c}0"))
-    away = 4 * F.sqrt((F.col("cx") - F.col("b_cx")) ** 2 + (F.col("cy") - F.col("b_cy")) ** 2)
-    cost = tracking.gated_cost(away, F.col("m") - F.col("b_m"), F.col("n") - F.col("b_n"), side("x") * side("y") / 98.0)
-    return own.join(later, "vec_id").select(F.col("vec_id").alias("v1"), (F.col("vec_id") + 1).alias("v2"), F.round(cost, 6).alias("cost"))
+    own = px.groupBy("vec_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("i").alias("mean"), F.count("*").cast("double").alias("n"), *(f(c).alias(c + k) for c in "xy" for f, k in ((F.min, "0"), (F.max, "1"))))
+    later = own.select((F.col("vec_id") - 1).alias("vec_id"), *(F.col(c).alias(f"{c}_2") for c in own.columns[1:]))
+    return own.join(later, "vec_id").select(F.col("vec_id").alias("v1"), (F.col("vec_id") + 1).alias("v2"), F.round(tracking.gated_cost("xy"), 6).alias("cost"))
 
 
 @query(f"WITH {TP} SELECT user_id, f, round(x - coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY f), 0.0), 6) AS change FROM tp")
@@ -643,31 +629,15 @@ def q_routes(spark, sf):
     return _route_counts(_compositions(spark, sf))
 
 
-@query()
-def q_routes_all(spark, sf):
-    """As q_routes, with every seed in a channel."""
-    return _route_counts(q_composition_all(spark, sf))
-
-
 def _route_counts(kept):
     routes = F.explode(F.array_distinct(F.array(F.col("routed"), F.lit("Exp"))))
     return kept.select(routes.alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 
 
-PIXEL = ", ".join(f"coalesce(round(max(CASE WHEN frame = {k} THEN m END), 6), -1000.0) AS f{k + 1}" for k in range(5))
-
-
-@query(f"""WITH {PX}, {FRAME}, lm AS (SELECT label, frame, avg(i) AS raw, avg(CASE WHEN i >= 1000 THEN 1.0 ELSE 0.0 END) AS mask FROM px JOIN fr USING (vec_id, label) WHERE frame < 5 GROUP BY label, frame),
-l2 AS (SELECT label, 'raw' AS kind, frame, raw AS m FROM lm UNION ALL SELECT label, 'mask', frame, mask FROM lm) SELECT label, kind, {PIXEL} FROM l2 GROUP BY label, kind""")
+@query(f"""WITH {PX}, {FRAME}, lm AS (SELECT label, frame, avg(i) AS raw, avg(CASE WHEN i >= 1000 THEN 1.0 ELSE 0.0 END) AS mask FROM px JOIN fr USING (vec_id, label) GROUP BY label, frame),
+l2 AS (SELECT label, 'raw' AS kind, frame, round(raw, 6) AS m FROM lm UNION ALL SELECT label, 'mask', frame, round(mask, 6) FROM lm) {_every_sql('l2', ['label', 'kind'])}""")
 def q_pixel_table(spark, sf):
-    """Two rows per well, raw and mask means, wide by frame."""
-    means = _pixel_means(spark, sf).where("frame < 5")
-    return tables.wide(means, ["label", "kind"], list(range(5)), "m")
-
-
-@query()
-def q_pixel_table_all(spark, sf):
-    """Raw and mask means of every well and frame of the data, one per row."""
+    """Raw and mask means of every well and frame, one frame per row."""
     return tables.every_frame(_pixel_means(spark, sf), ["label", "kind"], "m")
 
 
@@ -794,7 +764,7 @@ def q_within_steps(spark, sf):
     return _image_rows(spark, sf, lambda k, im: [(*k, p) for p in np.flatnonzero(volume.within_steps(im >= TH, (3, 3), 3)).tolist()], "vec_id long, pos int")
 
 
-# -- kernels without SQL form (tested on fixtures) ------------------------
+# -- kernels; the SQL of some is built in ``shapes``, the others' rows are held against plain versions in the tests --
 @query()
 def k_gaussian_bg(spark, sf):
     return _image_rows(spark, sf, lambda k, im: [(*k, int(K.subtract_background(im, 2.0).sum()))], "vec_id long, total long")
@@ -805,7 +775,7 @@ def k_log_seed(spark, sf):
     def run(k, im):
         return [(*k, float(K.seed_response(im, im >= TH, 2, 3).max()), len(K.local_maxima(K.seed_response(im, im >= TH, 2, 3), 1)))]
 
-    return _image_rows(spark, sf, run, "vec_id long, peak double, n_seeds int")
+    return _image_rows(spark, sf, run, "vec_id long, peak double, n_seeds int").withColumn("peak", F.round("peak", 6))
 
 
 @query()
@@ -817,14 +787,17 @@ def k_segment(spark, sf):
 @query()
 def k_ncc(spark, sf):
     pattern = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]], dtype=float)
-    return _image_rows(spark, sf, lambda k, im: [(*k, x, y, t, s) for x, y, t, s in segment.find_wells(im, [pattern, -pattern], 3, 1)], "vec_id long, x int, y int, type int, score double")
+    rows = _image_rows(spark, sf, lambda k, im: [(*k, x, y, t, s) for x, y, t, s in segment.find_wells(im, [pattern, -pattern], 3, 1)], "vec_id long, x int, y int, type int, score double")
+    return rows.withColumn("score", F.round("score", 6))
 
 
 @query()
 def k_drift(spark, sf):
     """Shift of each frame against the one before it in its well."""
     own = Window.partitionBy("label").orderBy("vec_id")
-    pairs = frames(spark, sf).select("vec_id", F.lag("px").over(own).alias("before"), "px").where("before is not null").select("vec_id", F.concat("before", "px").alias("px"))
+    order = frames(spark, sf).select("vec_id", F.lag("vec_id").over(own).alias("last")).where("last is not null")
+    before = frames(spark, sf).select(F.col("vec_id").alias("last"), F.col("px").alias("before"))
+    pairs = frames(spark, sf).join(order, "vec_id").join(before, "last").select("vec_id", F.concat("before", "px").alias("px"))
     return segment.each_frame(pairs, ["vec_id"], lambda k, im: [(*k, *K.drift(im[:8], im[8:]))], "vec_id long, dx int, dy int", 8)
 
 
@@ -849,3 +822,6 @@ def k_spectral(spark, sf):
         return [(*k, c, n) for c, n in K.sizes(label).items()]
 
     return _image_rows(spark, sf, run, "vec_id long, cell int, size int")
+
+
+from lapsegrid.plans import round_trips, shapes  # noqa: E402, F401 - they register their queries here
