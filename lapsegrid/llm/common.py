@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapsegrid.sources.scratch import fresh_dir
+
 #: Rows and bytes of one Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS = 1024
 BATCH_BYTES = 4 << 20
@@ -18,33 +18,13 @@ BATCH_BYTES = 4 << 20
 BLOOM_WORDS = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what ``spark.checkpoint.dir`` names. Where that is unset and the master is
-    a single local JVM (as in tests) a temporary folder is made and set; on a cluster
-    an unset folder is an error, since a machine-local one would lose data.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if not (context.master == "local" or context.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="lapsegrid-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 #: Folders made in the shared folder by this process, in order.
 _made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, name)
     _made.append(path)
     return path
 
