@@ -52,6 +52,11 @@ def channel_name(path: Column) -> Column:
     return F.concat(base, F.when(path.contains("/bin_"), "bin").when(path.contains("/bg_"), "bg").otherwise(""))
 
 
+def empty(width: int, height: int) -> Column:
+    """A frame of zeros."""
+    return F.array_repeat(F.lit(0), width * height)
+
+
 def padded(px: Column, width: int, height: int, before: int, after: int) -> Column:
     """A raster array with zeros around it: ``before`` rows and columns first, ``after`` last."""
     row = lambda y: F.concat(F.array_repeat(F.lit(0), before), F.slice(px, y * width + 1, width), F.array_repeat(F.lit(0), after))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,24 @@ def region_props(px: DataFrame, keys: list[str]) -> DataFrame:
     return r.select(*keys, "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round(ratio, 6).alias("ratio"))
 
 
-def bounding_boxes(px: DataFrame, keys: list[str]) -> DataFrame:
-    return px.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+def region_features(px: DataFrame, keys: list[str], axes: str = "xy") -> DataFrame:
+    """Feature vector of each region's pixels: volume, sum, mean, least, most, spread (sample variance), and per axis
+    the centre (cx), the centre by intensity (wx) and the box (x0, x1), with box_volume."""
+    own = [F.count("*").alias("volume"), F.sum("i").alias("sum"), F.avg("i").alias("mean"), F.min("i").alias("least"), F.max("i").alias("most"), F.var_samp("i").alias("spread")]
+    for a in axes:
+        own += [F.avg(a).alias(f"c{a}"), F.try_divide(F.sum(F.col(a) * F.col("i")), F.sum("i")).alias(f"w{a}"), F.min(a).alias(f"{a}0"), F.max(a).alias(f"{a}1")]
+    rows = px.groupBy(*keys).agg(*own)
+    return rows.withColumn("box_volume", reduce(Column.__mul__, (F.col(f"{a}1") - F.col(f"{a}0") + 1 for a in axes)))
+
+
+def bounding_boxes(px: DataFrame, keys: list[str], axes: str = "xy") -> DataFrame:
+    return px.groupBy(*keys).agg(*(f(a).alias(f"{a}{k}") for a in axes for k, f in enumerate((F.min, F.max))))
 
 
-def box_overlap(a: DataFrame, b: DataFrame) -> Column:
+def box_overlap(a: DataFrame, b: DataFrame, axes: str = "xy") -> Column:
     """Shared pixels of two boxes."""
     side = lambda c: F.greatest(F.lit(0), F.least(a[f"{c}1"], b[f"{c}1"]) - F.greatest(a[f"{c}0"], b[f"{c}0"]) + 1)
-    return side("x") * side("y")
+    return reduce(Column.__mul__, map(side, axes))
 
 
 def zonal_mean(mask: DataFrame, intensity: DataFrame, pixel: list[str], keys: list[str]) -> DataFrame:

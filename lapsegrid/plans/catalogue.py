@@ -79,7 +79,7 @@ def channel_pairs(spark, sf):
     return rows.select("vec_id", "pos", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"), F.col("i.px").alias("i1"), F.col("i.px2").alias("i2"))
 
 
-PAIRS = f"{PX}, pr AS (SELECT a.vec_id, a.label, a.pos, a.x, a.y, a.i AS i1, b.i AS i2 FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos WHERE a.vec_id % 2 = 0)"
+PAIRS = f"{PX}, pr AS MATERIALIZED (SELECT a.vec_id, a.label, a.pos, a.x, a.y, a.i AS i1, b.i AS i2 FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos WHERE a.vec_id % 2 = 0)"
 
 
 @query(f"""WITH {PAIRS} SELECT vec_id, pos, cast(floor(greatest(0.0, i1 * {_INV[0]!r}::double + i2 * {_INV[1]!r}::double)) AS integer) AS o1,

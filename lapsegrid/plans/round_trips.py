@@ -74,7 +74,7 @@ def q_options(spark, sf):
     return spark.createDataFrame(list(manifest.read_options(spark, path).items()), "name string, value string")
 
 
-@query("SELECT cast(min(r_regionkey) + 1 AS double) AS a11, 0.25 AS a12, 0.5 AS a21, cast(max(r_regionkey) AS double) AS a22 FROM region")
+@query("SELECT cast(min(r_regionkey) + 1 AS double) AS a11, 0.25::double AS a12, 0.5::double AS a21, cast(max(r_regionkey) AS double) AS a22 FROM region")
 def q_mixing_matrix(spark, sf):
     """A 2 x 2 matrix in a text file, written and read back (SRC10)."""
     path = fresh_dir(spark, "matrix")
@@ -121,19 +121,33 @@ def q_points_file(spark, sf):
     return volume.read_points(spark, path)
 
 
+def _tiff_files(spark, sf):
+    """The stacks of ``_stack`` as files: label, content."""
+    path = fresh_dir(spark, "tiff")
+    tiff.write_stacks(tiff.stacks(_stack(spark, sf).withColumn("width", F.lit(8)), ["label"]), ["label"], path)
+    label = F.regexp_extract("path", "label=([0-9]+)/", 1).cast("int")
+    return tiff.files_of(spark, path, "part-*").select(label.alias("label"), "content")
+
+
+@query("SELECT DISTINCT cast(label AS integer) AS label FROM embeddings")
+def q_file_list(spark, sf):
+    """The files of a folder, without their contents (SRC1)."""
+    path = fresh_dir(spark, "list")
+    tiff.write_stacks(tiff.stacks(_stack(spark, sf).withColumn("width", F.lit(8)), ["label"]), ["label"], path)
+    return manifest.list_frames(spark, path, "part-*").select(F.regexp_extract("path", "label=([0-9]+)/", 1).cast("int").alias("label"))
+
+
 @query(f"WITH {PX}, {FRAME} SELECT label, frame, cast(8 AS integer) AS width, cast(8 AS integer) AS height, pos, i FROM px JOIN fr USING (vec_id, label)")
 def q_tiff_stacks(spark, sf):
-    """A TIFF per label, its frames in order, encoded and decoded again (SRC7, SNK1, SNK2)."""
-    files = tiff.stacks(_stack(spark, sf).withColumn("width", F.lit(8)), ["label"])
-    rows = tiff.decode_frames(files, ["label"])
+    """A TIFF file per label, its frames in order, written, listed and read again (SRC1, SRC7, SNK1, SNK2)."""
+    rows = tiff.decode_frames(_tiff_files(spark, sf), ["label"])
     return rows.select("label", F.col("page").alias("frame"), "width", "height", F.posexplode("px").alias("pos", "i"))
 
 
 @query(f"WITH {PX}, {FRAME} SELECT label, frame, pos, i FROM px JOIN fr USING (vec_id, label) WHERE frame < 3")
 def q_tiff_first_pages(spark, sf):
     """The first three pages of each TIFF; later ones are not decoded (SRC8)."""
-    files = tiff.stacks(_stack(spark, sf).withColumn("width", F.lit(8)), ["label"])
-    return tiff.decode_frames(files, ["label"], first=3).select("label", F.col("page").alias("frame"), F.posexplode("px").alias("pos", "i"))
+    return tiff.decode_frames(_tiff_files(spark, sf), ["label"], first=3).select("label", F.col("page").alias("frame"), F.posexplode("px").alias("pos", "i"))
 
 
 @query(f"WITH {SD}, m AS (SELECT frame, x % 8 AS x, y % 8 AS y FROM sd GROUP BY ALL) SELECT f.frame, cast(p AS integer) AS pos, CASE WHEN m.x IS NULL THEN 0 ELSE 255 END AS v FROM (SELECT DISTINCT frame FROM sd) f, unnest(range(64)) AS t(p) LEFT JOIN m ON m.frame = f.frame AND m.x = p % 8 AND m.y = p // 8")

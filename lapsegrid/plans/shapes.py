@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lapsegrid.functions import kernels as K
 from lapsegrid.functions import pixels as P
-from lapsegrid.operators import segment, stack, volume
+from lapsegrid.operators import features, segment, stack, volume
 from lapsegrid.plans.catalogue import _INV, EIGHT, ORACLES, PAIRS, QUERIES, TH, _ball_sql, _flat, _image_rows, _stack, pair_frames, query
 from lapsegrid.sources.views import FRAME, PX, frames
 
@@ -236,3 +236,82 @@ def k_level_seeds(spark, sf):
     return segment.segment_frames(frames(spark, sf).withColumn("width", F.lit(8)), ["vec_id"], "vec_id long", s)
 
 
+# -- regions ----------------------------------------------------------------
+@query(f"WITH {PX} SELECT vec_id, pos, i AS r, i AS g, i AS b FROM px")
+def q_grey_to_colour(spark, sf):
+    """A grey value as three equal colours (LG1)."""
+    return frames(spark, sf).select("vec_id", F.posexplode("px").alias("pos", "r")).select("vec_id", "pos", "r", F.col("r").alias("g"), F.col("r").alias("b"))
+
+
+@query("SELECT vec_id, cast(p AS integer) AS pos, 0 AS v FROM embeddings, unnest(range(64)) AS t(p)")
+def q_empty_frames(spark, sf):
+    """Frames of zeros (MAP14, LG32)."""
+    return frames(spark, sf).select("vec_id", F.posexplode(P.empty(8, 8)).alias("pos", "v"))
+
+
+@query(f"WITH RECURSIVE {EIGHT} SELECT vec_id, string_agg(cast(comp AS varchar), ' ' ORDER BY comp) AS labels FROM cs GROUP BY vec_id")
+def q_label_list(spark, sf):
+    """The labels that occur in each frame, in order, without the background (AG14)."""
+    rows = segment.component_rows(frames(spark, sf), ["vec_id"], "vec_id long", TH, 8)
+    return rows.groupBy("vec_id").agg(F.array_join(F.sort_array(F.collect_set("comp")), " ").alias("labels"))
+
+
+QUARTERS = f"{PX}, {FRAME}, qt AS (SELECT px.*, frame, cast(pos // 16 AS integer) AS part FROM px JOIN fr USING (vec_id, label))"
+
+
+def _quarters(spark, sf):
+    """Each quarter of a stack's frames is a region: label, part, x, y, z, i."""
+    rows = _stack(spark, sf).select("label", F.col("frame").alias("z"), F.posexplode("px").alias("pos", "i"))
+    return rows.select("label", F.floor(F.col("pos") / 16).cast("int").alias("part"), (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"), "z", "i")
+
+
+@query(f"""WITH {QUARTERS} SELECT label, part, count(*) AS volume, cast(sum(i) AS bigint) AS sum, round(avg(i), 6) AS mean, min(i) AS least, max(i) AS most, round(var_samp(i), 6) AS spread,
+round(avg(x), 6) AS cx, round(sum(x * i) / sum(i), 6) AS wx, min(x) AS x0, max(x) AS x1, round(avg(y), 6) AS cy, round(sum(y * i) / sum(i), 6) AS wy, min(y) AS y0, max(y) AS y1,
+round(avg(frame), 6) AS cz, round(sum(frame * i) / sum(i), 6) AS wz, min(frame) AS z0, max(frame) AS z1, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) * (max(frame) - min(frame) + 1) AS box_volume
+FROM qt WHERE i >= 900 GROUP BY label, part""")
+def q_region_features(spark, sf):
+    """Feature vectors of regions in three dimensions (LG16)."""
+    rows = features.region_features(_quarters(spark, sf).where("i >= 900"), ["label", "part"], "xyz")
+    return rows.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
+
+
+@query(f"""WITH {QUARTERS}, bx AS (SELECT label, part, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(frame) AS z0, max(frame) AS z1 FROM qt WHERE i >= 1250 GROUP BY label, part)
+SELECT a.label, a.part, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) * greatest(0, least(a.z1, b.z1) - greatest(a.z0, b.z0) + 1) AS n
+FROM bx a JOIN bx b ON b.part = a.part AND b.label = a.label + 1""")
+def q_volume_overlap(spark, sf):
+    """Shared volume of the boxes of like regions in neighbouring stacks (LG14)."""
+    a = features.bounding_boxes(_quarters(spark, sf).where("i >= 1250"), ["label", "part"], "xyz")
+    b = features.bounding_boxes(_quarters(spark, sf).where("i >= 1250"), ["label", "part"], "xyz").withColumn("label", F.col("label") - 1)
+    return a.join(b, (a["label"] == b["label"]) & (a["part"] == b["part"])).select(a["label"], a["part"], features.box_overlap(a, b, "xyz").alias("n"))
+
+
+@query(f"""WITH {PAIRS}, o AS (SELECT b.unnest - 1 AS dy, c.unnest - 1 AS dx FROM unnest(range(3)) b, unnest(range(3)) c),
+md AS (SELECT v.vec_id, v.pos, cast(median(w.i1) AS integer) AS m1, cast(median(w.i2) AS integer) AS m2 FROM pr v, o JOIN pr w ON w.vec_id = v.vec_id AND w.x = least(greatest(v.x + dx, 0), 7) AND w.y = least(greatest(v.y + dy, 0), 7) GROUP BY v.vec_id, v.pos)
+SELECT vec_id, pos, CASE WHEN m1 >= m2 THEN m1 ELSE 0 END AS w1, CASE WHEN m2 > m1 THEN m2 ELSE 0 END AS w2 FROM md""")
+def q_unmix_median(spark, sf):
+    """Of the medians of two channels' neighbourhoods the greater stays, the other is zero (LG6, LG7)."""
+    both = pair_frames(spark, sf).select("vec_id", F.concat("px", "px2").alias("px"))
+    run = lambda k, im: [(*k, volume.median_filter(im[None, :8]).ravel(), volume.median_filter(im[None, 8:]).ravel())]
+    rows = segment.each_frame(both, ["vec_id"], run, "vec_id long, m1 array<double>, m2 array<double>", 8)
+    rows = rows.select("vec_id", F.posexplode(F.arrays_zip("m1", "m2")).alias("pos", "m"))
+    w1, w2 = volume.winner([F.col("m.m1").cast("int"), F.col("m.m2").cast("int")])
+    return rows.select("vec_id", "pos", w1.alias("w1"), w2.alias("w2"))
+
+
+@query(f"""WITH RECURSIVE {EIGHT}, sp AS (SELECT vec_id - 1 AS vec_id, x, y FROM px WHERE vec_id % 2 = 1 AND i >= 1250),
+d AS (SELECT c.vec_id, c.comp, min(sqrt(pow(c.p % 8 - sp.x, 2) + pow(c.p // 8 - sp.y, 2))) AS least FROM c LEFT JOIN sp ON sp.vec_id = c.vec_id WHERE c.vec_id % 2 = 0 GROUP BY c.vec_id, c.comp)
+SELECT vec_id, cast(comp AS integer) AS comp, round(least, 6) AS least, CASE WHEN least < 4 THEN 'near' ELSE 'far' END AS cls FROM d WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)""")
+def q_classified(spark, sf):
+    """Components by their least distance to a structure in the other channel (LG27)."""
+    both = pair_frames(spark, sf).select("vec_id", F.concat("px", "px2").alias("px"))
+
+    def run(k, im):
+        label, at = K.components(im[:8] >= TH), np.argwhere(im[8:] >= 1250)
+        out = []
+        for c in K.sizes(label):
+            own = np.argwhere(label == c)
+            out.append((*k, c - 1, float(np.sqrt(((own[:, None] - at[None]) ** 2).sum(-1).min())) if len(at) else None))
+        return out
+
+    rows = segment.each_frame(both, ["vec_id"], run, "vec_id long, comp int, least double", 8)
+    return rows.select("vec_id", "comp", F.round("least", 6).alias("least"), F.when(F.col("least") < 4, "near").otherwise("far").alias("cls"))

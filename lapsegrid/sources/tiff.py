@@ -89,6 +89,13 @@ def read_frames(spark: SparkSession, folder: str, first: int | None = None, glob
     return decode_frames(files_of(spark, folder, glob), ["path"], first).withColumnRenamed("page", "frame")
 
 
+def write_stacks(files: DataFrame, keys: list[str], path: str) -> None:
+    """Write TIFFs (keys, content) as files under a folder per key, through the commit protocol of Spark's text
+    writer, to any file system. The newline that it adds lies behind the last page, where readers don't look."""
+    rows = files.select(*keys, F.col("content").cast("string").alias("value"))
+    rows.write.partitionBy(*keys).option("maxRecordsPerFile", 1).text(path)
+
+
 def stacks(frames: DataFrame, keys: list[str], bits: int = 16) -> DataFrame:
     """(keys, content): a TIFF per key, its frames in order. A key is one stack, which fits a task."""
     kinds = dict(frames.dtypes)

@@ -42,7 +42,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", day.alias("frame"), F.floor("value").cast("int").alias("x"), y.alias("y"))
 
 
-PX = """px AS (SELECT vec_id, label, cast(p AS integer) AS pos, cast(p % 8 AS integer) AS x, cast(p // 8 AS integer) AS y,
+PX = """px AS MATERIALIZED (SELECT vec_id, label, cast(p AS integer) AS pos, cast(p % 8 AS integer) AS x, cast(p // 8 AS integer) AS y,
   cast(floor((cast(embedding[p + 1] AS double) + 1.0) * 1000.0) AS integer) AS i FROM embeddings, unnest(range(64)) AS t(p))"""
 FRAME = "fr AS (SELECT vec_id, label, cast(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS integer) AS frame FROM embeddings)"
 TP = """tp AS (SELECT user_id, ts, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS integer) AS f, value AS x,
