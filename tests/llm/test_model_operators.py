@@ -4,6 +4,7 @@ import hashlib
 import math
 import pathlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -91,6 +92,38 @@ def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in toxicity.scores(frame, model).collect() if not r.predicted}
 
 
+def plain_score(model, text):
+    """A text's score from the model's patterns and weights, pattern by pattern."""
+    text = text or ""
+    words = {w for token in text.lower().split() for w in (re.findall(r"[^\W\d_]+", token) if not token.isalpha() else [token])}
+    odds = dict(zip(model.patterns, model.odds, strict=True))
+    number = {p: k for k, p in enumerate(model.patterns)}
+    fits = lambda p, w: w == p[1:] if p[0] == "=" else len(w) > len(p) and w.startswith(p)
+    best = {w: max((odds[p], -number[p]) for p in odds if fits(p, w)) for w in words if any(fits(p, w) for p in odds)}
+    found = {p for p in odds for w in words if fits(p, w)}
+    top = max(odds.values())
+    bands = [0] * toxicity.BANDS
+    for o, _ in best.values():
+        bands[min(toxicity.BANDS - 1, int(toxicity.BANDS * o / (top + 1e-9))) if o > 0 else 0] += 1
+    total = sum(o for o, _ in best.values())
+    dense = [len(best) > 0, math.log1p(len(best)), math.log1p(total) / 2, min(1.0, 10 * len(best) / (len(words) + 5)), min(1.0, 10 * text.count("!") / (len(text.split()) + 1)), *map(math.log1p, bands)]
+    width = min(toxicity.FEATURES, len(odds))
+    logit = model.bias + sum(model.weights[number[p]] for p in found if number[p] < width) + sum(w * x for w, x in zip(model.weights[width:], dense, strict=True))
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_toxicity_scores_against_plain_ones(spark):
+    docs_, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs_, labels)
+    extra = docs(spark, [None, "", "IDIOT!!! worthless1scum", "x" * 100_000])
+    for rows in (docs_, extra):
+        got = {r.doc_id: r for r in toxicity.scores(rows, model).collect()}
+        kept = {r.doc_id for r in toxicity.keep_clean(rows, model).collect()}
+        for r in rows.collect():
+            want = plain_score(model, r.text)
+            assert math.isclose(got[r.doc_id].score, want, rel_tol=1e-6) and got[r.doc_id].predicted == int(want >= 0.3) == int(r.doc_id not in kept)
+
+
 def test_toxicity_recall_on_held_out_rows(spark):
     found = toxicity.report(*(spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")))
     rows = found.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
