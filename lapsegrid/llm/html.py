@@ -1,7 +1,7 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page is cut into text blocks, each filed under its root-to-leaf path of block elements (tag
-and first class). Per path the text length and the punctuation are aggregated and divided by the
+and first class, or a container's id). Per path the text length and the punctuation are aggregated and divided by the
 number of blocks. Both ratios are smoothed over sibling paths in page order, fused with each
 other, with the share of text outside links and with a weight of the names on the path, and
 lifted where the path lies in a container of content (lists of links only in an article element). Paths at or above a threshold are content
@@ -32,7 +32,7 @@ SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.12
 #: Share of a container's own ratio that its paths have at least, and what is left of it a level further down.
 LIFT, FADE = 0.5, 0.5
-#: The article is the deepest container with this share of the content paths' text.
+#: The article is the deepest container with this share of the content.
 COVERAGE = 0.9
 
 BLOCKS = frozenset(
@@ -199,7 +199,7 @@ def judged(tag: str, rest: str, inside: bool) -> tuple[str, bool, float]:
     """Path label of an element, whether it is page furniture, and its weight."""
     attrs = {m[1].lower(): entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTR.finditer(rest)} if "=" in rest or "hidden" in rest else {}
     names = attrs.get("class", "").split()
-    label = f"{tag}.{names[0]}" if names else tag
+    label = f"{tag}.{names[0]}" if names else f"{tag}#{attrs['id']}" if attrs.get("id") and tag not in INNER else tag
     furniture = tag in FURNITURE or "hidden" in attrs or attrs.get("aria-hidden", "") == "true"
     furniture |= "display:none" in attrs.get("style", "").replace(" ", "").lower()
     role, weight = attrs.get("role", "").lower(), 1.0
@@ -313,25 +313,22 @@ def fused_ratios(page: Page) -> tuple[dict[int, float], dict[int, int]]:
     return out, {p: v[0] for p, v in held.items()}
 
 
-def content_paths(page: Page) -> set[int]:
-    """Paths whose fused ratio reaches the threshold."""
+def content_paths(page: Page) -> dict[int, float]:
+    """Paths whose fused ratio reaches the threshold, and how much content is on each: its ratio times its text."""
     ratio, text = fused_ratios(page)
     total = sum(ratio[p] * n for p, n in text.items())
     mean = sum(ratio[p] ** 2 * n for p, n in text.items()) / total if total else 0.0
-    return {p for p, f in ratio.items() if f >= THRESHOLD * mean and f > 0}
+    return {p: f * text[p] for p, f in ratio.items() if f >= THRESHOLD * mean and f > 0}
 
 
-def container(page: Page, paths: set[int]) -> int:
-    """The deepest path of containers that holds COVERAGE of the text on these paths."""
-    text = [0] * len(page.parents)
-    for b in page.blocks:
-        if b.path in paths:
-            text[b.path] += len(b.text)
-    for p in range(len(text) - 1, 0, -1):
-        text[page.parents[p]] += text[p]
-    root, least = 0, COVERAGE * text[0]
-    for p in range(1, len(text)):  # a child comes after its parent
-        if page.parents[p] == root and text[p] >= least and page.tags[p] not in INNER:
+def container(page: Page, paths: dict[int, float]) -> int:
+    """The deepest path of containers that holds COVERAGE of the content on these paths."""
+    held = [paths.get(p, 0.0) for p in range(len(page.parents))]
+    for p in range(len(held) - 1, 0, -1):
+        held[page.parents[p]] += held[p]
+    root, least = 0, COVERAGE * held[0]
+    for p in range(1, len(held)):  # a child comes after its parent
+        if page.parents[p] == root and held[p] >= least and page.tags[p] not in INNER:
             root = p
     return root
 

@@ -45,7 +45,7 @@ def test_bulk_of_the_text_wins_against_its_name(name):
 def test_linked_paragraphs_and_forms_around_pages_stay():
     linked = STORY + "<p><a href=x>All of this paragraph is a link, and it stays.</a></p><p>The last one, long enough to be text.</p>"
     want = TEXT + "\nAll of this paragraph is a link, and it stays.\nThe last one, long enough to be text."
-    for page in (linked, f"<div class=x>{linked}</div>", f"<form action=x><div>{linked}</div></form>", f"<article>{linked}</article>"):
+    for page in (linked, f"<div class=x>{linked}</div>", f"<form action=x><div>{linked}</div></form>", f"<article>{linked}</article>", f"<div class=x>{linked.replace('<p>', '<p id=q>').replace('id=q', 'id=one', 1)}</div>"):
         assert html.main_text(f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>{page}</body>") == want
 
 
@@ -96,9 +96,9 @@ def plain_main_text(page):
     mass = sum(ratio[k] * total[k] for k in held)
     mean = sum(ratio[k] ** 2 * total[k] for k in held) / mass if mass else 0
     paths = {k for k in held if ratio[k] > 0 and ratio[k] >= html.THRESHOLD * mean}
-    text = lambda k: sum(total[x] for x in paths if k in up[x])
+    content = lambda k: sum(ratio[x] * total[x] for x in paths if k in up[x])
     root = 0
-    while down := [k for k in range(n) if p.parents[k] == root and p.tags[k] not in html.INNER and text(k) >= html.COVERAGE * text(0)]:
+    while down := [k for k in range(n) if paths and p.parents[k] == root and p.tags[k] not in html.INNER and content(k) >= html.COVERAGE * content(0) * (1 - 1e-12)]:
         root = down[0]
     nodes = [b for b in p.blocks if b.path in paths]
     first = next((k for k, b in enumerate(nodes) if root in up[b.path]), 0)
@@ -135,3 +135,13 @@ def test_main_text_against_the_plain_version():
         texts += bool(got)
     assert texts > 200
 
+
+
+def test_article_among_unnamed_furniture():
+    story = "".join(f"<p>Paragraph number {k} of the story goes on for a while, with commas, and it has more to tell; see <a href=x>this</a>.</p>" for k in range(5))
+    comments = "".join(f"<li class=c{k}><div class=author>Bob {k}</div><p>I think that this is a very good story, and I would like to say so, again and again.</p></li>" for k in range(6))
+    page = f"""<body><div id=wrap><div id=top><a href=1>Home</a> <a href=2>About</a></div><div id=cols><div class=col1><h1>Title</h1>{story}<h2>Part two</h2><p>Short.</p>
+<blockquote>A quote.</blockquote><table><tr><td>1</td><td>2</td></tr></table><div class=share>Share: <a href=x>Tw</a></div><div id=comments><h3>6 Comments</h3><ol>{comments}</ol></div></div>
+<div class=col2><h4>Archive</h4><ul><li><a href=1>May</a></li></ul><p>About me: I write.</p></div></div><div id=bottom>Copyright 2020 Foo Inc. All rights reserved.</div></div></body>"""
+    got = html.main_text(page).split("\n")
+    assert got[0] == "Title" and got[6:] == ["Part two", "Short.", "A quote.", "1", "2"] and len(got) == 11
