@@ -21,8 +21,8 @@ def wide(long: DataFrame, keys: list[str], frames: list[int], value: str) -> Dat
 
 def every_frame(long: DataFrame, keys: list[str], value: str) -> DataFrame:
     """What ``wide`` holds for all frames up to the data's largest, in rows: keys, frame, value."""
-    last = F.broadcast(long.agg(F.max("frame").alias("last")))
-    spine = long.select(*keys).distinct().crossJoin(last).select(*keys, F.explode(F.sequence(F.lit(0).cast(long.schema["frame"].dataType), "last")).alias("frame"))
+    last = long.agg(F.max("frame")).first()[0]  # one number
+    spine = long.select(*keys).distinct().withColumn("frame", F.explode(F.sequence(*(F.lit(k).cast(long.schema["frame"].dataType) for k in (0, last or 0)))))
     found = long.groupBy(*keys, "frame").agg(F.first(value).alias(value))
     return spine.join(found, [*keys, "frame"], "left").select(*keys, "frame", F.coalesce(value, F.lit(MISSING)).alias(value))
 
