@@ -253,3 +253,37 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 def write_points(points: DataFrame, path: str) -> None:
     """Write points as ``read_points`` reads them (LG28)."""
     points.select(F.concat_ws(" ", *((F.col(c) + 1).cast("string") for c in "zyx")).alias("value")).write.text(path)
+
+
+# -- drawing into colour images -------------------------------------------
+def line_pixels(start: tuple[int, int], end: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pixels (x, y) of a straight line, one per step along its longer side, ends included; halves round up."""
+    (x, y), (u, v) = start, end
+    steps = max(abs(u - x), abs(v - y), 1)
+    at = lambda a, b, k: a + int(np.floor((b - a) * k / steps + 0.5))
+    return list(dict.fromkeys((at(x, u, k), at(y, v, k)) for k in range(steps + 1)))
+
+
+def with_line(image: np.ndarray, start: tuple[int, int], end: tuple[int, int], first: tuple, last: tuple) -> np.ndarray:
+    """A colour image (h, w, 3) with a line from ``last`` at its start towards ``first``: no channel gets darker,
+    points outside are moved to the border (LG47)."""
+    out = image.astype(np.float64).copy()
+    h, w = image.shape[:2]
+    inside = [(min(max(x, 0), w - 1), min(max(y, 0), h - 1)) for x, y in (start, end)]
+    path = line_pixels(*inside)
+    for k, (x, y) in enumerate(path):
+        share = k / len(path)
+        colour = np.floor(share * np.array(first, dtype=float) + (1 - share) * np.array(last, dtype=float))
+        out[y, x] = np.maximum(out[y, x], colour)
+    return out
+
+
+def annotated(image: np.ndarray, glyph: np.ndarray, x: int, y: int, colour: tuple = (0, 0, 255)) -> np.ndarray:
+    """A colour image (h, w, 3) with the set pixels of a glyph in one colour, its middle at (x, y) or as near
+    to it as the glyph fits into the image (LG45)."""
+    out = image.copy()
+    (h, w), (gh, gw) = image.shape[:2], glyph.shape
+    top, left = min(max(y - gh // 2, 0), max(h - gh, 0)), min(max(x - gw // 2, 0), max(w - gw, 0))
+    part = glyph[: h - top, : w - left]
+    out[top : top + part.shape[0], left : left + part.shape[1]][part] = colour
+    return out

@@ -315,3 +315,31 @@ def q_classified(spark, sf):
 
     rows = segment.each_frame(both, ["vec_id"], run, "vec_id long, comp int, least double", 8)
     return rows.select("vec_id", "comp", F.round("least", 6).alias("least"), F.when(F.col("least") < 4, "near").otherwise("far").alias("cls"))
+
+
+#: A plus sign, the glyph of the query.
+PLUS = np.array([[0, 1, 0], [1, 1, 1], [0, 1, 0]], dtype=bool)
+
+
+@query(f"""WITH {PX}, ln AS (SELECT vec_id, k AS x, cast(vec_id % 8 + floor((label % 8 - vec_id % 8) * k / 7.0 + 0.5) AS integer) AS y, floor(k / 8.0 * 2000 + (1 - k / 8.0) * 500) AS c FROM embeddings, unnest(range(8)) AS t(k))
+SELECT px.vec_id, px.pos, px.i AS r, cast(greatest(px.i, coalesce(ln.c, 0)) AS integer) AS g FROM px LEFT JOIN ln ON ln.vec_id = px.vec_id AND ln.x = px.x AND ln.y = px.y""")
+def q_line(spark, sf):
+    """A line with a gradient across each frame, in its second channel (LG47)."""
+
+    def run(k, im):
+        own = np.stack([im, im, im], axis=-1)
+        drawn = volume.with_line(own, (0, k[0] % 8), (7, k[1] % 8), (0, 2000, 0), (0, 500, 0))
+        return [(k[0], drawn[..., 0].ravel(), drawn[..., 1].ravel())]
+
+    rows = segment.each_frame(frames(spark, sf), ["vec_id", "label"], run, "vec_id long, r array<double>, g array<double>", 8)
+    rows = rows.select("vec_id", F.posexplode(F.arrays_zip("r", "g")).alias("pos", "c"))
+    return rows.select("vec_id", "pos", F.col("c.r").cast("int").alias("r"), F.col("c.g").cast("int").alias("g"))
+
+
+@query(f"""WITH {PX}, m AS (SELECT *, least(greatest(label % 8 - 1, 0), 5) AS gx, least(greatest(vec_id % 8 - 1, 0), 5) AS gy FROM px)
+SELECT vec_id, pos, CASE WHEN (x = gx + 1 AND y BETWEEN gy AND gy + 2) OR (y = gy + 1 AND x BETWEEN gx AND gx + 2) THEN 255 ELSE i END AS b FROM m""")
+def q_annotated(spark, sf):
+    """A glyph pasted into each frame, inside it also near the border (LG45)."""
+    run = lambda k, im: [(k[0], volume.annotated(np.stack([im, im, im], axis=-1), PLUS, k[1] % 8, k[0] % 8)[..., 2].ravel())]
+    rows = segment.each_frame(frames(spark, sf), ["vec_id", "label"], run, "vec_id long, b array<int>", 8)
+    return rows.select("vec_id", F.posexplode("b").alias("pos", "b"))
