@@ -89,12 +89,27 @@ PATTERN = [(dy, dx, (1, 2, 1)[dy + 1] * (1, 2, 1)[dx + 1]) for dy in (-1, 0, 1)
 _SPREAD = float(np.sqrt(sum((w - 16 / 9) ** 2 for _, _, w in PATTERN)))
 
 
-#: The better of two pattern correlations, and its maxima (KR8, WN7).
-ORACLES["k_ncc"] = f"""WITH {PX}, {_values('pt', PATTERN)},
-c AS (SELECT a.vec_id, a.x, a.y, sum(b.i * pt.w) AS product, sum(b.i) AS s1, sum(cast(b.i AS double) * b.i) AS s2 FROM px a, pt JOIN px b ON b.vec_id = a.vec_id AND b.x = a.x + pt.s AND b.y = a.y + pt.t GROUP BY ALL),
+def _wells_sql(source: str) -> str:
+    """CTEs that end in fw(vec_id, x, y, type, score): the better of two pattern correlations, and its maxima."""
+    return f"""{_values('pt', PATTERN)},
+c AS (SELECT a.vec_id, a.x, a.y, sum(b.i * pt.w) AS product, sum(b.i) AS s1, sum(cast(b.i AS double) * b.i) AS s2 FROM {source} a, pt JOIN {source} b ON b.vec_id = a.vec_id AND b.x = a.x + pt.s AND b.y = a.y + pt.t GROUP BY ALL),
 n AS (SELECT vec_id, x, y, (product - s1 * 16 / 9.0) / (2 * {_SPREAD!r}::double * greatest(sqrt(greatest(s2 - s1 * s1 / 9.0, 0)), {_SPREAD!r}::double / 1e5)) AS h FROM c),
-b AS (SELECT vec_id, x, y, CASE WHEN h > -h THEN 1 ELSE 2 END AS type, 0.5 + abs(h) AS score FROM n WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6)
-SELECT b.vec_id, b.x, b.y, b.type, round(b.score, 6) AS score FROM b JOIN b o ON o.vec_id = b.vec_id AND abs(o.x - b.x) <= 1 AND abs(o.y - b.y) <= 1 GROUP BY b.vec_id, b.x, b.y, b.type, b.score HAVING max(o.score) <= b.score"""
+b AS (SELECT vec_id, x, y, CASE WHEN h > -h THEN 1 ELSE 2 END AS type, 0.5 + abs(h) AS score FROM n WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6),
+fw AS (SELECT b.vec_id, b.x, b.y, b.type, round(b.score, 6) AS score FROM b JOIN b o ON o.vec_id = b.vec_id AND abs(o.x - b.x) <= 1 AND abs(o.y - b.y) <= 1 GROUP BY b.vec_id, b.x, b.y, b.type, b.score HAVING max(o.score) <= b.score)"""
+
+
+ORACLES["k_ncc"] = f"WITH {PX}, {_wells_sql('px')} SELECT * FROM fw"
+
+
+@query(f"""WITH {PX}, {_gaussian_sql('px', 1.0)}, sb AS (SELECT vec_id, px.x, px.y, greatest(px.i - g2.g, 0.0) AS i FROM px JOIN g2 USING (vec_id, x, y)), {_wells_sql('sb')},
+r AS (SELECT *, y // 4 AS row, x // 4 AS col, row_number() OVER (PARTITION BY vec_id, y // 4, x // 4 ORDER BY score DESC, y, x) AS k FROM fw)
+SELECT vec_id, cast(row AS integer) AS row, cast(col AS integer) AS col, x, y, type, score FROM r WHERE k = 1""")
+def q_registered_wells(spark, sf):
+    """Background subtracted without truncation, two patterns compared, the best maximum of each grid cell (MAP3, KR8, KR10, AG10)."""
+    pattern = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]], dtype=float)
+    bright = frames(spark, sf).select(F.col("vec_id").cast("int").alias("block"), F.lit(0).alias("frame"), F.lit(8).alias("width"), "px")
+    found = stack.register_wells(bright, [pattern, -pattern], 2, 3, 1, sigma=1.0)
+    return found.select(F.col("block").cast("long").alias("vec_id"), "row", "col", "x", "y", "type", F.round("score", 6).alias("score"))
 
 
 # -- seeds ----------------------------------------------------------------
@@ -135,6 +150,25 @@ def q_inside_distance(spark, sf):
     return rows.select("vec_id", F.posexplode("px").alias("pos", "d")).where("d > 0").withColumn("d", F.round("d", 6))
 
 
+# -- the segmentation of a frame --------------------------------------------
+@query(f"""WITH RECURSIVE {PX}, {_gaussian_sql('px', float(np.sqrt(2.0)))}, sm AS MATERIALIZED (SELECT vec_id, x, y, cast(x + 8 * y AS integer) AS pos, cast(floor(g + 1e-9) AS integer) AS i FROM g2),
+h AS (SELECT vec_id, i AS bin, count(*) AS n FROM sm GROUP BY ALL),
+w AS (SELECT vec_id, bin, sum(n) OVER o AS c, sum(n * bin) OVER o AS s, sum(n) OVER (PARTITION BY vec_id) AS ca, sum(n * bin) OVER (PARTITION BY vec_id) AS sa FROM h WINDOW o AS (PARTITION BY vec_id ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT vec_id, bin, c / ca AS p0, (ca - c) / ca AS p1, sa / ca AS mu, s / nullif(c, 0) AS m0, (sa - s) / nullif(ca - c, 0) AS m1 FROM w),
+q AS (SELECT vec_id, bin, CASE WHEN p0 > 0 AND p1 > 0 AND m0 > 0 AND m1 > 0 THEN round(mu - p0 * (ln(p0) + m0 * ln(m0)) - p1 * (ln(p1) + m1 * ln(m1)), 6) END AS cost FROM r),
+th AS (SELECT vec_id, bin AS th FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost NULLS LAST, CASE WHEN cost IS NULL THEN -bin ELSE bin END) AS k FROM q) WHERE k = 1),
+sh AS (SELECT vec_id, avg(CASE WHEN i >= th THEN 1.0 ELSE 0.0 END) AS share FROM sm JOIN th USING (vec_id) GROUP BY vec_id),
+m AS MATERIALIZED (SELECT vec_id, pos, x, y FROM sm JOIN th USING (vec_id) JOIN sh USING (vec_id) WHERE greatest(share, 1 - share) >= 0.9 AND greatest(share, 1 - share) < 1 AND (i >= th) = (share <= 0.5)),
+e AS MATERIALIZED (SELECT a.vec_id, a.pos AS p, b.pos AS q FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+t AS (SELECT vec_id, p, q FROM e UNION SELECT t.vec_id, t.p, e.q FROM t JOIN e ON t.vec_id = e.vec_id AND t.q = e.p),
+c AS (SELECT vec_id, p, min(q) AS comp FROM t GROUP BY vec_id, p), cs AS (SELECT vec_id, comp, count(*) AS size FROM c GROUP BY vec_id, comp)
+SELECT c.vec_id, cast(c.p AS integer) AS pos FROM c JOIN cs ON cs.vec_id = c.vec_id AND cs.comp = c.comp WHERE size >= 2 AND size < 40""")
+def q_segmented(spark, sf):
+    """The mask pixels of the whole segmentation: smoothing, threshold, gate, choice, component filters (KR7)."""
+    rows = QUERIES["k_segment"](spark, sf).select("vec_id", F.posexplode("mask").alias("pos", "v"))
+    return rows.where("v > 0").select("vec_id", "pos")
+
+
 # -- masks and labels ------------------------------------------------------
 @query(f"WITH {PX} SELECT vec_id, pos, CASE WHEN i >= 1000 THEN 255 ELSE 0 END AS v FROM px")
 def q_scaled_mask(spark, sf):
