@@ -106,7 +106,7 @@ class _Open:
     path: int
     furniture: bool
     inside: bool
-    """Within an article or main element."""
+    """Within an article or main element, or the main part by its role."""
 
 
 @dataclass
@@ -136,8 +136,8 @@ class Page:
 
     def push(self, tag: str, rest: str) -> None:
         above = self.stack[-1] if self.stack else _Open("", 0, False, False)
-        label, furniture, weight = judged(tag, rest, above.inside)
-        inside = above.inside or tag in ("article", "main")
+        label, furniture, weight, article = judged(tag, rest, above.inside)
+        inside = above.inside or article
         weight = min(weight, self.names[above.path])
         key = (above.path, label, weight)
         if key not in self.numbers:
@@ -195,8 +195,8 @@ def name_weight(names: list[str], inside: bool) -> float:
     return WEAK if all(weak for k, weak in kinds if k in ("furniture", "hint")) else HINT
 
 
-def judged(tag: str, rest: str, inside: bool) -> tuple[str, bool, float]:
-    """Path label of an element, whether it is page furniture, and its weight."""
+def judged(tag: str, rest: str, inside: bool) -> tuple[str, bool, float, bool]:
+    """Path label of an element, whether it is page furniture, its weight, and whether it is an article or the main part."""
     attrs = {m[1].lower(): entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTR.finditer(rest)} if "=" in rest or "hidden" in rest else {}
     names = attrs.get("class", "").split()
     label = f"{tag}.{names[0]}" if names else f"{tag}#{attrs['id']}" if attrs.get("id") and tag not in INNER else tag
@@ -209,7 +209,7 @@ def judged(tag: str, rest: str, inside: bool) -> tuple[str, bool, float]:
         weight = name_weight([*names, attrs.get("id", "")], inside)
         if tag in SELDOM or role in SELDOM or (tag == "header" and not inside):
             weight = NAMED
-    return label, furniture, weight
+    return label, furniture, weight, tag in ("article", "main") or role == "main"
 
 
 def read_page(page: str) -> Page:

@@ -145,3 +145,9 @@ def test_article_among_unnamed_furniture():
 <div class=col2><h4>Archive</h4><ul><li><a href=1>May</a></li></ul><p>About me: I write.</p></div></div><div id=bottom>Copyright 2020 Foo Inc. All rights reserved.</div></div></body>"""
     got = html.main_text(page).split("\n")
     assert got[0] == "Title" and got[6:] == ["Part two", "Short.", "A quote.", "1", "2"] and len(got) == 11
+
+
+def test_main_part_by_role():
+    linked = "<ul><li><a href=1>First reference of it</a></li><li><a href=2>Second one</a></li></ul>"
+    page = f"<body><ul><li><a href=x>One</a></li></ul><div role=main>{STORY}{linked}</div></body>"
+    assert html.main_text(page) == TEXT + "\nFirst reference of it\nSecond one"
