@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsegrid.llm import avi, decontam, html, idstore, lm, packing, secrets, simhash, toxicity, warc
+from lapsegrid.llm import avi, decontam, html, idstore, lm, packing, repair, secrets, simhash, toxicity, warc
 from lapsegrid.llm.common import read
 
 
@@ -52,5 +52,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tag_paths, op2_simhash, op3_toxicity, op4_warc, op5_packing, op6_lm, op7_avi, op8_token_ids, op9_secrets, op10_decontaminate)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tag_paths, op2_simhash, op3_toxicity, op4_warc, op5_packing, op6_lm, op7_avi, op8_token_ids, op9_secrets, op10_decontaminate, op11_repair)}
 ORACLES = {"op4_warc": warc.ORACLE, "op10_decontaminate": decontam.ORACLE}
