@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsegrid.llm import align, avi, decontam, html, idstore, lm, packing, repair, secrets, simhash, toxicity, warc
+from lapsegrid.llm import align, avi, decontam, html, idstore, lm, packing, repair, repeats, secrets, simhash, toxicity, warc
 from lapsegrid.llm.common import read
 
 
@@ -56,11 +56,15 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(read(spark, sf_dir, "conversations"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(read(spark, sf_dir, "documents"))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tag_paths, op2_simhash, op3_toxicity, op4_warc, op5_packing, op6_lm, op7_avi, op8_token_ids, op9_secrets, op10_decontaminate, op11_repair, op13_align)}
+QUERIES = {f.__name__: f for f in (op1_tag_paths, op2_simhash, op3_toxicity, op4_warc, op5_packing, op6_lm, op7_avi, op8_token_ids, op9_secrets, op10_decontaminate, op11_repair, op12_repeats, op13_align)}
 ORACLES = {"op4_warc": warc.ORACLE, "op10_decontaminate": decontam.ORACLE}
