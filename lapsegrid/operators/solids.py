@@ -25,6 +25,8 @@ LINKS = 1 << 20
 TILE = 1 << 22
 _RUNS = "y array<int>, x0 array<int>, x1 array<int>, v array<int>, part array<int>"
 _NAMES = ("y", "x0", "x1", "v", "part")
+#: Names of the working columns.
+_TAKEN = {*_NAMES, *(f"{n}2" for n in _NAMES), "place", "width", "height", "px", "a", "b", "node", "root", "n", "size", "label_", "of_", "most", "x", "r", "t", "tile", "places", "found", "last", "sq"}
 
 
 def _kinds(frame: DataFrame, names: list[str]) -> str:
@@ -34,6 +36,8 @@ def _kinds(frame: DataFrame, names: list[str]) -> str:
 
 def placed(frames: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Frames with ``place``, their number in the stack from 0. Frame numbers alone go through the window."""
+    if taken := {c.lower() for c in (*keys, order)} & _TAKEN:
+        raise ValueError(f"keys may not be called {sorted(taken)}")
     own = Window.partitionBy(*keys).orderBy(order)
     places = frames.select(*keys, order).withColumn("place", F.row_number().over(own) - 1)
     return frames.join(places, [*keys, order])
@@ -142,16 +146,16 @@ def components(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranked(named: DataFrame, keys: list[str], least: int = 0, exact: bool = False) -> DataFrame:
-    """(keys, root, size, label): labels 1, 2, ... of components with at least ``least`` pixels, by size, then first pixel.
+    """(keys, root, size, label_): labels 1, 2, ... of components with at least ``least`` pixels, by size, then first pixel.
     ``exact`` leaves out the smallest of the large ones, and all but the first where none is too small."""
     sizes = named.groupBy(*keys, "root").agg(F.sum("n").alias("size"))
     own = Window.partitionBy(*keys).orderBy(F.col("size").desc(), "root")
-    rows = sizes.withColumn("label", F.row_number().over(own))
+    rows = sizes.withColumn("label_", F.row_number().over(own))
     if exact:
         whole = Window.partitionBy(*keys)
         large, all_ = F.count_if(F.col("size") >= least).over(whole), F.count("*").over(whole)
         most = F.when(large == all_, 1).otherwise(F.greatest(F.lit(1), large - 1))
-        return rows.withColumn("most", most).where("label <= most").drop("most")
+        return rows.withColumn("most", most).where("label_ <= most").drop("most")
     return rows.where(F.col("size") >= least)
 
 
@@ -160,14 +164,14 @@ def labelled(frames: DataFrame, keys: list[str], order: str, mark: Callable[[np.
     mark(image), zero left out, numbered by size (LG12-13, LG20-22, LG48)."""
     found = kept_as(parts(frames, keys, order, mark), "runs")
     named = kept_as(components(found, keys), "components")
-    labels = named.join(ranked(named, keys, least, exact), [*keys, "root"]).groupBy(*keys, "place").agg(F.collect_list(F.struct("part", "label")).alias("x"))
-    rows = found.join(labels, [*keys, "place"], "left").select(*keys, order, "width", "height", *_NAMES, F.col("x.part").alias("of"), F.col("x.label").alias("label"))
+    labels = named.join(ranked(named, keys, least, exact), [*keys, "root"]).groupBy(*keys, "place").agg(F.collect_list(F.struct("part", "label_")).alias("x"))
+    rows = found.join(labels, [*keys, "place"], "left").select(*keys, order, "width", "height", *_NAMES, F.col("x.part").alias("of_"), F.col("x.label_").alias("label_"))
 
     def draw(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 own, w, h = _runs(batch, k), batch.column("width")[k].as_py(), batch.column("height")[k].as_py()
-                of, label = (batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("of", "label"))
+                of, label = (batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("of_", "label_"))
                 names = np.zeros(w * h, dtype=np.int64)
                 names[of] = label
                 px = R.drawn(own, names[own.part], h, w).astype(np.int32).ravel()

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsegrid.functions import kernels as K
+from lapsegrid.functions.matching import set_distances
 from lapsegrid.operators import segment, wells
 
 STACK = ["block", "channel"]
@@ -124,9 +126,12 @@ def crop_wells(frames: DataFrame, found: DataFrame, path: DataFrame, size: int)
 
 
 def seed_maps(seeds: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
-    """(keys, width, height, px): frames that are 255 at seeds (keys, x, y) and 0 elsewhere."""
-    places = seeds.groupBy(*keys).agg(F.collect_set((F.col("y") * width + F.col("x")).cast("int")).alias("at_"))
-    px = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda p: F.when(F.array_contains("at_", p), 255).otherwise(0))
+    """(keys, width, height, px): frames that are 255 at seeds (keys, x, y) and 0 elsewhere. A frame's row is built from the
+    gaps between its seeds in order, so its cost is its pixels, however many seeds it has."""
+    places = seeds.groupBy(*keys).agg(F.array_sort(F.collect_set((F.col("y") * width + F.col("x")).cast("int"))).alias("at_"))
+    gap = lambda n: F.array_repeat(F.lit(0), n)
+    parts = F.transform("at_", lambda p, k: F.concat(gap(p - F.coalesce(F.get("at_", k - 1), F.lit(-1)) - 1), F.array(F.lit(255))))
+    px = F.concat(F.flatten(parts), gap(F.lit(width * height - 1) - F.coalesce(F.get("at_", F.size("at_") - 1), F.lit(-1))))
     return places.select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), px.alias("px"))
 
 
@@ -148,11 +153,35 @@ def split_cells(masks: DataFrame, numbers: DataFrame, least: int = 50) -> DataFr
     return segment.each_frame(rows, [*keys, "k"], run, "block int, row int, col int, channel string, frame int, cell int, area int, x double, y double, pts array<struct<x:int,y:int>>")
 
 
-def overlap_terms(pairs: DataFrame) -> DataFrame:
-    """Adds overlap (shared pixels) and away (least pixel distance) from pts and pts2."""
-    shared = F.size(F.array_intersect("pts", "pts2"))
-    near = F.expr("sqrt(array_min(transform(pts, p -> array_min(transform(pts2, q -> cast((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS double))))))")
-    return pairs.withColumn("overlap", shared).withColumn("away", F.when(F.col("overlap") > 0, 0.0).otherwise(near))
+def pair_overlaps(cells: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame, next_frame, cell, cell2, overlap, away): shared pixels and least pixel distance of all cells of two
+    frames. cells: keys, frame, cell, pts; steps: keys, frame, next_frame. A frame's cells are one row, sent once to the
+    frame before, however many pairs they make."""
+    packed = cells.groupBy(*keys, "frame").agg(F.collect_list(F.struct("cell", "pts")).alias("c")).select(*keys, "frame", F.col("c.cell").alias("cell"), F.col("c.pts").alias("pts"))
+    later = packed.select(*keys, F.col("frame").alias("next_frame"), F.col("cell").alias("cell2"), F.col("pts").alias("pts2"))
+    rows = packed.join(steps.select(*keys, "frame", "next_frame"), [*keys, "frame"]).join(later, [*keys, "next_frame"])
+    kinds = dict(rows.dtypes)
+    head = [*keys, "frame", "next_frame"]
+    kind = kinds["cell"].removeprefix("array<").removesuffix(">")
+    segment.bounded_frames(cells.sparkSession)
+
+    def sets(column, k):
+        lists = column.slice(k, 1).flatten()
+        ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]
+        points = lists.flatten()
+        return list(zip(*(np.split(points.field(c).to_numpy(zero_copy_only=False), ends) for c in ("y", "x")), strict=True))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shared, away = set_distances(sets(batch.column("pts"), k), sets(batch.column("pts2"), k))
+                one, two = (batch.column(c).slice(k, 1).flatten() for c in ("cell", "cell2"))
+                i, j = (x.ravel() for x in np.indices(shared.shape))
+                same = {c: batch.column(c).take(pa.array(np.full(len(i), k))) for c in head}
+                yield pa.record_batch({**same, "cell": one.take(pa.array(i)), "cell2": two.take(pa.array(j)), "overlap": pa.array(shared.ravel()), "away": pa.array(away.ravel())})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in head) + f", cell {kind}, cell2 {kind}, overlap long, away double"
+    return rows.select(*head, "cell", "pts", "cell2", "pts2").mapInArrow(run, schema)
 
 
 def intensity_features(cells: DataFrame, crops: DataFrame, name: str) -> DataFrame:

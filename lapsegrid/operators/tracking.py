@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapsegrid.functions.kernels import assign
+from lapsegrid.functions.matching import assign_edges
 
 
 def displacement(points: DataFrame, keys: list[str], order: str, exact_limit: float | None = None) -> DataFrame:
@@ -38,6 +39,17 @@ def link_candidates(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(next_frames(cells, keys).where("next_frame is not null"), [*keys, "frame"]).join(later, [*keys, "next_frame"])
 
 
+def gated_candidates(cells: DataFrame, keys: list[str], gate: float) -> DataFrame:
+    """``link_candidates`` whose centres are at most ``gate`` apart. Cells meet in squares of a grid as wide as the gate: each
+    is sent to the nine around it, so a frame's pairs are those of neighbours, not all."""
+    square = lambda c: F.floor(F.col(c) / gate)
+    later = cells.select(*keys, F.col("frame").alias("next_frame"), *(F.col(c).alias(f"{c}2") for c in ("cell", "x", "y", "area")), square("x").alias("gx_"), square("y").alias("gy_"))
+    near = F.array(*(F.struct((square("x") + dx).alias("gx_"), (square("y") + dy).alias("gy_")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
+    own = cells.join(next_frames(cells, keys).where("next_frame is not null"), [*keys, "frame"]).withColumn("at_", F.explode(near)).select("*", "at_.gx_", "at_.gy_")
+    pairs = own.join(later, [*keys, "next_frame", "gx_", "gy_"]).drop("at_", "gx_", "gy_")
+    return pairs.where((F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2 <= gate * gate)
+
+
 def with_cost(pairs: DataFrame) -> DataFrame:
     """Adds cost: 10 centroid distances plus 100 relative area differences."""
     d = F.sqrt((F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2)
@@ -85,33 +97,28 @@ def with_weight(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def assignments(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """The one-to-one links of greatest total weight of each frame pair. pairs: keys, frame,
-    cell, cell2, weight.
+    cell, cell2, weight; cells that aren't a pair are never linked.
 
     The pairs of one well in two frames become one row, and rows of many wells share an
-    Arrow batch: small groups cost no call of their own.
+    Arrow batch: small groups cost no call of their own. Of gated pairs a row is linear in the cells.
     """
     kinds = dict(pairs.dtypes)
     edge = F.struct(*(F.col(c).cast(k).alias(c) for c, k in (("cell", "long"), ("cell2", "long"), ("weight", "double"))))
-    packed = pairs.groupBy(*keys, "frame").agg(F.collect_list(edge).alias("edges"))
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "frame"]) + ", links array<struct<cell:bigint,cell2:bigint,weight:double>>"
+    names = ("cell", "cell2", "weight")
+    packed = pairs.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(edge)).alias("e")).select(*keys, "frame", *(F.col(f"e.{c}").alias(c) for c in names))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "frame"]) + ", cell long, cell2 long, weight double"
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = [_matched(edges) for edges in batch.column("edges").to_pylist()]
-            out = {k: batch.column(k) for k in [*keys, "frame"]}
-            yield pa.record_batch({**out, "links": pa.array(links, pa.list_(pa.struct([("cell", pa.int64()), ("cell2", pa.int64()), ("weight", pa.float64())])))})
-
-    found = packed.mapInArrow(solve, schema).select(*keys, "frame", F.explode("links").alias("l"))
-    return found.select(*keys, "frame", *(F.col(f"l.{c}").cast(kinds[c]).alias(c) for c in ("cell", "cell2", "weight")))
-
-
-def _matched(edges: list[dict]) -> list[dict]:
-    left, right = sorted({e["cell"] for e in edges}), sorted({e["cell2"] for e in edges})
-    row, col = {c: k for k, c in enumerate(left)}, {c: k for k, c in enumerate(right)}
-    weight = np.zeros((len(left), len(right)))
-    for e in edges:
-        weight[row[e["cell"]], col[e["cell2"]]] = e["weight"]
-    return [{"cell": left[a], "cell2": right[b], "weight": float(weight[a, b])} for a, b in assign(weight)]
+            flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in names]
+            ends = np.cumsum(pa.compute.list_value_length(batch.column("cell")).to_numpy())
+            kept = [a + assign_edges(*(x[a:b] for x in flat)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            row = pa.array(np.repeat(np.arange(len(kept)), [len(k) for k in kept]))
+            at = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
+            yield pa.record_batch({**{k: batch.column(k).take(row) for k in [*keys, "frame"]}, **{c: pa.array(x[at]) for c, x in zip(names, flat, strict=True)}})
+
+    found = packed.mapInArrow(solve, schema)
+    return found.select(*keys, "frame", *(F.col(c).cast(kinds[c]).alias(c) for c in names))
 
 
 def chains(cells: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:

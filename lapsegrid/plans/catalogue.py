@@ -614,13 +614,14 @@ o AS (SELECT p.vec_id, count(*) AS o FROM a p JOIN a q ON q.vec_id = p.vec_id +
 d AS (SELECT p.vec_id, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) AS d FROM a p JOIN a q ON q.vec_id = p.vec_id + 1 GROUP BY p.vec_id)
 SELECT d.vec_id, coalesce(o, 0) AS overlap, round(CASE WHEN o > 0 THEN 1 - o / least(n1.n, n2.n) ELSE d END, 6) AS term FROM d LEFT JOIN o USING (vec_id) JOIN n n1 ON n1.vec_id = d.vec_id JOIN n n2 ON n2.vec_id = d.vec_id + 1""")
 def q_overlap_term(spark, sf):
-    """Pixel sets as arrays: the distance of two sets is taken inside a row, not by a pixel join."""
-    points = F.expr("transform(filter(sequence(0, 63), p -> px[p] >= 1200), p -> struct(p % 8 AS x, p div 8 AS y))")
-    own = frames(spark, sf).select("vec_id", points.alias("pts")).where("size(pts) > 0")
-    later = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pts").alias("pts2"))
-    pairs = stack.overlap_terms(own.join(later, "vec_id"))
-    part = F.when(F.col("overlap") > 0, 1 - F.col("overlap") / F.least(F.size("pts"), F.size("pts2"))).otherwise(F.col("away"))
-    return pairs.select("vec_id", F.col("overlap").cast("long").alias("overlap"), F.round(part, 6).alias("term"))
+    """The bright pixels of a frame are its one cell: pixel sets as arrays, compared once per pair of frames (JN7, JN8)."""
+    points = F.expr("transform(filter(sequence(0, 63), p -> px[p] >= 1200), p -> struct(cast(p % 8 AS int) AS x, cast(p div 8 AS int) AS y))")
+    own = frames(spark, sf).select(F.col("vec_id").alias("frame"), F.lit(1).alias("cell"), points.alias("pts")).where("size(pts) > 0")
+    area = own.select("frame", F.size("pts").alias("n"))
+    steps = area.select("frame", (F.col("frame") + 1).alias("next_frame"), "n").join(area.select(F.col("frame").alias("next_frame"), F.col("n").alias("n2")), "next_frame")
+    pairs = stack.pair_overlaps(own, steps, []).join(steps, ["frame", "next_frame"])
+    part = F.when(F.col("overlap") > 0, 1 - F.col("overlap") / F.least("n", "n2")).otherwise(F.col("away"))
+    return pairs.select(F.col("frame").alias("vec_id"), "overlap", F.round(part, 6).alias("term"))
 
 
 @query(f"WITH {COMPOSITION} SELECT composition AS route, count(*) AS n FROM cp WHERE composition IN ('E1T1', 'E1T2', 'E1T3') GROUP BY ALL UNION ALL SELECT 'Exp', count(*) FROM cp")
@@ -824,4 +825,4 @@ def k_spectral(spark, sf):
     return _image_rows(spark, sf, run, "vec_id long, cell int, size int")
 
 
-from lapsegrid.plans import round_trips, shapes  # noqa: E402, F401 - they register their queries here
+from lapsegrid.plans import round_trips, shapes, stacks  # noqa: E402, F401 - they register their queries here

@@ -34,6 +34,8 @@ class Config:
     settings: segment.Settings = field(default_factory=segment.Settings)
     count_frames: int = 7
     least_split: int = 50
+    gate: float = 0.0
+    """Cells whose centres are further apart are no candidates for a link; 0: all pairs of two frames are."""
     exact: bool = False
 
     def __post_init__(self):
@@ -103,12 +105,12 @@ class Experiment:
 
         cells = self.kept(stack.split_cells(masks, numbers, c.least_split), "cells")
         group = [*WELL, "channel"]
-        later = cells.select(*group, F.col("frame").alias("next_frame"), F.col("cell").alias("cell2"), F.col("pts").alias("pts2"))
-        candidates = tracking.link_candidates(cells.drop("pts"), group)
-        candidates = candidates.join(cells.select(*group, "frame", "cell", "pts"), [*group, "frame", "cell"]).join(later, [*group, "next_frame", "cell2"])
-        cost = tracking.with_overlap_cost(tracking.with_cost(stack.overlap_terms(candidates)))
-        weighed = tracking.with_weight(cost, group)
         steps = tracking.next_frames(cells, group).where("next_frame is not null")
+        flat = cells.drop("pts")
+        candidates = tracking.gated_candidates(flat, group, c.gate) if c.gate else tracking.link_candidates(flat, group)
+        terms = stack.pair_overlaps(cells, steps, group)
+        cost = tracking.with_overlap_cost(tracking.with_cost(candidates.join(terms, [*group, "frame", "next_frame", "cell", "cell2"])))
+        weighed = tracking.with_weight(cost, group)
         links = self.kept(tracking.assignments(weighed, group).join(steps, [*group, "frame"]), "links")
         tracks = tracking.chains(cells, links, group)
         return {

@@ -40,13 +40,13 @@ def plain_labels(volume, least=0):
 
 def stacks(spark, volumes):
     rows = [(s, 10 * z + 3, v.shape[2], v[z].ravel().tolist()) for s, v in volumes.items() for z in range(len(v))]
-    return spark.createDataFrame(rows, "stack string, t int, width int, px array<int>").repartition(5)
+    return spark.createDataFrame(rows, "stack string, plane int, width int, px array<int>").repartition(5)
 
 
 def back(frame, volumes):
     out = {s: [None] * len(v) for s, v in volumes.items()}
     for r in frame.collect():
-        out[r.stack][(r.t - 3) // 10] = np.array(r.px).reshape(-1, r.width)
+        out[r.stack][(r.plane - 3) // 10] = np.array(r.px).reshape(-1, r.width)
     return {s: np.stack(v) for s, v in out.items()}
 
 
@@ -71,7 +71,7 @@ def test_labels_of_stacks(spark, monkeypatch, bound):
     """Both ways of merging: a stack's links in one row, and contracted as tables."""
     monkeypatch.setattr(solids, "LINKS", bound)
     volumes = {k: v for k, v in made(1).items() if k is not None}
-    found = back(solids.labelled(stacks(spark, volumes), ["stack"], "t", lambda im: im, least=2), volumes)
+    found = back(solids.labelled(stacks(spark, volumes), ["stack"], "plane", lambda im: im, least=2), volumes)
     for name, volume in volumes.items():
         assert np.array_equal(found[name], plain_labels(volume, 2)), name
 
@@ -82,14 +82,14 @@ def test_component_through_fifty_frames(spark):
     for z in range(50):
         volume[z, 5, z if z < 40 else 79 - z] = 1
         volume[z, 9 + z % 2, 3] = 1
-    found = back(solids.labelled(stacks(spark, {"a": volume}), ["stack"], "t", lambda im: im > 0), {"a": volume})["a"]
+    found = back(solids.labelled(stacks(spark, {"a": volume}), ["stack"], "plane", lambda im: im > 0), {"a": volume})["a"]
     assert np.array_equal(found, plain_labels(volume)) and found.max() == 2 and (found == 1).sum() == 50
 
 
 def test_exact_form_drops_the_smallest_large_one(spark):
     volume = np.zeros((2, 9, 12), dtype=int)
     volume[0, 0, :6] = volume[0, 2, :5] = volume[1, 4, :4] = volume[0, 6, :2] = 1
-    run = lambda v, least, exact: back(solids.labelled(stacks(spark, {"a": v}), ["stack"], "t", lambda im: im > 0, least, exact), {"a": v})["a"]
+    run = lambda v, least, exact: back(solids.labelled(stacks(spark, {"a": v}), ["stack"], "plane", lambda im: im > 0, least, exact), {"a": v})["a"]
     assert run(volume, 4, False).max() == 3
     assert run(volume, 4, True).max() == 2
     volume[0, 6] = 0
@@ -102,7 +102,7 @@ def test_distances_of_stacks(spark, monkeypatch, spacing):
     volumes = {k: v for k, v in made(2, 0.9).items() if k not in (None, "values")}
     volumes["deep"] = np.ones((30, 9, 9), dtype=int)
     volumes["deep"][4, 2, 3] = 0
-    found = back(solids.distances(stacks(spark, volumes), ["stack"], "t", lambda im: im > 0, spacing), volumes)
+    found = back(solids.distances(stacks(spark, volumes), ["stack"], "plane", lambda im: im > 0, spacing), volumes)
     for name, volume in volumes.items():
         at, off = np.argwhere(volume >= 0) * np.array(spacing), np.argwhere(volume == 0) * np.array(spacing)
         away = np.sqrt(((at[:, None] - off[None]) ** 2).sum(-1)).min(1) if len(off) else np.full(len(at), float((np.array(volume.shape) * spacing).sum()))
@@ -115,10 +115,15 @@ def test_plane_distance_equals_the_shift_form():
     assert np.isinf(R.plane_squares(np.ones((4, 5), dtype=bool))).all()
 
 
+def test_names_of_working_columns_are_refused(spark):
+    with pytest.raises(ValueError, match="root"):
+        solids.labelled(spark.createDataFrame([], "root int, plane int, width int, px array<int>"), ["root"], "plane", lambda im: im > 0)
+
+
 def test_empty_table_and_labels_by_frame(spark):
-    none = spark.createDataFrame([], "stack string, t int, width int, px array<int>")
-    assert solids.labelled(none, ["stack"], "t", lambda im: im > 0).count() == 0
-    assert solids.distances(none, ["stack"], "t", lambda im: im > 0).count() == 0
+    none = spark.createDataFrame([], "stack string, plane int, width int, px array<int>")
+    assert solids.labelled(none, ["stack"], "plane", lambda im: im > 0).count() == 0
+    assert solids.distances(none, ["stack"], "plane", lambda im: im > 0).count() == 0
     volumes = made(4)
-    rows = solids.labelled(stacks(spark, {"noise": volumes["noise"]}).withColumn("extra", F.lit(1)), ["stack"], "t", lambda im: im > 0)
-    assert rows.columns == ["stack", "t", "width", "px"]
+    rows = solids.labelled(stacks(spark, {"noise": volumes["noise"]}).withColumn("extra", F.lit(1)), ["stack"], "plane", lambda im: im > 0)
+    assert rows.columns == ["stack", "plane", "width", "px"]
