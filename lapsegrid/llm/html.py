@@ -1,15 +1,18 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page is cut into text blocks, each filed under its root-to-leaf path of block elements (tag
-and first class, or a container's id). Per path the text length and the punctuation are aggregated and divided by the
-number of blocks. Both ratios are smoothed over sibling paths in page order, fused with each
-other, with the share of text outside links and with a weight of the names on the path, and
-lifted where the path lies in a container of content (lists of links only in an article element). Paths at or above a threshold are content
-paths; the blocks on them, within the container that holds nearly all of their text, are the article.
-
+and first class, or a container's id without its number). Per path the text length and the punctuation are aggregated and
+divided by the number of blocks. Both ratios are smoothed over sibling paths in page order, fused with each
+other, with the share of text outside links and with a weight of the path, and
+lifted where the path lies in a container of content. Paths at or above a threshold are content
+paths; the deepest container that holds nearly all of their text is the article's. An article element with
+text is the container wherever there is one, else a main element.
+
+In the container everything stays, short sections, notes and references too, but what weighs little.
 Elements that are page furniture by tag or role (menus, footers, scripts, ...) are left out. Names - classes
 and ids - and tags that may hold an article as well (forms, asides, headers) only weigh, and weigh
-nothing where an element holds the bulk of the page's text, whatever it is called.
+nothing where nothing else on the page could be the article. Repeated records outside an article element, such as readers'
+comments or teasers, weigh as little as a name of furniture, whatever they are called and however long they are.
 Articles, main elements and headings are never judged by their names.
 """
 
@@ -62,8 +65,17 @@ CONTENT_NAMES = frozenset("article blog body content document entry essay main n
 #: Weight of an element all of whose names are furniture, of one with such a name or word among others, and
 #: of one that has a name of content too or such words only as articles have.
 NAMED, HINT, WEAK = 0.003, 0.05, 0.8
-#: With this share of the page's text an element's names count for nothing.
+#: With this share of the page's text a hint in an element's names counts for nothing.
 BULK = 0.8
+#: Least weight of what stays in the container, share of links above which a path outside article and main elements is a
+#: list of them, and length of text that may be an article's without punctuation.
+STAYS, LINKED, SOME = 0.3, 0.8, 40
+#: Repeated records: so many siblings of which this share hold two kinds of blocks or more, at most so many blocks, one of
+#: them as short as a name and a date, and no heading.
+RECORDS, ALIKE, RECORD_BLOCKS, BYLINE = 3, 0.8, 40, 80
+RECORD_TAGS = frozenset("article blockquote div li section".split())
+#: Another article element belongs to the page's text if it has the same path and this share of the largest one's text.
+PART = 0.5
 #: Weight of paths in an article or main element.
 ARTICLE = 5.0
 #: Elements that are parts of a text, not containers of one.
@@ -86,6 +98,7 @@ _TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NUMBER = re.compile(r"[\W_]*\d+$")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 
@@ -107,6 +120,18 @@ class _Open:
     furniture: bool
     inside: bool
     """Within an article or main element, or the main part by its role."""
+    element: int
+    """Number of the element."""
+
+
+@dataclass
+class Element:
+    """A block element: the element around it, its path, and its blocks."""
+
+    parent: int
+    path: int
+    first: int
+    end: int = -1
 
 
 @dataclass
@@ -120,6 +145,9 @@ class Page:
     """The least weight of the names on each path."""
     inside: list[bool] = field(default_factory=lambda: [False])
     """Whether the path leads through an article or main element."""
+    articles: list[bool] = field(default_factory=lambda: [False])
+    """Whether the path leads through an article element."""
+    elements: list[Element] = field(default_factory=list)
     numbers: dict[tuple[int, str, float], int] = field(default_factory=dict)
     stack: list[_Open] = field(default_factory=list)
     open: Counter = field(default_factory=Counter)
@@ -135,7 +163,7 @@ class Page:
         self.pieces, self.link_text = [], []
 
     def push(self, tag: str, rest: str) -> None:
-        above = self.stack[-1] if self.stack else _Open("", 0, False, False)
+        above = self.stack[-1] if self.stack else _Open("", 0, False, False, -1)
         label, furniture, weight, article = judged(tag, rest, above.inside)
         inside = above.inside or article
         weight = min(weight, self.names[above.path])
@@ -146,13 +174,17 @@ class Page:
             self.tags.append(tag)
             self.names.append(weight)
             self.inside.append(inside)
-        self.stack.append(_Open(tag, self.numbers[key], above.furniture or furniture, inside))
+            self.articles.append(self.articles[above.path] or tag == "article")
+        self.stack.append(_Open(tag, self.numbers[key], above.furniture or furniture, inside, len(self.elements)))
+        self.elements.append(Element(above.element, self.numbers[key], len(self.blocks)))
         self.open[tag] += 1
 
     def pop(self, at: int) -> None:
         """Close the elements from ``at`` on."""
         while len(self.stack) > at:
-            self.open[self.stack.pop().tag] -= 1
+            gone = self.stack.pop()
+            self.open[gone.tag] -= 1
+            self.elements[gone.element].end = len(self.blocks)
 
     def close(self, tags: set[str], scope: set[str]) -> None:
         """Close the innermost open element of ``tags``, and what is in it, within the scope."""
@@ -199,7 +231,7 @@ def judged(tag: str, rest: str, inside: bool) -> tuple[str, bool, float, bool]:
     """Path label of an element, whether it is page furniture, its weight, and whether it is an article or the main part."""
     attrs = {m[1].lower(): entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTR.finditer(rest)} if "=" in rest or "hidden" in rest else {}
     names = attrs.get("class", "").split()
-    label = f"{tag}.{names[0]}" if names else f"{tag}#{attrs['id']}" if attrs.get("id") and tag not in INNER else tag
+    label = f"{tag}.{names[0]}" if names else f"{tag}#{_NUMBER.sub('', attrs['id'])}" if attrs.get("id") and tag not in INNER else tag
     furniture = tag in FURNITURE or "hidden" in attrs or attrs.get("aria-hidden", "") == "true"
     furniture |= "display:none" in attrs.get("style", "").replace(" ", "").lower()
     role, weight = attrs.get("role", "").lower(), 1.0
@@ -250,6 +282,7 @@ def read_page(page: str) -> Page:
             state.push(tag, rest)
     text(page[at:])
     state.flush()
+    state.pop(0)
     return state
 
 
@@ -263,21 +296,60 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _is_record(page: Page, e: Element) -> bool:
+    """A byline and a text, or the like: blocks of several paths, few, one of them short, none a heading."""
+    own = page.blocks[e.first : e.end]
+    if not 2 <= len(own) <= RECORD_BLOCKS or len({b.path for b in own}) < 2:
+        return False
+    return min(len(b.text) for b in own) <= BYLINE and not any(page.tags[b.path] in HEADINGS for b in own)
+
+
+def record_paths(page: Page) -> set[int]:
+    """Paths of repeated records outside article elements, and of articles that repeat like records."""
+    groups: dict[tuple[int, int], list[Element]] = {}
+    for e in page.elements:
+        tag = page.tags[e.path]
+        if tag in RECORD_TAGS and (tag == "article" or not page.articles[e.path]):
+            groups.setdefault((e.parent, e.path), []).append(e)
+    found = set()
+    for (_, path), own in groups.items():
+        if len(own) >= RECORDS and sum(_is_record(page, e) for e in own) >= ALIKE * len(own):
+            found.add(path)
+    return found
+
+
+def _candidate(page: Page, b: Block) -> bool:
+    """A block that may be an article's: not a heading, not links, with punctuation or some length."""
+    return page.tags[b.path] not in HEADINGS and 2 * b.link_chars < len(b.text) and (len(b.text) >= SOME or _PUNCTUATION.search(b.text) is not None)
+
+
 def path_weights(page: Page) -> list[float]:
-    """Weight of each path: that of its names, but for those of an element with the bulk of the text, and of an article element."""
-    text = [0] * len(page.parents)
+    """Weight of each path: that of the names on it and of being a record. If all that could be the article weighs little, the
+    elements that hold most text are freed of their weights, from the outside, until something could be."""
+    n = len(page.parents)
+    text, some = [0] * n, [0] * n
     for b in page.blocks:
         text[b.path] += len(b.text)
-    for p in range(len(text) - 1, 0, -1):
+        some[b.path] += _candidate(page, b)
+    for p in range(n - 1, 0, -1):
         text[page.parents[p]] += text[p]
-    out = [1.0]
-    for p in range(1, len(text)):
-        above = page.parents[p]
-        out.append(out[above] * (1.0 if text[p] >= BULK * text[0] else page.names[p] / page.names[above]))
+    records = record_paths(page)
+    own = [1.0] * n
+    for p in range(1, n):
+        named = page.names[p] / page.names[page.parents[p]]
+        own[p] = min(1.0 if named > NAMED and text[p] >= BULK * text[0] else named, NAMED if p in records else 1.0)
+    while True:
+        out = [1.0] * n
+        for p in range(1, n):
+            out[p] = out[page.parents[p]] * own[p]
+        low = [p for p in range(1, n) if own[p] < STAYS and out[page.parents[p]] >= STAYS and text[p]]
+        if not low or any(some[p] and out[p] >= STAYS for p in range(n)):
+            break
+        own[max(low, key=lambda p: (text[p], -p))] = 1.0
     return [w * (ARTICLE if inside else 1.0) for w, inside in zip(out, page.inside, strict=True)]
 
 
-def fused_ratios(page: Page) -> tuple[dict[int, float], dict[int, int]]:
+def fused_ratios(page: Page, weights: list[float]) -> tuple[dict[int, float], dict[int, int]]:
     """Per path with text its smoothed, fused and lifted ratio, and its text length."""
     held: dict[int, list[int]] = {}
     for b in page.blocks:
@@ -286,7 +358,6 @@ def fused_ratios(page: Page) -> tuple[dict[int, float], dict[int, int]]:
         own[1] += len(_PUNCTUATION.findall(b.text))
         own[2] += b.link_chars
         own[3] += 1
-    weights = path_weights(page)
     siblings: dict[int, list[int]] = {}
     for path in held:  # in page order
         siblings.setdefault(page.parents[path], []).append(path)
@@ -313,9 +384,9 @@ def fused_ratios(page: Page) -> tuple[dict[int, float], dict[int, int]]:
     return out, {p: v[0] for p, v in held.items()}
 
 
-def content_paths(page: Page) -> dict[int, float]:
+def content_paths(page: Page, weights: list[float]) -> dict[int, float]:
     """Paths whose fused ratio reaches the threshold, and how much content is on each: its ratio times its text."""
-    ratio, text = fused_ratios(page)
+    ratio, text = fused_ratios(page, weights)
     total = sum(ratio[p] * n for p, n in text.items())
     mean = sum(ratio[p] ** 2 * n for p, n in text.items()) / total if total else 0.0
     return {p: f * text[p] for p, f in ratio.items() if f >= THRESHOLD * mean and f > 0}
@@ -333,24 +404,78 @@ def container(page: Page, paths: dict[int, float]) -> int:
     return root
 
 
+def marked(page: Page, weights: list[float]) -> list[Element]:
+    """The page's article elements, else its main ones: the outermost that hold text of weight. Of several the
+    largest, and those of its path with a good part of its text."""
+    above = [False] * len(page.elements)
+    for wanted in (lambda p: page.tags[p] == "article", lambda p: page.inside[p] and not page.articles[p]):
+        found = []
+        for k, e in enumerate(page.elements):
+            around = page.parents[e.path]
+            above[k] = e.parent >= 0 and (above[e.parent] or wanted(page.elements[e.parent].path))
+            if wanted(e.path) and not above[k] and weights[e.path] >= STAYS and weights[around] >= STAYS:
+                size = sum(len(b.text) - b.link_chars for b in page.blocks[e.first : e.end] if weights[b.path] >= STAYS)
+                found += [(size, e)] if size else []
+        if found:
+            most, best = max(found, key=lambda f: f[0])
+            return [e for size, e in found if e is best or (e.path == best.path and size >= PART * most)]
+    return []
+
+
+def _title(page: Page, first: int) -> list[str]:
+    """A heading in a page header, if the header has nothing else, before a text that doesn't begin with one."""
+    for k in range(first - 1, -1, -1):
+        if page.tags[page.blocks[k].path] in HEADINGS:
+            around = page.parents[page.blocks[k].path]
+            alone = all(b.path == page.blocks[k].path or page.parents[b.path] != around for b in page.blocks)
+            return [page.blocks[k].text] if page.tags[around] == "header" and alone and not page.blocks[k].link_chars else []
+    return []
+
+
 def main_text(html: str | None) -> str:
-    """The article of a page: its content nodes in page order, joined by a newline. Headings right before
-    the article's container belong to it.
+    """The article of a page: what stays in its container in page order, joined by a newline. Headings right before
+    the container belong to it, and so does the heading of a header that holds nothing else, where it has none of its own.
 
     Null and empty pages, and pages without text outside furniture, give "".
     """
     page = read_page(html or "")
-    paths = content_paths(page)
-    root = container(page, paths)
-    within = [root == 0] * len(page.parents)
-    for p in range(1, len(within)):
-        within[p] = p == root or within[page.parents[p]]
-    nodes = [b for b in page.blocks if b.path in paths]
-    first = next((k for k, b in enumerate(nodes) if within[b.path]), 0)
-    while first and page.tags[nodes[first - 1].path] in HEADINGS:
+    weights = path_weights(page)
+    n, blocks = len(page.parents), page.blocks
+    roots = marked(page, weights)
+    paths = {} if roots else content_paths(page, weights)
+    root = roots[0].path if roots else container(page, paths)
+    within, rest = [False] * n, [0.0] * n  # in the container, and the weight from there on
+    within[root], rest[root] = True, 1.0
+    for p in range(root + 1, n):
+        if within[page.parents[p]]:
+            within[p], rest[p] = True, rest[page.parents[p]] * weights[p] / weights[page.parents[p]]
+    links = [0] * n
+    for b in blocks:
+        links[b.path] += b.link_chars
+    text = [0] * n
+    for b in blocks:
+        text[b.path] += len(b.text)
+    whole = page.tags[root] in ("", "html", "body")  # the page itself is the container: paths decide
+    inner = [page.tags[p] in INNER and page.parents[p] == root for p in range(n)]
+
+    def stays(b: Block) -> bool:
+        p = b.path
+        if not within[p] or rest[p] < STAYS:
+            return False
+        if roots or p in paths:
+            return True
+        return links[p] < LINKED * text[p] and (not whole or inner[p] or p == root)
+
+    places = [k for e in roots for k in range(e.first, e.end)] if roots else range(len(blocks))
+    kept = [k for k in places if stays(blocks[k])]
+    first = kept[0] if kept else 0
+    heads: list[str] = []
+    while first and page.tags[blocks[first - 1].path] in HEADINGS and weights[blocks[first - 1].path] >= STAYS:
         first -= 1
-        within[nodes[first].path] = True
-    return "\n".join(b.text for b in nodes[first:] if within[b.path])
+        heads.insert(0, blocks[first].text)
+    if kept and not heads and page.tags[blocks[kept[0]].path] not in HEADINGS:
+        heads = _title(page, kept[0])
+    return "\n".join(heads + [blocks[k].text for k in kept])
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
