@@ -41,6 +41,8 @@ GROUP, PREFIXES = 1 << 20, 1 << 16
 SEEN = 32
 #: Bytes of a row group of the chunks' table, and suffixes answered at once.
 ROW_GROUP, ANSWERS = 4 << 20, 1 << 18
+#: Sorted suffixes looked at together.
+SORTED = 1 << 16
 #: Word hashes that a worker remembers.
 CACHE = 400_000
 #: What null ids are compared as: the largest.
@@ -100,14 +102,14 @@ class Texts:
         inside = np.flatnonzero(self.owner[:n] == self.owner[WINDOW - 1 :])
         return inside, least[inside]
 
-    def kept(self, gone: np.ndarray | None = None) -> list[str]:
-        """SHA-256 of each text's words joined by single spaces, but for those that are gone."""
-        flat, sizes = self.flat, self.sizes
-        if gone is not None:
-            flat, sizes = flat.filter(pa.array(~gone)), np.bincount(self.owner[~gone], minlength=len(sizes))
+    def kept(self, gone: np.ndarray | None = None, among: np.ndarray | None = None) -> list[str | None]:
+        """SHA-256 of the words of each text (of those ``among``, else None) joined by single spaces, but for those that are gone."""
+        left = ~gone if gone is not None else np.repeat(among, self.sizes) if among is not None else np.ones(len(self.owner), dtype=bool)
+        flat, sizes = self.flat.filter(pa.array(left)), np.bincount(self.owner[left], minlength=len(self.sizes))
         bounds = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64())
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(bounds, flat).cast(pa.list_(flat.type)), " ")
-        return [hashlib.sha256(t).hexdigest() for t in joined.cast(pa.binary()).to_pylist()]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(bounds, flat).cast(pa.list_(flat.type)), " ").cast(pa.binary())
+        wanted = np.ones(len(sizes), dtype=bool) if among is None else among
+        return [hashlib.sha256(t).hexdigest() if w else None for t, w in zip(joined.to_pylist(), wanted.tolist(), strict=True)]
 
 
 # -- counts ---------------------------------------------------------------
@@ -126,6 +128,12 @@ class Frequent:
             self.keys, self.counts = self.keys[self.counts > 0], self.counts[self.counts > 0]
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys, and how often each occurs."""
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[at], np.diff(np.r_[at, len(keys)])
+
+
 def _counts(batches) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): hashes that stand for windows, with the number of texts; frequent prefixes by length; all windows."""
     known, total, frequent = Words(), 0, {k: Frequent() for k in LENGTHS[:-1]}
@@ -141,14 +149,19 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
             continue
         owner = own.owner[at]
         new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
-        order = new[np.lexsort((owner[new], least[new]))]
-        first = np.r_[True, (least[order][1:] != least[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
-        keys, n = np.unique(least[order][first], return_counts=True)
+        order = new[np.argsort(least[new], kind="stable")]  # texts stay in order
+        key = least[order]
+        first = np.r_[True, (key[1:] != key[:-1]) | (owner[order][1:] != owner[order][:-1])]
+        keys, n = _counted(key[first])
         yield rows(GRAMS, keys, np.minimum(n, 2))
         for size in LENGTHS[:-1]:  # a prefix is not more frequent than a shorter one of it
-            keys, where, n = np.unique(run_keys(own.hashes, size)[at], return_inverse=True, return_counts=True)
-            frequent[size].add(keys[n > 1], n[n > 1])
-            at = at[n[where.ravel()] > 1]
+            key = run_keys(own.hashes, size)[at]
+            keys, n = _counted(np.sort(key))
+            keys, n = keys[n > 1], n[n > 1]
+            if not len(keys):
+                break
+            frequent[size].add(keys, n)
+            at = at[keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key]
     for size, found in frequent.items():
         yield rows(size, found.keys[found.counts >= SEEN], found.counts[found.counts >= SEEN])
     yield rows(TOTAL, np.zeros(1, dtype=np.uint64), np.array([total]))
@@ -172,7 +185,7 @@ def _chunks(words):
             at, least = own.windows()
             open_ = np.zeros(batch.num_rows, dtype=bool)
             open_[own.owner[at[bloom.might(least)]]] = True
-            digest = own.kept()
+            digest = own.kept(among=~open_)
             texts = pc.if_else(pa.array(open_), batch.column("text"), pa.scalar(None, pa.string()))
             one = lambda x, kind: pa.array([x], pa.list_(kind))
             yield pa.record_batch(
@@ -203,7 +216,7 @@ class Suffixes:
         self.owner = owners[texts.owner[self.at]]
         self.low = np.minimum.reduceat(self.owner[order], np.flatnonzero(new)) if len(order) else np.zeros(0, dtype=np.int64)
 
-    def prefixes(self, long: dict[int, np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    def prefixes(self, long: dict[int, np.ndarray]) -> tuple[np.ndarray, pa.Array]:
         """(key of the prefix, what follows it at two bytes a word) of each window."""
         n = len(self.first)
         key, length = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
@@ -216,8 +229,10 @@ class Suffixes:
             if not len(left):
                 break
         symbols = (self.hashes >> np.uint64(48)).astype(">u2")
-        table = np.ascontiguousarray(symbols[self.first[:, None] + np.arange(WINDOW)]).view(np.uint8).reshape(n, 2 * WINDOW)
-        return key, [row[2 * k :].tobytes() for row, k in zip(table, length.tolist(), strict=True)]
+        rest = np.arange(WINDOW) >= length[:, None]
+        data = symbols[(self.first[:, None] + np.arange(WINDOW))[rest]].tobytes()
+        bounds = np.concatenate(([0], np.cumsum(2 * (WINDOW - length)))).astype(np.int32)
+        return key, pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
 
 
 def _row(batch: pa.RecordBatch, k: int, known: Words, bloom: Bloom) -> tuple[np.ndarray, Texts, Suffixes]:
@@ -239,7 +254,7 @@ def _suffixes(words, long: dict[int, np.ndarray]):
                 key, tail = own.prefixes(long)
                 yield pa.record_batch(
                     {
-                        "prefix": pa.array(key.view(np.int64)), "tail": pa.array(tail, pa.binary()), "whole": pa.array(own.whole.view(np.int64)), "low": pa.array(own.low),
+                        "prefix": pa.array(key.view(np.int64)), "tail": tail, "whole": pa.array(own.whole.view(np.int64)), "low": pa.array(own.low),
                         "chunk": pa.array(np.full(n, batch.column("chunk")[k].as_py())), "number": pa.array(np.arange(n)),
                     }
                 )
@@ -248,6 +263,13 @@ def _suffixes(words, long: dict[int, np.ndarray]):
 
 
 # -- subtrees -------------------------------------------------------------
+def _data(values: pa.Array) -> bytes:
+    """The bytes of binary values end to end."""
+    _, bounds, data = values.buffers()
+    ends = np.frombuffer(bounds, dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+    return data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None and len(values) else b""
+
+
 class Subtrees:
     """Sorted suffixes, read a batch after the other: the deep nodes, and the suffixes in them that a smaller id has too."""
 
@@ -258,17 +280,17 @@ class Subtrees:
     def depths(self, prefix: np.ndarray, tail: pa.Array, whole: np.ndarray) -> np.ndarray:
         """Words that each suffix has in common with the one before it, as far as that is a prefix or more; else 0."""
         before = self.last or (None, None, None)
-        raw = tail.to_pylist()
-        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        sizes = pc.binary_length(tail).to_numpy().astype(np.int64)
+        table = np.zeros((len(sizes), WINDOW), dtype=">u2")
+        table[np.arange(WINDOW) < sizes[:, None] // 2] = np.frombuffer(_data(tail), dtype=">u2")
         same = np.r_[before[0] == prefix[0], prefix[1:] == prefix[:-1]]
         depth = np.where(same, WINDOW - sizes // 2, 0)
-        table = np.frombuffer(b"".join(x.ljust(2 * WINDOW, b"\0") for x in raw), dtype=">u2").reshape(-1, WINDOW)
         above = np.frombuffer((before[1] or b"").ljust(2 * WINDOW, b"\0"), dtype=">u2")[None, :]
         agree = np.logical_and.accumulate(table == np.concatenate((above, table[:-1])), axis=1).sum(axis=1)
         depth += np.where(same, np.minimum(agree, sizes // 2), 0)
         alike = np.r_[before[2] == whole[0], whole[1:] == whole[:-1]]
         depth[(depth == WINDOW) & ~alike] = WINDOW - 1  # symbols are short: the whole window's key decides
-        self.last = (prefix[-1], raw[-1], whole[-1])
+        self.last = (prefix[-1], tail[-1].as_py(), whole[-1])
         return depth
 
     def repeats(self, batch: pa.RecordBatch) -> np.ndarray:
@@ -282,6 +304,19 @@ class Subtrees:
         return lows < low
 
 
+def _larger(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of about SORTED rows in place of smaller ones."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= SORTED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _repeats(batches) -> Iterator[pa.RecordBatch]:
     """Numbers of repeated suffixes by chunk."""
     trees, held, n = Subtrees(), [], 0
@@ -293,7 +328,7 @@ def _repeats(batches) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         return pa.record_batch({"chunk": pa.array(chunk[at]), "numbers": pa.ListArray.from_arrays(pa.array(np.r_[at, len(chunk)], pa.int32()), pa.array(number))})
 
-    for batch in batches:
+    for batch in _larger(batches):
         if batch.num_rows:
             found = trees.repeats(batch)
             held.append((batch.column("chunk").to_numpy()[found], batch.column("number").to_numpy()[found]))

@@ -84,6 +84,7 @@ def test_prefixes_of_all_lengths_and_subtrees_over_batches():
     suffixes = repeats.Suffixes(own, np.arange(20), everything)
     long = {k: np.unique(repeats.run_keys(own.hashes, k))[:: 2 if k < 11 else 3] for k in repeats.LENGTHS[:-1]}
     key, tail = suffixes.prefixes(long)
+    tail = tail.to_pylist()
     assert {len(t) for t in tail} == {2 * (13 - k) for k in repeats.LENGTHS}
     rows = sorted(zip(key.view(np.int64).tolist(), tail, suffixes.whole.view(np.int64).tolist(), [5] * len(tail), strict=True))
     rows = sorted(rows + [(*r[:3], 7) for r in rows[::3]])
