@@ -1,6 +1,7 @@
 """Secret literals in typed, chained, back-tick, spaced and short forms."""
 
 import random
+import string
 import time
 
 import pytest
@@ -120,7 +121,7 @@ def plain_run(lines):
         at += 1
         bound[name] = value
         weight, folded = secrets.sensitivity(name), "".join(x for _, _, x in value)
-        if weight >= 2 and folded and weight + secrets.randomness(folded) - secrets.doubt(folded) >= secrets.THRESHOLD:
+        if weight >= 2 and secrets.enough(weight, folded, True):
             out.update((a, b) for a, b, _ in value)
     return out
 
@@ -161,6 +162,79 @@ def test_long_texts_take_linear_time(text):
     assert took(text * 4) < 8 * took(text) + 0.5
 
 
+LITERAL = "Zx9!kQ2#vT7pLm4w"
+
+
+@pytest.mark.parametrize("name", "dbpass userpwd authtoken accesskey secretkey clientsecret privatekey mypassword apitoken SECRETKEY pgpassword sshkey wifipassword".split())
+def test_glued_names(name):
+    assert LITERAL not in secrets.redact(f'{name} = "{LITERAL}"')
+
+
+@pytest.mark.parametrize("name", "monkey turkey compass bypass author keyboard tokenizer secretary passenger accessory donkey hockey".split())
+def test_words_that_look_glued(name):
+    assert secrets.lexed_spans(f'{name} = "{LITERAL}"') == []
+
+
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        (f"secrets:\n  - {LITERAL}\n  - '{LITERAL[::-1]}'\nother: 1", [LITERAL, LITERAL[::-1]]),
+        (f"tokens:\n- {LITERAL}\n- name: x", [LITERAL]),
+        (f'String[] secrets = {{"{LITERAL}", "{LITERAL[::-1]}"}};', [LITERAL, LITERAL[::-1]]),
+        (f'String apiToken = new String("{LITERAL}");', [LITERAL]),
+        (f'user, password = "bob", "{LITERAL}"', [LITERAL]),
+        (f'token, n, secret = "{LITERAL}", 3, "{LITERAL[::-1]}"', [LITERAL, LITERAL[::-1]]),
+        (f'auth_token = "{LITERAL}" if production else "{LITERAL[::-1]}"', [LITERAL, LITERAL[::-1]]),
+        (f'const authToken = prod ? "{LITERAL}" : "{LITERAL[::-1]}";', [LITERAL, LITERAL[::-1]]),
+        (f'auth_token = os.environ.get("NAME") or "{LITERAL}"', [LITERAL]),
+        (f'#define API_SECRET "{LITERAL}"\nint x = 1;', [LITERAL]),
+        (f"- name: auth_token\n  description: {'what it is for ' * 60}\n  value: {LITERAL}", [LITERAL]),
+        ('pwd = "qwerty99"', ["qwerty99"]), ('passphrase = "hunter2"', ["hunter2"]), ("db_password = 'P@ss1'", ["P@ss1"]),
+    ],
+)
+def test_further_forms(text, literals):
+    left = secrets.redact(text)
+    assert not [x for x in literals if x in left], left
+
+
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_operands_without_end(n):
+    rnd = random.Random(n)
+    parts = ["".join(rnd.choice("abcXYZ0189#!") for _ in range(8)) for _ in range(n)]
+    joined = "auth_key = " + " + ".join(f'"{p}"' for p in parts)
+    chain = "".join(f'k{i} = k{i - 1} + "{p}"\n' if i else f'k0 = "{p}"\n' for i, p in enumerate(parts)) + f"auth_key = k{n - 1}\n"
+    listed = "secrets = [" + ", ".join('"' + "".join(rnd.sample(string.ascii_letters + string.digits, 20)) + '"' for _ in parts) + "]"
+    for text in (joined, chain, listed):
+        began = time.perf_counter()
+        assert len(secrets.lexed_spans(text)) == n
+        assert time.perf_counter() - began < 20
+
+
+def test_recall_under_other_names_and_forms():
+    """Names and forms that the lexer's tables don't list; prose and code around them adds no span."""
+    rnd = random.Random(31)
+    names = "prodDbPassword STRIPE_SECRET_KEY slackBotToken jwtSecret ENCRYPTION_KEY redisPass smtp_passwd myApiKey deployToken kafkaCredential vaultToken_v2 serviceAccountSecret".split()
+    forms = ['let {n} = "{v}"', "{n}='{v}'", 'final String {n} = "{v}";', "self.{n} = '{v}'", 'os.environ["{n}"] = "{v}"', "  {n}: '{v}',", 'var {n} string = "{v}"', 'config.set("{n}", "{v}") \n{n} := "{v}"',
+             "ENV {n}={v}", "set {n}={v}", "${n} = '{v}';", '<add key="x" {n}="{v}" />', 'private static final String {n} = "{v}";', "{n} => '{v}',"]
+    prose = "The key idea of this pass is simple: access the token list, then sort. Note = see below.\nfor key in keys: print(key)\n"
+    found = total = wrong = 0
+    for _ in range(800):
+        value = "".join(rnd.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rnd.randint(12, 40)))
+        text = prose + rnd.choice(forms).format(n=rnd.choice(names), v=value) + "\n" + prose
+        spans = secrets.spans_of(text)[1]
+        total += 1
+        left = secrets.redact(text)
+        found += left.count(value) == (1 if "config.set" in text else 0) or value not in left
+        wrong += sum(text[a:b] not in text[len(prose) : len(text) - len(prose)] for a, _, b in spans)
+    assert found >= 0.9 * total and wrong == 0, (found, total, wrong)
+
+
+def test_scan_of_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(None, f'auth_token = "{LITERAL}"', "x", 1), (None, f'auth_token = "{LITERAL}"', "x", 1), (3, None, "x", 1)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")).collect()
+    assert sorted(((str(r.doc_id), r.n_assign, r.spans) for r in got)) == [("3", 0, ""), ("None", 0, "literal:14:30"), ("None", 0, "literal:14:30")]
+
+
 def test_scan_of_an_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert secrets.redacted(spark.createDataFrame([], "doc_id long, text string")).count() == 0
