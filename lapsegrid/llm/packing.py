@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing of token sequences.
 
-Texts are encoded once. Documents are dealt at random to shards of bounded size and each
-shard is packed by itself, longest first: a piece goes to the open bin it fits most tightly;
+Texts are encoded once. Documents are dealt by a hash of what they are to shards of bounded size, however the
+rows were partitioned, and each shard is packed by itself, longest first: a piece goes to the open bin it fits most tightly;
 if none fits, the bin size is opened whose cost per token is least, given what is still to
 come. At the end each bin shrinks to the smallest permitted length that holds its contents
 and is written out as a training sequence. No token is dropped: documents longer than the
@@ -17,7 +17,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsegrid.llm.common import bounded_batches, staged
@@ -26,6 +26,8 @@ from lapsegrid.llm.idstore import encoder
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a bin besides its tokens.
 OVERHEAD = 32
+#: Repeated rows whose numbers are broadcast (16 bytes each, counted before); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Documents and tokens in a shard, on average.
 SHARD, SHARD_TOKENS = 4096, 16 << 20
 SCHEMA = "bin_id long, capacity int, n_tokens int, pieces array<struct<doc_id:{kind},piece:int,start:long,n_tokens:int,offset:int>>, ids array<int>"
@@ -110,7 +112,7 @@ def cut(tokens: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _sequences(shard: int, rows: pa.Table, width: int, capacities, overhead: int) -> pa.Table:
     """The packed sequences of a shard's documents."""
-    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("n_tokens", "ascending"), ("row", "ascending")]))
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("n_tokens", "ascending"), ("d0", "ascending"), ("d1", "ascending"), ("number", "ascending")]))
     tokens = rows["n_tokens"].to_numpy()
     flat = np.frombuffer(b"".join(rows["ids"].to_pylist()), dtype=f"<u{width}")
     begins = np.cumsum(tokens) - tokens
@@ -145,10 +147,13 @@ def pack(docs: DataFrame, tokenizer: str, capacities=CAPACITIES, overhead: int =
     """
     capacities = tuple(sorted(capacities))
     width = encoder(tokenizer).kind.itemsize
-    rows = staged(encoded(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "packing-ids", "none")
+    own = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("ids")]
+    digests = {"d0": F.xxhash64(*own), "d1": F.xxhash64(F.lit(1), *own)}
+    rows = staged(encoded(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()).withColumns(digests), "packing-ids", "none")
     many, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     shards = max(1, -(-many // shard), -(-tokens // SHARD_TOKENS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
+    numbered = _numbered(rows)
+    dealt = numbered.withColumn("shard", F.pmod(F.xxhash64("d0", "d1", "number"), F.lit(shards)).cast("long")).drop("row")
 
     def place(key: tuple[Any, ...], found: pa.Table) -> pa.Table:
         return _sequences(key[0].as_py(), found, width, capacities, overhead)
@@ -156,6 +161,19 @@ def pack(docs: DataFrame, tokenizer: str, capacities=CAPACITIES, overhead: int =
     return dealt.groupBy("shard").applyInArrow(place, SCHEMA.format(kind=dict(docs.dtypes)["doc_id"]))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number``: their place among equal rows, which alone are counted and numbered. Equal rows can stand for
+    each other, so the shards hold the same whatever the order."""
+    again = rows.groupBy("d0", "d1").count().where(F.col("count") > 1).select("d0", "d1")
+    equal = Window.partitionBy("d0", "d1").orderBy("row")
+    numbers = staged(rows.select("row", "d0", "d1").join(again, ["d0", "d1"]).select("row", F.row_number().over(equal).alias("number")), "packing-numbers")
+    many = numbers.count()
+    if not many:
+        return rows.withColumn("number", F.lit(0))
+    side = F.broadcast(numbers) if many <= BROADCAST_ROWS else numbers
+    return rows.join(side, "row", "left").withColumn("number", F.coalesce("number", F.lit(0)))
+
+
 def placements(packed: DataFrame) -> DataFrame:
     """Placement of every piece: doc_id, piece, start, n_tokens, bin_id, capacity, offset."""
     each = packed.select("bin_id", "capacity", F.explode("pieces").alias("p"))

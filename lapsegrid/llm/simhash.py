@@ -254,7 +254,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows of different classes never drop each other, whatever their doc_ids. Null and empty texts
     are one class; very long texts are read whole; an empty table gives an empty result.
     """
-    keys = lambda rows: [F.xxhash64(rows["doc_id"], rows["text"]), F.xxhash64(F.lit(1), rows["doc_id"], rows["text"])]
+
+    def keys(rows):  # a hash passes over nulls, so it is told where they are
+        own = [rows["doc_id"].isNull(), rows["doc_id"], rows["text"].isNull(), rows["text"]]
+        return [F.xxhash64(*own), F.xxhash64(F.lit(1), *own)]
+
     names = ["digest0", "digest1"]
     fps = staged(fingerprints(docs, *keys(docs)), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *names)

@@ -33,6 +33,9 @@ from lapsegrid.llm.common import bounded_batches, columns, staged
 
 #: Training rows that the classifier is fitted on, at most: annotated toxic, annotated clean, not annotated.
 SAMPLE = {1: 8_000, 0: 16_000, -1: 8_000}
+#: Patterns of the model, at most: those with the most evidence. They are counted over all training rows; their number is
+#: a size of the model, bounds what the driver collects and what workers are sent (some 30 bytes each).
+PATTERNS = 1 << 16
 #: Least log-odds of a pattern; its likelihood ratio must also exceed what the best of all patterns has by chance.
 LEAST_ODDS = 1.0
 #: A longer pattern needs this much more log-odds than a kept one that it begins with.
@@ -187,7 +190,8 @@ def candidates(texts: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]:
     ratio = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
     odds = F.log(((a + 0.5) / (bad + 1)) / ((b + 0.5) / (clean + 1)))
     chance = 2 * math.log(max(many, 2))
-    rows = total.where((ratio >= chance) & (odds >= LEAST_ODDS)).select("pattern", "clean", "bad").collect()
+    told = total.where((ratio >= chance) & (odds >= LEAST_ODDS)).orderBy((F.col("bad") * odds).desc(), "pattern").limit(PATTERNS)
+    rows = told.select("pattern", "clean", "bad").collect()
     return [(r.pattern, r.clean, r.bad) for r in rows], clean, bad
 
 
@@ -376,10 +380,11 @@ def _evidence(model: Model):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit patterns, label model and classifier. Without both classes in the training rows
-    the model knows nothing and scores zero."""
+    the model knows nothing and scores zero. Ids of ``labels`` are compared as the type of those of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    ruled = staged(annotated(labels), "annotations")
+    kind = dict(docs.dtypes)["doc_id"]
+    ruled = staged(annotated(labels.select(F.col("doc_id").try_cast(kind).alias("doc_id"), "toxic")), "annotations")
     counts = {r.toxic: r["count"] for r in ruled.groupBy("toxic").count().collect()}
     model = Model()
     if not (counts.get(0) and counts.get(1)):
@@ -399,7 +404,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = staged(picks[0].unionByName(picks[1]).unionByName(picks[2]), "sample-ids")
     sample = training.join(F.broadcast(ids), "doc_id").select("text", "annotation")  # ids are bounded by SAMPLE
     made = sample.mapInArrow(_evidence(model), "hits array<int>, dense array<double>, mask long, annotation int, n long")
-    evidence = made.groupBy("hits", "dense", "mask", "annotation").agg(F.sum("n").alias("n")).collect()
+    kept = made.groupBy("hits", "dense", "mask", "annotation").agg(F.sum("n").alias("n"))
+    # an id may stand for many texts: the rows are bounded like the ids
+    evidence = kept.orderBy(F.xxhash64("hits", "dense", "mask", "annotation"), "hits", "dense").limit(sum(SAMPLE.values())).collect()
     evidence.sort(key=lambda r: (r.hits, r.dense, r.mask, r.annotation))
     width = min(FEATURES, len(model.patterns))
     x = np.zeros((len(evidence), width + DENSE), dtype=np.float32)
@@ -447,7 +454,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns whatever they are called, that aren't predicted to be toxic."""
+    """The rows of ``docs``, with all their columns whatever they are called, that aren't predicted to be toxic. Null and empty
+    texts are scored like any text without evidence, very long ones whole; null ids and repeated rows stay or go by their texts;
+    an empty table gives an empty result."""
     bounded_batches(docs.sparkSession)
 
     def keep(batches):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
@@ -549,3 +550,36 @@ def test_pipeline_keeps_odd_rows(spark, tmp_path):
         assert out.columns == frame.columns and all(r.contaminated == "x" and r.Score == (r.doc_id and r.doc_id + 7) and r.N_Words == 3 for r in out.collect())
     got = packing.placements(corpus_pipeline.run(spark, str(tmp_path))).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"]
+
+
+# -- rows and ids of any kind ---------------------------------------------
+def test_one_copy_stays_of_rows_that_share_hashes_but_for_nulls(spark):
+    rows = [(None, "m n o p q"), ("m n o p q", None), ("z", None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {tuple(r) for r in kept} == {(None, "m n o p q"), ("m n o p q", None)}
+
+
+def test_shards_are_the_same_however_rows_are_partitioned(spark):
+    rows = [(k % 290 if k % 7 else None, f"some text {k % 290} " * (k % 40)) for k in range(300)] + [(5, "same row")] * 9
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = [sorted(tuple(map(str, r)) for r in packing.pack(frame.repartition(n), path, shard=32).collect()) for n in (1, 7)]
+    assert made[0] == made[1]
+
+
+def test_toxicity_takes_text_ids(spark):
+    docs = [(f"d{k}" if k % 9 else str(k), "a vile scumbag text" if k % 3 == 0 else "a mild and friendly text") for k in range(600)]
+    labels = [(k, int(k % 3 == 0)) for k in range(0, 600, 9)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert toxicity.keep_clean(spark.createDataFrame(docs, "doc_id string, text string"), model).count() <= 600
+
+
+def test_what_the_driver_collects_of_patterns_is_bounded(spark, monkeypatch):
+    """50,000 telling words: no more patterns than the bound are collected, those with the most evidence."""
+    monkeypatch.setattr(toxicity, "PATTERNS", 1000)
+    rnd = np.random.default_rng(4)
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:06d}")
+    rows = [(" ".join(word(k) for k in range(s, s + 500)), 1) for s in range(0, 50_000, 500) for _ in range(12)] + [(" ".join(word(k) for k in rnd.integers(500_000, 900_000, 300)), 0) for _ in range(1200)]
+    found, clean, bad = toxicity.candidates(spark.createDataFrame(rows, "text string, toxic int"))
+    assert len(found) == 1000 and clean and bad
+    assert all(b > 1 for _, _, b in found)
