@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lapsegrid.functions import runs
+
 
 #: Taps up to which a filter is added up shift by shift.
 FEW_TAPS = 25
@@ -94,24 +96,9 @@ def seed_response(image: np.ndarray, mask: np.ndarray, least: int = 15, most: in
 
 # -- components -----------------------------------------------------------
 def components(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Label of each foreground pixel: 1 + the smallest raster index of its component; 0 outside."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    while True:
-        before = label
-        label = label.copy()
-        for dy, dx in steps:
-            a = label[: h - dy, max(0, -dx) : w - max(0, dx)]
-            b = label[dy:, max(0, dx) : w + min(0, dx)]
-            both = (a > 0) & (b > 0)
-            low = np.minimum(a, b)
-            np.minimum(a, low, out=a, where=both)
-            np.minimum(b, low, out=b, where=both)
-        flat = np.concatenate(([0], label.ravel()))
-        label = np.where(mask, flat[flat[label]], 0)  # pointer jump
-        if np.array_equal(label, before):
-            return label
+    """Label of each foreground pixel: 1 + the smallest raster index of its component; 0 outside. Linear in pixels and runs."""
+    own = runs.runs_of(np.asarray(mask).astype(np.int8), corners=connectivity == 8)
+    return runs.drawn(own, own.part + 1, *mask.shape)
 
 
 def sizes(label: np.ndarray) -> dict[int, int]:
@@ -132,22 +119,32 @@ def keep_components(mask: np.ndarray, least: int = 0, most: int = 0, exact: bool
 
 
 def clean_labels(label: np.ndarray) -> np.ndarray:
-    """Each label reduced to its largest 4-connected part, the first of equal ones."""
-    out = np.zeros_like(label)
-    for k in np.unique(label[label > 0]):
-        part = components(label == k, 4)
-        own = sizes(part)
-        out[part == min(own, key=lambda c: (-own[c], c))] = k
-    return out
+    """Each label reduced to its largest 4-connected part, the first of equal ones. All labels are looked at together."""
+    own = runs.runs_of(np.asarray(label), corners=False)
+    size = np.bincount(own.part, own.x1 - own.x0 + 1, minlength=label.size)
+    order = np.lexsort((own.part, -size[own.part], own.v))
+    first = order[np.r_[True, own.v[order][1:] != own.v[order][:-1]][: len(order)]]
+    best = np.zeros(label.size, dtype=bool)
+    best[own.part[first]] = True
+    return runs.drawn(own, np.where(best[own.part], own.v, 0), *label.shape).astype(label.dtype)
 
 
 def sliding_max(image: np.ndarray, r: int) -> np.ndarray:
-    """Greatest value within r rows and columns; what lies outside counts for nothing."""
+    """Greatest value within r rows and columns; what lies outside counts for nothing. Along each axis from maxima of blocks
+    of the window's width, from their beginnings and ends: three looks at a pixel, whatever the width."""
     out = image.astype(np.float64)
+    k = 2 * r + 1
     for axis in (0, 1):
-        wide = np.pad(out, [(r, r) if k == axis else (0, 0) for k in (0, 1)], constant_values=-np.inf)
-        out = np.lib.stride_tricks.sliding_window_view(wide, 2 * r + 1, axis).max(-1)
-    return out
+        lines = np.moveaxis(out, axis, 0)
+        n = len(lines)
+        blocks = -(-(n + 2 * r) // k)
+        wide = np.full((blocks * k, lines.shape[1]), -np.inf)
+        wide[r : r + n] = lines
+        cut = wide.reshape(blocks, k, -1)
+        ahead = np.maximum.accumulate(cut, axis=1).reshape(wide.shape)
+        behind = np.maximum.accumulate(cut[:, ::-1], axis=1)[:, ::-1].reshape(wide.shape)
+        out = np.moveaxis(np.maximum(behind[:n], ahead[k - 1 : k - 1 + n]), 0, axis)
+    return np.ascontiguousarray(out)
 
 
 def local_maxima(image: np.ndarray, window: int = 7) -> list[tuple[int, int]]:
@@ -343,9 +340,9 @@ def level_response(image: np.ndarray, mask: np.ndarray, levels: int = 10) -> np.
         level = mask & (image > t)
         d = gaussian(inside_distance(level), 1.0)
         label = components(level)
-        for k in sizes(label):
-            own = label == k
-            out[own] += d[own] / max(d[own].max(), 1e-12)
+        peak = np.zeros(image.size + 1)
+        np.maximum.at(peak, label.ravel(), d.ravel())
+        out += np.where(level, d / np.maximum(peak[label], 1e-12), 0.0)
     return out
 
 

@@ -18,9 +18,9 @@ class Runs:
     part: np.ndarray
 
 
-def runs_of(image: np.ndarray, apart: bool = False) -> Runs:
-    """Runs of equal values that aren't zero; ``part`` is the smallest raster position of the 8-connected
-    component, or, with ``apart``, 0: not looked for."""
+def runs_of(image: np.ndarray, corners: bool = True) -> Runs:
+    """Runs of equal values that aren't zero; ``part`` is the smallest raster position of the component of touching
+    runs, 8-connected or, without ``corners``, 4-connected."""
     h, w = image.shape
     new = np.ones((h, w), dtype=bool)
     new[:, 1:] = image[:, 1:] != image[:, :-1]
@@ -32,22 +32,21 @@ def runs_of(image: np.ndarray, apart: bool = False) -> Runs:
     v = image[y, x0]
     on = v != 0
     out = Runs(y[on].astype(np.int64), x0[on].astype(np.int64), last[on].astype(np.int64), v[on].astype(np.int64), np.zeros(int(on.sum()), dtype=np.int64))
-    if not apart:
-        root = joined(len(out.y), *touching(out, out, w, (1,)))
-        out.part = out.y[root] * w + out.x0[root]
+    root = joined(len(out.y), *touching(out, out, w, (1,), corners))
+    out.part = out.y[root] * w + out.x0[root]
     return out
 
 
-def touching(a: Runs, b: Runs, width: int, rows: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place in a, place in b) of runs of equal value whose rows differ by one of ``rows`` and that touch, also
-    at corners. Runs of a row are in order and apart, so those that touch a run follow each other."""
-    span = width + 4
+def touching(a: Runs, b: Runs, width: int, rows: tuple[int, ...], corners: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in a, place in b) of runs of equal value whose rows differ by one of ``rows`` and that touch, with
+    ``corners`` also there. Runs of a row are in order and apart, so those that touch a run follow each other."""
+    span, more = width + 4, int(corners)
     first, last = b.y * span + b.x0, b.y * span + b.x1
     one, two = [], []
     for dy in rows:
         base = (a.y + dy) * span
-        low = np.searchsorted(last, base + a.x0 - 1)
-        n = np.maximum(0, np.searchsorted(first, base + a.x1 + 1, side="right") - low)
+        low = np.searchsorted(last, base + a.x0 - more)
+        n = np.maximum(0, np.searchsorted(first, base + a.x1 + more, side="right") - low)
         left = np.repeat(np.arange(len(n)), n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         same = a.v[left] == b.v[right]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,12 +34,19 @@ def bounding_boxes(px: DataFrame, keys: list[str], axes: str = "xy") -> DataFram
     return px.groupBy(*keys).agg(*(f(a).alias(f"{a}{k}") for a in axes for k, f in enumerate((F.min, F.max))))
 
 
-def box_overlap(a: DataFrame, b: DataFrame, axes: str = "xy") -> Column:
-    """Shared pixels of two boxes."""
-    side = lambda c: F.greatest(F.lit(0), F.least(a[f"{c}1"], b[f"{c}1"]) - F.greatest(a[f"{c}0"], b[f"{c}0"]) + 1)
+def box_overlap(a: DataFrame, b: DataFrame, axes: str = "xy", exact: bool = False) -> Column:
+    """Shared pixels of two boxes. ``exact`` takes the last pixel of a side for its end, so each side is one less."""
+    side = lambda c: F.greatest(F.lit(0), F.least(a[f"{c}1"], b[f"{c}1"]) - F.greatest(a[f"{c}0"], b[f"{c}0"]) + F.lit(0 if exact else 1))
     return reduce(Column.__mul__, map(side, axes))
 
 
+def masked(px: Column, other: Column, on: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """(sum, number) of another channel's pixels where on(pixel), both frames as arrays: no pixel becomes a row."""
+    add = lambda a, v: a + v
+    total = F.aggregate(F.zip_with(px, other, lambda p, o: F.when(on(p), o).otherwise(0).cast("double")), F.lit(0.0), add)
+    return total, F.aggregate(F.transform(px, lambda p: on(p).cast("long")), F.lit(0).cast("long"), add)
+
+
 def zonal_mean(mask: DataFrame, intensity: DataFrame, pixel: list[str], keys: list[str]) -> DataFrame:
     """(keys, mean, n): mean of another channel's intensity ``i`` under a mask."""
     return mask.join(intensity, pixel).groupBy(*keys).agg(F.round(F.avg("i"), 6).alias("mean"), F.count("*").alias("n"))

@@ -165,10 +165,9 @@ def labelled(mask: np.ndarray, closing: int = 0, least: int = 0) -> np.ndarray:
         mask = eroded(dilated(mask[None].astype(float), closing)[None], closing) > 0
     label = K.components(mask)
     kept = sorted(((k, n) for k, n in K.sizes(label).items() if n >= least), key=lambda kn: (-kn[1], kn[0]))
-    out = np.zeros(mask.shape, dtype=np.int64)
-    for place, (k, _) in enumerate(kept, 1):
-        out[label == k] = place
-    return out
+    names = np.zeros(mask.size + 1, dtype=np.int64)
+    names[[k for k, _ in kept]] = np.arange(1, len(kept) + 1)
+    return names[label]
 
 
 def walk_ends(mask: np.ndarray, start: tuple[int, int], steps: int) -> list[tuple[int, int]]:

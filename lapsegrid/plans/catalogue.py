@@ -86,14 +86,19 @@ PAIRS = f"{PX}, pr AS MATERIALIZED (SELECT a.vec_id, a.label, a.pos, a.x, a.y, a
 cast(floor(greatest(0.0, i1 * {_INV[2]!r}::double + i2 * {_INV[3]!r}::double)) AS integer) AS o2 FROM pr""")
 def q_unmix(spark, sf):
     """``stack.unmix_frames`` on pairs of frames as the two channels of a block."""
+    made = unmixed(spark, sf)
+    one, two = (made.where(F.col("channel") == c).select("block", F.col("px").alias(n)) for c, n in (("c0", "o1"), ("c1", "o2")))
+    both = one.join(two, "block").select((F.col("block") * 2).cast("long").alias("vec_id"), F.posexplode(F.arrays_zip("o1", "o2")).alias("pos", "o"))
+    return both.select("vec_id", "pos", "o.o1", "o.o2")
+
+
+def unmixed(spark, sf):
+    """Pairs of frames as the two channels of a block, unmixed."""
     rows = frames(spark, sf).select(
         F.floor(F.col("vec_id") / 2).cast("int").alias("block"), F.concat(F.lit("c"), (F.col("vec_id") % 2).cast("string")).alias("channel"), F.lit(0).alias("frame"),
         F.lit(8).alias("width"), F.lit(8).alias("height"), "px",
     )
-    made = stack.unmix_frames(rows, "c0", "c1", _INV)
-    one, two = (made.where(F.col("channel") == c).select("block", F.col("px").alias(n)) for c, n in (("c0", "o1"), ("c1", "o2")))
-    both = one.join(two, "block").select((F.col("block") * 2).cast("long").alias("vec_id"), F.posexplode(F.arrays_zip("o1", "o2")).alias("pos", "o"))
-    return both.select("vec_id", "pos", "o.o1", "o.o2")
+    return stack.unmix_frames(rows, "c0", "c1", _INV)
 
 
 @query(f"""WITH {PX}, {FRAME}, z AS (SELECT vec_id, label, pos, x, y, CASE WHEN (x = 0 AND label % 2 = 0) THEN 0 ELSE i END AS i FROM px),
@@ -283,10 +288,10 @@ def q_region_props(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT vec_id, round(avg(i2), 6) AS mean, count(*) AS n FROM pr WHERE i1 >= 1000 GROUP BY vec_id")
 def q_zonal_mean(spark, sf):
-    px = pixels(spark, sf)
-    mask = px.where(f"vec_id % 2 = 0 AND i >= {TH}").select("vec_id", "pos")
-    signal = px.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), "pos", "i")
-    return features.zonal_mean(mask, signal, ["vec_id", "pos"], ["vec_id"])
+    """The mean of one channel under the mask of another; frames meet as arrays (AG16, JN4)."""
+    total, n = features.masked(F.col("px"), F.col("px2"), lambda v: v >= TH)
+    rows = pair_frames(spark, sf).select("vec_id", total.alias("total"), n.alias("n")).where("n > 0")
+    return rows.select("vec_id", F.round(F.col("total") / F.col("n"), 6).alias("mean"), "n")
 
 
 @query(f"""WITH {PAIRS}, ms AS (SELECT * FROM pr WHERE i1 >= 1150),
@@ -294,11 +299,10 @@ d AS (SELECT e.vec_id, e.pos, e.i2, min((e.x - m.x) * (e.x - m.x) + (e.y - m.y)
 w AS (SELECT vec_id, pos, i2, CASE WHEN d2 = 0 THEN 0.0 ELSE (SELECT coalesce(sum(1.0 / (r * r)), 0.0) FROM range(1, 11) AS t(r) WHERE r * r >= d2) END AS w FROM d)
 SELECT vec_id, round(sum(w * i2) / sum(i2), 6) AS assoc FROM w GROUP BY vec_id""")
 def q_association(spark, sf):
-    pr = channel_pairs(spark, sf)
-    mask = pr.where("i1 >= 1150")
-    held = mask.select("vec_id").distinct()
-    signal = pr.join(held, "vec_id", "left_semi").select("vec_id", "x", "y", F.col("i2").alias("i"))
-    return features.association(mask, signal, ["vec_id"], 8)
+    """Effector signal around a mask by the distance map of the frame (JN5, AG17)."""
+    both = pair_frames(spark, sf).select("vec_id", F.concat("px", "px2").alias("px"))
+    run = lambda k, im: [(*k, round(K.association(im[:8] >= 1150, im[8:]), 6))] if (im[:8] >= 1150).any() else []
+    return segment.each_frame(both, ["vec_id"], run, "vec_id long, assoc double", 8)
 
 
 @query(f"WITH {PX} SELECT vec_id, pos, round((i - avg(i) OVER w) / nullif(stddev_samp(i) OVER w, 0), 6) AS z FROM px WINDOW w AS (PARTITION BY vec_id)")
@@ -685,8 +689,14 @@ def q_eroded(spark, sf):
     return _flat(_image_rows(spark, sf, lambda k, im: [(*k, volume.eroded(im[None], 2).ravel())], "vec_id long, px array<double>"), "m", "vec_id")
 
 
-@query(f"""WITH {PX}, z AS (SELECT vec_id, pos, x, y, CASE WHEN i < 950 THEN 0 ELSE i END AS i FROM px), d AS (SELECT vec_id, pos, x, y, m AS i FROM ({_ball_sql('max', 1).format('z')})),
-c AS ({_ball_sql('min', 1).format('d')}) SELECT vec_id, pos, CASE WHEN z.i = 0 THEN c.m ELSE z.i END AS m FROM z JOIN c USING (vec_id, pos)""")
+def _cross_sql(f, source):
+    """The least or greatest of each pixel and its four neighbours, by windows."""
+    near = ", ".join(f"{g}(i) OVER {w}" for w in "rc" for g in ("lag", "lead"))
+    return f"SELECT vec_id, pos, x, y, {f}(i, {near}) AS i FROM {source} WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)"
+
+
+@query(f"""WITH {PX}, z AS (SELECT vec_id, pos, x, y, CASE WHEN i < 950 THEN 0 ELSE i END AS i FROM px), d AS ({_cross_sql('greatest', 'z')}), c AS ({_cross_sql('least', 'd')})
+SELECT vec_id, pos, CASE WHEN z.i = 0 THEN c.i ELSE z.i END AS m FROM z JOIN c USING (vec_id, pos)""")
 def q_fill_holes(spark, sf):
     fill = lambda k, im: [(*k, volume.holes_filled(np.where(im < 950, 0, im), 1).ravel())]
     return _flat(_image_rows(spark, sf, fill, "vec_id long, px array<double>"), "m", "vec_id")
@@ -774,7 +784,8 @@ def k_gaussian_bg(spark, sf):
 @query()
 def k_log_seed(spark, sf):
     def run(k, im):
-        return [(*k, float(K.seed_response(im, im >= TH, 2, 3).max()), len(K.local_maxima(K.seed_response(im, im >= TH, 2, 3), 1)))]
+        response = K.seed_response(im, im >= TH, 2, 3)
+        return [(*k, float(response.max()), len(K.local_maxima(response, 1)))]
 
     return _image_rows(spark, sf, run, "vec_id long, peak double, n_seeds int").withColumn("peak", F.round("peak", 6))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lapsegrid.functions import kernels as K
 from lapsegrid.functions import pixels as P
 from lapsegrid.operators import features, segment, stack, volume
-from lapsegrid.plans.catalogue import _INV, EIGHT, ORACLES, PAIRS, QUERIES, TH, _ball_sql, _flat, _image_rows, _stack, pair_frames, query
+from lapsegrid.plans.catalogue import _INV, EIGHT, ORACLES, PAIRS, QUERIES, TH, _ball_sql, _flat, _image_rows, _stack, pair_frames, query, unmixed
 from lapsegrid.sources.views import FRAME, PX, frames
 
 DOUBLES = "vec_id long, px array<double>"
@@ -50,9 +50,22 @@ ORACLES["k_gaussian_bg"] = f"WITH {PX}, {_gaussian_sql('px', 2.0)} SELECT vec_id
 @query(f"""WITH {PAIRS}, um AS (SELECT vec_id, x, y, floor(greatest(0.0, i1 * {_INV[0]!r}::double + i2 * {_INV[1]!r}::double)) AS o1 FROM pr), {_gaussian_sql('um', 2.0, 'o1')}
 SELECT vec_id, cast(sum(floor(greatest(o1 - g, 0.0) + 1e-9)) AS bigint) AS total FROM um JOIN g2 USING (vec_id, x, y) GROUP BY vec_id""")
 def q_unmixed_background(spark, sf):
-    """Unmixing, then background subtraction, in one plan (LG58)."""
-    rows = QUERIES["q_unmix"](spark, sf).groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o1"))), lambda p: p["o1"]).alias("px"))
-    return segment.each_frame(rows, ["vec_id"], lambda k, im: [(*k, int(K.subtract_background(im, 2.0).sum()))], "vec_id long, total long", 8)
+    """Unmixing, then background subtraction, in one plan; frames stay arrays (LG58)."""
+    made = unmixed(spark, sf).where(F.col("channel") == "c0").select((F.col("block") * 2).cast("long").alias("vec_id"), "px")
+    return segment.each_frame(made, ["vec_id"], lambda k, im: [(*k, int(K.subtract_background(im, 2.0).sum()))], "vec_id long, total long", 8)
+
+
+@query(f"""WITH {PX}, w AS (SELECT cast(p % 8 AS integer) AS u, cast(p // 8 AS integer) AS v FROM unnest(range(40)) AS t(p)),
+s AS (SELECT px.vec_id, w.v AS u, w.u AS v, sum(i * cos(2 * pi() * (w.u * y + w.v * x) / 8)) AS re, sum(i * sin(2 * pi() * (w.u * y + w.v * x) / 8)) AS im FROM px, w GROUP BY ALL)
+SELECT vec_id, v AS row, u AS col, round(sqrt(re * re + im * im), 4) AS amplitude FROM s""")
+def q_spectrum(spark, sf):
+    """The amplitudes of a frame's transform, by row and column of the half plane that real frames need (MAP12)."""
+
+    def run(k, im):
+        size = np.abs(np.fft.rfft2(im))
+        return [(*k, r, c, float(size[r, c])) for r in range(8) for c in range(5)]
+
+    return _image_rows(spark, sf, run, "vec_id long, row int, col int, amplitude double").withColumn("amplitude", F.round("amplitude", 4))
 
 
 @query(f"WITH {PX} SELECT vec_id, pos, i FROM px")
@@ -214,8 +227,8 @@ def q_label_mask(spark, sf):
     return _flat(_image_rows(spark, sf, lambda k, im: [(*k, mask(im).ravel())], DOUBLES), "v", "vec_id")
 
 
-@query(f"""WITH {PX}, m AS (SELECT * FROM px WHERE i >= 1000), o AS (SELECT DISTINCT a.vec_id, a.pos FROM m a JOIN px b ON a.vec_id = b.vec_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE b.i < 1000)
-SELECT px.vec_id, px.pos, CASE WHEN o.pos IS NULL THEN px.i ELSE 4095 END AS v FROM px LEFT JOIN o ON o.vec_id = px.vec_id AND o.pos = px.pos""")
+@query(f"""WITH {PX}, s AS (SELECT vec_id, pos, i, lag(i) OVER r AS a, lead(i) OVER r AS b, lag(i) OVER c AS d, lead(i) OVER c AS e FROM px WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y))
+SELECT vec_id, pos, CASE WHEN i >= 1000 AND least(a, b, d, e) < 1000 THEN 4095 ELSE i END AS v FROM s""")
 def q_overlay(spark, sf):
     """The outline of a mask drawn into the frame (LG34)."""
     return _flat(_image_rows(spark, sf, lambda k, im: [(*k, np.where(volume.outline(im >= TH), 4095.0, im).ravel())], DOUBLES), "v", "vec_id")
@@ -319,6 +332,16 @@ def q_volume_overlap(spark, sf):
     return a.join(b, (a["label"] == b["label"]) & (a["part"] == b["part"])).select(a["label"], a["part"], features.box_overlap(a, b, "xyz").alias("n"))
 
 
+@query(f"""WITH {QUARTERS}, bx AS (SELECT label, part, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(frame) AS z0, max(frame) AS z1 FROM qt WHERE i >= 1250 GROUP BY label, part)
+SELECT a.label, a.part, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) * greatest(0, least(a.z1, b.z1) - greatest(a.z0, b.z0)) AS n
+FROM bx a JOIN bx b ON b.part = a.part AND b.label = a.label + 1""")
+def q_volume_overlap_exact(spark, sf):
+    """Shared volume of boxes whose last pixels are their ends (LG14, ``exact``)."""
+    a, b = (features.bounding_boxes(_quarters(spark, sf).where("i >= 1250"), ["label", "part"], "xyz") for _ in range(2))
+    b = b.withColumn("label", F.col("label") - 1)
+    return a.join(b, (a["label"] == b["label"]) & (a["part"] == b["part"])).select(a["label"], a["part"], features.box_overlap(a, b, "xyz", exact=True).alias("n"))
+
+
 @query(f"""WITH {PAIRS}, o AS (SELECT b.unnest - 1 AS dy, c.unnest - 1 AS dx FROM unnest(range(3)) b, unnest(range(3)) c),
 md AS (SELECT v.vec_id, v.pos, cast(median(w.i1) AS integer) AS m1, cast(median(w.i2) AS integer) AS m2 FROM pr v, o JOIN pr w ON w.vec_id = v.vec_id AND w.x = least(greatest(v.x + dx, 0), 7) AND w.y = least(greatest(v.y + dy, 0), 7) GROUP BY v.vec_id, v.pos)
 SELECT vec_id, pos, CASE WHEN m1 >= m2 THEN m1 ELSE 0 END AS w1, CASE WHEN m2 > m1 THEN m2 ELSE 0 END AS w2 FROM md""")
