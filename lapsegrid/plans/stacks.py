@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lapsegrid.operators import solids, tracking, volume
+from lapsegrid.operators import solids, tracking, volume, walks
 from lapsegrid.plans.catalogue import LINKS, _cells, _stack, query
 from lapsegrid.sources.views import FRAME, PX
 
@@ -102,3 +103,48 @@ def q_gated_assignment(spark, sf):
     """Greatest total weight of one-to-one links within the gate, over the edges alone (KR13-15)."""
     weighed = tracking.with_weight(tracking.with_cost(tracking.gated_candidates(_cells(spark, sf), ["user_id"], GATE)), ["user_id"])
     return tracking.assignments(weighed, ["user_id"]).groupBy("user_id", "frame").agg(F.round(F.sum("weight"), 6).alias("total"))
+
+
+# -- walks and nearest structures -----------------------------------------
+def _voxels(spark, sf, least):
+    """label, z, y, x of a stack's voxels that are at least so bright."""
+    px = _frames(spark, sf).select("label", F.col("frame").alias("z"), F.posexplode("px").alias("pos", "i")).where(F.col("i") >= least)
+    return px.select("label", "z", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).alias("x"), "i")
+
+
+_WALK = f"""{_VOX}, s AS MATERIALIZED (SELECT label, z, y, x FROM vx WHERE i >= 1150), b AS (SELECT label, z, y, x, row_number() OVER (PARTITION BY label ORDER BY z, y, x) AS walk FROM vx WHERE i >= 1330),
+w AS (SELECT label, cast(walk AS integer) AS walk, z, y, x, 0 AS step FROM b UNION SELECT w.label, w.walk, s.z, s.y, s.x, w.step + 1 FROM w JOIN s ON s.label = w.label AND abs(s.z - w.z) <= 1 AND abs(s.y - w.y) <= 1 AND abs(s.x - w.x) <= 1 WHERE w.step < 4),
+r AS MATERIALIZED (SELECT label, walk, z, y, x, min(step) AS step FROM w GROUP BY ALL)"""
+
+
+def _walks(spark, sf):
+    own = Window.partitionBy("label").orderBy("z", "y", "x")
+    starts = _voxels(spark, sf, 1330).withColumn("walk", F.row_number().over(own))
+    return walks.walks(_voxels(spark, sf, 1150), starts, ["label"], 4)
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT * FROM r")
+def q_volume_walks(spark, sf):
+    """What walks of four steps through a stack's bright voxels reach, and when (LG37)."""
+    return _walks(spark, sf)
+
+
+@query(f"""WITH RECURSIVE {_WALK}, o AS (SELECT label, walk, z, y, x FROM r WHERE step = 0)
+SELECT r.label, r.walk, r.z, r.y, r.x, r.step, r.z - o.z AS dz, r.y - o.y AS dy, r.x - o.x AS dx FROM r JOIN o USING (label, walk)
+WHERE r.step = 4 OR NOT EXISTS (SELECT 1 FROM r n WHERE n.label = r.label AND n.walk = r.walk AND n.step = r.step + 1 AND abs(n.z - r.z) <= 1 AND abs(n.y - r.y) <= 1 AND abs(n.x - r.x) <= 1)""")
+def q_volume_walk_ends(spark, sf):
+    """Where those walks end, and the way from their starts (LG37)."""
+    return walks.ends(_walks(spark, sf), ["label"], 4)
+
+
+@query(f"""WITH {_VOX}, p AS (SELECT label, z, y, x, row_number() OVER (PARTITION BY label ORDER BY z, y, x) AS cell FROM vx WHERE i < 700), s AS MATERIALIZED (SELECT label, z, y, x FROM vx WHERE i >= 1250),
+n AS (SELECT p.label, p.cell, s.z, s.y, s.x, 2.0 * (s.z - p.z) AS dz, 0.357 * (s.y - p.y) AS dy, 0.357 * (s.x - p.x) AS dx FROM p JOIN s USING (label)),
+k AS (SELECT *, sqrt(dz * dz + dy * dy + dx * dx) AS away, row_number() OVER (PARTITION BY label, cell ORDER BY round(sqrt(dz * dz + dy * dy + dx * dx), 9), z, y, x) AS k FROM n)
+SELECT label, cast(cell AS integer) AS cell, z, y, x, round(away, 6) AS away, round(CASE WHEN away = 0 THEN 0.0 ELSE degrees(acos(least(1.0, abs(dx) / away))) END, 4) AS angle FROM k WHERE k = 1""")
+def q_volume_nearest(spark, sf):
+    """The bright voxel nearest to each dark one of its stack, its distance, and the angle of the way there to the rows (LG38, LG40)."""
+    s = tracking.SPACING
+    own = Window.partitionBy("label").orderBy("z", "y", "x")
+    dark = _voxels(spark, sf, 0).where("i < 700").withColumn("cell", F.row_number().over(own)).withColumns({"az": F.lit(0.0), "ay": F.lit(0.0), "ax": F.lit(1.0)})
+    found = walks.nearest(dark, _voxels(spark, sf, 1250), ["label"], "cell", (s["z"], s["y"], s["x"]), ["az", "ay", "ax"])
+    return found.withColumns({"away": F.round("away", 6), "angle": F.round("angle", 4)})
