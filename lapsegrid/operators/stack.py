@@ -135,6 +135,32 @@ def seed_maps(seeds: DataFrame, keys: list[str], width: int, height: int) -> Dat
     return places.select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), px.alias("px"))
 
 
+def count_tiles(counts: DataFrame, keys: list[str], size: int = 5000, tile: int = 512) -> DataFrame:
+    """(keys, top, left, width, height, px): the scatter image of sparse counts (keys, c1, c2, n) as tiles, c1 across and c2 down, counts
+    modulo 2^16 (SNK7). Values from ``size`` on are left out. A tile is built from its own counts; empty ones are not made."""
+    part = lambda c: F.floor(F.col(c) / tile).cast("int")
+    rows = counts.where((F.col("c1").between(0, size - 1)) & (F.col("c2").between(0, size - 1)))
+    own = rows.select(*keys, part("c2").alias("down_"), part("c1").alias("over_"), F.struct((F.col("c2") % tile).cast("int").alias("y"), (F.col("c1") % tile).cast("int").alias("x"), F.col("n").cast("long").alias("n")).alias("e_"))
+    packed = own.groupBy(*keys, "down_", "over_").agg(F.collect_list("e_").alias("e_"))
+    kinds = dict(packed.dtypes)
+    segment.bounded_frames(counts.sparkSession)
+
+    def build(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                top, left = (batch.column(c)[k].as_py() * tile for c in ("down_", "over_"))
+                h, w = min(tile, size - top), min(tile, size - left)
+                entries = batch.column("e_").slice(k, 1).flatten()
+                y, x, n = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "n"))
+                px = np.zeros((h, w), dtype=np.int64)
+                np.add.at(px, (y, x), n)
+                one = lambda v: pa.array([v], pa.int32())
+                yield pa.record_batch({**{c: batch.column(c).slice(k, 1) for c in keys}, "top": one(top), "left": one(left), "width": one(w), "height": one(h), "px": pa.array([(px % 65536).astype(np.int32).ravel()], pa.list_(pa.int32()))})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "top int, left int, width int, height int, px array<int>"])
+    return packed.mapInArrow(build, schema)
+
+
 def split_cells(masks: DataFrame, numbers: DataFrame, least: int = 50) -> DataFrame:
     """(block, row, col, channel, frame, cell, area, x, y, pts): the cells of mask crops, split
     into each well's number of cells and cleaned. pts are the cell's pixels."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,56 @@ def write_centres(wells: DataFrame, shifts: DataFrame, path: str) -> None:
     write_tab(rows.orderBy("block", "frame", "y", "x"), path)
 
 
+def write_wide(long: DataFrame, keys: list[str], path: str, value: str = "value", last: int | None = None) -> None:
+    """Write what ``wide`` holds as headerless tab text, keys then a value per frame 0..``last`` (default: the data's largest), for any
+    number of frames (TB1, TB3). Rows are sorted by keys and frame, and a task makes each line from them in turn: no column per frame
+    is planned. Of several values of a frame the first in order counts."""
+    last = last if last is not None else long.agg(F.max("frame")).first()[0]  # one number
+    rows = long.select(*keys, F.col("frame").cast("int").alias("frame_"), F.col(value).cast("double").alias("value_"))
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "frame_", F.col("value_").asc_nulls_last())
+    shown = lambda v: "" if v is None else str(v)
+
+    def lines(batches):
+        own, held, done = None, [], []
+
+        def close():
+            done.append("\t".join([*map(shown, own), *held, *[repr(MISSING)] * ((last or 0) + 1 - len(held))]))
+
+        for batch in batches:
+            for *key, frame, v in zip(*(batch.column(c).to_pylist() for c in (*keys, "frame_", "value_")), strict=True):
+                if key != own:
+                    if own is not None:
+                        close()
+                    own, held = key, []
+                if frame is not None and len(held) <= frame <= (last or 0):
+                    held += [repr(MISSING)] * (frame - len(held))
+                    held.append(repr(MISSING if v is None else v))
+            if done:
+                yield pa.record_batch({"value": pa.array(done)})
+                done = []
+        if own is not None:
+            close()
+            yield pa.record_batch({"value": pa.array(done)})
+
+    dealt.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_well_centres(wells: DataFrame, per_row: int, path: str) -> None:
+    """Centres of one block's wells (row, col, x, y) as the next stage reads them: a line "row col x y" for each cell of the grid, zeros
+    where no well was found (SNK5)."""
+    spark = wells.sparkSession
+    grid = spark.range(per_row * per_row).select((F.col("id") / per_row).cast("int").alias("row"), (F.col("id") % per_row).cast("int").alias("col"))
+    rows = grid.join(wells.select("row", "col", "x", "y"), ["row", "col"], "left").na.fill(0, ["x", "y"])
+    write_tab(rows.orderBy("row", "col").coalesce(1), path)
+
+
+def write_shifts(shifts: DataFrame, path: str) -> None:
+    """Shifts of one block (frame, dx, dy) against the frame before, a line "frame dx dy" each, zeros at the first (SNK5)."""
+    first = F.col("frame") == F.lit(0)
+    rows = shifts.select("frame", *(F.when(first, 0).otherwise(F.coalesce(c, F.lit(0))).alias(c) for c in ("dx", "dy")))
+    write_tab(rows.orderBy("frame").coalesce(1), path)
+
+
 def write_tab(table: DataFrame, path: str) -> None:
     """Headerless tab-delimited text, replacing what was there."""
     table.write.mode("overwrite").csv(path, sep="\t", header=False)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -49,21 +50,44 @@ class Config:
 WELL = ["block", "row", "col"]
 
 
+def _shown(value) -> str:
+    """A setting as text that tells different ones apart."""
+    if isinstance(value, np.ndarray):
+        return f"{value.shape} {value.dtype} {hashlib.sha256(np.ascontiguousarray(value).tobytes()).hexdigest()}"
+    return repr([_shown(v) for v in value]) if isinstance(value, list) else repr(value)
+
+
 class Experiment:
     """The stages of a run. Each is a DataFrame; nothing runs until one is asked for. Stages
-    that several others read can be given a table (``persist_to``) at a cut."""
+    that several others read can be given a table (``persist_to``) at a cut; a run that is started again
+    reads the tables that are there. ``reused`` names them."""
 
     def __init__(self, spark: SparkSession, folder: str, config: Config, persist_to: str | None = None):
         shared = spark.conf.get("spark.checkpoint.dir", None)
         self.spark, self.folder, self.c = spark, folder, config
+        self.resumes, self.reused, self.mark = persist_to is not None, [], None
         self.to = persist_to or (f"{shared.rstrip('/')}/experiment-{uuid.uuid4().hex}" if shared else None)
 
+    def fingerprint(self) -> str:
+        """What a stage's rows depend on: the settings, and the names, sizes and times of the input files."""
+        if self.mark is None:
+            files = manifest.list_files(self.spark, self.folder)
+            n, total = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+            own = repr([(f.name, _shown(getattr(self.c, f.name))) for f in fields(self.c)])
+            self.mark = hashlib.sha256(f"{own} {n} {total}".encode()).hexdigest()[:16]
+        return self.mark
+
     def kept(self, frame: DataFrame, name: str) -> DataFrame:
         """Cut the lineage at a shared table, if there is a place for one: ``persist_to``, or else a
-        folder of this run where spark.checkpoint.dir says."""
+        folder of this run where spark.checkpoint.dir says. In ``persist_to`` a table of the same settings and input files that
+        was written to its end - Spark's mark of that comes last - is read and not made again; one that a run left unfinished is
+        written anew, and tables of other settings stay beside it."""
         if not self.to:
             return frame
-        path = f"{self.to}/{name}"
+        path = f"{self.to}/{name}" + (f"-{self.fingerprint()}" if self.resumes else "")
+        if self.resumes and manifest.exists(self.spark, f"{path}/_SUCCESS"):
+            self.reused.append(name)
+            return self.spark.read.schema(frame.schema).parquet(path)
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 

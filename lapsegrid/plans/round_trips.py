@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lapsegrid.operators import stack, tables, volume, wells
+from lapsegrid.operators import histogram, stack, tables, volume, wells
 from lapsegrid.plans.catalogue import _stack, query
-from lapsegrid.sources import manifest, tiff
+from lapsegrid.sources import manifest, nrrd, tiff
 from lapsegrid.sources.scratch import fresh_dir
 from lapsegrid.sources.views import FRAME, PX, SD, TP, pixels, seeds, table, tracks
 
@@ -156,3 +159,85 @@ def q_seed_map(spark, sf):
     rows = seeds(spark, sf).select("frame", (F.col("x") % 8).alias("x"), (F.col("y") % 8).alias("y"))
     files = tiff.stacks(stack.seed_maps(rows, ["frame"], 8, 8).withColumnRenamed("frame", "day").withColumn("frame", F.lit(0)), ["day"], bits=8)
     return tiff.decode_frames(files, ["day"]).select(F.col("day").alias("frame"), F.posexplode("px").alias("pos", "v"))
+
+
+@query(f"WITH {PX}, {FRAME} SELECT label, frame, pos, i FROM px JOIN fr USING (vec_id, label)")
+def q_long_stacks(spark, sf):
+    """A BigTIFF per label, written page by page by a task that holds two of them, and read again (SNK1, SNK2)."""
+    path = fresh_dir(spark, "long")
+    tiff.write_long_stacks(_stack(spark, sf).withColumn("width", F.lit(8)), ["label"], path)
+    files = tiff.files_of(spark, path, "part-*").select(F.regexp_extract("path", "label=([0-9]+)/", 1).cast("int").alias("label"), "content")
+    return tiff.decode_frames(files, ["label"]).select("label", F.col("page").alias("frame"), F.posexplode("px").alias("pos", "i"))
+
+
+@query(f"WITH {PX}, {FRAME} SELECT label, frame, pos, i FROM px JOIN fr USING (vec_id, label)")
+def q_nrrd_stacks(spark, sf):
+    """A gzip NRRD volume per label, written, read and decoded again (SRC7)."""
+    path = fresh_dir(spark, "nrrd")
+    packed = _stack(spark, sf).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("frame", "px"))).alias("f"))
+
+    def build(batches):
+        for batch in batches:
+            made = [nrrd.volume([_square(x["px"]) for x in f]) for f in batch.column("f").to_pylist()]
+            yield pa.record_batch({"label": batch.column("label"), "content": pa.array(made, pa.binary())})
+
+    tiff.write_stacks(packed.mapInArrow(build, "label int, content binary"), ["label"], path)
+    files = tiff.files_of(spark, path, "part-*").select(F.regexp_extract("path", "label=([0-9]+)/", 1).cast("int").alias("label"), "content")
+    # the newline of the writer is no part of a gzip body
+    rows = nrrd.decode_planes(files.withColumn("content", F.expr("substr(content, 1, length(content) - 1)")), ["label"])
+    return rows.select("label", F.col("page").alias("frame"), F.posexplode("px").alias("pos", "i")).withColumn("i", F.col("i").cast("int"))
+
+
+def _square(px):
+    return np.array(px).reshape(8, 8)
+
+
+@query(f"""WITH {SD}, v AS (SELECT user_id, frame, min(cast(x AS double)) AS v FROM sd GROUP BY ALL), f AS (SELECT u.user_id, k AS frame FROM (SELECT DISTINCT user_id FROM sd) u, unnest(range((SELECT max(frame) + 1 FROM sd))) AS t(k))
+SELECT user_id, count(*) AS n, sum(coalesce(v, -1000.0)) AS total, sum(f.frame * coalesce(v, -1000.0)) AS moment FROM f LEFT JOIN v USING (user_id, frame) GROUP BY user_id""")
+def q_wide_file(spark, sf):
+    """A line of text per well with a value for every frame, written by streaming tasks and read again (TB1, TB3)."""
+    path = fresh_dir(spark, "wide")
+    tables.write_wide(seeds(spark, sf).withColumn("v", F.col("x").cast("double")), ["user_id"], path, "v")
+    parts = F.split("value", "\t")
+    values = F.transform(F.slice(parts, 2, F.size(parts)), lambda v: v.cast("double"))
+    rows = spark.read.text(path).select(parts[0].cast("long").alias("user_id"), F.posexplode(values).alias("frame", "v"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("frame") * F.col("v")).alias("moment"))
+
+
+@query(f"""WITH {SD}, w AS (SELECT y % 5 AS row, x % 5 AS col, min(x) AS x, min(y) AS y FROM sd WHERE x % 5 <> 3 GROUP BY ALL), g AS (SELECT p // 6 AS row, p % 6 AS col FROM unnest(range(36)) AS t(p))
+SELECT cast(g.row AS integer) AS row, cast(g.col AS integer) AS col, coalesce(w.x, 0) AS x, coalesce(w.y, 0) AS y FROM g LEFT JOIN w ON w.row = g.row AND w.col = g.col""")
+def q_well_centres_file(spark, sf):
+    """The centres of a grid of wells as the next stage reads them, with the cells that have none (SNK5)."""
+    path = fresh_dir(spark, "well-centres")
+    own = seeds(spark, sf).where("x % 5 <> 3").groupBy((F.col("y") % 5).alias("row"), (F.col("x") % 5).alias("col")).agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    tables.write_well_centres(own, 6, path)
+    return manifest.read_tab(spark, path, "row int, col int, x int, y int")
+
+
+@query(f"WITH {TP}, s AS (SELECT f - 1 AS frame, cast(floor(x) AS integer) % 5 - 2 AS dx, y % 5 - 2 AS dy FROM tp WHERE user_id = (SELECT min(user_id) FROM tp)) SELECT cast(frame AS integer) AS frame, CASE WHEN frame = 0 THEN 0 ELSE dx END AS dx, CASE WHEN frame = 0 THEN 0 ELSE dy END AS dy FROM s")
+def q_shifts_file(spark, sf):
+    """The shifts of one block, here the first user, against the frame before, as the next stage reads them (SNK5)."""
+    path = fresh_dir(spark, "shifts")
+    own = tracks(spark, sf).join(tracks(spark, sf).agg(F.min("user_id").alias("user_id")), "user_id")
+    tables.write_shifts(own.select((F.col("f") - 1).alias("frame"), (F.floor("x").cast("int") % 5 - 2).alias("dx"), (F.col("y") % 5 - 2).alias("dy")), path)
+    return manifest.read_tab(spark, path, "frame int, dx int, dy int")
+
+
+@query("""SELECT cast(l_quantity AS integer) AS c1, cast(round(l_discount * 100) AS integer) AS c2, count(*) % 65536 AS n FROM lineitem WHERE cast(l_quantity AS integer) < 45 AND round(l_discount * 100) < 45 GROUP BY ALL""")
+def q_scatter_image(spark, sf):
+    """The scatter image of two channels, made as tiles from sparse counts, and its counts again (SNK7)."""
+    own = table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("c1"), F.round(F.col("l_discount") * 100).cast("int").alias("c2"))
+    counts = histogram.joint_histogram(own, F.col("c1"), F.col("c2"), 45)
+    tiles = stack.count_tiles(counts, [], 45, 16)
+    px = tiles.select("top", "left", "width", F.posexplode("px").alias("pos", "n")).where("n > 0")
+    return px.select((F.col("left") + F.col("pos") % F.col("width")).alias("c1"), (F.col("top") + F.floor(F.col("pos") / F.col("width"))).cast("int").alias("c2"), F.col("n").cast("long").alias("n"))
+
+
+@query(f"WITH {SD}, w AS (SELECT frame, x % 8 AS x, y % 8 AS y, row_number() OVER (PARTITION BY frame, y % 8 // 4, x % 8 // 4 ORDER BY y % 8, x % 8) AS k FROM sd) SELECT f.frame, cast(p AS integer) AS pos, CASE WHEN w.x IS NULL THEN 0 ELSE 255 END AS v FROM (SELECT DISTINCT frame FROM sd) f, unnest(range(64)) AS t(p) LEFT JOIN w ON w.frame = f.frame AND w.k = 1 AND w.x = p % 8 AND w.y = p // 8")
+def q_well_map(spark, sf):
+    """The debug image of the wells of a frame, the first of each quarter (SNK7): 255 at their centres, as a TIFF and decoded again."""
+    x, y = F.col("x") % 8, F.col("y") % 8
+    own = Window.partitionBy("frame", F.floor(y / 4), F.floor(x / 4)).orderBy(y, x)
+    found = seeds(spark, sf).withColumn("k", F.row_number().over(own)).where("k = 1").select("frame", x.alias("x"), y.alias("y"))
+    files = tiff.stacks(stack.seed_maps(found, ["frame"], 8, 8).withColumnRenamed("frame", "day").withColumn("frame", F.lit(0)), ["day"], bits=8)
+    return tiff.decode_frames(files, ["day"]).select(F.col("day").alias("frame"), F.posexplode("px").alias("pos", "v"))

@@ -90,3 +90,15 @@ def block_folders(names: DataFrame) -> DataFrame:
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """One folder of file names per block and channel, replacing what was there."""
     manifest.select("block", "role", "frame", "name").write.mode("overwrite").partitionBy("block", "role").csv(path, sep="\t")
+
+
+def list_files(spark: SparkSession, folder: str, glob: str = "*.[tT][iI][fF]") -> DataFrame:
+    """(path, length, modificationTime) of the files under a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", "modificationTime")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file, on any file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)

@@ -1,5 +1,7 @@
 """A synthetic experiment through every stage: drifting wells with cells, written as TIFF files."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,17 @@ def test_experiment(spark, folder, tmp_path):
     blocks = run.well_blocks(found, list(range(FRAMES)))
     assert blocks.count() == 4 * 49 and blocks.where("line = 0 and f1 = -1000").count() == 2
     assert found["pixel_means"].count() == found["crops"].count()
+    # a second run finds its stages; one that a run didn't finish is made anew, and other settings make their own
+    again = Experiment(spark, folder, config, str(tmp_path))
+    assert sorted(map(tuple, again.run()["compositions"].collect())) == sorted(map(tuple, found["compositions"].collect()))
+    assert again.reused == ["decoded", "frames", "wells", "shifts", "masks", "crops", "counts", "cells", "links"] and run.reused == []
+    (tmp_path / f"cells-{run.fingerprint()}" / "_SUCCESS").unlink()
+    third = Experiment(spark, folder, config, str(tmp_path))
+    assert third.run()["links"].count() == 6 * (FRAMES - 1) and "cells" not in third.reused and "counts" in third.reused
+    other = Experiment(spark, folder, replace(config, least_split=10**6), str(tmp_path))
+    assert other.fingerprint() != run.fingerprint()
+    gated = Experiment(spark, folder, replace(config, gate=15.0), None)
+    assert gated.run()["links"].count() == 6 * (FRAMES - 1)
 
 
 def test_border_repair_and_unmixing(spark):
