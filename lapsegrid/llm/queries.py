@@ -67,4 +67,4 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tag_paths, op2_simhash, op3_toxicity, op4_warc, op5_packing, op6_lm, op7_avi, op8_token_ids, op9_secrets, op10_decontaminate, op11_repair, op12_repeats, op13_align)}
-ORACLES = {"op4_warc": warc.ORACLE, "op10_decontaminate": decontam.ORACLE}
+ORACLES = {"op4_warc": warc.ORACLE, "op10_decontaminate": decontam.ORACLE, "op11_repair": repair.ORACLE, "op12_repeats": repeats.ORACLE}

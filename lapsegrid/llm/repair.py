@@ -252,3 +252,54 @@ def repair(turns: DataFrame) -> DataFrame:
     )
     schema = f"conv_id {kinds['conv_id']}, " + ", ".join(f"{c} long" for c in _COUNTS) + ", audit string, repaired_sha256 string"
     return both.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(_apply, schema)
+
+
+# -- the same by recursive SQL, one conversation at a time ----------------
+def _plus(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_FAR = f"{{'c': {FAR >> 10}, 'a': ''}}"
+_MORE = f"(CASE WHEN y = upper(y) THEN {CUT} ELSE 0 END)"
+
+
+def _when(role: str, state: str) -> str:
+    return f"CASE WHEN lower(y) = '{role}' THEN {_plus(state, _MORE, 'K')} ELSE {_FAR} END"
+
+
+def _reroled(state: str) -> str:
+    return f"CASE WHEN y <> 'x' THEN {_plus(state, f'{REROLE} + {_MORE}', 'R')} ELSE {_FAR} END"
+
+
+_ROW = ", ".join(
+    f"{_least(_plus(f's{k}', str(DELETE), 'D'), *more)} AS t{k}"
+    for k, more in enumerate([[], [_when("s", "s0")], [f(*a) for x in ("s0", "s1", "s3") for f, a in ((_when, ("u", x)), (_reroled, (x,)))], [_when("a", "s2"), _reroled("s2")]])
+)
+_INSERTS = [_least("t2", *(_plus(f"t{k}", str(INSERT), "I") for k in (0, 1, 3))), _least("t3", _plus("u2", str(INSERT), "I"))]
+
+ORACLE = f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS t(n))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' ') AS key FROM conversations),
+picked AS MATERIALIZED (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(key) + 1), lambda i: cast(ascii(key[i]) AS bigint))),
+ lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % {DAMAGE} AS pick FROM keyed, k),
+dm AS (SELECT conv_id, turn, CASE WHEN pick = 4 THEN '{USER}' ELSE role END AS role, CASE pick WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN pick = 3 THEN 2 ELSE 1 END)) AS copy FROM picked WHERE pick <> 0),
+nb AS MATERIALIZED (SELECT *, row_number() OVER own AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body, lag(role[1]) OVER own || role[1] AS pair
+ FROM dm WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+fl AS MATERIALIZED (SELECT *, CASE WHEN ltrim(body, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM nb),
+sg AS MATERIALIZED (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+ count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+ string_agg(CASE WHEN fault IN ('b', 'd') THEN 'x' ELSE CASE WHEN fault = 't' THEN upper(r) ELSE r END END, '' ORDER BY place) AS sig FROM (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS r FROM fl) GROUP BY conv_id),
+dp AS (SELECT conv_id, sig, cast(0 AS bigint) AS i, {{'c': cast(0 AS bigint), 'a': cast('' AS varchar)}} AS s0, {{'c': cast({FAR >> 10} AS bigint), 'a': cast('' AS varchar)}} AS s1, {{'c': cast({INSERT} AS bigint), 'a': cast('I' AS varchar)}} AS s2, {{'c': cast({2 * INSERT} AS bigint), 'a': cast('II' AS varchar)}} AS s3 FROM sg
+ UNION ALL SELECT conv_id, sig, i, t0, t1, u2, {_INSERTS[1]} FROM (SELECT *, {_INSERTS[0]} AS u2 FROM (SELECT conv_id, sig, i, {_ROW} FROM (SELECT conv_id, sig, i + 1 AS i, sig[i + 1] AS y, s0, s1, s2, s3 FROM dp WHERE i < len(sig))))),
+an AS MATERIALIZED (SELECT conv_id, w.c AS cost, w.a AS audit FROM (SELECT conv_id, list_min([s0, s3]) AS w FROM dp WHERE i = len(sig))),
+em AS (SELECT conv_id, audit, cast(0 AS bigint) AS p, cast(0 AS bigint) AS i, '' AS said, '' AS state FROM an
+ UNION ALL SELECT e.conv_id, e.audit, e.p + 1, e.i + CASE WHEN e.audit[e.p + 1] = 'I' THEN 0 ELSE 1 END, e.audit[e.p + 1],
+ CASE e.audit[e.p + 1] WHEN 'D' THEN e.state WHEN 'K' THEN f.role[1] ELSE CASE WHEN e.state = 'u' THEN 'a' ELSE 'u' END END FROM em e LEFT JOIN fl f ON f.conv_id = e.conv_id AND f.place = e.i + 1 WHERE e.p < len(e.audit)),
+tx AS (SELECT em.conv_id, string_agg(CASE said WHEN 'K' THEN f.role ELSE CASE state WHEN 'u' THEN '{USER}' ELSE '{ASSISTANT}' END END || ':' || CASE said WHEN 'I' THEN '' ELSE f.text END, chr(10) ORDER BY p) AS text
+ FROM em LEFT JOIN fl f ON f.conv_id = em.conv_id AND f.place = em.i AND said <> 'I' WHERE said NOT IN ('', 'D') GROUP BY em.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(tx.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sg USING (conv_id) LEFT JOIN an USING (conv_id) LEFT JOIN tx USING (conv_id)"""

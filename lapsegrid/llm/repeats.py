@@ -409,3 +409,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     return named.join(found, ["d0", "d1"]).select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, nothing).otherwise(F.col("kept_sha256")).alias("kept_sha256")
     )
+
+
+#: Every window of every document, and the smallest document of each, as DuckDB SQL.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT r, i + j AS i FROM win JOIN low USING (k), unnest(range(13)) AS t(j) WHERE m < doc_id),
+one AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT one.r, string_agg(word, ' ' ORDER BY i) AS text FROM one ANTI JOIN gone USING (r, i) GROUP BY one.r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)"""
