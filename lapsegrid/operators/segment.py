@@ -32,9 +32,9 @@ class Settings:
     seed_frames: int = 7  # [num_time_seeds]
     levels: int = 10  # [numLevel]
     by_levels: bool = False
-    """Seeds from the inside distances of level sets (KR6) in place of the Laplacian response."""
+    """Seeds from the inside distances of level sets (KR5) in place of the Laplacian response."""
     classes: int = 2
-    """More than 2: the foreground is the brightest of so many intensity classes (KR5), not what exceeds the threshold."""
+    """More than 2: the foreground is the brightest of so many intensity classes (KR6), not what exceeds the threshold."""
     exact: bool = False
 
     @staticmethod

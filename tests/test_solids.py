@@ -59,11 +59,43 @@ def made(seed, share=0.2):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("connected", [8])
-def test_runs_give_the_components_of_a_frame(seed, connected):
-    mask = np.random.default_rng(seed).random((40, 53)) < 0.45
-    own = R.runs_of(mask.astype(int))
-    assert np.array_equal(R.drawn(own, own.part + 1, *mask.shape), K.components(mask, connected))
+@pytest.mark.parametrize("corners", [True, False])
+def test_runs_give_the_components_of_a_frame(seed, corners):
+    """Against a walk from every pixel."""
+    values = np.random.default_rng(seed).integers(0, 3, (14, 19)) * (np.random.default_rng(seed + 9).random((14, 19)) < 0.7)
+    own = R.runs_of(values, corners)
+    got = R.drawn(own, own.part + 1, *values.shape)
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (corners or not (a and b))]
+    want = np.zeros(values.shape, dtype=int)
+    for y, x in np.argwhere(values).tolist():
+        if not want[y, x]:
+            walk = [(y, x)]
+            want[y, x] = y * 19 + x + 1
+            for p, q in walk:
+                for a, b in steps:
+                    if 0 <= p + a < 14 and 0 <= q + b < 19 and values[p + a, q + b] == values[y, x] and not want[p + a, q + b]:
+                        want[p + a, q + b] = want[y, x]
+                        walk.append((p + a, q + b))
+    assert np.array_equal(got, want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("r", [0, 1, 3, 30])
+def test_sliding_maximum(seed, r):
+    image = np.random.default_rng(seed).normal(size=(13, 22))
+    want = [[image[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1].max() for x in range(22)] for y in range(13)]
+    assert np.array_equal(K.sliding_max(image, r), want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clean_labels(seed):
+    label = np.random.default_rng(seed).integers(0, 4, (12, 15))
+    own = R.runs_of(label, corners=False)
+    part = R.drawn(own, own.part + 1, *label.shape)
+    got = K.clean_labels(label)
+    for k in (1, 2, 3):
+        names, n = np.unique(part[label == k], return_counts=True)
+        assert np.array_equal(got == k, part == names[n.argmax()])
 
 
 @pytest.mark.parametrize("bound", [1 << 20, 0])

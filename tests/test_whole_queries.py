@@ -233,15 +233,6 @@ def masks_of(mask):
         yield own
 
 
-def test_level_seed_query_keeps_the_brightest_class(spark):
-    rows = {r.vec_id: r for r in catalogue.QUERIES["k_level_seeds"](spark, SF).collect()}
-    for i, image in images(spark).items():
-        mask = np.array(rows[i].mask).reshape(8, 8) > 0
-        if mask.any():
-            smooth = np.floor(plain_smooth(image, sqrt(2.0)) + 1e-9)
-            assert smooth[mask].min() > np.median(smooth) or mask.mean() < 0.5
-
-
 def test_gated_cost(spark):
     one = {"cx": 10.0, "cy": 10.0, "cz": 1.0, "mean": 50.0, "n": 100.0, "x0": 5, "x1": 14, "y0": 5, "y1": 14, "z0": 0, "z1": 2}
     near = one | {"cx": 12.0, "mean": 60.0, "x0": 7, "x1": 16}
