@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lapsegrid.functions import kernels as K
 from lapsegrid.functions import pixels as P
-from lapsegrid.operators import features, segment, stack, volume
+from lapsegrid.operators import features, segment, stack, tiles, volume
 from lapsegrid.plans.catalogue import _INV, EIGHT, ORACLES, PAIRS, QUERIES, TH, _ball_sql, _flat, _image_rows, _stack, pair_frames, query, unmixed
 from lapsegrid.sources.views import FRAME, PX, frames
 
@@ -400,3 +400,23 @@ def q_annotated(spark, sf):
     run = lambda k, im: [(k[0], volume.annotated(np.stack([im, im, im], axis=-1), PLUS, k[1] % 8, k[0] % 8)[..., 2].ravel())]
     rows = segment.each_frame(frames(spark, sf), ["vec_id", "label"], run, "vec_id long, b array<int>", 8)
     return rows.select("vec_id", F.posexplode("b").alias("pos", "b"))
+
+
+# -- tiles ------------------------------------------------------------------
+def _tiled(spark, sf):
+    return frames(spark, sf).select("vec_id", F.lit(8).alias("width"), "px")
+
+
+@query(f"WITH {PX}, {_gaussian_sql('px', 2.0)} SELECT vec_id, cast(x + 8 * y AS integer) AS pos, cast(floor(greatest(i - g, 0.0) + 1e-9) AS integer) AS i FROM px JOIN g2 USING (vec_id, x, y)")
+def q_tiled_background(spark, sf):
+    """Background subtracted by tiles of three pixels with halos of eight (MAP2)."""
+    return _flat(tiles.subtract_background(_tiled(spark, sf), ["vec_id"], 2.0, tile=3), "i", "vec_id")
+
+
+@query(f"""WITH {PX}, {_wells_sql('px')}, s AS (SELECT vec_id, x, y, 0.5 + h AS score FROM n WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6)
+SELECT s.vec_id, s.x, s.y, round(s.score, 6) AS score FROM s JOIN s o ON o.vec_id = s.vec_id AND abs(o.x - s.x) <= 1 AND abs(o.y - s.y) <= 1 GROUP BY s.vec_id, s.x, s.y, s.score HAVING max(o.score) <= s.score""")
+def q_tiled_maxima(spark, sf):
+    """The maxima of a pattern's correlation, both by tiles with halos (KR8, WN7)."""
+    pattern = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]], dtype=float)
+    scores = tiles.correlated(_tiled(spark, sf), ["vec_id"], pattern, tile=5)
+    return tiles.maxima(scores, ["vec_id"], 1, 1, tile=3).withColumn("score", F.round("score", 6))
