@@ -333,14 +333,14 @@ def intensity_kmeans(values: np.ndarray, k: int = 3, rounds: int = 100) -> np.nd
 
 
 def level_response(image: np.ndarray, mask: np.ndarray, levels: int = 10) -> np.ndarray:
-    """Sum over levels, from the least to the greatest value of the mask, of the smoothed inside distance of the level set, each
+    """Sum over levels, from the least value of the mask up, of the smoothed inside distance of the level set, each
     component scaled to 1."""
     out = np.zeros(image.shape)
     if not mask.any():
         return out
     low, high = image[mask].min(), image[mask].max()
     for t in np.linspace(low, high, levels, endpoint=False):
-        level = mask & (image > t)
+        level = mask & (image >= t)
         d = gaussian(inside_distance(level), 1.0)
         label = components(level)
         peak = np.zeros(image.size + 1)

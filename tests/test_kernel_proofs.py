@@ -54,7 +54,7 @@ def test_level_response(seed):
     low, high = image[mask].min(), image[mask].max()
     want = np.zeros(image.shape)
     for j in range(4):
-        level = mask & (image > low + (high - low) * j / 4)
+        level = mask & (image >= low + (high - low) * j / 4)
         off = np.argwhere(~level)
         away = np.array([[np.sqrt(((off - (y, x)) ** 2).sum(1).min()) if level[y, x] else 0.0 for x in range(12)] for y in range(10)])
         smooth = K.gaussian(away, 1.0)
