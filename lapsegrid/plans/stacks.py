@@ -57,11 +57,15 @@ def q_volume_levels(spark, sf):
     return _flat(solids.labelled(_frames(spark, sf), ["label"], "frame", lambda im: (im >= 1150) * (im // 50), least=2))
 
 
-_NEAR = "SELECT a.label, a.z, a.x, a.y, a.pos, a.id, {0}(b.i) AS i FROM {1} a JOIN {1} b ON b.label = a.label AND abs(b.z - a.z) + abs(b.x - a.x) + abs(b.y - a.y) <= 1 GROUP BY ALL"
+def _near_sql(f: str, source: str) -> str:
+    """The least or greatest of each voxel and its six neighbours, by windows."""
+    near = ", ".join(f"{g}(i) OVER {w}" for w in "rcd" for g in ("lag", "lead"))
+    windows = "r AS (PARTITION BY label, z, y ORDER BY x), c AS (PARTITION BY label, z, x ORDER BY y), d AS (PARTITION BY label, y, x ORDER BY z)"
+    return f"SELECT label, z, x, y, pos, id, {f}(i, {near}) AS i FROM {source} WINDOW {windows}"
 
 
-@query(f"""WITH RECURSIVE {_VOX}, w AS (SELECT * REPLACE (CASE WHEN i >= 1250 THEN 1 ELSE 0 END AS i) FROM vx), d AS MATERIALIZED ({_NEAR.format('max', 'w')}),
-z AS MATERIALIZED ({_NEAR.format('min', 'd')}), b AS (SELECT * FROM z WHERE i = 1), {_components_sql('b')} {_LABEL_ROWS} WHERE sz.size >= 3""")
+@query(f"""WITH RECURSIVE {_VOX}, w AS (SELECT * REPLACE (CASE WHEN i >= 1250 THEN 1 ELSE 0 END AS i) FROM vx), d AS MATERIALIZED ({_near_sql('greatest', 'w')}),
+z AS MATERIALIZED ({_near_sql('least', 'd')}), b AS (SELECT * FROM z WHERE i = 1), {_components_sql('b')} {_LABEL_ROWS} WHERE sz.size >= 3""")
 def q_volume_labelled(spark, sf):
     """Threshold, closing by a ball, large components, labels by size, all in three dimensions (LG17, LG18, LG20, LG21)."""
     rows = _frames(spark, sf).withColumn("px", F.transform("px", lambda v: F.when(v >= 1250, 1).otherwise(0)))
