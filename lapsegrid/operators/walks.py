@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsegrid.sources.scratch import kept_as
+from lapsegrid.sources.scratch import kept_as, shuffled
 
 AXES = ("z", "y", "x")
 #: Side of a square of the first search, in units of the coordinates.
@@ -28,13 +28,13 @@ def walks(points: DataFrame, starts: DataFrame, keys: list[str], steps: int) ->
     """(keys, walk, z, y, x, step): the voxels of a structure that each walk (keys, walk, z, y, x) reaches in at most so many
     steps between touching voxels, and the step at which it first does (LG37). A start off the structure reaches nothing."""
     at = [*keys, "walk", *AXES]
-    solid = points.select(*keys, *AXES).distinct()
-    front = kept_as(starts.select(*at).distinct().join(solid, [*keys, *AXES]).select(*at, F.lit(0).alias("step")), "walk")
+    solid = kept_as(points.select(*keys, *AXES).distinct(), "structure")
+    front = kept_as(starts.select(*at).distinct().join(shuffled(solid), [*keys, *AXES]).select(*at, F.lit(0).alias("step")), "walk")
     found = [front]
     for step in range(1, steps + 1):
-        near = _around(front, keys, ["walk"]).distinct().join(solid, [*keys, *AXES])
+        near = _around(front, keys, ["walk"]).distinct().join(shuffled(solid), [*keys, *AXES])
         for old in found[-2:]:  # a neighbour of the last front was reached in the last two steps, or never
-            near = near.join(old.select(*at), at, "left_anti")
+            near = near.join(shuffled(old.select(*at)), at, "left_anti")
         front = kept_as(near.select(*at, F.lit(step).alias("step")), "walk")
         if front.isEmpty():
             break
@@ -47,9 +47,9 @@ def ends(reached: DataFrame, keys: list[str], steps: int) -> DataFrame:
     way (dz, dy, dx) that the walk has come from its start, at step 0."""
     at = [*keys, "walk", *AXES]
     later = _around(reached.select(*at, (F.col("step") - 1).alias("step")), keys, ["walk", "step"]).distinct()
-    last = reached.join(later, [*at, "step"], "left_anti").unionByName(reached.where(F.col("step") == steps)).distinct()
+    last = reached.join(shuffled(later), [*at, "step"], "left_anti").unionByName(reached.where(F.col("step") == steps)).distinct()
     start = reached.where("step = 0").groupBy(*keys, "walk").agg(*(F.min(a).alias(f"{a}0") for a in AXES))
-    return last.join(start, [*keys, "walk"]).select(*at, "step", *((F.col(a) - F.col(f"{a}0")).alias(f"d{a}") for a in AXES))
+    return last.join(shuffled(start), [*keys, "walk"]).select(*at, "step", *((F.col(a) - F.col(f"{a}0")).alias(f"d{a}") for a in AXES))
 
 
 def nearest(points: DataFrame, structure: DataFrame, keys: list[str], name: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), axis: list[str] | None = None) -> DataFrame:

@@ -43,6 +43,16 @@ def test_walks_and_their_ends(spark):
     assert all((r.z - r.dz, r.y - r.dy, r.x - r.dx) == starts[r.walk] for r in found)
 
 
+def test_no_step_of_a_walk_is_sent_to_the_driver(spark, monkeypatch):
+    plans, kept = [], walks.kept_as
+    monkeypatch.setattr(walks, "kept_as", lambda f, name: plans.append(f._jdf.queryExecution().executedPlan().toString()) or kept(f, name))
+    volume = np.random.default_rng(3).random((5, 6, 6)) < 0.3
+    starts = spark.createDataFrame([("s", 1, *map(int, np.argwhere(volume)[0]))], "stack string, walk int, z int, y int, x int")
+    found = walks.ends(walks.walks(table(spark, volume), starts, ["stack"], 3), ["stack"], 3)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("share", [0.3, 0.002])
 def test_nearest_of_near_and_far_structures(spark, share):
     rng = np.random.default_rng(4)
