@@ -125,36 +125,51 @@ def chains(cells: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, frame, cell, track): cells linked through frames share a track; track ids are
     1, 2, ... within keys by first frame and cell. Unlinked cells are tracks of their own.
 
-    The cells and links of one well become one row; many wells share an Arrow batch.
+    Cells, each after the links that start from it, go by in the order of frames: a task holds the tracks that wait for a later cell,
+    never a well. Of several links to a cell that from the last cell counts.
     """
     kinds = dict(cells.dtypes)
-    own = cells.groupBy(*keys).agg(F.collect_list(F.struct(F.col("frame").cast("long").alias("f"), F.col("cell").cast("long").alias("c"))).alias("cells"))
-    step = F.struct(*(F.col(a).cast("long").alias(b) for a, b in (("frame", "f"), ("cell", "c"), ("next_frame", "f2"), ("cell2", "c2"))))
-    found = links.groupBy(*keys).agg(F.collect_list(step).alias("links"))
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", tracks array<struct<f:bigint,c:bigint,track:bigint>>"
+    at = lambda frame, cell, k: [F.col(frame).cast("long").alias(f"f{k}_"), F.col(cell).cast("long").alias(f"c{k}_")]
+    none = [F.lit(None).cast("long").alias(c) for c in ("f2_", "c2_")]
+    own = cells.select(*keys, *at("frame", "cell", 1), F.lit(True).alias("is_cell_"), *none)
+    known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))  # a null key equals none
+    steps = links.where(known).select(*keys, *at("frame", "cell", 1), F.lit(False).alias("is_cell_"), *at("next_frame", "cell2", 2))
+    rows = own.unionByName(steps).repartition(*keys).sortWithinPartitions(*keys, "f1_", "c1_", "is_cell_")
+    found = rows.mapInArrow(_follow(keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", f1_ long, c1_ long, track long")
+    return found.select(*keys, F.col("f1_").cast(kinds["frame"]).alias("frame"), F.col("c1_").cast(kinds["cell"]).alias("cell"), "track")
 
+
+def _follow(keys: list[str]):
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        well, at, fresh, waiting, seen = None, None, 0, {}, False  # waiting: by frame and cell, the track that goes on there
         for batch in batches:
-            made = [_numbered(c, n or []) for c, n in zip(batch.column("cells").to_pylist(), batch.column("links").to_pylist(), strict=True)]
-            kind = pa.list_(pa.struct([("f", pa.int64()), ("c", pa.int64()), ("track", pa.int64())]))
-            yield pa.record_batch({**{k: batch.column(k) for k in keys}, "tracks": pa.array(made, kind)})
-
-    rows = own.join(found, keys, "left").mapInArrow(follow, schema).select(*keys, F.explode("tracks").alias("t"))
-    return rows.select(*keys, F.col("t.f").cast(kinds["frame"]).alias("frame"), F.col("t.c").cast(kinds["cell"]).alias("cell"), "t.track")
-
-
-def _numbered(cells: list[dict], links: list[dict]) -> list[dict]:
-    before = {(n["f2"], n["c2"]): (n["f"], n["c"]) for n in links}
-    track: dict[tuple, int] = {}
-    fresh = 0
-    for at in sorted((c["f"], c["c"]) for c in cells):
-        earlier = before.get(at)
-        if earlier in track:
-            track[at] = track[earlier]
-        else:
-            fresh += 1
-            track[at] = fresh
-    return [{"f": f, "c": c, "track": n} for (f, c), n in track.items()]
+            rows, tracks = [], []
+            names = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            steps = zip(*(batch.column(c).to_pylist() for c in ("f1_", "c1_", "is_cell_", "f2_", "c2_")), strict=True)
+            for n, (name, (f, c, is_cell, f2, c2)) in enumerate(zip(names, steps, strict=True)):
+                if name != well:
+                    well, at, fresh, waiting = name, None, 0, {}
+                if (f, c) != at:
+                    if at is not None and f != at[0]:
+                        waiting = {k: v for k, v in waiting.items() if k >= f}
+                    at, ahead, seen = (f, c), [], False
+                if not is_cell:
+                    ahead.append((f2, c2))
+                elif not seen:
+                    seen = True
+                    track = waiting.get(f, {}).pop(c, None)
+                    if track is None:
+                        track = fresh = fresh + 1
+                    for to, cell in ahead:
+                        if (to, cell) > at:
+                            waiting.setdefault(to, {})[cell] = track
+                    rows.append(n)
+                    tracks.append(track)
+            if rows:
+                kept = batch.take(pa.array(rows))
+                yield pa.record_batch({**{c: kept.column(c) for c in [*keys, "f1_", "c1_"]}, "track": pa.array(tracks, pa.int64())})
+
+    return follow
 
 
 def unlinked(cells: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:

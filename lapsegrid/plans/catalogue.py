@@ -15,6 +15,7 @@ from lapsegrid.functions import kernels as K
 from lapsegrid.functions import pixels as P
 from lapsegrid.operators import features, histogram, segment, stack, tables, tracking, volume, wells
 from lapsegrid.sources import manifest
+from lapsegrid.sources.scratch import shuffled
 from lapsegrid.sources.views import FRAME, PX, SD, TP, frame_index, frames, pixels, seeds, table, tracks
 
 QUERIES: dict = {}
@@ -487,7 +488,7 @@ def _rank_links(spark, sf):
     cells = seeds(spark, sf).select("user_id", "frame", F.row_number().over(own).alias("cell"))
     later = cells.select("user_id", F.col("frame").alias("next_frame"), F.col("cell").alias("cell2"))
     step = tracking.next_frames(cells, ["user_id"]).where("next_frame is not null")
-    links = cells.join(step, ["user_id", "frame"]).join(later, ["user_id", "next_frame"]).where("cell = cell2")
+    links = cells.join(shuffled(step), ["user_id", "frame"]).join(shuffled(later), ["user_id", "next_frame"]).where("cell = cell2")
     return cells, links
 
 

@@ -286,6 +286,30 @@ def test_chains_and_unlinked(spark):
     assert rows(tracking.unlinked(cells, links, ["k"]), "frame") == [(1, 0, 1), (1, 3, 1)]
 
 
+def test_chains_go_by_cell_by_cell(spark):
+    rng = np.random.default_rng(8)
+    cells = [(k, f, c) for k in (1, 2, None) for f in range(0, 12, 2) for c in range(1, 1 + int(rng.integers(1, 6)))]
+    links = [(k, f, c, f + 2, int(d)) for k in (1, 2, None) for f in range(0, 12, 2) for c, d in zip(range(1, 7), rng.permutation(7)[:5] + 1, strict=False)]
+    want = []
+    for k in (1, 2, None):
+        before = {(f2, d): (f, c) for q, f, c, f2, d in links if q == k and k is not None}
+        track = {}
+        for at in sorted((f, c) for q, f, c in cells if q == k):
+            track[at] = track[before[at]] if before.get(at) in track else max(track.values(), default=0) + 1
+        want += [(k, *at, n) for at, n in track.items()]
+    frames = spark.createDataFrame(cells, "k int, frame int, cell int"), spark.createDataFrame(links, "k int, frame int, cell int, next_frame int, cell2 int")
+    found = tracking.chains(*frames, ["k"])
+    assert "collect_list" not in found._jdf.queryExecution().toString()  # no well is one row
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        assert {tuple(r) for r in found.collect()} == set(want)
+        assert found.count() == len(want)
+    finally:
+        spark.conf.set(size, old)
+
+
 def test_well_block_has_49_rows(spark):
     long = spark.createDataFrame([(1, "effector", 0, "x", 0, 5.0), (1, "target", 2, "assoc", 1, 0.5), (1, "bead", 1, "mean", 0, 9.0)], "well int, part string, target int, name string, frame int, value double")
     got = rows(tables.well_block(long, ["well"], [0, 1]), "line")
