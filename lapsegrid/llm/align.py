@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapsegrid.llm.common import bounded_batches, new_path
+from lapsegrid.llm.common import bounded_batches, new_path, row_by_row
 
 #: Bytes of text of a chunk (it ends with the batch that reaches this), and units that a worker remembers.
-CHUNK_BYTES, UNITS = 8 << 20, 400_000
-#: Bytes of a row group of the chunks' table: a reader holds a group at a time.
-GROUP_BYTES = 4 << 20
+CHUNK_BYTES, UNITS = 4 << 20, 400_000
+#: Units that are encoded and joined at once.
+LEARNT = 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 MARK = "▁"
 
@@ -160,8 +160,8 @@ class Aligner:
         new = [x for x in units if x not in self.slot]
         plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
         self.slot.update(dict.fromkeys(new, -1))
-        for at in range(0, len(plain), 1 << 16):
-            part = plain[at : at + (1 << 16)]
+        for at in range(0, len(plain), LEARNT):
+            part = plain[at : at + LEARNT]
             self.slot.update(zip(part, self.learn(part).tolist(), strict=True))
         return np.array([self.slot[x] for x in units], dtype=np.int64)
 
@@ -247,8 +247,7 @@ class Chunk:
         codes, where = np.unique(links[np.repeat(begin[units], n_links) + inside], return_inverse=True)
         counts = np.bincount(where.ravel(), weights=np.repeat(times, n_links), minlength=len(codes)).astype(np.int64)
         sums = [_sums(stats[flat, k], sizes) for k in range(4)]
-        texts = [";".join(map(own.groups.__getitem__, x.tolist())) for x in self.texts]
-        digest = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+        digest = [hashlib.sha256(";".join(map(own.groups.__getitem__, x.tolist())).encode()).hexdigest() if len(x) else "" for x in self.texts]
         long = lambda x: pa.array([x], pa.list_(pa.int64()))
         blob = lambda x: pa.array([_packed(x)], pa.binary())
         return pa.record_batch(
@@ -289,7 +288,7 @@ def chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     types = dict(x.rsplit(" ", 1) for x in schema.split(", "))
     made = docs.select("doc_id", "text").mapInArrow(_chunks(path_a, path_b), ", ".join(f"{c} {types[c]}" for c in names))
     path = new_path(spark, "aligned")
-    made.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
+    row_by_row(made.write).parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 
 
@@ -302,6 +301,7 @@ def pair_counts(parts: DataFrame) -> DataFrame:
 
 
 def _scores(batches) -> Iterator[pa.RecordBatch]:
+    _aligners.clear()  # workers are used again: all chunks are written by now
     kept = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     for batch in batches:
         for k in range(batch.num_rows):

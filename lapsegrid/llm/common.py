@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from lapsegrid.sources.scratch import fresh_dir
@@ -38,6 +38,12 @@ def staged(frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def row_by_row(writer: DataFrameWriter) -> DataFrameWriter:
+    """Of tables whose rows are chunks of MBs: a row group for each. By default a writer looks at the size of a group after a
+    hundred rows only, so that it and its readers would hold hundreds of MB."""
+    return writer.option("compression", "zstd").option("parquet.block.row.count.limit", "1")
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -129,3 +129,19 @@ def test_units_equal_whole_texts(spark, encoders):
     own.both.apart = False
     whole = [";".join(own.groups[k] for k in x.tolist()) for x in own.texts(pa.array(docs))]
     assert cut == whole
+
+
+def test_a_row_group_holds_one_chunk(spark):
+    """Whoever writes or reads the chunks holds one of them, not a hundred."""
+    import pyarrow.parquet as pq
+
+    frame = spark.createDataFrame([(k, "some words " * 130_000) for k in range(9)], "doc_id long, text string").coalesce(1)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in align.chunks(frame, A, B).inputFiles()]
+    assert sum(f.num_rows for f in files) > 1
+    assert all(f.row_group(k).num_rows == 1 for f in files for k in range(f.num_row_groups))
+
+
+def test_scoring_forgets_the_tokenizers(monkeypatch):
+    """Workers that score have aligned before."""
+    monkeypatch.setattr(align, "_aligners", {("a", "b"): object()})
+    assert list(align._scores([])) == [] and not align._aligners
