@@ -108,3 +108,15 @@ def test_frequent_keys_are_found_in_bounded_memory(monkeypatch):
     assert len(own.keys) <= 50
     held = dict(zip(own.keys.tolist(), own.counts.tolist(), strict=True))
     assert all(true[k] - sum(true.values()) / 50 <= held.get(k, 0) <= true[k] for k in range(10))
+
+
+def test_a_row_group_holds_one_chunk(spark, monkeypatch):
+    """Whoever writes or reads the chunks holds one of them, not a hundred."""
+    import pyarrow.dataset as ds
+
+    paths, made = [], repeats.new_path
+    monkeypatch.setattr(repeats, "new_path", lambda *a: paths.append(made(*a)) or paths[-1])
+    docs = [(k, f"text {k}") for k in range(2500)]
+    repeats.dedup(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    groups = [g.num_rows for f in ds.dataset(paths[-1].removeprefix("file:"), format="parquet").get_fragments() for g in f.row_groups]
+    assert len(groups) > 1 and set(groups) == {1}
