@@ -72,13 +72,13 @@ def nearest(points: DataFrame, structure: DataFrame, keys: list[str], name: str,
         near = F.array(*(F.struct(*((square(f"{a}_", a) + d).alias(f"g{a}") for a, d in zip(AXES, (dz, dy, dx), strict=True))) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
         grid = [f"g{a}" for a in AXES]
         asked = left.select("*", F.explode(near).alias("at_")).select(*left.columns, "at_.*")
-        seen = asked.join(solid.select(*keys, *AXES, *(square(a, a).alias(f"g{a}") for a in AXES)), [*keys, *grid])
+        seen = asked.join(shuffled(solid.select(*keys, *AXES, *(square(a, a).alias(f"g{a}") for a in AXES))), [*keys, *grid])
         best = seen.groupBy(*left.columns).agg(F.min(F.struct(away.alias("away"), *AXES)).alias("b"))
         done = kept_as((best if side > spread else best.where(F.col("b.away") <= side)).select(*left.columns, "b.*"), "nearest")
         found.append(done)
         if side > spread:
             break
-        left = kept_as(left.join(done.select(*keys, name), [*keys, name], "left_anti"), "points")
+        left = kept_as(left.join(shuffled(done.select(*keys, name)), [*keys, name], "left_anti"), "points")
         side *= 2
     if not found:
         found = [left.select("*", F.lit(0.0).alias("away"), *(F.lit(0).alias(a) for a in AXES)).limit(0)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lapsegrid.sources.scratch import shuffled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,9 +25,9 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, label, frame: time index within a label."""
+    """vec_id, label, frame: time index within a label. As many rows as frames, so that joins shuffle it."""
     own = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.row_number().over(own) - 1).alias("frame"))
+    return shuffled(table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.row_number().over(own) - 1).alias("frame")))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:

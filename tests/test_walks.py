@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lapsegrid.operators import walks
+from lapsegrid.plans import stacks
 
 
 def table(spark, volume, stack="s"):
@@ -53,6 +54,25 @@ def test_no_step_of_a_walk_is_sent_to_the_driver(spark, monkeypatch):
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
 
 
+def test_frame_numbers_of_a_walk_are_not_sent_to_the_driver(spark, monkeypatch):
+    plans, kept = [], walks.kept_as
+    monkeypatch.setattr(walks, "kept_as", lambda f, name: plans.append(f._jdf.queryExecution().executedPlan().toString()) or kept(f, name))
+    found = stacks.q_volume_walks(spark, "/root/testdata/sf0.001")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_no_structure_is_sent_to_the_driver(spark, monkeypatch):
+    plans, kept = [], walks.kept_as
+    monkeypatch.setattr(walks, "kept_as", lambda f, name: plans.append((name, f._jdf.queryExecution().executedPlan().toString())) or kept(f, name))
+    volume = np.random.default_rng(4).random((5, 40, 40)) < 0.001
+    points = spark.createDataFrame([("s", 1, 0.0, 0.0, 0.0), ("s", 2, 4.0, 20.0, 20.0), ("s", 3, 60.0, 0.0, 0.0)], "stack string, k int, z double, y double, x double")
+    assert walks.nearest(points, table(spark, volume), ["stack"], "k").count() == 3
+    found = [p for name, p in plans if name == "nearest"]
+    again = [p for name, p in plans if name == "points"][1:]  # the first only asks which stacks there are
+    assert len(found) > 1 and again and not any("Broadcast" in p for p in found + again)
+
+
 @pytest.mark.parametrize("share", [0.3, 0.002])
 def test_nearest_of_near_and_far_structures(spark, share):
     rng = np.random.default_rng(4)
